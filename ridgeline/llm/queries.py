@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ridgeline.llm import quality_rules, source_mix
+from ridgeline.llm import quality_rules, source_mix, url_filters
+from ridgeline.llm.html_extraction import extract
 from ridgeline.llm.language_id import identify
 from ridgeline.llm.packing import pack
 from ridgeline.llm.token_counts import count_tokens
@@ -16,6 +17,15 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract(_table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
+
+
+def op4_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    urls = _table(spark, sf_dir, "pages").select("page_id", "url")
+    return url_filters.judge(urls, url_filters.fit(urls)).select("page_id", "host", "path", "rule", "verdict", "tokens", "score")
+
+
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(_table(spark, sf_dir, "documents")).select("doc_id", "held_out", "lang_pred", "score")
 
