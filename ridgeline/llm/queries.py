@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ridgeline.llm import quality_rules, source_mix, url_filters
+from ridgeline.llm.fingerprints import compare_edited
 from ridgeline.llm.html_extraction import extract
 from ridgeline.llm.language_id import identify
 from ridgeline.llm.packing import pack
@@ -21,6 +22,10 @@ def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract(_table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
 
 
+def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compare_edited(_table(spark, sf_dir, "documents"))
+
+
 def op4_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     urls = _table(spark, sf_dir, "pages").select("page_id", "url")
     return url_filters.judge(urls, url_filters.fit(urls)).select("page_id", "host", "path", "rule", "verdict", "tokens", "score")
