@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from ridgeline.llm import quality_rules, source_mix, url_filters
 from ridgeline.llm.fingerprints import compare_edited
 from ridgeline.llm.html_extraction import extract
-from ridgeline.llm.language_id import identify
+from ridgeline.llm.language_id import fold_of, identify
+from ridgeline.llm.lm_scoring import score
 from ridgeline.llm.packing import pack
 from ridgeline.llm.token_counts import count_tokens
 
@@ -22,6 +23,12 @@ def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract(_table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
 
 
+def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    scored = score(docs, fold_of(docs["doc_id"], 10) != 0)
+    return scored.withColumn("held_out", ~scored["train"]).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compare_edited(_table(spark, sf_dir, "documents"))
 
