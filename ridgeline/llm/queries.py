@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ridgeline.llm import quality_rules, source_mix, url_filters
+from ridgeline.llm import ngram_join, quality_rules, source_mix, url_filters
 from ridgeline.llm.fingerprints import compare_edited
 from ridgeline.llm.html_extraction import extract
 from ridgeline.llm.language_id import fold_of, identify
@@ -50,6 +50,10 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_table(spark, sf_dir, "documents"))
 
 
+def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.join(_table(spark, sf_dir, "documents"), width=4, num=85, den=100)
+
+
 def op9_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_mix.mix(_table(spark, sf_dir, "documents"))
 
