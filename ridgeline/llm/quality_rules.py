@@ -26,40 +26,45 @@ def _words(text: str) -> str:
     return f"filter(split({text}, {_GAP}), x -> x != '')"
 
 
+def _let(name: str, value: str, body: str) -> str:
+    """`body` with `name` bound to a value that is computed once, however the optimiser moves the whole."""
+    return f"transform(array({value}), {name} -> {body})[0]"
+
+
+def _repeat_words(text: str) -> str:
+    """SQL for the words that lie in a window of three that the text holds at least twice.
+
+    Hashed windows are sorted, equal neighbours give the repeated hashes, and the places that hold one are walked in
+    order, each adding the words that the one before hasn't covered. Where many hashes repeat, places are found by
+    sorting (hash, place) pairs instead of by searching, so no text costs more than a sort.
+    """
+    hashes = "if(size(w) < 3, cast(array() as array<bigint>), transform(sequence(1, size(w) - 2), i -> xxhash64(element_at(w, i), element_at(w, i + 1), element_at(w, i + 2))))"
+    ordered = "if(size(array_distinct(h)) = size(h), cast(array() as array<bigint>), sort_array(h))"
+    repeated = "array_distinct(filter(s, (x, i) -> i > 0 and x = element_at(s, i)))"
+    same = "(k > 0 and e.x = element_at(a, greatest(k, 1)).x) or (k + 1 < size(a) and e.x = element_at(a, least(k + 2, size(a))).x)"
+    by_sort = _let("a", "sort_array(transform(h, (x, i) -> struct(x as x, i as i)))", f"transform(filter(transform(a, (e, k) -> struct(e.i as i, {same} as twice)), e -> e.twice), e -> e.i)")
+    places = f"case when size(d) = 0 then cast(array() as array<int>) when size(d) <= 64 then filter(transform(h, (x, i) -> if(array_contains(d, x), i, -1)), i -> i >= 0) else sort_array({by_sort}) end"
+    covered = f"aggregate({places}, struct(-3 as last, 0L as total), (a, p) -> struct(p as last, a.total + least(3, p - a.last) as total), a -> a.total)"
+    return _let("w", _words(text), _let("h", hashes, _let("s", ordered, _let("d", repeated, covered))))
+
+
 def with_statistics(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """The docs with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and base_failed; row by row, no shuffle.
 
-    Null text has no words. n_repeat_words counts the words that lie in a window of three that the text holds at least
-    twice: hashed windows are sorted, equal neighbours give the repeated hashes, and the places that hold one are walked
-    in order, each adding the words that the one before hasn't covered. Where many hashes repeat, places are found by
-    sorting (hash, place) pairs instead of by searching, so no text costs more than a sort.
+    Null text has no words. Clashing columns of the docs are replaced.
     """
     text = f"coalesce(`{text_col}`, '')"
     own = [c for c in docs.columns if c not in (*STATISTICS, "base_failed")]
-    words = docs.select(*own, F.expr(_words(text)).alias("_w"), F.expr(f"filter(split({text}, '\\n'), x -> translate(x, {_SPACES}, '') != '')").alias("_lines"))
-    hashed = words.withColumn(
-        "_h", F.expr("if(size(_w) < 3, array(), transform(sequence(1, size(_w) - 2), i -> xxhash64(element_at(_w, i), element_at(_w, i + 1), element_at(_w, i + 2))))")
-    ).withColumn("_n", F.expr("size(_w)"))
-    ordered = hashed.withColumn("_s", F.expr("if(size(array_distinct(_h)) = size(_h), cast(array() as array<bigint>), sort_array(_h))"))
-    repeated = ordered.withColumn("_d", F.expr("array_distinct(filter(_s, (x, i) -> i > 0 and x = element_at(_s, i)))"))
-    pairs = "sort_array(transform(_h, (x, i) -> struct(x as x, i as i)))"
-    placed = repeated.withColumn(
-        "_p",
-        F.expr(
-            "case when size(_d) = 0 then cast(array() as array<int>) "
-            "when size(_d) <= 64 then filter(transform(_h, (x, i) -> if(array_contains(_d, x), i, -1)), i -> i >= 0) "
-            f"else (sort_array(transform(filter(transform(array({pairs}), a -> transform(a, (e, k) -> struct(e.i as i, "
-            "(k > 0 and e.x = element_at(a, greatest(k, 1)).x) or (k + 1 < size(a) and e.x = element_at(a, least(k + 2, size(a))).x) as twice)))[0], e -> e.twice), e -> e.i))) end"
-        ),
-    )
-    return placed.select(
+    lines = _let("l", f"filter(split({text}, '\\n'), x -> translate(x, {_SPACES}, '') != '')", "cast(size(l) - size(array_distinct(l)) as bigint)")
+    rated = docs.select(
         *own,
-        F.expr("cast(_n as bigint)").alias("n_words"),
+        F.expr(f"cast(regexp_count({text}, '[^\\\\x20\\\\x09-\\\\x0D]+') as bigint)").alias("n_words"),
         F.expr(f"cast(length(translate({text}, {_SPACES}, '')) as bigint)").alias("word_chars"),
         F.expr(f"cast(length({text}) - length(translate({text}, '{SYMBOLS}', '')) as bigint)").alias("n_symbols"),
-        F.expr("cast(size(_lines) - size(array_distinct(_lines)) as bigint)").alias("n_dup_lines"),
-        F.expr("aggregate(_p, struct(-3 as last, 0L as total), (a, p) -> struct(p as last, a.total + least(3, p - a.last) as total), a -> a.total)").alias("n_repeat_words"),
-    ).withColumn("base_failed", F.expr("n_words < 50 or 100 * n_repeat_words > 50 * n_words"))
+        F.expr(lines).alias("n_dup_lines"),
+        F.expr(_repeat_words(text)).alias("n_repeat_words"),
+    )
+    return rated.withColumn("base_failed", F.expr("n_words < 50 or 100 * n_repeat_words > 50 * n_words"))
 
 
 def _lines(docs: DataFrame, host_col: str, text_col: str) -> DataFrame:
