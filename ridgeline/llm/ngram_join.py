@@ -4,14 +4,15 @@ Documents with equal shingle sets are one class, told by a 64-bit key. The matri
 
 * A set of LEAST or more shingles gives bundles: the shingles are cut by hash range into parts, and a part's content is
   one token. If two sets link, they differ in at most k shingles, and each difference spoils one part; so of the first
-  k + 1 parts that one of them fills, at least one is a part of the other with the same content. Sizes are cut into
+  k + r parts that one of them fills, at least r are parts of the other with the same content. Sizes are cut into
   classes with one number of parts each, and a set that may link into the next class gives its bundles there as well.
-* A smaller set gives shingles, the rarest first: of the k + 1 rarest, a set that links holds at least one.
+* A smaller set gives shingles, the rarest first: of its k + r rarest, a set that links has r among its own.
 
-So two sets without a common token don't link, whatever their groups. The groups are grown by a first round, in which
-each token's smallest document is opened as a group of one to the others; what links becomes a group. Then each group's
-token union is stored, and a document is tried against the groups whose union overlaps its own tokens at least once and
-whose sizes fit; only those are opened. One link is enough, as a group is connected already.
+So two sets with fewer than r common tokens don't link, whatever their groups. The groups are grown by a first round, in
+which a token's smallest document is opened, as a group of one, to documents that share enough such tokens with it; what
+links becomes a group. Then each group's token union is stored, and a document is tried against the groups whose union
+holds at least r of its tokens and whose sizes fit; only those are opened. One link is enough, as a group is connected
+already. The bound keeps out what shares a passage only, and the second round misses no pair that the first left apart.
 
 Chance decides only collisions of 64-bit hashes, and whether a set of 40 shingles fills fewer than k + 1 of its parts
 (under one in 10**8 sets of the least size, and far less above).
@@ -33,6 +34,8 @@ from ridgeline.llm.shared import Workspace, chunks, column, text_buffers
 
 #: Least size of a set that gives bundles, ratio of the size classes, and parts for each difference allowed.
 LEAST, RATIO, PARTS = 40, 1.5, 1.75
+#: Common tokens asked for (r), of bundles and of rare shingles.
+COMMON, COMMON_SMALL = 8, 4
 #: Most members or visitors that meet in one task.
 TASK = 512
 _STEPS = [np.uint64(x) for x in (0x9FB21C651E98DF25, 0xC2B2AE3D27D4EB4F, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63, 0xFF51AFD7ED558CCD)]
@@ -77,23 +80,26 @@ class Sets:
         total = np.add.reduce(mix(shingles ^ _STEPS[3]))
         return mix(np.array([total], np.uint64) ^ (np.array([len(shingles)], np.uint64) * _STEPS[0]))[0]
 
-    def bundles(self, shingles: np.ndarray) -> np.ndarray:
+    def bundles(self, shingles: np.ndarray) -> tuple[np.ndarray, int]:
+        """The tokens of a set, and r: COMMON, or what its parts allow."""
         n = len(shingles)
         if n < LEAST:
-            return np.empty(0, np.uint64)
-        need, own = self.allowed(n) + 1, int(math.log(n / LEAST) / math.log(RATIO))
-        found = []
+            return np.empty(0, np.uint64), 0
+        spoilt, own = self.allowed(n), int(math.log(n / LEAST) / math.log(RATIO))
+        found, common = [], COMMON
         for size_class in (own, own + 1):
             low, high = LEAST * RATIO**size_class, LEAST * RATIO ** (size_class + 1)
             if size_class > own and n * self.den < self.num * (low - 1):
                 break
             parts = math.ceil(PARTS * (high * (self.den - self.num) / self.num + 1))
             part = (shingles >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)
-            first = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))[: need + 1]
+            first = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
+            need = min(spoilt + COMMON, len(first))
+            common = max(1, min(common, need - spoilt))
             upto = first[need] if len(first) > need else n
             content = np.add.reduceat(mix(shingles[:upto] ^ _STEPS[2]), first[:need])
             found.append(mix(content ^ mix(part[first[:need]] + np.uint64(size_class << 32))))
-        return np.concatenate(found)
+        return np.concatenate(found), common
 
     def links(self, a: int, b: np.ndarray, common: np.ndarray) -> np.ndarray:
         return common * (self.den + self.num) >= self.num * (a + b)
@@ -121,44 +127,50 @@ def _rows_of(texts: DataFrame, sets: Sets, each, schema: str) -> DataFrame:
 
 
 def _signatures(texts: DataFrame, sets: Sets, kind: str) -> DataFrame:
-    """id, n, key of every row, and the tokens and (of small sets) shingles of the first row of a class in each task."""
+    """id, n, key of every row, and the bundles with their r and (of small sets) shingles of the first row of a class in each task."""
     small = sets.small_below()
     none = np.empty(0, np.uint64)
 
     def each(ids, found, memory):
         keys = np.array([sets.key(s) if len(s) else 0 for s in found], np.uint64)
-        bundles, singles = [], []
+        bundles, common, singles = [], [], []
         for s, key in zip(found, keys.tolist()):
             new = len(s) > 0 and key not in memory
             memory.add(key)
-            bundles.append(sets.bundles(s) if new else none)
+            tokens, r = sets.bundles(s) if new else (none, 0)
+            bundles.append(tokens)
+            common.append(r)
             singles.append(s if new and len(s) < small else none)
-        yield pa.RecordBatch.from_arrays([ids, pa.array([len(s) for s in found], pa.int64()), pa.array(keys.view(np.int64)), _longs(bundles), _longs(singles)], names=["id", "n", "key", "bundles", "singles"])
+        yield pa.RecordBatch.from_arrays(
+            [ids, pa.array([len(s) for s in found], pa.int64()), pa.array(keys.view(np.int64)), _longs(bundles), pa.array(common, pa.int64()), _longs(singles)],
+            names=["id", "n", "key", "bundles", "common", "singles"],
+        )
 
-    return _rows_of(texts, sets, each, f"id {kind}, n long, key long, bundles array<long>, singles array<long>")
+    return _rows_of(texts, sets, each, f"id {kind}, n long, key long, bundles array<long>, common long, singles array<long>")
 
 
 def _shared_tokens(tokens: DataFrame) -> DataFrame:
-    """token, key, n, lead: the tokens of more than one class, with the smallest class of each."""
+    """token, key, n, common, lead: the tokens of more than one class, with the smallest class of each."""
+    names = ("token", "key", "n", "common")
 
     def run(batches):
-        held = [[b.column(k).to_numpy() for k in range(3)] for b in batches]
+        held = [[b.column(k).to_numpy() for k in range(4)] for b in batches]
         if not held:
             return
-        token, key, n = (np.concatenate([h[k] for h in held]) for k in range(3))
+        token, key, *rest = (np.concatenate([h[k] for h in held]) for k in range(4))
         held.clear()
         order = np.lexsort((key, token))
-        token, key, n = token[order], key[order], n[order]
+        token, key = token[order], key[order]
         fresh = np.concatenate([[True], (token[1:] != token[:-1]) | (key[1:] != key[:-1])])
-        token, key, n = token[fresh], key[fresh], n[fresh]
+        token, key, order = token[fresh], key[fresh], order[fresh]
         first = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
         size = np.diff(np.append(first, len(token)))
         lead, many = np.repeat(key[first], size), np.repeat(size > 1, size)
+        columns = [x[many] for x in (token, key, *(r[order] for r in rest), lead)]
         for at in range(0, int(many.sum()), 1 << 17):
-            cut = slice(at, at + (1 << 17))
-            yield pa.RecordBatch.from_arrays([pa.array(x[many][cut]) for x in (token, key, n, lead)], names=["token", "key", "n", "lead"])
+            yield pa.RecordBatch.from_arrays([pa.array(x[at : at + (1 << 17)]) for x in columns], names=[*names, "lead"])
 
-    return tokens.repartition("token").mapInArrow(run, "token long, key long, n long, lead long")
+    return tokens.select(*names).repartition("token").mapInArrow(run, "token long, key long, n long, common long, lead long")
 
 
 def _membership(keys: DataFrame) -> np.ndarray:
@@ -187,6 +199,10 @@ def _sets_of(texts: DataFrame, sets: Sets, bits: np.ndarray) -> DataFrame:
     return _rows_of(texts, sets, each, "key long, shingles array<long>")
 
 
+def _contents(work: Workspace, name: str, texts: DataFrame, sets: Sets, asked: DataFrame) -> DataFrame:
+    return work.put(name, _sets_of(texts, sets, _membership(asked.select("key"))).dropDuplicates(["key"]))
+
+
 def _opened(asked: DataFrame, contents: DataFrame, sets: Sets) -> DataFrame:
     """u, v: for each visitor of a group, a member that it links with, if there is one.
 
@@ -247,28 +263,32 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width:
 
     single = classes.filter("size(singles) > 0").select("key", "n", F.explode("singles").alias("token")).distinct()
     rarity = single.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
+    spoilt = f"(n * {den - num} div {num})"
     rank = F.row_number().over(Window.partitionBy("key").orderBy("df", "token"))
-    rarest = single.join(rarity, "token").withColumn("r", rank).filter(F.expr(f"r <= n * {den - num} div {num} + 1")).select(F.expr("token ^ 1").alias("token"), "key", "n")
-    bundles = classes.filter("size(bundles) > 0").select(F.explode("bundles").alias("token"), "key", "n")
+    rarest = single.join(rarity, "token").withColumn("r", rank).withColumn("common", F.expr(f"least({COMMON_SMALL}, n - {spoilt})")).filter(f"r <= {spoilt} + common")
+    rarest = rarest.select(F.expr("token ^ 1").alias("token"), "key", "n", "common")
+    bundles = classes.filter("size(bundles) > 0").select(F.explode("bundles").alias("token"), "key", "n", "common")
     shared = work.put("shared", _shared_tokens(bundles.unionByName(rarest)))
 
-    contents = work.put("contents", _sets_of(texts, sets, _membership(shared.select("key"))).dropDuplicates(["key"]))
-    first = shared.filter("key <> lead").select(F.col("lead").alias("g"), "key").distinct()
+    # a lead of some tokens may not lead all that two documents share, so half of r will do to try the first links
+    first = shared.filter("key <> lead").groupBy(F.col("lead").alias("g"), "key").agg(F.count(F.lit(1)).alias("overlap"), F.min("common").alias("r")).filter("2 * overlap >= r")
+    first = work.put("first", first.select("g", "key"))
     asked = first.select("g", "key", F.lit(1).alias("role")).unionByName(first.select("g", F.col("g").alias("key"), F.lit(0).alias("role")).distinct())
-    grown = connect(_opened(asked, contents, sets), work, "grown")
+    grown = connect(_opened(asked, _contents(work, "first-sets", texts, sets, asked), sets), work, "grown")
 
     label = F.coalesce("label", "key").alias("own")
-    grouped = work.put("grouped", shared.join(grown, shared["key"] == grown["node"], "left").select("token", "key", "n", label))
+    grouped = work.put("grouped", shared.join(grown, shared["key"] == grown["node"], "left").select("token", "key", "n", "common", label))
     several = grouped.groupBy("token").agg(F.min("own").alias("a"), F.max("own").alias("b")).filter("a < b").select("token")
     live = grouped.join(several, "token")
-    matrix = live.groupBy("token", F.col("own").alias("g")).agg(F.min("n").alias("least"), F.max("n").alias("most"))
+    matrix = live.groupBy("token", F.col("own").alias("g")).agg(F.min("n").alias("least"), F.max("n").alias("most"), F.min("common").alias("theirs"))
     fits = F.expr(f"own <> g and n * {den} >= least * {num} and most * {den} >= n * {num}")
-    visits = live.join(matrix, "token").filter(fits).groupBy("g", "key").agg(F.first("n").alias("n"), F.count(F.lit(1)).alias("overlap")).filter("overlap >= 1")
+    visits = live.join(matrix, "token").filter(fits).groupBy("g", "key").agg(F.first("n").alias("n"), F.count(F.lit(1)).alias("overlap"), F.min(F.least("common", "theirs")).alias("r")).filter("overlap >= r")
     visits = work.put("visits", visits.select("g", "key", "n"))
-    of_group = grouped.select(F.col("own").alias("g"), "key", "n").distinct()
+    of_group = live.select(F.col("own").alias("g"), "key", "n").distinct()
     bounds = visits.groupBy("g").agg(F.min("n").alias("least"), F.max("n").alias("most"))
     members = of_group.join(bounds, "g").filter(f"n * {den} >= least * {num} and most * {den} >= n * {num}").select("g", "key", F.lit(0).alias("role"))
-    late = _opened(members.unionByName(visits.select("g", "key", F.lit(1).alias("role"))), contents, sets)
+    asked = work.put("asked", members.unionByName(visits.select("g", "key", F.lit(1).alias("role"))))
+    late = _opened(asked, _contents(work, "late-sets", texts, sets, asked), sets)
     known = grown.select(F.col("node").alias("v"), F.col("label").alias("v_label"))
     late = work.put("late", late.join(known, "v", "left").select("u", F.coalesce("v_label", "v").alias("v")))
     known = grown.select(F.col("node").alias("u"), F.col("label").alias("u_label"))
