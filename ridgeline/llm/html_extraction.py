@@ -115,8 +115,9 @@ def main_text(page: str | None, window: int = 3, rise: int = 25, least_share: fl
     """The lines between surges and dives of the windowed text length, joined by line feeds.
 
     The length at a line is that of its window of lines, counted outside links. A surge is where it passes `rise` (or an
-    eighth of the page's highest, if that is less); the dive that ends a stretch is a window without text. Stretches in
-    article or main elements are kept; in a page without such elements, those with `least_share` of the longest one's text.
+    eighth of the page's highest, if that is less; in article and main elements any text is a surge); the dive that ends a
+    stretch is a window without text. Stretches in article or main elements are kept; in a page without such elements,
+    those with `least_share` of the longest one's text.
     """
     if not page:
         return ""
@@ -125,7 +126,7 @@ def main_text(page: str | None, window: int = 3, rise: int = 25, least_share: fl
     block = [sum(size[k : k + window]) for k in range(len(size))]
     if not any(block):
         return ""
-    over = min(rise, max(block) / 8)
+    over = 0 if has_main else min(rise, max(block) / 8)
     stretches, k = [], 0
     while k < len(block):
         if block[k] <= over and not (block[k] and k + window >= len(block)):
@@ -134,7 +135,10 @@ def main_text(page: str | None, window: int = 3, rise: int = 25, least_share: fl
         last = k
         while last < len(block) and block[last]:
             last += 1
-        stretches.append((k, last, sum(size[k:last])))
+        low = k
+        while not has_main and not size[low]:  # the window reaches the text before the line does
+            low += 1
+        stretches.append((low, last, sum(size[low:last])))
         k = last
     longest = max((s for _, _, s in stretches), default=0)
     kept = [lines[k][0] for low, high, s in stretches if has_main or s >= least_share * longest for k in range(low, high) if lines[k][0] and (lines[k][2] or not has_main)]
