@@ -153,7 +153,7 @@ def _signed(x: np.ndarray) -> pa.Array:
     return pa.array(x.view(np.int64))
 
 
-def score(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text", order: int = 5, block_bytes: int = 48 << 20, shards: int | None = None) -> DataFrame:
+def score(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text", order: int = 5, block_bytes: int = 32 << 20, shards: int | None = None) -> DataFrame:
     """Per row: id_col, train, n_tokens, n_known, train_tokens, base_score, score.
 
     Tokens are the words with A-Z lower-cased and one end. base_score is the unigram score with additive smoothing 0.1;
@@ -161,7 +161,8 @@ def score(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str
     gives to the same token sequence: its words, each with one space after it, and the end. Null texts are empty: one
     end token. Without training rows every byte is one of 257 equally likely ones. Repeated rows are learned and
     scored each. What is shuffled is one row for each distinct stretch (or token) of a block of `block_bytes` and its
-    answer, and the texts once; no task holds more than a block with its answers, or a branch of the trie.
+    answer, and the texts twice (a row's block depends on its id and length alone, so both times it is the same); no task
+    holds more than a block with its answers, or a branch of the trie.
     """
     spark = docs.sparkSession
     rows = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"), F.coalesce(train, F.lit(False)).alias("train"))
@@ -170,7 +171,6 @@ def score(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str
     shards = shards or max(16, blocks)
     work = Workspace(spark, "lm")
     dealt = rows.withColumn("block", F.pmod(F.xxhash64("id", F.octet_length("text")), F.lit(blocks)).cast("int"))
-    dealt = work.put("texts", dealt.repartition(blocks, "block"))
 
     def distinct(batches):
         """kind 0: stretches, 1: tokens; the key, its count in training rows, and the block that asks for it."""
@@ -206,7 +206,7 @@ def score(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str
                 m = len(keys[cut])
                 yield _arrow(["kind", "shard", "block", "key", "n"], pa.array(np.full(m, kind, np.int8)), pa.array(shard[cut].astype(np.int32)), pa.array(np.full(m, b, np.int32)), _signed(keys[cut]), pa.array(n[cut].astype(np.int64)))
 
-    asked = work.put("asked", dealt.mapInArrow(distinct, "kind byte, shard int, block int, key long, n long"))
+    asked = work.put("asked", dealt.repartition(blocks, "block").mapInArrow(distinct, "kind byte, shard int, block int, key long, n long"))
     seen = asked.filter("n > 0")
     low = seen.filter("kind = 0").groupBy(F.expr("key & 65535").alias("key")).agg(F.sum("n").alias("n")).toPandas()
     low_key, low_n = low["key"].to_numpy(np.int64).view(np.uint64), low["n"].to_numpy(np.float64)
