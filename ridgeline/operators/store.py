@@ -49,7 +49,7 @@ class Store:
         return p, p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
 
     def _pointer(self, name: str) -> str | None:
-        path, fs = self._fs(f"{self.root}/{name}/_current")
+        path, fs = self._fs(f"{self.root}/{name}/CURRENT")
         if not fs.exists(path):
             return None
         return [r[0] for r in self.spark.read.text(path.toString()).collect()][0]
@@ -82,11 +82,11 @@ class Store:
         if partition:
             writer = writer.partitionBy(*([partition] if isinstance(partition, str) else partition))
         writer.parquet(f"{self.root}/{name}/{version}")
-        fresh, fs = self._fs(f"{self.root}/{name}/_next")
+        fresh, fs = self._fs(f"{self.root}/{name}/NEXT")
         stream = fs.create(fresh, True)
         stream.write(bytearray(version.encode()))
         stream.close()
-        pointer, _ = self._fs(f"{self.root}/{name}/_current")
+        pointer, _ = self._fs(f"{self.root}/{name}/CURRENT")
         fs.delete(pointer, False)
         fs.rename(fresh, pointer)
         if now and int(now[1:]) > 1:
