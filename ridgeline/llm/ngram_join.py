@@ -4,17 +4,20 @@ Documents with equal shingle sets are one class, told by a 64-bit key. The matri
 
 * A set of LEAST or more shingles gives bundles: the shingles are cut by hash range into parts, and a part's content is
   one token. If two sets link, they differ in at most k shingles, and each difference spoils one part; so of the first
-  k + r parts that one of them fills, at least r are parts of the other with the same content. Sizes are cut into
+  k + R parts that one of them fills, at least R are parts of the other with the same content. Sizes are cut into
   classes with one number of parts each, and a set that may link into the next class gives its bundles there as well.
-* A smaller set gives shingles, the rarest first: of its k + r rarest, a set that links has r among its own.
+* A smaller set gives its n shingles; a set that links has at least n - k of them.
 
-So two sets with fewer than r common tokens don't link, whatever their groups. The groups are grown by a first round, in
-which a token's smallest document is opened, as a group of one, to documents that share enough such tokens with it; what
-links becomes a group. Then each group's token union is stored, and a document is tried against the groups whose union
-holds at least r of its tokens and whose sizes fit; only those are opened. One link is enough, as a group is connected
-already. The bound keeps out what shares a passage only, and the second round misses no pair that the first left apart.
+A token that one document alone has can't be common. So a document with fewer than R tokens that others have, too, is
+alone: this bounds its overlap with the union of everything, and drops documents that merely share a passage. Of the
+others' shared tokens all but R - r of the most frequent are kept, the rarest first; two that link still have r in common.
 
-Chance decides only collisions of 64-bit hashes, and whether a set of 40 shingles fills fewer than k + 1 of its parts
+The groups are grown by a first round, in which a token's smallest document is opened, as a group of one, to documents
+that share such tokens with it; what links becomes a group. Then each group's token union is stored, and a document is
+tried against the groups whose union holds at least r of its tokens and whose sizes fit; only those are opened. One link
+is enough, as a group is connected already. The second round misses no pair that the first left apart.
+
+Chance decides only collisions of 64-bit hashes, and whether a set of LEAST shingles fills fewer than k + R of its parts
 (under one in 10**8 sets of the least size, and far less above).
 """
 
@@ -33,9 +36,11 @@ from ridgeline.llm.components import connect
 from ridgeline.llm.shared import Workspace, chunks, column, text_buffers
 
 #: Least size of a set that gives bundles, ratio of the size classes, and parts for each difference allowed.
-LEAST, RATIO, PARTS = 40, 1.5, 1.75
-#: Common tokens asked for (r), of bundles and of rare shingles.
-COMMON, COMMON_SMALL = 8, 4
+LEAST, RATIO, PARTS = 60, 1.5, 2.0
+#: R as a hundredth of k, and its least value; r at most.
+SHARE, AT_LEAST, COMMON = 35, 2, 4
+#: Where a token is from: the class of the size, the next one, or a small set.
+OWN, NEXT, SMALL = 0, 1, 2
 #: Most members or visitors that meet in one task.
 TASK = 512
 _STEPS = [np.uint64(x) for x in (0x9FB21C651E98DF25, 0xC2B2AE3D27D4EB4F, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63, 0xFF51AFD7ED558CCD)]
@@ -80,13 +85,17 @@ class Sets:
         total = np.add.reduce(mix(shingles ^ _STEPS[3]))
         return mix(np.array([total], np.uint64) ^ (np.array([len(shingles)], np.uint64) * _STEPS[0]))[0]
 
-    def bundles(self, shingles: np.ndarray) -> tuple[np.ndarray, int]:
-        """The tokens of a set, and r: COMMON, or what its parts allow."""
-        n = len(shingles)
+    def asked(self, n: int) -> int:
+        """R for a set of n."""
+        return max(AT_LEAST, self.allowed(n) * SHARE // 100)
+
+    def bundles(self, shingles: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The tokens of a set in the class of its size, and in the next where it may link into that."""
+        none = np.empty(0, np.uint64)
+        n, found = len(shingles), [none, none]
         if n < LEAST:
-            return np.empty(0, np.uint64), 0
-        spoilt, own = self.allowed(n), int(math.log(n / LEAST) / math.log(RATIO))
-        found, common = [], COMMON
+            return none, none
+        need, own = self.allowed(n) + self.asked(n), int(math.log(n / LEAST) / math.log(RATIO))
         for size_class in (own, own + 1):
             low, high = LEAST * RATIO**size_class, LEAST * RATIO ** (size_class + 1)
             if size_class > own and n * self.den < self.num * (low - 1):
@@ -94,12 +103,10 @@ class Sets:
             parts = math.ceil(PARTS * (high * (self.den - self.num) / self.num + 1))
             part = (shingles >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)
             first = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
-            need = min(spoilt + COMMON, len(first))
-            common = max(1, min(common, need - spoilt))
             upto = first[need] if len(first) > need else n
             content = np.add.reduceat(mix(shingles[:upto] ^ _STEPS[2]), first[:need])
-            found.append(mix(content ^ mix(part[first[:need]] + np.uint64(size_class << 32))))
-        return np.concatenate(found), common
+            found[size_class - own] = mix(content ^ mix(part[first[:need]] + np.uint64(size_class << 32)))
+        return found[0], found[1]
 
     def links(self, a: int, b: np.ndarray, common: np.ndarray) -> np.ndarray:
         return common * (self.den + self.num) >= self.num * (a + b)
@@ -127,50 +134,55 @@ def _rows_of(texts: DataFrame, sets: Sets, each, schema: str) -> DataFrame:
 
 
 def _signatures(texts: DataFrame, sets: Sets, kind: str) -> DataFrame:
-    """id, n, key of every row, and the bundles with their r and (of small sets) shingles of the first row of a class in each task."""
+    """id, n, key of every row, and the tokens of the first row of a class in each task: bundles, or shingles of small sets."""
     small = sets.small_below()
     none = np.empty(0, np.uint64)
 
     def each(ids, found, memory):
         keys = np.array([sets.key(s) if len(s) else 0 for s in found], np.uint64)
-        bundles, common, singles = [], [], []
+        tokens: tuple[list, list, list] = [], [], []
         for s, key in zip(found, keys.tolist()):
             new = len(s) > 0 and key not in memory
             memory.add(key)
-            tokens, r = sets.bundles(s) if new else (none, 0)
-            bundles.append(tokens)
-            common.append(r)
-            singles.append(s if new and len(s) < small else none)
-        yield pa.RecordBatch.from_arrays(
-            [ids, pa.array([len(s) for s in found], pa.int64()), pa.array(keys.view(np.int64)), _longs(bundles), pa.array(common, pa.int64()), _longs(singles)],
-            names=["id", "n", "key", "bundles", "common", "singles"],
-        )
+            own, after = sets.bundles(s) if new else (none, none)
+            for column_, value in zip(tokens, (own, after, s if new and len(s) < small else none)):
+                column_.append(value)
+        yield pa.RecordBatch.from_arrays([ids, pa.array([len(s) for s in found], pa.int64()), pa.array(keys.view(np.int64)), *map(_longs, tokens)], names=["id", "n", "key", "own", "after", "singles"])
 
-    return _rows_of(texts, sets, each, f"id {kind}, n long, key long, bundles array<long>, common long, singles array<long>")
+    return _rows_of(texts, sets, each, f"id {kind}, n long, key long, own array<long>, after array<long>, singles array<long>")
 
 
 def _shared_tokens(tokens: DataFrame) -> DataFrame:
-    """token, key, n, common, lead: the tokens of more than one class, with the smallest class of each."""
-    names = ("token", "key", "n", "common")
+    """token, key, made (4 n + origin), df: the tokens of more than one class, with the number of classes."""
 
     def run(batches):
-        held = [[b.column(k).to_numpy() for k in range(4)] for b in batches]
+        held = [[b.column(k).to_numpy() for k in range(3)] for b in batches]
         if not held:
             return
-        token, key, *rest = (np.concatenate([h[k] for h in held]) for k in range(4))
+        token, key, made = (np.concatenate([h[k] for h in held]) for k in range(3))
         held.clear()
         order = np.lexsort((key, token))
-        token, key = token[order], key[order]
+        token, key, made = token[order], key[order], made[order]
         fresh = np.concatenate([[True], (token[1:] != token[:-1]) | (key[1:] != key[:-1])])
-        token, key, order = token[fresh], key[fresh], order[fresh]
+        token, key, made = token[fresh], key[fresh], made[fresh]
         first = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
         size = np.diff(np.append(first, len(token)))
-        lead, many = np.repeat(key[first], size), np.repeat(size > 1, size)
-        columns = [x[many] for x in (token, key, *(r[order] for r in rest), lead)]
-        for at in range(0, int(many.sum()), 1 << 17):
-            yield pa.RecordBatch.from_arrays([pa.array(x[at : at + (1 << 17)]) for x in columns], names=[*names, "lead"])
+        df = np.repeat(size, size)
+        columns = [x[df > 1] for x in (token, key, made, df)]
+        for at in range(0, len(columns[0]), 1 << 17):
+            yield pa.RecordBatch.from_arrays([pa.array(x[at : at + (1 << 17)]) for x in columns], names=["token", "key", "made", "df"])
+
+    return tokens.repartition("token").mapInArrow(run, "token long, key long, made long, df long")
+
 
-    return tokens.select(*names).repartition("token").mapInArrow(run, "token long, key long, n long, common long, lead long")
+def _chosen(shared: DataFrame, sets: Sets) -> DataFrame:
+    """token, key, n, common (r): the shared tokens that are kept, the rarest first; none of documents that share too few."""
+    num, gap = sets.num, sets.den - sets.num
+    asked = f"greatest({AT_LEAST}, ((n * {num} div {sets.den}) * {gap} div {num}) * {SHARE} div 100)"
+    rows = shared.withColumns({"n": F.expr("made div 4"), "origin": F.expr("made % 4")}).withColumn("low", F.expr(f"if(origin = {SMALL}, n - n * {gap} div {num}, {asked})"))
+    per = Window.partitionBy("key", "origin")
+    ranked = rows.withColumn("h", F.count(F.lit(1)).over(per)).filter("h >= low").withColumn("rank", F.row_number().over(per.orderBy("df", "token")))
+    return ranked.withColumn("common", F.expr(f"least({COMMON}, low)")).filter("rank <= h - low + common").select("token", "key", "n", "common")
 
 
 def _membership(keys: DataFrame) -> np.ndarray:
@@ -261,23 +273,22 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width:
     rows = work.put("rows", signed)
     classes = rows.filter("n > 0")
 
-    single = classes.filter("size(singles) > 0").select("key", "n", F.explode("singles").alias("token")).distinct()
-    rarity = single.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
-    spoilt = f"(n * {den - num} div {num})"
-    rank = F.row_number().over(Window.partitionBy("key").orderBy("df", "token"))
-    rarest = single.join(rarity, "token").withColumn("r", rank).withColumn("common", F.expr(f"least({COMMON_SMALL}, n - {spoilt})")).filter(f"r <= {spoilt} + common")
-    rarest = rarest.select(F.expr("token ^ 1").alias("token"), "key", "n", "common")
-    bundles = classes.filter("size(bundles) > 0").select(F.explode("bundles").alias("token"), "key", "n", "common")
-    shared = work.put("shared", _shared_tokens(bundles.unionByName(rarest)))
+    parts = [classes.filter(f"size({c}) > 0").select(F.explode(c).alias("token"), "key", F.expr(f"4 * n + {origin}").alias("made")) for c, origin in (("own", OWN), ("after", NEXT), ("singles", SMALL))]
+    shared = work.put("shared", _shared_tokens(parts[0].unionByName(parts[1]).unionByName(parts[2].withColumn("token", F.expr("token ^ 1")))))
+    chosen = work.put("chosen", _chosen(shared, sets))
+    work.drop("shared")
 
     # a lead of some tokens may not lead all that two documents share, so half of r will do to try the first links
-    first = shared.filter("key <> lead").groupBy(F.col("lead").alias("g"), "key").agg(F.count(F.lit(1)).alias("overlap"), F.min("common").alias("r")).filter("2 * overlap >= r")
+    leads = chosen.groupBy("token").agg(F.min("key").alias("g"))
+    first = chosen.join(leads, "token").filter("key <> g").groupBy("g", "key").agg(F.count(F.lit(1)).alias("overlap"), F.min("common").alias("r")).filter("2 * overlap >= r")
     first = work.put("first", first.select("g", "key"))
     asked = first.select("g", "key", F.lit(1).alias("role")).unionByName(first.select("g", F.col("g").alias("key"), F.lit(0).alias("role")).distinct())
     grown = connect(_opened(asked, _contents(work, "first-sets", texts, sets, asked), sets), work, "grown")
+    for name in ("first", "first-sets"):
+        work.drop(name)
 
     label = F.coalesce("label", "key").alias("own")
-    grouped = work.put("grouped", shared.join(grown, shared["key"] == grown["node"], "left").select("token", "key", "n", "common", label))
+    grouped = work.put("grouped", chosen.join(grown, chosen["key"] == grown["node"], "left").select("token", "key", "n", "common", label))
     several = grouped.groupBy("token").agg(F.min("own").alias("a"), F.max("own").alias("b")).filter("a < b").select("token")
     live = grouped.join(several, "token")
     matrix = live.groupBy("token", F.col("own").alias("g")).agg(F.min("n").alias("least"), F.max("n").alias("most"), F.min("common").alias("theirs"))
@@ -293,6 +304,8 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width:
     late = work.put("late", late.join(known, "v", "left").select("u", F.coalesce("v_label", "v").alias("v")))
     known = grown.select(F.col("node").alias("u"), F.col("label").alias("u_label"))
     merged = connect(late.join(known, "u", "left").select(F.coalesce("u_label", "u").alias("u"), "v"), work, "merged")
+    for name in ("chosen", "grouped", "visits", "asked", "late-sets", "late"):  # nothing reads them again
+        work.drop(name)
 
     top = merged.select(F.col("node").alias("label"), F.col("label").alias("top"))
     alone = merged.join(grown, merged["node"] == grown["node"], "left_anti").select("node", F.col("label").alias("final"))
