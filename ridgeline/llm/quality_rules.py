@@ -12,6 +12,8 @@ WORD_GAP = "[\\x20\\x09-\\x0D]+"
 SPACES = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+#: A line of more distinct documents of a host than this is frequent. Lines of near copies stand in fewer documents.
+LEAST_DOCS = 10
 STATISTICS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
@@ -78,41 +80,43 @@ def _lines(docs: DataFrame, host_col: str, text_col: str) -> DataFrame:
     )
 
 
-def frequent_lines(docs: DataFrame, host_col: str = "source", text_col: str = "text", least_docs: int = 20, share: float = 0.2, salts: int = 16) -> DataFrame:
-    """host, h: hashes of normalised lines in more than max(least_docs, share * the host's) distinct documents of a host.
+def frequent_lines(docs: DataFrame, host_col: str = "source", text_col: str = "text", least_docs: int = LEAST_DOCS, salts: int = 16) -> DataFrame:
+    """host, h: hashes of normalised lines in more than `least_docs` distinct documents of a host, whatever its size.
 
     Documents with equal texts count once. Distinct texts are counted within salts of the text's hash, so a line that
     a third of all documents hold is counted by many tasks; the counts of the salts are then added.
     """
     seen = _lines(docs, host_col, text_col).select("host", "h", "t", F.pmod("t", F.lit(salts)).cast("tinyint").alias("salt"))
     counts = seen.groupBy("host", "h", "salt").agg(F.count_distinct("t").alias("n")).groupBy("host", "h").agg(F.sum("n").alias("n"))
-    texts = docs.filter(F.col(text_col).isNotNull()).select(F.col(host_col).alias("host"), F.xxhash64(text_col).alias("t"))
-    hosts = texts.withColumn("salt", F.pmod("t", F.lit(256))).groupBy("host", "salt").agg(F.count_distinct("t").alias("n")).groupBy("host").agg(F.sum("n").alias("of"))
-    return counts.filter(F.col("n") > least_docs).alias("c").join(hosts.alias("o"), F.expr("c.host <=> o.host")).filter(F.col("n") > share * F.col("of")).select("c.host", "c.h")
+    return counts.filter(F.col("n") > least_docs).select("host", "h")
 
 
-def depleted_texts(docs: DataFrame, host_col: str = "source", text_col: str = "text", least_docs: int = 20, share: float = 0.2, gone: float = 0.7) -> DataFrame:
+def _counted(table: DataFrame, small: int) -> DataFrame:
+    """The stored table, to be broadcast if it has up to `small` rows."""
+    return F.broadcast(table) if table.count() <= small else table
+
+
+def depleted_texts(docs: DataFrame, host_col: str = "source", text_col: str = "text", least_docs: int = LEAST_DOCS, gone: float = 0.7, small: int = 500_000) -> DataFrame:
     """host, t: texts that lose at least `gone` of their words with the frequent lines of their host; one row each."""
-    frequent = frequent_lines(docs, host_col, text_col, least_docs, share)
+    frequent = _counted(Workspace(docs.sparkSession, "quality").put("frequent", frequent_lines(docs, host_col, text_col, least_docs)), small)
     hit = _lines(docs, host_col, text_col).alias("l").join(frequent.alias("f"), F.expr("l.h = f.h and l.host <=> f.host")).select("l.host", "l.t", "l.pos", "l.w")
     removed = hit.dropDuplicates(["host", "t", "pos"]).groupBy("host", "t").agg(F.sum("w").alias("removed"))
     totals = docs.filter(F.col(text_col).isNotNull()).select(F.col(host_col).alias("host"), F.xxhash64(text_col).alias("t"), F.expr(f"cast(regexp_count(`{text_col}`, '[^\\\\x20\\\\x09-\\\\x0D]+') as bigint)").alias("words"))
     return totals.alias("a").join(removed.alias("r"), F.expr("a.t = r.t and a.host <=> r.host")).filter(F.col("removed") >= gone * F.col("words")).select("a.host", "a.t").distinct()
 
 
-def judge(docs: DataFrame, host_col: str = "source", text_col: str = "text", least_docs: int = 20, share: float = 0.2, gone: float = 0.7, small: int = 500_000) -> DataFrame:
+def judge(docs: DataFrame, host_col: str = "source", text_col: str = "text", least_docs: int = LEAST_DOCS, gone: float = 0.7, small: int = 500_000) -> DataFrame:
     """The docs with the statistics, base_failed and kept.
 
     A document is kept unless its base rules fail or it is depleted: at least `gone` of its words are in lines that more
-    than max(least_docs, share * all) distinct documents of its host hold. A null host is a host of its own. A null text
+    than `least_docs` distinct documents of its host hold. A null host is a host of its own. A null text
     has no words, so its base fails. Repeated rows are judged each, and alike. Clashing columns of the docs are replaced.
 
-    The depleted texts are written to the shared folder and counted: up to `small` (16 bytes each) they are broadcast,
-    so texts stay where they are; more are joined by a shuffle.
+    Frequent lines and depleted texts are written to the shared folder and counted: up to `small` (16 bytes each) they
+    are broadcast, so texts stay where they are; more are joined by a shuffle.
     """
-    depleted = Workspace(docs.sparkSession, "quality").put("depleted", depleted_texts(docs, host_col, text_col, least_docs, share, gone).select("host", "t", F.lit(True).alias("_depleted")))
-    if depleted.count() <= small:
-        depleted = F.broadcast(depleted)
+    depleted = Workspace(docs.sparkSession, "quality").put("depleted", depleted_texts(docs, host_col, text_col, least_docs, gone, small).select("host", "t", F.lit(True).alias("_depleted")))
+    depleted = _counted(depleted, small)
     rated = with_statistics(docs, text_col)
     rated = rated.select(*[c for c in rated.columns if c != "kept"], F.xxhash64(text_col).alias("_t"))
     joined = rated.alias("d").join(depleted.alias("x"), F.expr(f"d._t = x.t and d.`{host_col}` <=> x.host"), "left")

@@ -379,3 +379,11 @@ def test_quality_equals_sql(spark, docs, nothing):
     repeated = spark.createDataFrame(long_shared, "doc_id long, text string, lang string, source string, n_chars long")
     assert {r["kept"] for r in quality_rules.judge(repeated).collect()} == {False}
     assert quality_rules.judge(nothing).count() == 0
+
+
+def test_quality_limit_does_not_grow_with_the_host(spark):
+    page = "\n".join(" ".join(f"b{j}x{k}" for k in range(8)) for j in range(9))
+    rows = [(k, (page if k < 25 else " ".join(f"v{k}x{j}" for j in range(60))) + f"\nown words {k}", "big") for k in range(300)]
+    rows += [(1000 + k, page + f"\nfew {k}", "small") for k in range(10)]
+    got = quality_rules.judge(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    assert {r["doc_id"] for r in got if not r["kept"]} == set(range(25))
