@@ -96,11 +96,16 @@ def _counted(table: DataFrame, small: int) -> DataFrame:
     return F.broadcast(table) if table.count() <= small else table
 
 
-def depleted_texts(docs: DataFrame, host_col: str = "source", text_col: str = "text", least_docs: int = LEAST_DOCS, gone: float = 0.7, small: int = 500_000) -> DataFrame:
-    """host, t: texts that lose at least `gone` of their words with the frequent lines of their host; one row each."""
+def _hits(docs: DataFrame, host_col: str, text_col: str, least_docs: int, small: int) -> DataFrame:
+    """host, t, pos, w: the places of frequent lines in each distinct text of a host, and their words."""
     frequent = _counted(Workspace(docs.sparkSession, "quality").put("frequent", frequent_lines(docs, host_col, text_col, least_docs)), small)
     hit = _lines(docs, host_col, text_col).alias("l").join(frequent.alias("f"), F.expr("l.h = f.h and l.host <=> f.host")).select("l.host", "l.t", "l.pos", "l.w")
-    removed = hit.dropDuplicates(["host", "t", "pos"]).groupBy("host", "t").agg(F.sum("w").alias("removed"))
+    return hit.dropDuplicates(["host", "t", "pos"])
+
+
+def depleted_texts(docs: DataFrame, host_col: str = "source", text_col: str = "text", least_docs: int = LEAST_DOCS, gone: float = 0.7, small: int = 500_000) -> DataFrame:
+    """host, t: texts that lose at least `gone` of their words with the frequent lines of their host; one row each."""
+    removed = _hits(docs, host_col, text_col, least_docs, small).groupBy("host", "t").agg(F.sum("w").alias("removed"))
     totals = docs.filter(F.col(text_col).isNotNull()).select(F.col(host_col).alias("host"), F.xxhash64(text_col).alias("t"), F.expr(f"cast(regexp_count(`{text_col}`, '[^\\\\x20\\\\x09-\\\\x0D]+') as bigint)").alias("words"))
     return totals.alias("a").join(removed.alias("r"), F.expr("a.t = r.t and a.host <=> r.host")).filter(F.col("removed") >= gone * F.col("words")).select("a.host", "a.t").distinct()
 
@@ -123,6 +128,24 @@ def judge(docs: DataFrame, host_col: str = "source", text_col: str = "text", lea
     return joined.select("d.*", F.expr("not base_failed and x._depleted is null").alias("kept")).drop("_t")
 
 
+def clean(docs: DataFrame, host_col: str = "source", text_col: str = "text", least_docs: int = LEAST_DOCS, gone: float = 0.7, small: int = 500_000) -> DataFrame:
+    """The rows of `judge`, with the frequent lines of their host removed from the text and the others joined again.
+
+    The statistics and base_failed are of the text as it came; texts without a frequent line stay as they are. The places of the removed
+    lines are written to the shared folder and counted: up to a tenth of `small` texts they are broadcast, more are
+    joined by a shuffle.
+    """
+    hits = _hits(docs, host_col, text_col, least_docs, small).groupBy("host", "t").agg(F.sum("w").alias("removed"), F.collect_list("pos").alias("cut"))
+    cuts = _counted(Workspace(docs.sparkSession, "quality").put("cuts", hits), small // 10)
+    rated = with_statistics(docs, text_col)
+    own = [c for c in rated.columns if c != "kept"]
+    joined = rated.select(*own, F.xxhash64(text_col).alias("_t")).alias("d").join(cuts.alias("x"), F.expr(f"d._t = x.t and d.`{host_col}` <=> x.host"), "left")
+    left = _let("l", f"split(d.`{text_col}`, '\\n')", "array_join(transform(array_except(sequence(0, size(l) - 1), x.cut), i -> element_at(l, i + 1)), '\\n')")
+    text = F.expr(f"if(x.cut is null, d.`{text_col}`, {left})").alias(text_col)
+    kept = F.expr(f"not base_failed and coalesce(x.removed < {gone}D * n_words, true)").alias("kept")
+    return joined.select(*[text if c == text_col else F.col(f"d.`{c}`") for c in own], kept)
+
+
 ORACLE = r"""
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id, source, coalesce(text, '') AS text, text IS NULL AS missing FROM documents),
 w AS (SELECT rid, list_filter(regexp_split_to_array(text, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM d),

@@ -387,3 +387,18 @@ def test_quality_limit_does_not_grow_with_the_host(spark):
     rows += [(1000 + k, page + f"\nfew {k}", "small") for k in range(10)]
     got = quality_rules.judge(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
     assert {r["doc_id"] for r in got if not r["kept"]} == set(range(25))
+
+
+def test_quality_removes_frequent_lines(spark, docs, nothing):
+    own = lambda k: " ".join(f"o{k}x{j}" for j in range(60))
+    rows = [(k, f"Shared  banner\n\n{own(k)}\n shared banner\t\nlast {k}\n", "hot") for k in range(12)] + [(50, f"Shared banner\n{own(50)}", "cold"), (51, f"Shared banner\n{own(51)}", None)]
+    page = "\n".join(" ".join(f"b{j}x{k}" for k in range(8)) for j in range(9))
+    rows += [(100 + k, f"{page}\nown {k}", "paged") for k in range(12)] + [(0, rows[0][1], "hot"), (200, None, "hot")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = quality_rules.clean(df).filter("kept").select("doc_id", "text").collect()
+    want = [(k, f"\n{own(k)}\nlast {k}\n") for k in [0, *range(12)]] + [(k, f"Shared banner\n{own(k)}") for k in (50, 51)]
+    assert sorted_rows(map(tuple, got)) == sorted_rows(want)
+    same = lambda x, d: sorted_rows(map(tuple, x(d).select("doc_id", *quality_rules.STATISTICS, "base_failed", "kept").collect()))
+    assert same(quality_rules.clean, df) == same(quality_rules.judge, df) == same(lambda d: quality_rules.clean(d, small=-1), df)
+    assert same(quality_rules.clean, docs) == same(quality_rules.judge, docs)
+    assert quality_rules.clean(nothing).count() == 0

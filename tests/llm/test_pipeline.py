@@ -54,3 +54,10 @@ def test_pipeline_of_nothing(spark, sf_dir):
     for k, (_, stage) in enumerate(C.STAGES):
         docs = work.put(str(k), stage(spark, docs, sf_dir))
         assert docs.count() == 0
+
+
+def test_quality_stage_passes_on_the_cleaned_text(spark, sf_dir):
+    rows = [(k, "Banner of the host\n" + (body := " ".join(f"w{k}x{j}" for j in range(60))), "a", "s0", 0, body) for k in range(12)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, body string")
+    got = C.quality(spark, docs, sf_dir).collect()
+    assert len(got) == 12 and all(r["text"] == r["body"] and r["n_chars"] == len(r["body"]) for r in got)
