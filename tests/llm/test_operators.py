@@ -402,3 +402,12 @@ def test_quality_removes_frequent_lines(spark, docs, nothing):
     assert same(quality_rules.clean, df) == same(quality_rules.judge, df) == same(lambda d: quality_rules.clean(d, small=-1), df)
     assert same(quality_rules.clean, docs) == same(quality_rules.judge, docs)
     assert quality_rules.clean(nothing).count() == 0
+
+
+def test_mix_gives_small_sources_their_share(spark):
+    rows = [(k, "w " * 60_000, "large") for k in range(40)] + [(1000 + k, "w " * n, src) for src, sizes in (("few", (90, 210, 7)), ("one", (1,)), ("some", (900, 1100))) for k, n in enumerate(sizes)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(4)
+    for grain in (1 << 18, 1 << 4):
+        got = source_mix.mix(df, weights=(1,), grain=grain).groupBy("source_size", "target").agg(F.sum("taken").alias("taken")).collect()
+        assert sorted(r["source_size"] for r in got) == [1, 307, 2000, 2_400_000]
+        assert all(abs(r["taken"] - r["target"]) <= 0.5 for r in got)
