@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ridgeline.llm.shared import column
+from ridgeline.llm.shared import Workspace, column
 
 #: Words of sites that training data should not come from, and words of ordinary sites; both are parameters of `fit`.
 BLOCK_WORDS = tuple(
@@ -26,6 +26,8 @@ ALLOW_WORDS = tuple(
     "town travel university video village water weather web wiki work world writing www".split()
 )
 RULES = (("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/"))
+#: Letters of the longest stretch that the split tries as one; longer ones are several.
+LONGEST = 40
 _LETTERS = re.compile(r"[^\W\d_]+")
 
 
@@ -74,7 +76,7 @@ class Segmenter:
             for start in range(max(0, end - self.longest), end):
                 if (cost := self.costs.get(run[start:end])) is not None and best[start][0] + cost < best[end][0]:
                     best[end] = best[start][0] + cost, start
-            for start in range(max(0, end - 40), end):  # an unknown stretch; a longer one is several
+            for start in range(max(0, end - LONGEST), end):  # an unknown stretch; a longer one is several
                 cost = best[start][0] + self.unknown + self.per_letter * (end - start)
                 if cost < best[end][0]:
                     best[end] = cost, start
@@ -102,30 +104,74 @@ class UrlBayes:
         return sum(self.weights.get(t, 0.0) for t in tokens)
 
 
-def fit(pages: DataFrame, url_col: str = "url", block_words: tuple[str, ...] = BLOCK_WORDS, allow_words: tuple[str, ...] = ALLOW_WORDS, sample: int = 20_000, alpha: float = 0.5) -> UrlBayes:
-    """A model from a bounded sample: the `sample` distinct (host, first part of the path) with the lowest hashes.
+def _counts(rows: DataFrame, count, schema: str) -> DataFrame:
+    """The keys that `count` finds in lists of hosts and paths, with n, the sum of their counts over all rows."""
 
-    Words that stand alone in hosts join the unigram table with their counts. Sampled urls with a block word train the
-    block class, the others the allow class; the given words count five times more for their class, so a class is
-    never empty. Nothing but urls is read.
+    def run(batches):
+        for batch in batches:
+            found = count(column(batch, "host").to_pylist(), column(batch, "path").to_pylist())
+            keys = list(zip(*found)) or [()] * len(names)
+            yield pa.RecordBatch.from_arrays([*(pa.array(k, t) for k, t in zip(keys, kinds)), pa.array(found.values(), pa.int64())], names=[*names, "n"])
+
+    names = [part.split()[0] for part in schema.split(", ")]
+    kinds = [{"string": pa.string(), "boolean": pa.bool_()}[part.split()[1]] for part in schema.split(", ")]
+    return rows.mapInArrow(run, f"{schema}, n long").groupBy(*names).agg(F.sum("n").alias("n"))
+
+
+def fit(pages: DataFrame, url_col: str = "url", block_words: tuple[str, ...] = BLOCK_WORDS, allow_words: tuple[str, ...] = ALLOW_WORDS, most: int = 1 << 19, alpha: float = 0.5) -> UrlBayes:
+    """A model of the hosts and paths of all urls, each distinct (host, path) counted once.
+
+    Runs of letters that stand alone in hosts and paths at least twice join the unigram table with their counts, unless
+    a block word is one of several parts of theirs. The given words count 20, or a ten-thousandth of all runs, more.
+    Urls with a block word anywhere in host or path train the block class, the others the allow class; the given words
+    count five times and once more for their class, so a class is never empty. Nothing but urls is read.
+
+    Counts are distributed sums. The model that goes to the tasks has at most `most` runs and `most` tokens beside the
+    given words: only those with at least 1 / `most` of their kind's whole count are collected, and there can't be more.
+    The class totals count every token, and so does the vocabulary's size.
     """
     host, path = host_and_path(pages[url_col])
-    heads = pages.select(host.alias("h"), F.regexp_extract(path, r"^/?([^/]*)", 1).alias("p")).filter("h != ''").distinct()
-    rows = heads.orderBy(F.xxhash64("h", "p"), "h", "p").limit(sample).collect()
-    alone = Counter(run for r in rows for run in _LETTERS.findall(r["h"].lower()) if 2 <= len(run) <= 12)
-    table = Counter({w: 20 for w in (*block_words, *allow_words)})
-    first = Segmenter(Counter(table))
-    for word, n in alone.items():
-        if n >= 2 and not any(w in block_words for w in first.split(word)[:-1] + first.split(word)[1:]):
-            table[word] += min(n, 20)
-    segmenter, blocked = Segmenter(table), frozenset(block_words)
-    seen = {True: Counter({w: 5 for w in block_words}), False: Counter(allow_words)}
-    for r in rows:
-        tokens = segmenter.tokens(r["h"], r["p"])
-        seen[not blocked.isdisjoint(tokens)].update(set(tokens))
-    vocabulary = sorted(set(seen[True]) | set(seen[False]))
-    total = {k: sum(c.values()) + alpha * len(vocabulary) for k, c in seen.items()}
-    weights = {w: math.log((seen[True][w] + alpha) / total[True]) - math.log((seen[False][w] + alpha) / total[False]) for w in vocabulary}
+    work = Workspace(pages.sparkSession, "urls")
+    urls = work.put("urls", pages.select(host.alias("host"), path.alias("path")).filter("host != ''").distinct())
+    given, blocked = (*block_words, *allow_words), frozenset(block_words)
+
+    def runs(hosts, paths):
+        found = Counter(run for part in (*hosts, *paths) for run in _LETTERS.findall(part.lower()))
+        return Counter({(run,): n for run, n in found.items()})
+
+    alone = work.put("runs", _counts(urls, runs, "word string"))
+    everything = alone.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    first = Segmenter(Counter({w: 20 for w in given}))
+
+    def simple(batches):
+        for batch in batches:
+            parts = [first.split(w) for w in column(batch, "word").to_pylist()]
+            yield batch.filter(pa.array([len(p) < 2 or blocked.isdisjoint(p) for p in parts], pa.bool_()))
+
+    common = alone.filter((F.col("n") >= 2) & (F.length("word").between(2, LONGEST)) & (F.col("n") * most >= everything))
+    table = Counter({w: max(20, everything // 10_000) for w in given})
+    for r in common.mapInArrow(simple, alone.schema).collect():
+        table[r["word"]] += r["n"]
+    segmenter = Segmenter(table)
+
+    def classes(hosts, paths):
+        found = Counter()
+        for h, p in zip(hosts, paths):
+            tokens = set(segmenter.tokens(h, p))
+            found.update(dict.fromkeys(((t, not blocked.isdisjoint(tokens)) for t in tokens), 1))
+        return found
+
+    seen = work.put("tokens", _counts(urls, classes, "word string, blocked boolean").groupBy("word").agg(*[F.coalesce(F.sum(F.when(c, F.col("n"))), F.lit(0)).alias(k) for k, c in (("b", F.col("blocked")), ("a", ~F.col("blocked")))]))
+    b_total, a_total, distinct, known = seen.agg(*[F.coalesce(x, F.lit(0)) for x in (F.sum("b"), F.sum("a"), F.count(F.lit(1)), F.sum(F.col("word").isin(*given).cast("int")))]).first()
+    counts = {r["word"]: (r["b"], r["a"]) for r in seen.filter(((F.col("a") + F.col("b")) * most >= b_total + a_total) | F.col("word").isin(*given)).collect()}
+    size = distinct + len(set(given)) - known
+    more_b, more_a = Counter({w: 5 for w in block_words}), Counter(allow_words)
+    totals = b_total + sum(more_b.values()) + alpha * size, a_total + sum(more_a.values()) + alpha * size
+    weights = {}
+    for w in sorted({*counts, *given}):
+        b, a = counts.get(w, (0, 0))
+        weights[w] = math.log((b + more_b[w] + alpha) / totals[0]) - math.log((a + more_a[w] + alpha) / totals[1])
+    work.drop()
     segmenter.seen.clear()
     return UrlBayes(segmenter, weights)
 

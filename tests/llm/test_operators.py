@@ -411,3 +411,14 @@ def test_mix_gives_small_sources_their_share(spark):
         got = source_mix.mix(df, weights=(1,), grain=grain).groupBy("source_size", "target").agg(F.sum("taken").alias("taken")).collect()
         assert sorted(r["source_size"] for r in got) == [1, 307, 2000, 2_400_000]
         assert all(abs(r["taken"] - r["target"]) <= 0.5 for r in got)
+
+
+def test_url_model_reads_whole_paths_of_all_urls(spark):
+    urls = [(f"http://host{k}.example/en/deeper/zorbling{'-viagra' if k % 2 else ''}/{k}",) for k in range(60)]
+    urls += [(f"http://h{k}.example/a/quintessentially/{'x' * (k % 3)}{k}",) for k in range(60)] + [("http://zorblingquintessentially.example/",), (None,), ("://",)]
+    model = url_filters.fit(spark.createDataFrame(urls, "url string").repartition(3))
+    assert model.segmenter.counts["zorbling"] == 60 and model.segmenter.counts["quintessentially"] == 60
+    assert model.segmenter.split("zorblingquintessentially") == ["zorbling", "quintessentially"]
+    assert model.weights["zorbling"] > model.weights["quintessentially"] and model.weights["viagra"] > 0
+    small = url_filters.fit(spark.createDataFrame(urls, "url string"), most=8)
+    assert len(small.segmenter.counts) <= 8 + len({*url_filters.BLOCK_WORDS, *url_filters.ALLOW_WORDS})
