@@ -404,7 +404,7 @@ def v_hour_demand(spark, sf_dir):
 def v_promo_usage(spark, sf_dir):
     li, p = _read(spark, sf_dir, "lineitem"), _read(spark, sf_dir, "part")
     j = li.join(p, li["l_partkey"] == p["p_partkey"])
-    return j.groupBy("p_brand").agg(F.count(F.lit(1)).alias("usages"), F.count_distinct("l_orderkey").alias("rides"), X.exact_sum(F.col("l_extendedprice")).alias("amount")).orderBy(F.col("usages").desc(), "p_brand").limit(20)
+    return j.groupBy("p_brand").agg(F.count(F.lit(1)).alias("usages"), F.count_distinct("l_orderkey").alias("rides"), X.exact_sum(F.col("l_extendedprice")).alias("amount")).orderBy(F.col("usages").desc(), "p_brand")
 
 
 @_query

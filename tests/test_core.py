@@ -186,3 +186,8 @@ def test_models_hold_their_checks(spark, sf_dir):
     assert rides.count() == spark.read.parquet(f"{sf_dir}/orders.parquet").count()
     shares = {r["ride_status"]: r["n"] for r in rides.groupBy("ride_status").agg((F.count("*") / rides.count()).alias("n")).collect()}
     assert shares["COMPLETED"] > 0.7 and 0 < shares["PAYMENT_FAILED"] < 0.1
+
+
+def test_promo_usage_has_every_brand(spark, sf_dir):
+    brands = duckdb.connect().execute(f"select count(distinct p_brand) from '{sf_dir}/lineitem.parquet' join '{sf_dir}/part.parquet' on l_partkey = p_partkey").fetchone()[0]
+    assert catalog.queries()["v_promo_usage"](spark, sf_dir).count() == brands == 25
