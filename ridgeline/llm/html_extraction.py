@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -31,7 +32,13 @@ BLOCK = frozenset(
 )
 #: Elements that hold the article where a page has them.
 MAIN = frozenset(("article", "main"))
+#: Elements that end unsaid where one of these begins.
+_P_ENDS = BLOCK - frozenset("body br caption col dd dt figcaption head html legend li option summary tbody td tfoot th thead tr".split())
+_CELLS = frozenset("td th tr tbody tfoot thead".split())
+IMPLIED = {"p": _P_ENDS, "li": frozenset(("li",)), "dt": frozenset(("dt", "dd")), "dd": frozenset(("dt", "dd")), "option": frozenset(("option",)), "td": _CELLS, "th": _CELLS, "tr": _CELLS - {"td", "th"}}
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
+#: Blocks that last until an end tag: their own or that of an element around them.
+HOLDS = BLOCK - VOID - frozenset(IMPLIED)
 
 
 def _set_aside(name: str, attributes: str) -> bool:
@@ -42,16 +49,48 @@ def _set_aside(name: str, attributes: str) -> bool:
     return any(not ASIDE_WORDS.isdisjoint(_NAME_PART.findall((a or b or c).lower())) for a, b, c in _NAMED.findall(attributes))
 
 
-def lines_of(page: str) -> tuple[list[tuple[str, int, bool]], bool]:
-    """Lines (text, its length outside links, whether in an article or main element), and whether the page has such an element.
+class _Open:
+    """The open elements, outermost first; each is a number. Ending one ends those inside it."""
 
-    What is set aside leaves empty lines, so that windows dive there.
+    def __init__(self):
+        self.stack: list[tuple[str, int]] = []
+        self.count: Counter = Counter()
+        self.last = 0
+
+    def __bool__(self) -> bool:
+        return bool(self.stack)
+
+    def has(self, name: str) -> bool:
+        return self.count[name] > 0
+
+    def open(self, name: str) -> None:
+        self.last += 1
+        self.stack.append((name, self.last))
+        self.count[name] += 1
+
+    def close(self, name: str) -> None:
+        while self.count[name]:
+            top, _ = self.stack.pop()
+            self.count[top] -= 1
+            if top == name:
+                break
+
+    def block(self) -> int:
+        return self.stack[-1][1] if self.stack and self.stack[-1][0] not in ("html", "body") else 0
+
+
+def lines_of(page: str) -> tuple[list[tuple[str, int, bool, int]], bool]:
+    """Lines (text, its length outside links, whether in an article or main element, the block around it), and whether the page has such an element.
+
+    What is set aside leaves empty lines, so that windows dive there. It ends with its end tag, where it is implied (the
+    next paragraph or item, say), or with an element around it. A block is a number; 0 is the page or its body.
     """
-    lines: list[tuple[str, int, bool]] = []
+    lines: list[tuple[str, int, bool, int]] = []
     parts: list[str] = []
     linked: list[str] = []
     in_link, inside, has_main = False, 0, False
-    skip, depth = "", 0  # the element that is set aside, and how often it is open
+    skip = ""  # the element that is set aside
+    within, around = _Open(), _Open()  # what is open inside it, and outside
     at, end = 0, len(page)
 
     def close() -> None:
@@ -59,7 +98,7 @@ def lines_of(page: str) -> tuple[list[tuple[str, int, bool]], bool]:
             text = " ".join(html.unescape("".join(parts)).split())
             if text:
                 free = len(text) - len(" ".join(html.unescape("".join(linked)).split()))
-                lines.append((text, max(0, free), inside > 0))
+                lines.append((text, max(0, free), inside > 0, around.block()))
             parts.clear()
             linked.clear()
 
@@ -78,28 +117,39 @@ def lines_of(page: str) -> tuple[list[tuple[str, int, bool]], bool]:
             continue
         closing = bool(tag[1])
         if skip:
-            if name == skip:
-                depth += -1 if closing else 1
-                if depth == 0:
+            if closing:
+                if within.has(name):
+                    within.close(name)
+                    continue
+                if name == skip and not (name in IMPLIED and within):
                     skip = ""
-            elif name in RAW and not closing:
-                at = _after(page, name, at)
-            continue
+                    continue
+                if not around.has(name):
+                    continue
+            elif within or name not in IMPLIED.get(skip, ()):
+                if name in RAW:
+                    at = _after(page, name, at)
+                elif name in HOLDS or (name == skip and name not in IMPLIED):
+                    within.open(name)
+                continue
+            skip = ""  # its end is implied by this tag, which counts
         if name in RAW:
             if not closing and not tag[3].rstrip().endswith("/"):
                 at = _after(page, name, at)
             continue
         if not closing and name not in VOID and _set_aside(name, tag[3]):
             close()
-            lines += [("", 0, False)] * 3
-            skip, depth = name, 1
+            lines += [("", 0, False, 0)] * 3
+            skip, within = name, _Open()
             continue
         if name in BLOCK:
             close()
             if name in MAIN:
                 has_main = True
                 inside = max(0, inside + (-1 if closing else 1))
-                lines += [("", 0, False)] * 3
+                lines += [("", 0, False, 0)] * 3
+            if name in HOLDS:
+                around.close(name) if closing else around.open(name)
         elif name == "a":
             in_link = not closing
     close()
@@ -114,20 +164,23 @@ def _after(page: str, name: str, at: int) -> int:
 def main_text(page: str | None, window: int = 3, rise: int = 25, least_share: float = 0.25) -> str:
     """The lines between surges and dives of the windowed text length, joined by line feeds.
 
-    The length at a line is that of its window of lines, counted outside links. A surge is where it passes `rise` (or an
-    eighth of the page's highest, if that is less; in article and main elements any text is a surge); the dive that ends a
-    stretch is a window without text. Stretches in article or main elements are kept; in a page without such elements,
-    those with `least_share` of the longest one's text.
+    Every line in article and main elements is kept; the rest is for a page without such elements. The length at a line is
+    that of its window of lines, counted outside links. A surge is where it passes `rise` (or an eighth of the page's
+    highest, if that is less); the dive that ends a stretch is a window without text. Neighbours that are parted by
+    nothing but what is set aside, or that end and begin in one block, are one stretch in parts. Stretches with
+    `least_share` of the longest one's text are kept.
     """
     if not page:
         return ""
     lines, has_main = lines_of(page)
-    size = [free if own or not has_main else 0 for _, free, own in lines]
+    if has_main:
+        return "\n".join(text for text, _, own, _ in lines if own and text)
+    size = [free for _, free, _, _ in lines]
     block = [sum(size[k : k + window]) for k in range(len(size))]
     if not any(block):
         return ""
-    over = 0 if has_main else min(rise, max(block) / 8)
-    stretches, k = [], 0
+    over = min(rise, max(block) / 8)
+    stretches, k = [], 0  # lists of parts (first line, line after the last)
     while k < len(block):
         if block[k] <= over and not (block[k] and k + window >= len(block)):
             k += 1
@@ -136,13 +189,25 @@ def main_text(page: str | None, window: int = 3, rise: int = 25, least_share: fl
         while last < len(block) and block[last]:
             last += 1
         low = k
-        while not has_main and not size[low]:  # the window reaches the text before the line does
+        while not size[low]:  # the window reaches the text before the line does
             low += 1
-        stretches.append((low, last, sum(size[low:last])))
+        if stretches and _joined(lines, stretches[-1][-1][1], low):
+            stretches[-1].append((low, last))
+        else:
+            stretches.append([(low, last)])
         k = last
-    longest = max((s for _, _, s in stretches), default=0)
-    kept = [lines[k][0] for low, high, s in stretches if has_main or s >= least_share * longest for k in range(low, high) if lines[k][0] and (lines[k][2] or not has_main)]
-    return "\n".join(kept)
+    share = [sum(sum(size[low:high]) for low, high in parts) for parts in stretches]
+    longest = max(share, default=0)
+    return "\n".join(lines[k][0] for parts, s in zip(stretches, share) if s >= least_share * longest for low, high in parts for k in range(low, high) if lines[k][0])
+
+
+def _joined(lines: list[tuple[str, int, bool, int]], after: int, before: int) -> bool:
+    """Whether the lines from `after` to `before` are all empty, or the texts on their two sides stand in one block."""
+    if not any(lines[k][0] for k in range(after, before)):
+        return True
+    while not lines[after - 1][0]:
+        after -= 1
+    return lines[after - 1][3] == lines[before][3] != 0
 
 
 def extract(pages: DataFrame, html_col: str = "html", text_col: str = "text", count_col: str = "n_chars") -> DataFrame:

@@ -422,3 +422,19 @@ def test_url_model_reads_whole_paths_of_all_urls(spark):
     assert model.weights["zorbling"] > model.weights["quintessentially"] and model.weights["viagra"] > 0
     small = url_filters.fit(spark.createDataFrame(urls, "url string"), most=8)
     assert len(small.segmenter.counts) <= 8 + len({*url_filters.BLOCK_WORDS, *url_filters.ALLOW_WORDS})
+
+
+def test_html_keeps_what_follows_set_aside_elements():
+    long, closing = "words of the post " * 100, "closing paragraph of the post " * 4
+    gap = "".join(f"<li><a href={k}>link {k}</a></li>" for k in range(6))
+    menu = "".join(f"<div><a href=/{k}>item {k}</a></div>" for k in range(9))
+    want = f"{long.strip()}\n{closing.strip()}"
+    for parted in ("<div class=ad>Buy</div>", "<aside>x</aside><div class=share>y</div>", f"<ul>{gap}</ul>"):
+        assert html_extraction.main_text(f"<body>{menu}<div class=post><p>{long}</p>{parted}<p>{closing}</p></div>{menu}") == want
+    assert html_extraction.main_text(f"<div><p>{long}</p></div>{menu}<div>{closing}</div>") == long.strip()
+    links = "".join(f"<p><a href={k}>link {k}</a></p>" for k in range(5))
+    assert html_extraction.main_text(f"<article><p>Text.</p>{links}</article><p>no</p>") == "Text.\n" + "\n".join(f"link {k}" for k in range(5))
+    assert html_extraction.main_text(f"<body><p class=notice>Note<p>{long}<div>{closing}</div>") == want
+    assert html_extraction.main_text(f"<ul><li class=ad>Ad<ul><li>in ad</ul><li>{long}</ul><p>{closing}") == want
+    assert html_extraction.main_text(f"<div><div class=x><span class=ad>Ad<p>in ad</p></div><p>{long}</p></div>") == long.strip()
+    assert html_extraction.main_text(f"<div><div class=ad>Ad</p><div>in</div>ad</div><p>{long}</p></div>") == long.strip()
