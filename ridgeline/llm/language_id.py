@@ -121,6 +121,7 @@ def train(samples: list[tuple[str, str]], hidden: int = 6, window: int = 48, wid
     labels = sorted({label for _, label in samples})
     if not labels:
         return None
+    steps = max(steps, 25 * len(labels) // 4)  # 600 stretches a label at least
     rng = np.random.default_rng(seed)
     net = ByteGru.fresh(labels, hidden, rng)
     by_label = [[FOLD[np.frombuffer(t.encode(), np.uint8)] for t, label in samples if label == x] for x in labels]
@@ -149,7 +150,7 @@ def training_samples(docs: DataFrame, text_col: str, label_col: str, use: Column
     """At most `per_label` stretches of `chars` characters for each label, from anywhere in the texts of rows that `use` admits.
 
     The rows with the lowest hashed ids are taken, so the sample is the same on every run. Only ranked rows leave a
-    task, so a label that holds most rows is no burden. At most 64 labels are learned.
+    task, so a label that holds most rows is no burden. Every label is sampled.
     """
     key = F.xxhash64(docs[id_col], docs[text_col])
     length = F.length(docs[text_col])
@@ -158,7 +159,7 @@ def training_samples(docs: DataFrame, text_col: str, label_col: str, use: Column
         F.substring(docs[text_col], start, F.lit(chars)).alias("t"), docs[label_col].cast("string").alias("label"), key.alias("k")
     )
     ranked = picked.withColumn("r", F.row_number().over(Window.partitionBy("label").orderBy("k", "t"))).filter(F.col("r") <= per_label)
-    rows = ranked.select("t", "label").orderBy("label", "t").limit(64 * per_label).collect()
+    rows = ranked.select("t", "label").orderBy("label", "t").collect()
     return [(r["t"], r["label"]) for r in rows]
 
 
@@ -176,7 +177,7 @@ def pooled(net: ByteGru, data: np.ndarray, offsets: np.ndarray, window: int = 64
     begin = offsets[owner] + nth * window
     size = np.minimum(window, offsets[owner + 1] - begin)
     total = np.zeros((n, len(net.labels)))
-    marks = np.empty(len(data), np.uint8) if spans else None
+    marks = np.empty(len(data), np.min_scalar_type(len(net.labels))) if spans else None
     folded = FOLD[data]
     for at in range(0, len(owner), width):
         low, count = begin[at : at + width], size[at : at + width]

@@ -61,3 +61,19 @@ def test_quality_stage_passes_on_the_cleaned_text(spark, sf_dir):
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, body string")
     got = C.quality(spark, docs, sf_dir).collect()
     assert len(got) == 12 and all(r["text"] == r["body"] and r["n_chars"] == len(r["body"]) for r in got)
+
+
+def test_language_stage_keeps_mixed_documents(spark, sf_dir):
+    rng = random.Random(4)
+    parts = {"a": ("the", "ing", "tion", "and"), "b": ("ñe", "que", "ció", "los"), "c": ("sch", "ung", "ß", "der")}
+    words = lambda lang, n: " ".join("".join(rng.choice(parts[lang]) for _ in range(3)) for _ in range(n))
+    rows = [(k, words(lang, 60), lang, "s", 0) for k in range(150) for lang in [rng.choice("abc")]]
+    rows += [(500 + k, "\n".join(words(lang, 40) for lang in "abc"), "a", "s", 0) for k in range(10)] + [(600, "12 34", "a", "s", 0)]
+    got = {r["doc_id"] for r in C.language(spark, spark.createDataFrame(rows, docs_schema(None)), sf_dir).collect()}
+    assert got == {r[0] for r in rows} - {600}
+
+
+def test_every_label_is_sampled(spark):
+    docs = spark.createDataFrame([(k, f"text {k}", f"l{k % 70}") for k in range(140)], "doc_id long, text string, lang string")
+    samples = language_id.training_samples(docs, "text", "lang", docs["doc_id"] >= 0, "doc_id", 1, 100)
+    assert len(samples) == 70 and len(set(label for _, label in samples)) == 70
