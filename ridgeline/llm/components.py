@@ -27,8 +27,8 @@ def connect(edges: DataFrame, work: Workspace, tag: str) -> DataFrame:
     as the logarithm of the longest path. Loops and repeated edges do no harm.
     """
     now = work.put(f"{tag}-0", edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
-    mark = None
-    for turn in range(1, 200):
+    mark, most = None, 200
+    for turn in range(1, most + 1):
         following = work.put(f"{tag}-{turn}", _star(work.put(f"{tag}-{turn}-large", _star(now, True)), False))
         seen = following.agg(F.count(F.lit(1)).alias("n"), F.expr("bit_xor(xxhash64(u, v))").alias("x")).first()
         work.drop(f"{tag}-{turn - 1}")
@@ -37,5 +37,7 @@ def connect(edges: DataFrame, work: Workspace, tag: str) -> DataFrame:
         if (seen["n"], seen["x"]) == mark:
             break
         mark = seen["n"], seen["x"]
+    else:
+        raise RuntimeError(f"the edges of {tag} are no stars after {most} rounds")
     roots = now.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct()
     return now.select(F.col("u").alias("node"), F.col("v").alias("label")).unionByName(roots)

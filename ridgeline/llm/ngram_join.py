@@ -12,10 +12,14 @@ A token that one document alone has can't be common. So a document with fewer th
 alone: this bounds its overlap with the union of everything, and drops documents that merely share a passage. Of the
 others' shared tokens all but R - r of the most frequent are kept, the rarest first; two that link still have r in common.
 
-The groups are grown by a first round, in which a token's smallest document is opened, as a group of one, to documents
-that share such tokens with it; what links becomes a group. Then each group's token union is stored, and a document is
-tried against the groups whose union holds at least r of its tokens and whose sizes fit; only those are opened. One link
-is enough, as a group is connected already. The second round misses no pair that the first left apart.
+Documents whose most frequent kept token is the same are one group, whether or not they link: a cluster of documents that
+are alike but below the threshold is a few groups, not one for each document. Each group's token union is stored, and a
+document opens the groups whose union holds at least r of its tokens and whose sizes fit; of two groups the one with the
+larger token asks. Inside an opened group whole sets are compared.
+
+Before, a first round tries each document against two documents that are the least of a token of its. What links there
+gets one label, and documents of one label needn't be compared any more: of a group's commonest label, no two members
+meet. The first round only saves work; the second one tries every pair of different labels that the bounds admit.
 
 Chance decides only collisions of 64-bit hashes, and whether a set of LEAST shingles fills fewer than k + R of its parts
 (under one in 10**8 sets of the least size, and far less above).
@@ -41,8 +45,10 @@ LEAST, RATIO, PARTS = 60, 1.5, 2.0
 SHARE, AT_LEAST, COMMON = 35, 2, 4
 #: Where a token is from: the class of the size, the next one, or a small set.
 OWN, NEXT, SMALL = 0, 1, 2
-#: Most members or visitors that meet in one task.
-TASK = 512
+#: Shingles of the members, and of the visitors, that meet in one task (8 bytes each); one larger set stands alone.
+BLOCK = 1 << 18
+#: Logarithm of the least and most bits of a bit map; 2**28 bits are 32 MB.
+MAP_BITS = (16, 28)
 _STEPS = [np.uint64(x) for x in (0x9FB21C651E98DF25, 0xC2B2AE3D27D4EB4F, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63, 0xFF51AFD7ED558CCD)]
 
 
@@ -152,27 +158,35 @@ def _signatures(texts: DataFrame, sets: Sets, kind: str) -> DataFrame:
     return _rows_of(texts, sets, each, f"id {kind}, n long, key long, own array<long>, after array<long>, singles array<long>")
 
 
-def _shared_tokens(tokens: DataFrame) -> DataFrame:
-    """token, key, made (4 n + origin), df: the tokens of more than one class, with the number of classes."""
+def _tokens(classes: DataFrame, bits: np.ndarray | None = None) -> DataFrame:
+    """token, key, made (4 n + origin) of the classes' tokens; with a bit map only those whose bit is set."""
 
     def run(batches):
-        held = [[b.column(k).to_numpy() for k in range(3)] for b in batches]
-        if not held:
-            return
-        token, key, made = (np.concatenate([h[k] for h in held]) for k in range(3))
-        held.clear()
-        order = np.lexsort((key, token))
-        token, key, made = token[order], key[order], made[order]
-        fresh = np.concatenate([[True], (token[1:] != token[:-1]) | (key[1:] != key[:-1])])
-        token, key, made = token[fresh], key[fresh], made[fresh]
-        first = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
-        size = np.diff(np.append(first, len(token)))
-        df = np.repeat(size, size)
-        columns = [x[df > 1] for x in (token, key, made, df)]
-        for at in range(0, len(columns[0]), 1 << 17):
-            yield pa.RecordBatch.from_arrays([pa.array(x[at : at + (1 << 17)]) for x in columns], names=["token", "key", "made", "df"])
-
-    return tokens.repartition("token").mapInArrow(run, "token long, key long, made long, df long")
+        for batch in batches:
+            key, n = column(batch, "key").to_numpy(), column(batch, "n").to_numpy()
+            for name, origin in (("own", OWN), ("after", NEXT), ("singles", SMALL)):
+                lists = column(batch, name)
+                token = lists.flatten().to_numpy().view(np.uint64) ^ np.uint64(origin == SMALL)
+                of = np.repeat(np.arange(len(key)), np.diff(lists.offsets.to_numpy()))
+                if bits is not None:
+                    there = _there(bits, token)
+                    token, of = token[there], of[there]
+                for at in range(0, len(token), 1 << 17):
+                    cut = slice(at, at + (1 << 17))
+                    yield pa.RecordBatch.from_arrays([pa.array(token[cut].view(np.int64)), pa.array(key[of[cut]]), pa.array(4 * n[of[cut]] + origin)], names=["token", "key", "made"])
+
+    return classes.select("key", "n", "own", "after", "singles").mapInArrow(run, "token long, key long, made long")
+
+
+def _shared_tokens(classes: DataFrame, work: Workspace) -> DataFrame:
+    """token, key, made, df: the tokens of more than one class, with the number of rows that gave them.
+
+    Tokens are counted by map-side sums, so one that most rows hold is no burden. The few that are shared then pick their
+    classes; a bit map of them keeps nearly all others from being sent.
+    """
+    counted = _tokens(classes).groupBy("token").agg(F.min("key").alias("a"), F.max("key").alias("b"), F.count(F.lit(1)).alias("df")).filter("a < b").select("token", "df")
+    counted = work.put("counted", counted)
+    return _tokens(classes, _bit_map(counted, "token")).join(counted, "token").dropDuplicates(["token", "key"])
 
 
 def _chosen(shared: DataFrame, sets: Sets) -> DataFrame:
@@ -185,76 +199,135 @@ def _chosen(shared: DataFrame, sets: Sets) -> DataFrame:
     return ranked.withColumn("common", F.expr(f"least({COMMON}, low)")).filter("rank <= h - low + common").select("token", "key", "n", "common")
 
 
-def _membership(keys: DataFrame) -> np.ndarray:
-    """A bit map of 2**26 bits (8 MB, however many keys there are); a set bit may be of another key."""
-    bits = keys.select(F.expr("key & 1048575").alias("w"), F.expr("cast(shiftright(key, 20) & 63 as int)").alias("b"))
-    found = bits.groupBy("w").agg(F.expr("bit_or(shiftleft(1L, b))").alias("bits")).toPandas()
-    out = np.zeros(1 << 20, np.uint64)
-    out[found["w"].to_numpy(np.int64)] = found["bits"].to_numpy(np.int64).view(np.uint64)
+def _bit_map(table: DataFrame, name: str) -> np.ndarray:
+    """A bit map of the hashes in a stored table, of 8 to 16 bits a row between the bounds of MAP_BITS; a set bit may be of another hash."""
+    low, high = MAP_BITS
+    size = min(max((8 * table.count()).bit_length(), low), high)
+    bits = table.select(F.expr(f"{name} & {(1 << (size - 6)) - 1}L").alias("w"), F.expr(f"cast(shiftright({name}, {size - 6}) & 63 as int)").alias("b"))
+    found = bits.groupBy("w").agg(F.expr("bit_or(shiftleft(1L, b))").alias("bits")).toArrow()
+    out = np.zeros(1 << (size - 6), np.uint64)
+    out[found.column("w").to_numpy()] = found.column("bits").to_numpy().view(np.uint64)
     return out
 
 
+def _there(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Whether the hashes' bits are set."""
+    wide = np.uint64(len(bits).bit_length() - 1)
+    return (bits[hashes & np.uint64(len(bits) - 1)] >> ((hashes >> wide) & np.uint64(63)) & np.uint64(1)).astype(bool)
+
+
 def _sets_of(texts: DataFrame, sets: Sets, bits: np.ndarray) -> DataFrame:
     """key, shingles of the classes whose bit is set; one row for each class."""
 
     def each(ids, found, memory):
-        keys, chosen = [], []
-        for s in found:
-            if len(s):
-                key = int(sets.key(s))
-                if key not in memory and int(bits[key & 1048575]) >> ((key >> 20) & 63) & 1:
-                    memory.add(key)
-                    keys.append(key)
-                    chosen.append(s)
-        yield pa.RecordBatch.from_arrays([pa.array(np.array(keys, np.uint64).view(np.int64)), _longs(chosen)], names=["key", "shingles"])
-
-    return _rows_of(texts, sets, each, "key long, shingles array<long>")
-
+        keys = np.array([sets.key(s) if len(s) else 0 for s in found], np.uint64)
+        chosen = []
+        for k in np.flatnonzero(_there(bits, keys)).tolist():
+            if len(found[k]) and int(keys[k]) not in memory:
+                memory.add(int(keys[k]))
+                chosen.append(k)
+        yield pa.RecordBatch.from_arrays([pa.array(keys[chosen].view(np.int64)), _longs([found[k] for k in chosen])], names=["key", "shingles"])
 
-def _contents(work: Workspace, name: str, texts: DataFrame, sets: Sets, asked: DataFrame) -> DataFrame:
-    return work.put(name, _sets_of(texts, sets, _membership(asked.select("key"))).dropDuplicates(["key"]))
+    return _rows_of(texts, sets, each, "key long, shingles array<long>").dropDuplicates(["key"])
 
 
 def _opened(asked: DataFrame, contents: DataFrame, sets: Sets) -> DataFrame:
-    """u, v: for each visitor of a group, a member that it links with, if there is one.
+    """u, v: labels of members and visitors that link; enough pairs to connect all that do.
 
-    asked: g, key, role (0 member, 1 visitor), distinct. Groups of more than TASK members or visitors are dealt to
-    several tasks, each with a part of the members and of the visitors.
+    asked: g, kind (a group has up to two lists), key, n, label, role (0 member, 1 visitor), distinct. A list with more
+    than BLOCK shingles of members or visitors is dealt to several tasks, each with a part of either.
     """
-    size = asked.groupBy("g").agg(F.expr(f"cast(ceil(count_if(role = 0) / {TASK}) as int)").alias("ms"), F.expr(f"cast(ceil(count_if(role = 1) / {TASK}) as int)").alias("vs"))
-    own = asked.join(size, "g").withColumn("slot", F.expr("cast(pmod(xxhash64(key), if(role = 0, ms, vs)) as int)"))
+    size = asked.groupBy("g", "kind").agg(*[F.expr(f"cast(ceil(sum(if(role = {role}, n, 0)) / {BLOCK}) as int)").alias(name) for role, name in ((0, "ms"), (1, "vs"))]).filter("ms > 0 and vs > 0")
+    own = asked.join(size, ["g", "kind"]).withColumn("slot", F.expr("cast(pmod(xxhash64(key), if(role = 0, ms, vs)) as int)"))
     placed = own.withColumn("other", F.explode(F.expr("sequence(0, if(role = 0, vs, ms) - 1)"))).select(
-        "g", "key", "role", F.expr("if(role = 0, slot, other)").alias("m"), F.expr("if(role = 0, other, slot)").alias("v")
+        "g", "kind", "key", "label", "role", F.expr("if(role = 0, slot, other)").alias("m"), F.expr("if(role = 0, other, slot)").alias("v")
     )
     filled = placed.join(contents, "key")
 
     def meet(table: pa.Table) -> pa.Table:
-        role, key = table.column("role").to_numpy(), table.column("key").to_numpy()
+        role, key, label = (table.column(c).to_numpy() for c in ("role", "key", "label"))
         lists = table.column("shingles").combine_chunks()
         lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
         flat, ends = lists.flatten().to_numpy().view(np.uint64), np.concatenate([[0], np.cumsum(np.diff(lists.offsets.to_numpy()))])
         members, visitors = np.flatnonzero(role == 0), np.flatnonzero(role == 1)
         size = np.diff(ends)
-        if not len(members) or not len(visitors):
-            return pa.table({"u": pa.array([], pa.int64()), "v": pa.array([], pa.int64())})
-        everything = np.concatenate([flat[ends[k] : ends[k + 1]] for k in members])
-        owner = np.repeat(np.arange(len(members)), size[members])
-        order = np.argsort(everything, kind="stable")
-        everything, owner = everything[order], owner[order]
         u, v = [], []
-        for k in visitors:
-            mine = flat[ends[k] : ends[k + 1]]
-            low = np.searchsorted(everything, mine, side="left")
-            count = np.searchsorted(everything, mine, side="right") - low
-            hits = np.repeat(low - (np.cumsum(count) - count), count) + np.arange(count.sum())
-            common = np.bincount(owner[hits], minlength=len(members))
-            good = np.flatnonzero(sets.links(int(size[k]), size[members], common) & (key[members] != key[k]))
-            if len(good):
-                u.append(key[k])
-                v.append(key[members[good[0]]])
+        if len(members) and len(visitors):
+            everything = np.concatenate([flat[ends[k] : ends[k + 1]] for k in members])
+            owner = np.repeat(np.arange(len(members)), size[members])
+            order = np.argsort(everything, kind="stable")
+            everything, owner = everything[order], owner[order]
+            # what the links so far connect has one root
+            roots, root = np.unique(label, return_inverse=True)
+            for k in visitors:
+                if (root[members] == root[k]).all():
+                    continue
+                mine = flat[ends[k] : ends[k + 1]]
+                low = np.searchsorted(everything, mine, side="left")
+                count = np.searchsorted(everything, mine, side="right") - low
+                hits = np.repeat(low - (np.cumsum(count) - count), count) + np.arange(count.sum())
+                common = np.bincount(owner[hits], minlength=len(members))
+                for other in np.unique(root[members[sets.links(int(size[k]), size[members], common)]]):
+                    if other != root[k]:
+                        u.append(roots[root[k]])
+                        v.append(roots[other])
+                        root[root == other] = root[k]
         return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
 
-    return filled.groupBy("g", "m", "v").applyInArrow(meet, "u long, v long")
+    return filled.groupBy("g", "kind", "m", "v").applyInArrow(meet, "u long, v long")
+
+
+def _first_round(chosen: DataFrame, contents: DataFrame, sets: Sets, work: Workspace) -> DataFrame:
+    """node, label of the classes that link with one of two others: the least of a token, and the one with most tokens in common.
+
+    A lead of some tokens may not lead all that two documents share, so half of r will do to try.
+    """
+    leads = chosen.groupBy("token").agg(F.min("key").alias("g"))
+    met = chosen.join(leads, "token").filter("key <> g").groupBy("g", "key").agg(F.first("n").alias("n"), F.count(F.lit(1)).alias("overlap"), F.min("common").alias("r")).filter("2 * overlap >= r")
+    two = met.groupBy("key").agg(F.first("n").alias("n"), F.expr("array_distinct(array(min(g), max_by(g, struct(overlap, g))))").alias("gs"))
+    pairs = work.put("first", two.select(F.explode("gs").alias("g"), "key", "n"))
+    sizes = chosen.groupBy(F.col("key").alias("g")).agg(F.first("n").alias("n"))
+    lead = pairs.select("g").distinct().join(sizes, "g").select("g", F.col("g").alias("key"), "n", F.lit(0).alias("role"))
+    asked = pairs.withColumn("role", F.lit(1)).unionByName(lead).withColumn("kind", F.lit(0)).withColumn("label", F.col("key"))
+    grown = connect(_opened(asked, contents, sets), work, "grown")
+    work.drop("first")
+    return grown
+
+
+def _second_round(chosen: DataFrame, grown: DataFrame, contents: DataFrame, sets: Sets, work: Workspace) -> DataFrame:
+    """u, v: labels that link, by groups, their token unions, and the groups that these bounds open."""
+    num, den = sets.num, sets.den
+    held = chosen.groupBy("token").agg(F.count(F.lit(1)).alias("held")).filter("held > 1")
+    counted = chosen.join(held, "token")
+    group = counted.groupBy("key").agg(F.max(F.struct("held", "token")).alias("g")).select("key", F.col("g.token").alias("own"))
+    label = F.coalesce("label", "key").alias("label")
+    grouped = group.join(grown, group["key"] == grown["node"], "left").select("key", "own", label)
+    grouped = work.put("grouped", counted.join(grouped, "key").select("token", "key", "n", "common", "own", "label"))
+    members = work.put("members", grouped.groupBy("key").agg(*[F.first(c).alias(c) for c in ("n", "own", "label")]))
+    # the commonest label of each group, and whether it is the only one
+    top = members.groupBy("own", "label").agg(F.count(F.lit(1)).alias("c")).groupBy("own").agg(F.max(F.struct("c", "label")).alias("top"), F.count(F.lit(1)).alias("labels"))
+    top = work.put("top", top.select(F.col("own").alias("g"), F.col("top.label").alias("top"), "labels"))
+
+    several = grouped.groupBy("token").agg(F.min("own").alias("a"), F.max("own").alias("b")).filter("a < b").select("token")
+    live = grouped.join(several, "token")
+    matrix = live.groupBy("token", F.col("own").alias("g")).agg(F.min("n").alias("least"), F.max("n").alias("most"), F.min("common").alias("theirs"), F.min("label").alias("la"), F.max("label").alias("lb"))
+    # a group whose holders of a token all have the visitor's label may hold others as well: it counts unless it has one label
+    matrix = matrix.join(top, "g").withColumn("only", F.expr("if(labels = 1, top, null)")).select("token", "g", "least", "most", "theirs", "only", "top")
+    fits = F.expr(f"own > g and n * {den} >= least * {num} and most * {den} >= n * {num} and (only is null or only <> label)")
+    met = live.join(matrix, "token").filter(fits).groupBy("g", "key").agg(*[F.first(c).alias(c) for c in ("n", "label", "top")], F.count(F.lit(1)).alias("overlap"), F.min(F.least("common", "theirs")).alias("r"))
+    visits = work.put("visits", met.filter("overlap >= r").select("g", "key", "n", "label", F.expr("if(label = top, 1, 0)").alias("kind")))
+
+    inside = members.withColumnRenamed("own", "g").join(top, "g").select("g", "key", "n", "label", "top", "labels")
+    bounds = visits.groupBy("g", "kind").agg(F.min("n").alias("least"), F.max("n").alias("most"))
+    # list 0: all members, for visitors of another label than the commonest (members themselves, too); list 1: members of other labels, for the rest
+    called = inside.join(bounds, "g").filter(f"n * {den} >= least * {num} and most * {den} >= n * {num} and (kind = 0 or label <> top)").select("g", "kind", "key", "n", "label", F.lit(0).alias("role"))
+    own = inside.filter("labels > 1")
+    own = own.select("g", F.lit(0).alias("kind"), "key", "n", "label", F.lit(0).alias("role")).unionByName(own.filter("label <> top").select("g", F.lit(0).alias("kind"), "key", "n", "label", F.lit(1).alias("role")))
+    asked = called.unionByName(visits.select("g", "kind", "key", "n", "label", F.lit(1).alias("role"))).unionByName(own).distinct()
+    late = work.put("late", _opened(work.put("asked", asked), contents, sets))
+    for name in ("grouped", "members", "top", "visits", "asked"):
+        work.drop(name)
+    return late
 
 
 def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, num: int = 80, den: int = 100) -> DataFrame:
@@ -269,48 +342,25 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width:
     work, sets = Workspace(spark, "ngrams"), Sets(width, num, den)
     kind = docs.schema[id_col].dataType.simpleString()
     texts = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"))
-    signed = _signatures(texts, sets, kind)
-    rows = work.put("rows", signed)
-    classes = rows.filter("n > 0")
-
-    parts = [classes.filter(f"size({c}) > 0").select(F.explode(c).alias("token"), "key", F.expr(f"4 * n + {origin}").alias("made")) for c, origin in (("own", OWN), ("after", NEXT), ("singles", SMALL))]
-    shared = work.put("shared", _shared_tokens(parts[0].unionByName(parts[1]).unionByName(parts[2].withColumn("token", F.expr("token ^ 1")))))
-    chosen = work.put("chosen", _chosen(shared, sets))
-    work.drop("shared")
-
-    # a lead of some tokens may not lead all that two documents share, so half of r will do to try the first links
-    leads = chosen.groupBy("token").agg(F.min("key").alias("g"))
-    first = chosen.join(leads, "token").filter("key <> g").groupBy("g", "key").agg(F.count(F.lit(1)).alias("overlap"), F.min("common").alias("r")).filter("2 * overlap >= r")
-    first = work.put("first", first.select("g", "key"))
-    asked = first.select("g", "key", F.lit(1).alias("role")).unionByName(first.select("g", F.col("g").alias("key"), F.lit(0).alias("role")).distinct())
-    grown = connect(_opened(asked, _contents(work, "first-sets", texts, sets, asked), sets), work, "grown")
-    for name in ("first", "first-sets"):
-        work.drop(name)
-
-    label = F.coalesce("label", "key").alias("own")
-    grouped = work.put("grouped", chosen.join(grown, chosen["key"] == grown["node"], "left").select("token", "key", "n", "common", label))
-    several = grouped.groupBy("token").agg(F.min("own").alias("a"), F.max("own").alias("b")).filter("a < b").select("token")
-    live = grouped.join(several, "token")
-    matrix = live.groupBy("token", F.col("own").alias("g")).agg(F.min("n").alias("least"), F.max("n").alias("most"), F.min("common").alias("theirs"))
-    fits = F.expr(f"own <> g and n * {den} >= least * {num} and most * {den} >= n * {num}")
-    visits = live.join(matrix, "token").filter(fits).groupBy("g", "key").agg(F.first("n").alias("n"), F.count(F.lit(1)).alias("overlap"), F.min(F.least("common", "theirs")).alias("r")).filter("overlap >= r")
-    visits = work.put("visits", visits.select("g", "key", "n"))
-    of_group = live.select(F.col("own").alias("g"), "key", "n").distinct()
-    bounds = visits.groupBy("g").agg(F.min("n").alias("least"), F.max("n").alias("most"))
-    members = of_group.join(bounds, "g").filter(f"n * {den} >= least * {num} and most * {den} >= n * {num}").select("g", "key", F.lit(0).alias("role"))
-    asked = work.put("asked", members.unionByName(visits.select("g", "key", F.lit(1).alias("role"))))
-    late = _opened(asked, _contents(work, "late-sets", texts, sets, asked), sets)
-    known = grown.select(F.col("node").alias("v"), F.col("label").alias("v_label"))
-    late = work.put("late", late.join(known, "v", "left").select("u", F.coalesce("v_label", "v").alias("v")))
-    known = grown.select(F.col("node").alias("u"), F.col("label").alias("u_label"))
-    merged = connect(late.join(known, "u", "left").select(F.coalesce("u_label", "u").alias("u"), "v"), work, "merged")
-    for name in ("chosen", "grouped", "visits", "asked", "late-sets", "late"):  # nothing reads them again
+    rows = work.put("rows", _signatures(texts, sets, kind))
+    chosen = work.put("chosen", _chosen(_shared_tokens(rows.filter("n > 0"), work), sets))
+    work.drop("counted")
+    asked = work.put("keys", chosen.select("key").distinct())
+    contents = work.put("contents", _sets_of(texts, sets, _bit_map(asked, "key")))
+    work.drop("keys")
+
+    grown = _first_round(chosen, contents, sets, work)
+    merged = connect(_second_round(chosen, grown, contents, sets, work), work, "merged")
+    for name in ("chosen", "contents", "late"):  # nothing reads them again
         work.drop(name)
 
     top = merged.select(F.col("node").alias("label"), F.col("label").alias("top"))
     alone = merged.join(grown, merged["node"] == grown["node"], "left_anti").select("node", F.col("label").alias("final"))
     final = grown.join(top, "label", "left").select("node", F.coalesce("top", "label").alias("final")).unionByName(alone)
-    labelled = rows.select("id", "n", "key").join(final, (rows["key"] == final["node"]) & (rows["n"] > 0), "left").select("id", "n", F.when(F.col("n") > 0, F.coalesce("final", "key")).alias("c"))
-    least = labelled.filter("c is not null").groupBy("c").agg(F.min("id").alias("component_id"))
+    # rows without words have no key; a hash of the id in its place keeps them from meeting in one task
+    place = F.when(F.col("n") > 0, F.col("key")).otherwise(F.xxhash64("id"))
+    keyed = rows.select("id", "n", place.alias("key"))
+    labelled = keyed.join(final, keyed["key"] == final["node"], "left").select("id", "n", F.coalesce("final", "key").alias("c"))
+    least = labelled.filter("n > 0").groupBy("c").agg(F.min("id").alias("component_id"))
     out = labelled.join(least, "c", "left")
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"))
+    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id")).alias("component_id"))

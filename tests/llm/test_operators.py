@@ -334,10 +334,23 @@ def near_copies(seed):
     return out
 
 
-@pytest.mark.parametrize("width, num, den, task", [(4, 85, 100, 512), (5, 80, 100, 3)])
-def test_components_equal_brute_force(spark, docs, monkeypatch, width, num, den, task):
-    monkeypatch.setattr(ngram_join, "TASK", task)
-    rows = [(1000 + k, t) for k, t in enumerate(near_copies(width))] + local_rows(docs)
+def alike(seed, copies=90):
+    """Copies of one text with 0 to 14 edits each: some link, most don't, and all share parts."""
+    rng = random.Random(seed)
+    base = [f"w{rng.randrange(900)}" for _ in range(170)]
+    out = []
+    for _ in range(copies):
+        copy = list(base)
+        for _ in range(rng.randrange(15)):
+            copy[rng.randrange(len(copy))] = f"x{rng.randrange(10**6)}"
+        out.append(" ".join(copy))
+    return out
+
+
+@pytest.mark.parametrize("width, num, den, block", [(4, 85, 100, 1 << 18), (5, 80, 100, 300), (3, 70, 100, 5000)])
+def test_components_equal_brute_force(spark, docs, monkeypatch, width, num, den, block):
+    monkeypatch.setattr(ngram_join, "BLOCK", block)
+    rows = [(1000 + k, t) for k, t in enumerate(near_copies(width) + alike(width))] + local_rows(docs)
     df = spark.createDataFrame([(d, t, "c") for d, t in rows], "doc_id long, text string, component_id string").repartition(3)
     got = ngram_join.join(df, width=width, num=num, den=den).collect()
     assert sorted_rows(map(tuple, got)) == sorted_rows(brute_components(rows, width, num, den))
