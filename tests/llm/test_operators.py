@@ -105,7 +105,7 @@ def test_html_over_a_table(spark):
 # 2
 
 
-def brute_ppm(rows, held, order):
+def brute_ppm(rows, held, order, x=lm_scoring.DISCOUNT):
     seqs = [b"".join(w + b" " for w in words(t)) + b"\xff" for _, t in rows]
     levels = [dict() for _ in range(order + 1)]
     for s, h in zip(seqs, held):
@@ -124,22 +124,24 @@ def brute_ppm(rows, held, order):
             if d == 0:
                 continue
             if symbol in seen and symbol not in excluded:
-                return total + math.log10((2 * seen[symbol] - 1) / (2 * n))
-            total += math.log10(d / (2 * n))
+                return total + math.log10((seen[symbol] - x) / n)
+            total += math.log10(x * d / n)
             excluded |= set(seen)
         return total - math.log10(max(1, 257 - len(levels[0].get(b"", {}))))
 
     return [sum(one((b"\xff" * order + s)[i : i + order], s[i]) for i in range(len(s))) for s in seqs]
 
 
-@pytest.mark.parametrize("nobody", [False, True])
-def test_lm_scores_equal_brute_force(docs, nobody):
+@pytest.mark.parametrize("nobody, common, block", [(False, 1 << 19, 16 << 20), (False, 300, 2000), (True, 1 << 19, 4000)])
+def test_lm_scores_equal_brute_force(docs, monkeypatch, nobody, common, block):
+    monkeypatch.setattr(lm_scoring, "COMMON", common)
+    monkeypatch.setattr(lm_scoring, "CHUNK", block)
     small = docs.filter("text is null or length(text) < 400")
     rows = local_rows(small)
     fold = lambda d: zlib.crc32(str("" if d is None else d).encode()) % 10
     held = [nobody or fold(d) == 0 for d, _ in rows]
     train = F.lit(False) if nobody else language_id.fold_of(small["doc_id"], 10) != 0
-    got = lm_scoring.score(small, train).collect()
+    got = lm_scoring.score(small, train, block_bytes=block).collect()
     tokens = [[*words(t), None] for _, t in rows]
     seen = Counter(w for ws, h in zip(tokens, held) if not h for w in ws)
     n, v = sum(seen.values()), len(seen)
