@@ -377,8 +377,35 @@ def test_mix_equals_sql_and_meets_targets(docs, nothing):
     total = sum(len(raw_words(t)) for _, t in local_rows(docs))
     assert abs(sum(r["target"] for r in by_source) - 1.5 * total) < 1e-6
     assert source_mix.mix(nothing).count() == 0
-    coarse = source_mix.mix(docs, grain=16).agg(F.sum("taken")).first()[0]
-    assert abs(coarse - 1.5 * total) < 0.4 * total
+    assert abs(source_mix.mix(docs).agg(F.sum("taken")).first()[0] - 1.5 * total) <= 1
+    by_source = source_mix.mix(docs).groupBy("source_size", "target").agg(F.sum("taken").alias("taken")).collect()
+    assert all(abs(r["taken"] - r["target"]) < 1 for r in by_source)
+
+
+def test_schedule_is_the_mix(spark, docs):
+    """The listed slots take each document's words as often as `mix` says, and any stretch of them keeps the shares."""
+    rows = docs.select(F.col("source").alias("src"), F.regexp_count(F.coalesce("text", F.lit("")), F.lit("[^\\x20\\x09-\\x0D]+")).cast("bigint").alias("size"))
+    targets = source_mix.source_targets(rows.groupBy("src").agg(F.sum("size").alias("words")))
+    wanted = {r["src"]: r for r in targets.collect()}
+    points = max(r["high"] for r in wanted.values())
+    listed = source_mix.schedule(spark, targets, 0, points).collect()
+    assert sorted(r["slot"] for r in listed) == list(range(points))
+    taken = Counter((r["src"], r["word"]) for r in listed)
+    at = Counter()
+    for r in source_mix.placed(docs).orderBy("src", "m", "size").collect():
+        assert r["taken"] == sum(taken[r["src"], at[r["src"]] + k] for k in range(r["size"])), r
+        at[r["src"]] += r["size"]
+    part = Counter(r["src"] for r in source_mix.schedule(spark, targets, 500, 1500).collect())
+    assert all(abs(part[s] - 1000 * (r["high"] - r["low"]) / points) < 8 for s, r in wanted.items())
+
+
+def test_copies_are_the_rounded_mix(docs, nothing):
+    often = Counter(r["doc_id"] for r in source_mix.copies(docs).collect())
+    assert source_mix.copies(docs).columns == docs.columns
+    want = source_mix.mix(docs).filter("size > 0").selectExpr("doc_id", "cast(round(taken / size) as int) as n").collect()
+    twice = Counter(r["doc_id"] for r in want)
+    assert {d: n for d, n in often.items() if twice[d] == 1} == {r["doc_id"]: r["n"] for r in want if r["n"] and twice[r["doc_id"]] == 1}
+    assert source_mix.copies(nothing).count() == 0
 
 
 def test_quality_equals_sql(spark, docs, nothing):
@@ -422,10 +449,9 @@ def test_quality_removes_frequent_lines(spark, docs, nothing):
 def test_mix_gives_small_sources_their_share(spark):
     rows = [(k, "w " * 60_000, "large") for k in range(40)] + [(1000 + k, "w " * n, src) for src, sizes in (("few", (90, 210, 7)), ("one", (1,)), ("some", (900, 1100))) for k, n in enumerate(sizes)]
     df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(4)
-    for grain in (1 << 18, 1 << 4):
-        got = source_mix.mix(df, weights=(1,), grain=grain).groupBy("source_size", "target").agg(F.sum("taken").alias("taken")).collect()
-        assert sorted(r["source_size"] for r in got) == [1, 307, 2000, 2_400_000]
-        assert all(abs(r["taken"] - r["target"]) <= 0.5 for r in got)
+    got = source_mix.mix(df, weights=(1,)).groupBy("source_size", "target").agg(F.sum("taken").alias("taken")).collect()
+    assert sorted(r["source_size"] for r in got) == [1, 307, 2000, 2_400_000]
+    assert all(abs(r["taken"] - r["target"]) <= 0.5 for r in got)
 
 
 def test_url_model_reads_whole_paths_of_all_urls(spark):
