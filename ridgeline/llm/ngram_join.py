@@ -330,16 +330,16 @@ def _second_round(chosen: DataFrame, grown: DataFrame, contents: DataFrame, sets
     return late
 
 
-def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, num: int = 80, den: int = 100, work: Workspace | None = None) -> DataFrame:
     """id_col, n_shingles, component_id, one row for each input row.
 
     A document's set: the distinct shingles of `width` words (A-Z lower-cased); the whole sequence if it has fewer words;
     empty, and linked with nothing, if it has none or the text is null. Two documents link when den * intersection >=
     num * union. component_id is the smallest id reachable by links, the own id included. Whole texts count, no list of
     partners or candidates is cut, and copies are joined once for their class. Repeated rows are rows of one class.
+    The result reads tables in `work`, which may be dropped once it is written.
     """
-    spark = docs.sparkSession
-    work, sets = Workspace(spark, "ngrams"), Sets(width, num, den)
+    work, sets = work or Workspace(docs.sparkSession, "ngrams"), Sets(width, num, den)
     kind = docs.schema[id_col].dataType.simpleString()
     texts = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"))
     rows = work.put("rows", _signatures(texts, sets, kind))
