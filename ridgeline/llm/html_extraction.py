@@ -1,4 +1,9 @@
-"""HTML extraction by line-block distribution: surges and dives of text length over windows of lines."""
+"""HTML extraction by line-block distribution: surges and dives of text length over windows of lines.
+
+Every line of the page counts, the menus and footers, too: its length is its characters outside links, times the weight of
+the elements around it. Weights are all that elements and class words decide; windows over the weighted lengths
+decide what is kept.
+"""
 
 from __future__ import annotations
 
@@ -11,10 +16,16 @@ from pyspark.sql import DataFrame
 
 from ridgeline.llm.shared import column
 
-#: A comment, a declaration, or a tag whose quoted attribute values may hold '>'.
-_MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)(?:>|\Z)", re.S)
+#: A comment, a declaration, or a tag whose quoted attribute values may hold '>'. A quote that never ends holds nothing: such a tag ends at its first '>'.
+_MARKUP = re.compile(
+    r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*+(?=>|\Z)|[^>]*)(?:>|\Z)", re.S
+)
 _NAMED = re.compile(r"(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _NAME_PART = re.compile(r"[a-z]+")
+#: Parts of a name that turn the next into its opposite, as in "no-sidebar".
+_NOT = frozenset("no not non without hide hidden".split())
+#: Weight of a character in an article or main element; of one in an element that a class word marks; in one that by its name holds no article.
+IN_MAIN, MARKED, OUTSIDE = 25.0, 2.0**-16, 0.0
 #: Elements whose content is never text of the page: their end tag is searched for as it stands.
 RAW = frozenset("script style noscript template textarea title iframe svg math object canvas xmp select".split())
 #: Elements that hold anything but the article.
@@ -41,12 +52,18 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 HOLDS = BLOCK - VOID - frozenset(IMPLIED)
 
 
-def _set_aside(name: str, attributes: str) -> bool:
+def _weight(name: str, attributes: str) -> float:
+    """What an element multiplies its text's weight with: OUTSIDE or MARKED where it is set aside, else 1."""
     if name in ASIDE:
-        return True
+        return OUTSIDE
     if name in ("html", "body", *MAIN) and "comment" not in attributes.lower():
-        return False
-    return any(not ASIDE_WORDS.isdisjoint(_NAME_PART.findall((a or b or c).lower())) for a, b, c in _NAMED.findall(attributes))
+        return 1.0
+    for groups in _NAMED.findall(attributes):
+        for word in "".join(groups).lower().split():
+            parts = _NAME_PART.findall(word)
+            if any(p in ASIDE_WORDS and (k == 0 or parts[k - 1] not in _NOT) for k, p in enumerate(parts)):
+                return MARKED
+    return 1.0
 
 
 class _Open:
@@ -79,17 +96,21 @@ class _Open:
         return self.stack[-1][1] if self.stack and self.stack[-1][0] not in ("html", "body") else 0
 
 
-def lines_of(page: str) -> tuple[list[tuple[str, int, bool, int]], bool]:
-    """Lines (text, its length outside links, whether in an article or main element, the block around it), and whether the page has such an element.
+#: A line of a page: its text, its length outside links, the weight of its characters, and the block around it (0: the page or its body).
+Line = tuple[str, int, float, int]
+
 
-    What is set aside leaves empty lines, so that windows dive there. It ends with its end tag, where it is implied (the
-    next paragraph or item, say), or with an element around it. A block is a number; 0 is the page or its body.
+def lines_of(page: str) -> list[Line]:
+    """All lines of a page but for those of raw elements.
+
+    An element that is set aside ends with its end tag, where it is implied (the next paragraph or item, say), or with an
+    element around it. In article and main elements links count as text.
     """
-    lines: list[tuple[str, int, bool, int]] = []
+    lines: list[Line] = []
     parts: list[str] = []
     linked: list[str] = []
-    in_link, inside, has_main = False, 0, False
-    skip = ""  # the element that is set aside
+    in_link, inside = False, 0
+    skip, low = "", 1.0  # the element that is set aside, and its weight
     within, around = _Open(), _Open()  # what is open inside it, and outside
     at, end = 0, len(page)
 
@@ -97,15 +118,15 @@ def lines_of(page: str) -> tuple[list[tuple[str, int, bool, int]], bool]:
         if parts:
             text = " ".join(html.unescape("".join(parts)).split())
             if text:
-                free = len(text) - len(" ".join(html.unescape("".join(linked)).split()))
-                lines.append((text, max(0, free), inside > 0, around.block()))
+                free = len(text) - (0 if inside else len(" ".join(html.unescape("".join(linked)).split())))
+                lines.append((text, max(0, free), (IN_MAIN if inside else 1.0) * (low if skip else 1.0), -1 if skip else around.block()))
             parts.clear()
             linked.clear()
 
     while at < end:
         tag = _MARKUP.search(page, at)
         upto = tag.start() if tag else end
-        if not skip and upto > at:
+        if upto > at:
             parts.append(page[at:upto])
             if in_link:
                 linked.append(page[at:upto])
@@ -117,6 +138,8 @@ def lines_of(page: str) -> tuple[list[tuple[str, int, bool, int]], bool]:
             continue
         closing = bool(tag[1])
         if skip:
+            if name in BLOCK or name == skip:
+                close()
             if closing:
                 if within.has(name):
                     within.close(name)
@@ -132,28 +155,26 @@ def lines_of(page: str) -> tuple[list[tuple[str, int, bool, int]], bool]:
                 elif name in HOLDS or (name == skip and name not in IMPLIED):
                     within.open(name)
                 continue
+            close()
             skip = ""  # its end is implied by this tag, which counts
         if name in RAW:
             if not closing and not tag[3].rstrip().endswith("/"):
                 at = _after(page, name, at)
             continue
-        if not closing and name not in VOID and _set_aside(name, tag[3]):
+        if not closing and name not in VOID and (weight := _weight(name, tag[3])) < 1:
             close()
-            lines += [("", 0, False, 0)] * 3
-            skip, within = name, _Open()
+            skip, low, within = name, weight, _Open()
             continue
         if name in BLOCK:
             close()
             if name in MAIN:
-                has_main = True
                 inside = max(0, inside + (-1 if closing else 1))
-                lines += [("", 0, False, 0)] * 3
             if name in HOLDS:
                 around.close(name) if closing else around.open(name)
         elif name == "a":
             in_link = not closing
     close()
-    return lines, has_main
+    return lines
 
 
 def _after(page: str, name: str, at: int) -> int:
@@ -161,53 +182,64 @@ def _after(page: str, name: str, at: int) -> int:
     return stop.end() if stop else len(page)
 
 
-def main_text(page: str | None, window: int = 3, rise: int = 25, least_share: float = 0.25) -> str:
+def main_text(page: str | None, window: int = 3, rise: float = 25, least_share: float = 0.25) -> str:
     """The lines between surges and dives of the windowed text length, joined by line feeds.
 
-    Every line in article and main elements is kept; the rest is for a page without such elements. The length at a line is
-    that of its window of lines, counted outside links. A surge is where it passes `rise` (or an eighth of the page's
-    highest, if that is less); the dive that ends a stretch is a window without text. Neighbours that are parted by
-    nothing but what is set aside, or that end and begin in one block, are one stretch in parts. Stretches with
-    `least_share` of the longest one's text are kept.
+    The length at a line is that of its window of lines: each line's characters outside links, times its weight. Weights
+    are taken by the highest that any text of the page has: where there is an article element, all around it weighs next to
+    nothing, and where all text is marked by class words, it has the full weight. A surge is where the length reaches
+    `rise` (or an eighth of the page's highest, if that is less); the dive that ends a stretch is a window without weight.
+    A line of next to no weight dives by itself. Neighbours that are parted by such lines alone, or that end and begin in
+    one block, or stand in article elements, are one stretch in parts. Stretches with `least_share` of the longest one's
+    length are kept.
     """
-    if not page:
-        return ""
-    lines, has_main = lines_of(page)
-    if has_main:
-        return "\n".join(text for text, _, own, _ in lines if own and text)
-    size = [free for _, free, _, _ in lines]
+    lines = _weighed(lines_of(page)) if page else []
+    size = [free * weight for _, free, weight, _ in lines]
     block = [sum(size[k : k + window]) for k in range(len(size))]
     if not any(block):
         return ""
     over = min(rise, max(block) / 8)
+    little = over / 64
     stretches, k = [], 0  # lists of parts (first line, line after the last)
     while k < len(block):
-        if block[k] <= over and not (block[k] and k + window >= len(block)):
+        if block[k] < over and not (block[k] > little and k + window >= len(block)):
             k += 1
             continue
         last = k
-        while last < len(block) and block[last]:
+        while last < len(block) and block[last] > little:
             last += 1
         low = k
-        while not size[low]:  # the window reaches the text before the line does
+        while size[low] <= little and low + 1 < last:  # the window reaches the text before the line does
             low += 1
         if stretches and _joined(lines, stretches[-1][-1][1], low):
             stretches[-1].append((low, last))
         else:
             stretches.append([(low, last)])
         k = last
-    share = [sum(sum(size[low:high]) for low, high in parts) for parts in stretches]
+    share = [sum(size[k] for low, high in parts for k in range(low, high) if not _light(lines[k])) for parts in stretches]
     longest = max(share, default=0)
-    return "\n".join(lines[k][0] for parts, s in zip(stretches, share) if s >= least_share * longest for low, high in parts for k in range(low, high) if lines[k][0])
+    return "\n".join(lines[k][0] for parts, s in zip(stretches, share) if s >= least_share * longest for low, high in parts for k in range(low, high) if not _light(lines[k]))
 
 
-def _joined(lines: list[tuple[str, int, bool, int]], after: int, before: int) -> bool:
-    """Whether the lines from `after` to `before` are all empty, or the texts on their two sides stand in one block."""
-    if not any(lines[k][0] for k in range(after, before)):
-        return True
-    while not lines[after - 1][0]:
+def _weighed(lines: list[Line]) -> list[Line]:
+    """The lines with weights by the highest of any text: the others' fall by as much as class words take."""
+    top = max((weight for _, free, weight, _ in lines if free), default=0.0)
+    if not top:
+        return lines
+    return [(text, free, IN_MAIN if weight == top == IN_MAIN else 1.0 if weight == top else weight / top * (MARKED if top == IN_MAIN else 1.0), block) for text, free, weight, block in lines]
+
+
+def _light(line: Line) -> bool:
+    return line[2] < 1.0
+
+
+def _joined(lines: list[Line], after: int, before: int) -> bool:
+    """Whether the lines from `after` to `before` are all light, or the texts on their two sides stand in one block or in articles."""
+    while after and _light(lines[after - 1]):
         after -= 1
-    return lines[after - 1][3] == lines[before][3] != 0
+    if all(_light(line) for line in lines[after:before]):
+        return True
+    return bool(after) and (lines[after - 1][3] == lines[before][3] != 0 or lines[after - 1][2] == lines[before][2] == IN_MAIN)
 
 
 def extract(pages: DataFrame, html_col: str = "html", text_col: str = "text", count_col: str = "n_chars") -> DataFrame:

@@ -96,6 +96,44 @@ def test_html_without_article_finds_the_dense_lines():
     assert len(html_extraction.main_text("<article>" + "<p>word word</p>" * 20000)) > 100_000
 
 
+def brute_stretches(kinds, window=3, share=0.25):
+    """Texts with fewer than `window` lines of other kinds between them, or none but adverts, form a stretch; those with a share of the longest one stay."""
+    runs, between = [], None
+    for kind, text in kinds:
+        if kind != "text":
+            between = None if between is None else [*between, kind]
+        else:
+            if between is None or (len(between) >= window and "links" in between):
+                runs.append([])
+            runs[-1].append(text)
+            between = []
+    longest = max((sum(map(len, r)) for r in runs), default=0)
+    return [t for r in runs if sum(map(len, r)) >= share * longest for t in r]
+
+
+def test_html_windows_equal_brute_force():
+    rng = random.Random(8)
+    for _ in range(300):
+        kinds = []
+        for k in range(rng.randrange(1, 40)):
+            kind = rng.choice(("text", "links", "links", "ad"))
+            run = rng.choice((1, 1, 2, 6)) if kind == "links" else 1
+            kinds += [(kind, f"{'link' if kind == 'links' else kind} {k} " + "word " * rng.randrange(8, 30) + "end") for _ in range(run)]
+        page = "".join(f"<p>{t}</p>" if kind == "text" else f"<p><a href=x>{t}</a></p>" if kind == "links" else f"<div class=ad>{t}</div>" for kind, t in kinds)
+        got = html_extraction.main_text(f"<body>{page}</body>")
+        assert [t for t in got.split("\n") if t.startswith("text")] == brute_stretches(kinds)
+        assert "ad " not in got or not any(kind == "text" for kind, _ in kinds)
+
+
+def test_html_reads_broken_tags_and_negated_classes():
+    assert html_extraction.main_text('Before <a title="foo>link</a> after words here') == "Before link after words here"
+    words = "word " * 50
+    for name in ("content no-sidebar", "without-comments", "post not_an-ad"):
+        assert html_extraction.main_text(f'<nav>menu</nav><div class="{name}"><p>{words}</p></div>') == words.strip()
+    assert html_extraction.main_text(f'<div class="ad-block"><p>{words}</p></div>') == words.strip()  # nothing else has text
+    assert html_extraction.main_text(f"<article>A</article><footer>{words * 40}</footer><p>{words * 40}</p>") == "A"
+
+
 def test_html_over_a_table(spark):
     df = spark.createDataFrame([(1, "u", "<article><p>é x</p></article>", "old"), (1, "u", "<article><p>é x</p></article>", "old"), (2, None, None, "old")], "page_id long, url string, html string, text string")
     assert sorted_rows(html_extraction.extract(df).collect()) == sorted_rows([(1, "u", "é x", 3), (1, "u", "é x", 3), (2, None, "", 0)])
