@@ -70,25 +70,29 @@ def with_statistics(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
 
 def _lines(docs: DataFrame, host_col: str, text_col: str) -> DataFrame:
-    """host, text key, place, hash and words of every line that has a word."""
+    """host, text key, the text's words, place, hash and words of every line that has a word."""
     norm = f"trim(BOTH ' ' FROM translate(regexp_replace(line, {_GAP}, ' '), '{UPPER}', '{LOWER}'))"
     split = docs.filter(F.col(text_col).isNotNull()).select(
-        F.col(host_col).alias("host"), F.xxhash64(text_col).alias("t"), F.posexplode(F.split(text_col, "\n")).alias("pos", "line")
+        F.col(host_col).alias("host"), F.xxhash64(text_col).alias("t"), F.expr(f"regexp_count(`{text_col}`, '[^\\\\x20\\\\x09-\\\\x0D]+')").alias("words"), F.posexplode(F.split(text_col, "\n")).alias("pos", "line")
     )
-    return split.select("host", "t", "pos", F.expr(norm).alias("line")).filter("line != ''").select(
-        "host", "t", "pos", F.xxhash64("line").alias("h"), F.expr("length(line) - length(replace(line, ' ', '')) + 1").alias("w")
+    return split.select("host", "t", "words", "pos", F.expr(norm).alias("line")).filter("line != ''").select(
+        "host", "t", "words", "pos", F.xxhash64("line").alias("h"), F.expr("length(line) - length(replace(line, ' ', '')) + 1").alias("w")
     )
 
 
+def _frequent(lines: DataFrame, least_docs: int, salts: int) -> DataFrame:
+    seen = lines.select("host", "h", "t", F.pmod("t", F.lit(salts)).cast("tinyint").alias("salt"))
+    counts = seen.groupBy("host", "h", "salt").agg(F.count_distinct("t").alias("n")).groupBy("host", "h").agg(F.sum("n").alias("n"))
+    return counts.filter(F.col("n") > least_docs).select("host", "h")
+
+
 def frequent_lines(docs: DataFrame, host_col: str = "source", text_col: str = "text", least_docs: int = LEAST_DOCS, salts: int = 16) -> DataFrame:
     """host, h: hashes of normalised lines in more than `least_docs` distinct documents of a host, whatever its size.
 
     Documents with equal texts count once. Distinct texts are counted within salts of the text's hash, so a line that
     a third of all documents hold is counted by many tasks; the counts of the salts are then added.
     """
-    seen = _lines(docs, host_col, text_col).select("host", "h", "t", F.pmod("t", F.lit(salts)).cast("tinyint").alias("salt"))
-    counts = seen.groupBy("host", "h", "salt").agg(F.count_distinct("t").alias("n")).groupBy("host", "h").agg(F.sum("n").alias("n"))
-    return counts.filter(F.col("n") > least_docs).select("host", "h")
+    return _frequent(_lines(docs, host_col, text_col), least_docs, salts)
 
 
 def _counted(table: DataFrame, small: int) -> DataFrame:
@@ -97,17 +101,21 @@ def _counted(table: DataFrame, small: int) -> DataFrame:
 
 
 def _hits(docs: DataFrame, host_col: str, text_col: str, least_docs: int, small: int) -> DataFrame:
-    """host, t, pos, w: the places of frequent lines in each distinct text of a host, and their words."""
-    frequent = _counted(Workspace(docs.sparkSession, "quality").put("frequent", frequent_lines(docs, host_col, text_col, least_docs)), small)
-    hit = _lines(docs, host_col, text_col).alias("l").join(frequent.alias("f"), F.expr("l.h = f.h and l.host <=> f.host")).select("l.host", "l.t", "l.pos", "l.w")
+    """host, t, words, pos, w: the places of frequent lines in each distinct text of a host, and their words.
+
+    The texts are split once: hashes and word counts of their lines are kept in the shared folder.
+    """
+    work = Workspace(docs.sparkSession, "quality")
+    lines = work.put("lines", _lines(docs, host_col, text_col))
+    frequent = _counted(work.put("frequent", _frequent(lines, least_docs, 16)), small)
+    hit = lines.alias("l").join(frequent.alias("f"), F.expr("l.h = f.h and l.host <=> f.host")).select("l.host", "l.t", "l.words", "l.pos", "l.w")
     return hit.dropDuplicates(["host", "t", "pos"])
 
 
 def depleted_texts(docs: DataFrame, host_col: str = "source", text_col: str = "text", least_docs: int = LEAST_DOCS, gone: float = 0.7, small: int = 500_000) -> DataFrame:
     """host, t: texts that lose at least `gone` of their words with the frequent lines of their host; one row each."""
-    removed = _hits(docs, host_col, text_col, least_docs, small).groupBy("host", "t").agg(F.sum("w").alias("removed"))
-    totals = docs.filter(F.col(text_col).isNotNull()).select(F.col(host_col).alias("host"), F.xxhash64(text_col).alias("t"), F.expr(f"cast(regexp_count(`{text_col}`, '[^\\\\x20\\\\x09-\\\\x0D]+') as bigint)").alias("words"))
-    return totals.alias("a").join(removed.alias("r"), F.expr("a.t = r.t and a.host <=> r.host")).filter(F.col("removed") >= gone * F.col("words")).select("a.host", "a.t").distinct()
+    removed = _hits(docs, host_col, text_col, least_docs, small).groupBy("host", "t").agg(F.sum("w").alias("removed"), F.max("words").alias("words"))
+    return removed.filter(F.col("removed") >= gone * F.col("words")).select("host", "t")
 
 
 def judge(docs: DataFrame, host_col: str = "source", text_col: str = "text", least_docs: int = LEAST_DOCS, gone: float = 0.7, small: int = 500_000) -> DataFrame:

@@ -492,6 +492,46 @@ def test_mix_gives_small_sources_their_share(spark):
     assert all(abs(r["taken"] - r["target"]) <= 0.5 for r in got)
 
 
+def test_url_split_is_the_cheapest_of_all_splits():
+    rng = random.Random(5)
+    seg = url_filters.Segmenter(Counter({w: rng.randint(1, 50) for w in ("a", "ab", "abc", "bc", "c", "ca", "cab", "aba", "ccc", "bb")}))
+
+    def cost(part):
+        return min(seg.costs.get(part, math.inf), seg.unknown + seg.per_letter * len(part))
+
+    for n in (*range(1, 10), 9, 9, 9):
+        run = "".join(rng.choice("abcx") for _ in range(n))
+        splits = []
+        for mask in range(1 << (n - 1)):
+            cuts = [0, *(k for k in range(1, n) if mask >> (k - 1) & 1), n]
+            splits.append(sum(cost(run[a:b]) for a, b in zip(cuts, cuts[1:])))
+        got = seg.split(run)
+        assert "".join(got) == run and math.isclose(sum(map(cost, got)), min(splits))
+
+
+def test_url_log_odds_equal_brute_force(spark):
+    rng = random.Random(6)
+    parts = ["casino", "win", "garden", "tea", "zorb", "quint", "news", "spam", "ÜBER", "漢字"]
+    urls = [f"http://{rng.choice(parts)}{rng.choice(('', '-', '.'))}{rng.choice(parts)}.example/{rng.choice(parts)}/{rng.choice(parts)}{k % 7}" for k in range(200)]
+    urls += [urls[0], urls[0], None, "none", "http://" + "x" * 5000 + ".example/" + "ab" * 3000]
+    df = spark.createDataFrame([(k, u) for k, u in enumerate(urls)], "page_id long, url string").repartition(3)
+    model = url_filters.fit(df)
+    split, blocked = model.segmenter.tokens, set(url_filters.BLOCK_WORDS)
+    heads = {re.match(r".*?://([^/?#]*)([^?#]*)", u).groups() for u in urls if u and "://" in u}
+    b, a = Counter(), Counter()
+    for host, path in heads:
+        found = set(split(host.translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")), path))
+        (b if found & blocked else a).update(found)
+    words = {*a, *b, *url_filters.BLOCK_WORDS, *url_filters.ALLOW_WORDS}
+    b_all, a_all = b + Counter({w: 5 for w in url_filters.BLOCK_WORDS}), a + Counter(url_filters.ALLOW_WORDS)
+    for w in words:
+        want = math.log((b_all[w] + 0.5) / (sum(b.values()) + 5 * len(url_filters.BLOCK_WORDS) + 0.5 * len(words))) - math.log((a_all[w] + 0.5) / (sum(a.values()) + len(url_filters.ALLOW_WORDS) + 0.5 * len(words)))
+        assert math.isclose(model.weights[w], want, rel_tol=1e-9, abs_tol=1e-9), w
+    got = url_filters.judge(df, model).collect()
+    assert len(got) == len(urls) and all(math.isclose(r["score"], sum(model.weights.get(t, 0.0) for t in r["tokens"]), abs_tol=1e-9) for r in got)
+    assert all(r["verdict"] == ("block" if r["score"] > 0 else "allow") for r in got if r["rule"] is None)
+
+
 def test_url_model_reads_whole_paths_of_all_urls(spark):
     urls = [(f"http://host{k}.example/en/deeper/zorbling{'-viagra' if k % 2 else ''}/{k}",) for k in range(60)]
     urls += [(f"http://h{k}.example/a/quintessentially/{'x' * (k % 3)}{k}",) for k in range(60)] + [("http://zorblingquintessentially.example/",), (None,), ("://",)]
