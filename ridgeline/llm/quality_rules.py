@@ -163,9 +163,7 @@ cov AS (SELECT rid, count(DISTINCT p) AS n FROM (SELECT rid, unnest([i, i + 1, i
 raw AS (SELECT rid, source, text, unnest(string_split(text, chr(10))) AS line FROM d WHERE NOT missing),
 dl AS (SELECT rid, count(*) - count(DISTINCT line) AS n FROM raw WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY rid),
 ln AS (SELECT rid, source, text, trim(translate(regexp_replace(line, '[\x20\x09-\x0D]+', ' ', 'g'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), ' ') AS line FROM raw),
-hosts AS (SELECT source, count(DISTINCT text) AS n FROM d WHERE NOT missing GROUP BY source),
-freq AS (SELECT c.source, c.line FROM (SELECT source, line, count(DISTINCT text) AS n FROM ln WHERE line <> '' GROUP BY source, line) c
-  JOIN hosts h ON c.source IS NOT DISTINCT FROM h.source WHERE c.n > 20 AND c.n > 0.2 * h.n),
+freq AS (SELECT source, line FROM ln WHERE line <> '' GROUP BY source, line HAVING count(DISTINCT text) > 10),
 gone AS (SELECT rid, sum(length(ln.line) - length(replace(ln.line, ' ', '')) + 1) AS n FROM ln JOIN freq f ON ln.line = f.line AND ln.source IS NOT DISTINCT FROM f.source GROUP BY rid),
 s AS (SELECT d.rid, d.doc_id, CAST(len(ws) AS BIGINT) AS n_words,
   CAST(length(regexp_replace(text, '[\x20\x09-\x0D]', '', 'g')) AS BIGINT) AS word_chars,
