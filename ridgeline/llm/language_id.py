@@ -146,11 +146,12 @@ def train(samples: list[tuple[str, str]], hidden: int = 6, window: int = 48, wid
     return net
 
 
-def training_samples(docs: DataFrame, text_col: str, label_col: str, use: Column, id_col: str, per_label: int, chars: int) -> list[tuple[str, str]]:
+def training_samples(docs: DataFrame, text_col: str, label_col: str, use: Column, id_col: str, per_label: int, chars: int, buckets: int = 64) -> list[tuple[str, str]]:
     """At most `per_label` stretches of `chars` characters for each label, from anywhere in the texts of rows that `use` admits.
 
-    The rows with the lowest hashed ids are taken, so the sample is the same on every run. Only ranked rows leave a
-    task, so a label that holds most rows is no burden. Every label is sampled.
+    The rows with the lowest hashed ids are taken, so the sample is the same on every run. They are found in two levels, first
+    in `buckets` of a label, then in the label, and only ranked rows leave a task of the first level: so however many tasks
+    there are, at most buckets * per_label rows of a label meet in one. Every label is sampled.
     """
     key = F.xxhash64(docs[id_col], docs[text_col])
     length = F.length(docs[text_col])
@@ -158,7 +159,9 @@ def training_samples(docs: DataFrame, text_col: str, label_col: str, use: Column
     picked = docs.filter(use & docs[label_col].isNotNull() & (length > 0)).select(
         F.substring(docs[text_col], start, F.lit(chars)).alias("t"), docs[label_col].cast("string").alias("label"), key.alias("k")
     )
-    ranked = picked.withColumn("r", F.row_number().over(Window.partitionBy("label").orderBy("k", "t"))).filter(F.col("r") <= per_label)
+    first = Window.partitionBy("label", F.pmod("k", F.lit(buckets))).orderBy("k", "t")
+    ranked = picked.withColumn("r", F.row_number().over(first)).filter(F.col("r") <= per_label).drop("r")
+    ranked = ranked.withColumn("r", F.row_number().over(Window.partitionBy("label").orderBy("k", "t"))).filter(F.col("r") <= per_label)
     rows = ranked.select("t", "label").orderBy("label", "t").collect()
     return [(r["t"], r["label"]) for r in rows]
 

@@ -263,6 +263,51 @@ def test_gradients_are_those_of_the_loss():
             assert abs((sides[0] - sides[1]) / 2e-3 - g[at]) < 2e-3
 
 
+def brute_pooled(net, raw, window):
+    """Mean label probabilities of a text, cell by cell in plain Python, each window from a zero state in both directions."""
+    clip = lambda x, low: max(low, min(1.0, x))
+    hidden, total = net.recurrent.shape[2], [0.0] * len(net.labels)
+    codes = [b + 32 if 65 <= b <= 90 else b for b in raw]
+    for at in range(0, len(codes), window):
+        part = codes[at : at + window]
+        padded = part + [32] * (window - len(part))  # the last window is filled with spaces
+        halves = []
+        for way, order in ((0, padded), (1, padded[::-1])):
+            state, seen = [0.0] * hidden, []
+            for code in order:
+                added = [float(x) for x in net.inputs[way][:, code]]
+                carried = [sum(float(w) * s for w, s in zip(row, state)) for row in net.recurrent[way]]
+                reset, update = ([clip(added[g * hidden + k] + carried[g * hidden + k], 0.0) for k in range(hidden)] for g in (0, 1))
+                new = [clip(added[2 * hidden + k] + reset[k] * carried[2 * hidden + k], -1.0) for k in range(hidden)]
+                state = [u * s + (1 - u) * n for u, s, n in zip(update, state, new)]
+                seen.append(state)
+            halves.append(seen if way == 0 else seen[::-1])
+        for t in range(len(part)):
+            both = halves[0][t] + halves[1][t]
+            raw_score = [float(b) + sum(float(w) * x for w, x in zip(row, both)) for row, b in zip(net.output, net.bias)]
+            top = max(raw_score)
+            e = [math.exp(x - top) for x in raw_score]
+            total = [a + x / sum(e) for a, x in zip(total, e)]
+    return [x / max(1, len(codes)) for x in total]
+
+
+def test_pooled_probabilities_equal_brute_force():
+    net = language_id.ByteGru.fresh(["a", "b", "c"], 3, np.random.default_rng(1))
+    texts = [b"", b"x", "Grüße, 漢字!".encode(), b"Abc " * 20, bytes(range(33, 120)) * 2]
+    data, offsets = np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)])
+    mean, _ = language_id.pooled(net, data, offsets, window=16, width=5)
+    for got, text in zip(mean, texts):
+        assert np.allclose(got, brute_pooled(net, text, 16), atol=1e-5)
+
+
+def test_the_sample_has_the_lowest_hashes(spark):
+    docs = spark.createDataFrame([(k, f"text {k}", "hot" if k % 5 else f"l{k % 3}") for k in range(600)], "doc_id long, text string, lang string").repartition(7)
+    got = language_id.training_samples(docs, "text", "lang", docs["doc_id"] >= 0, "doc_id", 9, 100)
+    keyed = docs.select(F.xxhash64("doc_id", "text").alias("k"), "text", "lang").collect()
+    want = [(r["text"], r["lang"]) for lang in ("hot", "l0", "l1", "l2") for r in sorted((r for r in keyed if r["lang"] == lang), key=lambda r: r["k"])[:9]]
+    assert sorted(got) == sorted(want)
+
+
 def test_languages_are_told_apart(spark, docs, nothing):
     rng = random.Random(1)
     parts = {"a": ("the", "ing", "tion", "and"), "b": ("ñe", "que", "ció", "los"), "c": ("sch", "ung", "ß", "der")}
