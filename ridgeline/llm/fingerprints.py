@@ -22,22 +22,25 @@ def with_tree(df: DataFrame, text_col: str, tree_col: str) -> DataFrame:
 
     A paragraph is a line with its line feed; a leaf is a stretch of at most LEAF code points that ends after white
     space where it can. Null text has the tree of the empty text, which has no leaves. Equal texts have equal roots.
+    Paragraphs hash the leaves' whole codes; the tree keeps 24 bits of hash and 8 of length of each leaf, as the
+    fingerprint does.
     """
     nested = df.withColumn("_p", F.expr(_leaves(f"coalesce(`{text_col}`, '')")))
     hashed = nested.withColumn("_h", F.expr("transform(_p, x -> xxhash64(x))"))
     grouped = hashed.withColumn("_s", F.expr(f"if(size(_h) = 0, cast(array() as array<bigint>), transform(sequence(0, (size(_h) - 1) div {SECTION}), s -> xxhash64(slice(_h, cast(s as int) * {SECTION} + 1, {SECTION}))))"))
     root = "sha2(concat_ws(',', transform(_s, x -> cast(x as string))), 256)"
-    return grouped.withColumn(tree_col, F.expr(f"struct({root} as root, _s as sections, _h as paragraphs, flatten(_p) as leaves)")).drop("_p", "_h", "_s")
+    short = "transform(flatten(_p), x -> (shiftrightunsigned(x, 40) * 256) | (x & 255L))"
+    return grouped.withColumn(tree_col, F.expr(f"struct({root} as root, _s as sections, _h as paragraphs, {short} as leaves)")).drop("_p", "_h", "_s")
 
 
 def fingerprint(tree: str) -> Column:
     """The root, and 24 bits of hash and 8 of length for each leaf, in hexadecimal."""
-    code = "lpad(lower(hex((shiftrightunsigned(x, 40) * 256) | (x & 255L))), 8, '0')"
+    code = "lpad(lower(hex(x)), 8, '0')"
     return F.expr(f"concat({tree}.root, ':', array_join(transform({tree}.leaves, x -> {code}), ''))")
 
 
 def likeness(a: str, b: str) -> Column:
-    """Code points that two trees share, by those of the larger tree; 1 for equal texts.
+    """Code points that two trees share, by those of the larger tree; 1 for equal texts. The two fingerprints determine it.
 
     The larger of two measures counts: of distinct leaves, wherever they stand, and of equal leaves at equal places
     (so a text that repeats itself is like its edited form).

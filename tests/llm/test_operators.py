@@ -217,6 +217,29 @@ def test_fingerprints_equal_brute_force(docs, nothing, spark):
     assert fingerprints.compare_edited(plain.filter("doc_id = 12")).first()["near_next"] == 1.0
 
 
+def likeness_of(a, b):
+    """By the two strings alone: shared code points of distinct leaves, or of leaves at equal places, by the larger text's."""
+    if a.split(":")[0] == b.split(":")[0]:
+        return 1.0
+    left, right = ([f.split(":")[1][k : k + 8] for k in range(0, len(f.split(":")[1]), 8)] for f in (a, b))
+    size = lambda leaves: sum(int(x[6:], 16) for x in leaves)
+    spread = size(set(left) & set(right)) / max(size(set(left)), size(set(right)), 1)
+    return max(spread, size(x for x, y in zip(left, right) if x == y) / max(size(left), size(right), 1))
+
+
+def test_likeness_follows_from_the_fingerprints(docs):
+    rows = fingerprints.compare_edited(docs).collect()
+    of = Counter(r["fingerprint"] for r in rows)
+    nearest = sorted((r for r in rows), key=lambda r: (r["doc_id"] is not None, r["doc_id"] or 0))
+    for r in rows:
+        assert math.isclose(r["near_edited"], likeness_of(r["fingerprint"], r["edited_fingerprint"]), abs_tol=1e-12)
+        assert any(math.isclose(r["near_next"], likeness_of(r["fingerprint"], f), abs_tol=1e-12) for f in of)
+    ids = [r["doc_id"] for r in nearest]
+    alone = [k for k in range(1, len(ids) - 1) if ids.count(ids[k]) == ids.count(ids[k + 1]) == 1]
+    for k in alone:
+        assert math.isclose(nearest[k]["near_next"], likeness_of(nearest[k]["fingerprint"], nearest[k + 1]["fingerprint"]), abs_tol=1e-12)
+
+
 def test_fingerprint_buckets_follow_far_ids(spark):
     ids = [-(1 << 40), 5, 6, 7, 8, 1 << 50]
     df = spark.createDataFrame([(i, f"text {i} " * 9) for i in ids], "doc_id long, text string")
