@@ -27,13 +27,13 @@ def in_window(df: DataFrame, col: str, start, end) -> DataFrame:
 def merge_upsert(target: DataFrame, source: DataFrame, keys: Sequence[str], version: str | None, strict: bool = True, delete_missing: bool = False) -> DataFrame:
     """The target after an upsert: a source row replaces the target's if its version is newer (strict), or not older.
 
-    Without a version every match is replaced. The source is first cut to its latest row of each key. One shuffle by
-    the keys serves the deduplication and the full join. delete_missing drops target rows that the source lacks.
+    Without a version every match is replaced. The source is first cut to its latest row of each key; of those that tie (all,
+    where there is no version) the one with the largest hash of its values is taken, so reruns agree. One shuffle by the
+    keys serves the deduplication and the full join. delete_missing drops target rows that the source lacks.
     """
-    order = [F.col(version).desc_nulls_last()] if version else []
-    fresh = latest_by(source, keys, order or [F.lit(1)])
     columns = target.columns
-    fresh = fresh.select(*columns)
+    order = [F.col(version).desc_nulls_last()] if version else []
+    fresh = latest_by(source.select(*columns), keys, [*order, F.xxhash64(*columns).desc()])
     on = None
     for k in keys:
         on = (F.col(f"s.{k}") == F.col(f"t.{k}")) if on is None else on & (F.col(f"s.{k}") == F.col(f"t.{k}"))

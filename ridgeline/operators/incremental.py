@@ -30,17 +30,22 @@ def lookback_from_clock(source: DataFrame, col: str, today: dt.date, days: int =
 def run_model(store: Store, name: str, rows: DataFrame, strategy: str, keys: Sequence[str] = (), partition: str | None = None, full_refresh: bool = False) -> DataFrame:
     """Applies a model's rows to its table: full, merge (on keys) or insert_overwrite (of the partitions in the rows).
 
-    insert_overwrite replaces the partitions that the rows hold; a day that became empty keeps its old rows.
+    Only folders that hold a key of the rows (merge), or a partition of theirs (insert_overwrite), are written again; rows
+    with new keys come as new folders. A day that became empty keeps its old rows. Columns follow the rows' in a merge
+    (new ones are null in old rows, absent ones go); insert_overwrite keeps those that either has.
     """
     if full_refresh or not store.exists(name):
         store.replace(name, rows, partition)
     elif strategy == "merge":
-        target = sync_all(store.read(name), rows)
-        store.replace(name, merge_upsert(target, rows, keys, None), partition)
+        store.change(name, store.matched(name, rows, keys), lambda old: merge_upsert(sync_all(old, rows), rows, keys, None))
     elif strategy == "insert_overwrite":
-        target, rows = align(store.read(name), rows)
-        gone = rows.select(partition).distinct()
-        store.replace(name, target.join(gone, partition, "left_anti").select(*target.columns).unionByName(rows), partition)
+        target, fresh = align(store.read(name), rows)
+        if partition and store.current(name)["partition"] != [partition]:  # laid out anew, once
+            store.replace(name, target.join(fresh.select(partition).distinct(), partition, "left_anti").select(*target.columns).unionByName(fresh), partition)
+        else:
+            store.overwrite_partitions(name, fresh)
+    elif strategy == "append":
+        store.change(name, [], lambda old: sync_all(old, rows).unionByName(rows))
     else:
         raise ValueError(f"unknown strategy {strategy}")
     return store.read(name)

@@ -1,10 +1,12 @@
-"""Parquet tables in versioned folders, with a pointer that is swapped when a version is whole."""
+"""Parquet tables as immutable folders, with a list of those that make up each version."""
 
 from __future__ import annotations
 
+import json
 import re
 import tempfile
-from collections.abc import Sequence
+import uuid
+from collections.abc import Iterable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -13,23 +15,34 @@ from pyspark.sql import types as T
 
 
 def normalise_label(value: str) -> str:
-    """A billing label: lower case, '_' as '-', other characters gone, at most 63 of them."""
-    text = re.sub(r"[^a-z0-9-]", "", value.lower().replace("_", "-"))[:63]
-    return text or "unknown"
+    """A billing label: lower case, each run of other characters than a-z and 0-9 as one '-', none at the ends, at most 63."""
+    return "-".join(re.findall("[a-z0-9]+", value.lower()))[:63] or "unknown"
 
 
 def merge_labels(dag: dict[str, str], auto: dict[str, str], table: dict[str, str]) -> dict[str, str]:
     return {normalise_label(k): normalise_label(v) for k, v in {**dag, **auto, **table}.items()}
 
 
+def table_labels(table: str, source_system: str, dag: dict[str, str] | None = None, own: dict[str, str] | None = None) -> dict[str, str]:
+    """The labels of a load: the job's, then table and source-system, then the table's own, which win."""
+    return merge_labels(dag or {}, {"table": table, "source-system": source_system}, own or {})
+
+
+#: The folder level that tells versions apart; no column may have its name.
+FOLDER = "__version"
 _OWN: dict[str, str] = {}
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own only where that is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir, else the checkpoint folder that was set; on a local master one of our own."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    existing = spark.sparkContext._jsc.sc().getCheckpointDir()
+    if existing.isDefined():
+        return existing.get().rstrip("/")
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     app = spark.sparkContext.applicationId
     if app not in _OWN:
         _OWN[app] = tempfile.mkdtemp(prefix="ridgeline-")
@@ -38,7 +51,12 @@ def shared_folder(spark: SparkSession) -> str:
 
 @dataclass
 class Store:
-    """Tables below a root; any path that Spark's file systems know. A reader sees whole versions only."""
+    """Tables below a root; any path that Spark's file systems know. A reader sees whole versions only.
+
+    Rows lie in data/__version=N/<partitions>; _versions/N.json lists the folders of version N and its schema. A list is written
+    under another name and renamed, and never deleted before a newer one is there, so a crash at any point leaves the
+    version before. A change of some partitions writes those, and lists the others where they are.
+    """
 
     spark: SparkSession
     root: str
@@ -48,24 +66,39 @@ class Store:
         p = jvm.org.apache.hadoop.fs.Path(path)
         return p, p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
 
-    def _pointer(self, name: str) -> str | None:
-        path, fs = self._fs(f"{self.root}/{name}/CURRENT")
-        if not fs.exists(path):
-            return None
-        return [r[0] for r in self.spark.read.text(path.toString()).collect()][0]
+    def _versions(self, name: str) -> list[int]:
+        path, fs = self._fs(f"{self.root}/{name}/_versions")
+        names = [x.getPath().getName() for x in fs.listStatus(path)] if fs.exists(path) else []
+        return sorted(int(m[1]) for n in names if (m := re.fullmatch(r"(\d+)\.json", n)))
+
+    def _list(self, name: str, version: int) -> dict:
+        return json.loads("\n".join(r[0] for r in self.spark.read.text(f"{self.root}/{name}/_versions/{version:08d}.json").collect()))
+
+    def current(self, name: str) -> dict:
+        """version, schema, partition and folders of the newest whole version."""
+        versions = self._versions(name)
+        if not versions:
+            raise ValueError(f"no table {name}")
+        return self._list(name, versions[-1])
 
     def exists(self, name: str) -> bool:
-        return self._pointer(name) is not None
+        return bool(self._versions(name))
+
+    def _read(self, name: str, now: dict, folders: Sequence[str]) -> DataFrame:
+        schema = T.StructType.fromJson(now["schema"])
+        if not folders:
+            return self.spark.createDataFrame([], schema)
+        base = f"{self.root}/{name}/data"
+        full = T.StructType([*schema, T.StructField(FOLDER, T.StringType())])
+        return self.spark.read.schema(full).option("basePath", base).parquet(*[f"{base}/{x}" for x in folders]).select(*schema.names)
 
     def read(self, name: str) -> DataFrame:
-        version = self._pointer(name)
-        if version is None:
-            raise ValueError(f"no table {name}")
-        return self.spark.read.parquet(f"{self.root}/{name}/{version}")
+        now = self.current(name)
+        return self._read(name, now, now["folders"])
 
     def read_partitions(self, name: str, column: str, predicate: Column | None) -> DataFrame:
-        """For tables whose scans must name partitions: a missing predicate is an error."""
-        if predicate is None:
+        """For tables whose scans must name partitions: a missing predicate, or one on other columns alone, is an error."""
+        if predicate is None or not re.search(rf"(?<!\w){re.escape(column)}(?!\w)", str(predicate)):
             raise ValueError(f"{name}: a predicate on {column} is required")
         return self.read(name).filter(predicate)
 
@@ -73,31 +106,125 @@ class Store:
         if not self.exists(name):
             self.replace(name, self.spark.createDataFrame([], schema))
 
-    def replace(self, name: str, df: DataFrame, partition: str | Sequence[str] | None = None, cluster: Sequence[str] = ()) -> str:
-        """Writes the next version, then swaps the pointer by a rename; the version before stays for running readers, older ones go."""
-        now = self._pointer(name)
-        version = f"v{int(now[1:]) + 1 if now else 1:08d}"
+    def _write(self, name: str, df: DataFrame, partition: Sequence[str], cluster: Sequence[str]) -> tuple[int, list[str]]:
+        """The number of a new version, and the folders with its rows, which no list names yet."""
+        path, fs = self._fs(f"{self.root}/{name}/data")
+        used = [int(m[1]) for x in (fs.listStatus(path) if fs.exists(path) else []) if (m := re.fullmatch(FOLDER + r"=(\d+)", x.getPath().getName()))]
+        version = max([0, *used, *self._versions(name)]) + 1
         out = df.sortWithinPartitions(*cluster) if cluster else df
-        writer = out.write.mode("overwrite")
-        if partition:
-            writer = writer.partitionBy(*([partition] if isinstance(partition, str) else partition))
-        writer.parquet(f"{self.root}/{name}/{version}")
-        fresh, fs = self._fs(f"{self.root}/{name}/NEXT")
+        (out.write.partitionBy(*partition) if partition else out.write).parquet(f"{path}/{FOLDER}={version:08d}")
+        found = fs.globStatus(self._fs(f"{path}/{FOLDER}={version:08d}{'/*=*' * len(partition)}")[0])
+        return version, sorted(str(x.getPath()).split("/data/", 1)[1] for x in found or [])
+
+    def _commit(self, name: str, version: int, schema: T.StructType, partition: Sequence[str], folders: Iterable[str]) -> None:
+        text = json.dumps({"version": version, "schema": schema.jsonValue(), "partition": list(partition), "folders": sorted(folders)})
+        fresh, fs = self._fs(f"{self.root}/{name}/_versions/.{uuid.uuid4().hex}")
         stream = fs.create(fresh, True)
-        stream.write(bytearray(version.encode()))
+        stream.write(bytearray(text.encode()))
         stream.close()
-        pointer, _ = self._fs(f"{self.root}/{name}/CURRENT")
-        fs.delete(pointer, False)
-        fs.rename(fresh, pointer)
-        if now and int(now[1:]) > 1:
-            fs.delete(self._fs(f"{self.root}/{name}/v{int(now[1:]) - 1:08d}")[0], True)
+        if not fs.rename(fresh, self._fs(f"{self.root}/{name}/_versions/{version:08d}.json")[0]):
+            raise RuntimeError(f"{name}: version {version} was written by another run")
+        self._clean(name)
+
+    def _clean(self, name: str) -> None:
+        """Drops lists older than the last two, and folders that neither of those names."""
+        versions = self._versions(name)
+        kept = {x for v in versions[-2:] for x in self._list(name, v)["folders"]}
+        for v in versions[:-2]:
+            old = self._list(name, v)
+            for folder in set(old["folders"]) - kept:
+                path, fs = self._fs(f"{self.root}/{name}/data/{folder}")
+                fs.delete(path, True)
+            path, fs = self._fs(f"{self.root}/{name}/_versions/{v:08d}.json")
+            fs.delete(path, False)
+
+    def replace(self, name: str, df: DataFrame, partition: str | Sequence[str] | None = None, cluster: Sequence[str] = ()) -> int:
+        """The whole table anew; the version before stays for running readers."""
+        columns = [partition] if isinstance(partition, str) else list(partition or ())
+        version, folders = self._write(name, df, columns, cluster)
+        self._commit(name, version, df.schema, columns, folders)
         return version
 
+    def overwrite_partitions(self, name: str, rows: DataFrame, cluster: Sequence[str] = ()) -> int:
+        """Replaces the partitions that the rows hold; the others stay where they are."""
+        now = self.current(name)
+        version, fresh = self._write(name, rows, now["partition"], cluster)
+        gone = {x.split("/", 1)[-1] for x in fresh}
+        self._commit(name, version, rows.schema, now["partition"], [*(x for x in now["folders"] if x.split("/", 1)[-1] not in gone), *fresh])
+        return version
+
+    def matched(self, name: str, rows: DataFrame, keys: Sequence[str]) -> list[str]:
+        """The folders with a row that has the keys of one of `rows`; only the keys are read."""
+        now = self.current(name)
+        if not now["folders"]:
+            return []
+        base = f"{self.root}/{name}/data"
+        full = T.StructType([*T.StructType.fromJson(now["schema"]), T.StructField(FOLDER, T.StringType())])
+        held = self.spark.read.schema(full).option("basePath", base).parquet(*[f"{base}/{x}" for x in now["folders"]])
+        file = F.regexp_extract(F.col("_metadata.file_path"), rf"/data/({FOLDER}=\d+(?:/[^/]+)*)/[^/]+$", 1)
+        return sorted(r[0] for r in held.select(*keys, file.alias("_folder")).join(rows.select(*keys).distinct(), list(keys), "left_semi").select("_folder").distinct().collect())
+
+    def change(self, name: str, folders: Sequence[str], make, cluster: Sequence[str] = ()) -> int:
+        """Replaces the rows of some folders by what `make` gives for them; the others stay where they are."""
+        now = self.current(name)
+        rows = make(self._read(name, now, folders))
+        version, fresh = self._write(name, rows, now["partition"], cluster)
+        self._commit(name, version, rows.schema, now["partition"], [*(x for x in now["folders"] if x not in set(folders)), *fresh])
+        return version
+
+    def truncate(self, name: str) -> int:
+        """An empty version of the table. Whoever draws ids from `next_id` begins at 1 again."""
+        now = self.current(name)
+        version = max(self._versions(name)) + 1
+        self._commit(name, version, T.StructType.fromJson(now["schema"]), now["partition"], [])
+        return version
+
+    def next_id(self, name: str, column: str) -> int:
+        """The first id that the table doesn't hold: one more than its largest, 1 if it is empty."""
+        return (self.read(name).agg(F.max(column)).first()[0] or 0) + 1
+
     def drop(self, name: str) -> None:
         path, fs = self._fs(f"{self.root}/{name}")
         fs.delete(path, True)
 
 
+@dataclass
+class Staged:
+    """A table of one run, dropped at its end whether the run fails or not: `with Staged(store, "tmp", rows) as table`."""
+
+    store: Store
+    name: str
+    rows: DataFrame
+
+    def __enter__(self) -> DataFrame:
+        self.own = f"{self.name}_{uuid.uuid4().hex}"
+        try:
+            self.store.replace(self.own, self.rows)
+            return self.store.read(self.own)
+        except BaseException:
+            self.store.drop(self.own)
+            raise
+
+    def __exit__(self, *failure) -> None:
+        self.store.drop(self.own)
+
+
+def run_statements(spark: SparkSession, statements: Sequence[str], tables: dict[str, DataFrame] | None = None) -> DataFrame | None:
+    """Runs SQL statements in order and gives the last one's rows.
+
+    `tables` are views for the run alone, as is what `CREATE TEMPORARY VIEW` in a statement makes: a session of their own
+    holds them, so that runs side by side don't meet. A statement that fails ends the run.
+    """
+    session = spark.newSession()
+    for name, df in (tables or {}).items():
+        moved = session.sparkContext._jvm.org.apache.spark.sql.classic.Dataset.ofRows(session._jsparkSession, df._jdf.queryExecution().logical())
+        DataFrame(moved, session).createTempView(name)
+    out = None
+    for text in statements:
+        out = session.sql(text)
+    return out
+
+
 def truncated(col: str, unit: str) -> Column:
     """The partition value of a time column: day, month, year or hour."""
     return F.date_trunc(unit, F.col(col))

@@ -1,8 +1,13 @@
 """Core operators: properties, edge cases, and the catalogue against DuckDB on the smallest tables."""
 
 import datetime as dt
+import os
 import random
+import shutil
+import subprocess
+import sys
 from collections import Counter
+from pathlib import Path
 
 import duckdb
 import pytest
@@ -15,7 +20,7 @@ from ridgeline.operators import history as H
 from ridgeline.operators import quality as Q
 from ridgeline.operators.evolve import align, sync_all, sync_report
 from ridgeline.operators.incremental import lookback_from_max, overwrite_partitions, run_model
-from ridgeline.operators.store import Store, merge_labels, normalise_label
+from ridgeline.operators.store import Staged, Store, merge_labels, normalise_label, run_statements, table_labels
 from ridgeline.plans import catalog
 from ridgeline.sources import connectors as C
 
@@ -108,10 +113,80 @@ def test_store_swaps_versions_and_strategies(spark, tmp_path):
     assert {(r["k"], r["v"], r["extra"]) for r in got.collect()} == {(1, 1, None), (9, 7, "new"), (3, 5, None)}
     with pytest.raises(ValueError):
         store.read_partitions("m", "day", None)
+    with pytest.raises(ValueError):
+        store.read_partitions("m", "day", F.col("yesterday") > 1)
+    assert store.read_partitions("m", "day", F.col("day") > "2024-01-01").count() == 2
     with pytest.raises(ValueError):
         store.read("absent")
 
 
+def test_store_survives_a_crash_at_any_point(spark, tmp_path, monkeypatch):
+    store = Store(spark, f"file://{tmp_path}/w")
+    run_model(store, "m", spark.range(5).withColumn("day", F.lit("a")), "merge", ["id"], "day")
+    more = spark.range(4, 6).withColumn("day", F.lit("b"))
+
+    def broken(*args):
+        raise OSError("crash")
+
+    with monkeypatch.context() as m:  # the rows are written, their list isn't
+        m.setattr(Store, "_commit", broken)
+        with pytest.raises(OSError):
+            run_model(store, "m", more, "merge", ["id"])
+    assert store.exists("m") and store.read("m").count() == 5
+    with monkeypatch.context() as m:  # the list is there, old versions are left
+        m.setattr(Store, "_clean", broken)
+        with pytest.raises(OSError):
+            run_model(store, "m", more, "merge", ["id"])
+    for _ in range(2):
+        assert {(r["id"], r["day"]) for r in run_model(store, "m", more, "merge", ["id"]).collect()} == {*((k, "a") for k in range(4)), (4, "b"), (5, "b")}
+    with monkeypatch.context() as m:
+        m.setattr(Store, "_write", broken)
+        with pytest.raises(OSError):
+            run_model(store, "fresh", more, "merge", ["id"])
+    assert not store.exists("fresh") and run_model(store, "fresh", more, "merge", ["id"]).count() == 2
+
+
+def test_increments_leave_other_partitions_where_they_are(spark, tmp_path):
+    store = Store(spark, f"file://{tmp_path}/w")
+    run_model(store, "m", spark.range(100).selectExpr("id", "id div 10 AS part", "0 AS v"), "merge", ["id"], "part")
+    before = set(store.current("m")["folders"])
+    run_model(store, "m", spark.sql("SELECT 7L AS id, 0L AS part, 1 AS v UNION ALL SELECT 200L, 3L, 2"), "merge", ["id"])
+    after = set(store.current("m")["folders"])
+    assert before - after == {"__version=00000001/part=0"} and after - before == {"__version=00000002/part=0", "__version=00000002/part=3"}
+    run_model(store, "m", spark.sql("SELECT 1L AS id, 3L AS part, 9 AS v"), "insert_overwrite")
+    assert store.read("m").filter("part = 3").count() == 1 and store.read("m").count() == 91
+    run_model(store, "m", spark.sql("SELECT 500L AS id, 4L AS part, 9 AS v"), "append")
+    assert store.next_id("m", "id") == 501 and store.read("m").count() == 92
+    store.truncate("m")
+    assert store.next_id("m", "id") == 1 and store.read("m").count() == 0
+    store.create("empty", spark.range(0).schema)
+    assert store.read("empty").count() == 0 and store.next_id("empty", "id") == 1
+
+
+def test_staged_tables_go_whatever_happens(spark, tmp_path):
+    store = Store(spark, f"file://{tmp_path}/w")
+    with pytest.raises(ZeroDivisionError):
+        with Staged(store, "tmp", spark.range(3)) as table:
+            assert table.count() == 3
+            1 / 0
+    assert not any((tmp_path / "w").iterdir())
+
+
+def test_statements_run_in_a_session_of_their_own(spark):
+    rows = run_statements(spark, ["CREATE TEMPORARY VIEW even AS SELECT * FROM numbers WHERE id % 2 = 0", "SELECT count(*) AS n FROM even"], {"numbers": spark.range(10)})
+    assert rows.first()["n"] == 5 and not spark.catalog.tableExists("even") and not spark.catalog.tableExists("numbers")
+
+
+def test_core_works_without_the_training_operators(tmp_path):
+    root = Path(__file__).resolve().parents[1]
+    for name in ("ridgeline", "__spark_entry__.py", "corpus_pipeline.py"):
+        if (root / name).exists():
+            (shutil.copytree if (root / name).is_dir() else shutil.copy)(root / name, tmp_path / name)
+    shutil.rmtree(tmp_path / "ridgeline" / "llm", ignore_errors=True)
+    say = "import __spark_entry__ as e; q = e.queries(); assert 'a_city_service' in q and 'pipeline' not in q and set(e.oracle_sql()) <= set(q); print(len(q))"
+    assert int(subprocess.run([sys.executable, "-c", say], cwd=tmp_path, env={**os.environ, "PYTHONPATH": str(tmp_path)}, capture_output=True, text=True, check=True).stdout.split()[-1]) > 80
+
+
 def test_overwriting_partitions_leaves_others(spark, tmp_path):
     path = f"file://{tmp_path}/p"
     overwrite_partitions(spark, spark.createDataFrame([(1, "a"), (2, "b")], "v long, h string"), path, ["h"])
@@ -142,7 +217,8 @@ def test_configs_and_pure_functions():
             TableConfig("t", **({"keys": ("a",), "schema": schema} | bad))
     with pytest.raises(ValueError):
         TableConfig("t", ("_ingested_at",), parse_schema("_ingested_at:T"))
-    assert normalise_label("My_Table X!") == "my-tablex" and normalise_label("!!") == "unknown" and len(normalise_label("a" * 99)) == 63
+    assert normalise_label("My_Table X!") == "my-table-x" and normalise_label("__A--b..") == "a-b" and normalise_label("!!") == "unknown" and len(normalise_label("a" * 99)) == 63
+    assert table_labels("ride_fare", "ride_ops_pg", {"team": "Data Eng"}, {"team": "x"}) == {"table": "ride-fare", "source-system": "ride-ops-pg", "team": "x"}
     assert merge_labels({"a": "1"}, {"a": "2"}, {"b": "3"}) == {"a": "2", "b": "3"}
     hour = dt.datetime(2024, 1, 1, 3)
     assert C.cdc_path("cdc.public.ride", hour) == "raw/cdc/cdc.public.ride/year=2024/month=01/day=01/hour=03" and C.partition_suffix(hour) == "2023123120"
