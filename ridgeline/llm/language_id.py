@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from ridgeline.llm.shared import chunks, column, text_buffers
+from ridgeline.llm.shared import CHUNK, chunks, column, text_buffers
 
 UNKNOWN = "und"
 #: A-Z count as a-z.
@@ -214,7 +214,7 @@ def predict(docs: DataFrame, net: ByteGru | None, text_col: str = "text", pred_c
         for batch in batches:
             data, offsets = text_buffers(column(batch, "_gru_text"))
             langs, scores, runs = [], [], []
-            for low, high in chunks(offsets, 1 << 22):
+            for low, high in chunks(offsets, CHUNK):
                 base = offsets[low]
                 part, ends = data[base : offsets[high]], offsets[low : high + 1] - base
                 mean, marks = pooled(net, part, ends, spans=spans_col is not None) if net and len(part) else (None, None)

@@ -22,14 +22,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from ridgeline.llm.bytewords import mix, span_hashes, words
-from ridgeline.llm.shared import Workspace, chunks, column, text_buffers
+from ridgeline.llm.shared import CHUNK, Workspace, chunks, column, text_buffers
 
 #: What a symbol seen gives up to the escape, of its count.
 DISCOUNT = 0.3
 #: Most stretches whose values go to every task (17 bytes each).
 COMMON = 1 << 19
-#: Bytes of text that are worked on at once.
-CHUNK = 1 << 20
 #: The bit of a key that marks a token, not a stretch; stretches have 8 * (order + 1) bits.
 TOKEN_BIT = np.uint64(1 << 63)
 #: The byte that ends a text, and stands before it; it occurs in no UTF-8 text.

@@ -37,7 +37,7 @@ from pyspark.sql.window import Window
 
 from ridgeline.llm.bytewords import mix, span_hashes, words
 from ridgeline.llm.components import connect
-from ridgeline.llm.shared import Workspace, chunks, column, text_buffers
+from ridgeline.llm.shared import CHUNK, Workspace, chunks, column, text_buffers
 
 #: Least size of a set that gives bundles, ratio of the size classes, and parts for each difference allowed.
 LEAST, RATIO, PARTS = 60, 1.5, 2.0
@@ -132,7 +132,7 @@ def _rows_of(texts: DataFrame, sets: Sets, each, schema: str) -> DataFrame:
         for batch in batches:
             data, offsets = text_buffers(column(batch, "text"))
             ids = batch.column(0)
-            for low, high in chunks(offsets, 1 << 21):
+            for low, high in chunks(offsets, CHUNK):
                 part, ends = data[offsets[low] : offsets[high]], offsets[low : high + 1] - offsets[low]
                 yield from each(ids.slice(low, high - low), list(sets.of_rows(part, ends)), memory)
 

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ridgeline.llm.bytewords import segments, span_hashes
-from ridgeline.llm.shared import Workspace, chunks, column, text_buffers
+from ridgeline.llm.shared import CHUNK, Workspace, chunks, column, text_buffers
 
 #: Partitions whose leftovers meet in one task of the second pass; it bounds that task to MERGE * open windows.
 MERGE = 32
@@ -195,7 +195,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokeni
         for batch in batches:
             id_type = batch.column(0).type
             ids, (data, offsets) = batch.column(0).to_pylist(), text_buffers(column(batch, "_text"))
-            for low, high in chunks(offsets, 1 << 22):
+            for low, high in chunks(offsets, CHUNK):
                 base = offsets[low]
                 tokens, stops = encoder.encode(data[base : offsets[high]], offsets[low : high + 1] - base)
                 for k in range(high - low):

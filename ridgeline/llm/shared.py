@@ -11,16 +11,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 _UNSET_DIRS: dict[str, str] = {}
+#: Bytes of text that an Arrow function works on at once; its arrays take some hundred times that.
+CHUNK = 1 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir, or (only where that is unset, as in tests) one of our own."""
+    """The folder named by spark.checkpoint.dir, or the checkpoint folder that was set, or (on a local master, as in tests) one of our own."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
     existing = spark.sparkContext._jsc.sc().getCheckpointDir()
     if existing.isDefined():
         return existing.get().rstrip("/")
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     app = spark.sparkContext.applicationId
     if app not in _UNSET_DIRS:
         _UNSET_DIRS[app] = tempfile.mkdtemp(prefix="ridgeline-shared-")
