@@ -445,5 +445,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {**_QUERIES, **_models()}
 
 
+def _model_sql() -> dict[str, str]:
+    from ridgeline.plans.marts import MODELS
+    from ridgeline.plans.model_sql import model_sql
+
+    return {f"model_{name}": model_sql(name) for name in MODELS}
+
+
 def oracle_sql() -> dict[str, str]:
-    return oracle.sql()
+    return {**oracle.sql(), **_model_sql()}

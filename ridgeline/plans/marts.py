@@ -6,32 +6,47 @@ so Catalyst sees each mart as one plan. Timestamps are naive UTC.
 
 from __future__ import annotations
 
+import datetime as dt
 import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ridgeline.functions import expressions as X
 from ridgeline.functions.schema import TABLES
 from ridgeline.operators.funnel import funnel_steps
-from ridgeline.operators.history import as_of_join, latest_by, scd2_from_history
-from ridgeline.operators.store import shared_folder, write_query
+from ridgeline.operators.history import as_of_join, latest_by, scd2_apply, scd2_from_history
+from ridgeline.operators.incremental import FIRST_DAY, run_model
+from ridgeline.operators.store import Store, shared_folder, write_query
+from ridgeline.plans.stand_in import BUILT, SECOND, StandIn
 from ridgeline.sources import datagen
 from ridgeline.sources.spine import date_dimension
 
 MODELS: dict[str, Callable[[Session], DataFrame]] = {}
+#: The column that says when a row was built.
+LOADED = "_dbt_loaded_at"
 
 
 class Session:
-    """Resolves tables and models by name, each built once."""
+    """Resolves tables and models by name, each built once.
 
-    def __init__(self, spark: SparkSession, sources: Bronze | dict[str, DataFrame]):
+    now: the time that models are marked with. store: where materialised models lie; `ref` then reads them there.
+    since: for a model that is built for some days only, its first day and the column that holds it.
+    """
+
+    def __init__(self, spark: SparkSession, sources: Bronze | StandIn | dict[str, DataFrame], now: Column | None = None, store: Store | None = None):
         self.spark, self.sources, self.built, self.lineage = spark, sources, {}, []
+        self.now, self.store, self.since = F.expr("cast(current_timestamp() as timestamp_ntz)") if now is None else now, store, {}
 
     def source(self, name: str) -> DataFrame:
         return self.sources[name]
 
+    def recent(self, model: str, rows: DataFrame, day: Column) -> DataFrame:
+        """The rows from the first day that an increment of the model covers; all of them in a full build."""
+        return rows.filter(day >= F.lit(self.since[model])) if model in self.since else rows
+
     def ref(self, name: str) -> DataFrame:
         if name not in self.built:
             outer, self.path = getattr(self, "path", ()), (*getattr(self, "path", ()), name)
@@ -39,7 +54,8 @@ class Session:
                 raise ValueError(f"models depend on each other: {' > '.join(self.path)}")
             if outer:
                 self.lineage.append((name, outer[-1]))
-            self.built[name] = MODELS[name](self)
+            stored = outer and self.store is not None and name in MATERIALISED and self.store.exists(name)
+            self.built[name] = self.store.read(name) if stored else MODELS[name](self)
             self.path = outer
         return self.built[name]
 
@@ -68,13 +84,45 @@ class Bronze:
 
 
 def build(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A model over generated tables, with as many rides as sf_dir has orders."""
-    key = spark.sparkContext.applicationId, spark.read.parquet(f"{sf_dir}/orders.parquet").count()
+    """A model over the operational tables that stand in for sf_dir's; decimals as doubles."""
+    made = Session(spark, StandIn(spark, sf_dir), F.expr(f"TIMESTAMP_NTZ '{BUILT}'")).ref(name)
+    return made.select(*[F.col(f.name).cast("double").alias(f.name) if isinstance(f.dataType, T.DecimalType) else F.col(f.name) for f in made.schema])
+
+
+def build_generated(spark: SparkSession, rides: int, name: str) -> DataFrame:
+    """A model over as many generated rides."""
+    key = spark.sparkContext.applicationId, rides
     if key not in _BRONZE:
-        _BRONZE[key] = Bronze(spark, key[1])
+        _BRONZE[key] = Bronze(spark, rides)
     return Session(spark, _BRONZE[key]).ref(name)
 
 
+#: Models that are kept and built by increments: strategy, key, partition, and the days that an increment looks back, from the
+#: table's last day (merge) or from today (insert_overwrite).
+MATERIALISED = {
+    "fct_rides": ("merge", "ride_sk", "requested_date", 3),
+    "fct_payments": ("merge", "payment_transaction_sk", "payment_date", 3),
+    "fct_refunds": ("merge", "refund_sk", "refund_date", 3),
+    "fct_support_tickets": ("merge", "ticket_sk", "opened_date", 3),
+    **{f"agg_{x}": ("insert_overwrite", "", "metric_date", 7) for x in ("daily_city_service", "daily_payment_method", "daily_refunds", "driver_performance_daily", "promo_performance_daily", "ride_funnel_steps_daily")},
+}
+
+
+def materialise(spark: SparkSession, sources, store: Store, name: str, today: dt.date, now: Column | None = None, full_refresh: bool = False) -> DataFrame:
+    """Builds a kept model for its recent days, applies them to its table, and gives the table.
+
+    The first day is read before, so that it is a literal that reaches the scans. Facts look back from their own last day and
+    are merged; aggregates look back from `today` and replace whole days, reading the kept facts. The first build, and a full
+    refresh, cover all days.
+    """
+    strategy, key, partition, days = MATERIALISED[name]
+    session = Session(spark, sources, now, store)
+    if store.exists(name) and not full_refresh:
+        last = (store.read(name).agg(F.max(partition)).first()[0] or FIRST_DAY) if strategy == "merge" else today
+        session.since[name] = last - dt.timedelta(days=days)
+    return run_model(store, name, session.ref(name), strategy, [key], partition, full_refresh)
+
+
 #: Columns whose text is stored in one case.
 UPPER = frozenset(
     "account_status city_code driver_status verification_status license_plate vehicle_type vehicle_status ride_status service_type cancelled_by_type cancel_reason_code fare_type currency_code fare_rule_code shift_status old_status new_status "
@@ -97,8 +145,16 @@ def staged(df: DataFrame, table: str, renamed: dict[str, str] | None = None) ->
 
 def _snapshot(s: Session, table: str, key: str, prefix: str, renamed: dict[str, str] | None = None) -> DataFrame:
     """A staged SCD2 history: snapshot id, declared columns, validity, is_current."""
-    versions = s.source(table)
-    history = scd2_from_history(versions.withColumnsRenamed(renamed or {}), key, "updated_at").withColumnsRenamed({"valid_from": "_from", "valid_to": "_to"})
+    if isinstance(s.sources, StandIn):  # two snapshots of the source, the second at SECOND
+        first, second = (s.source(f"{table}_{k}").withColumnsRenamed(renamed or {}) for k in (1, 2))
+        none = F.lit(None).cast("timestamp_ntz")
+        nothing = first.filter(F.lit(False)).select("*", F.lit("").alias("scd_id"), none.alias("valid_from"), none.alias("valid_to"))
+        history = nothing
+        for state in (first, second):
+            history = scd2_apply(history, state, key, "updated_at", F.expr(f"TIMESTAMP_NTZ '{SECOND}'"))
+        history = history.withColumnsRenamed({"valid_from": "_from", "valid_to": "_to"})
+    else:
+        history = scd2_from_history(s.source(table).withColumnsRenamed(renamed or {}), key, "updated_at").withColumnsRenamed({"valid_from": "_from", "valid_to": "_to"})
     back = history.withColumnsRenamed({v: k for k, v in (renamed or {}).items()})
     return back.select(F.md5(F.concat_ws("|", key, "updated_at")).alias(f"{prefix}_snapshot_id"), *staged(back, table, renamed), F.col("_from").alias("valid_from"), F.col("_to").alias("valid_to"), F.col("_to").isNull().alias("is_current"))
 
@@ -176,41 +232,44 @@ _RIDE_COLUMNS = (
 def fct_rides(s: Session) -> DataFrame:
     """Rides with the surrogate keys that were valid at the time that counts for each dimension."""
     taken, paid, used = F.coalesce("accepted_at", "requested_at"), F.coalesce("paid_at", "completed_at", "requested_at"), F.coalesce("promo_used_at", "completed_at", "requested_at")
-    rides = s.ref("int_ride_financials")
+    rides = s.recent("fct_rides", s.ref("int_ride_financials"), F.col("requested_date"))
     for dim, key, at in (("rider", "rider_id", F.col("requested_at")), ("driver", "driver_id", taken), ("vehicle", "vehicle_id", taken), ("payment_method", "payment_method_id", paid), ("promotion", "promotion_id", used)):
         rides = as_of_join(rides, s.ref(f"dim_{dim}"), key, at, [f"{dim}_sk"])
     feedback = s.ref("int_customer_feedback").select("ride_id", "review_id", "rating_score", "ticket_id", "ticket_category", "ticket_status", "priority")
     keys = ("rider_sk", "driver_sk", "vehicle_sk", "payment_method_sk", "promotion_sk")
-    return rides.join(feedback, "ride_id", "left").select(X.surrogate_key(F.col("ride_id")).alias("ride_sk"), "ride_id", *keys, *_RIDE_COLUMNS, *feedback.columns[1:])
+    return rides.join(feedback, "ride_id", "left").select(X.surrogate_key(F.col("ride_id")).alias("ride_sk"), "ride_id", *keys, *_RIDE_COLUMNS, *feedback.columns[1:], s.now.alias(LOADED))
 
 
 @model
 def fct_payments(s: Session) -> DataFrame:
     paid = s.ref("stg_payment_transaction").filter(~F.col("is_deleted")).withColumn("payment_date", X.local_date(F.col("created_at")))
+    paid = s.recent("fct_payments", paid, X.local_date(F.col("updated_at")))
     paid = as_of_join(paid, s.ref("dim_rider"), "rider_id", F.col("created_at"), ["rider_sk"])
     paid = as_of_join(paid, s.ref("dim_payment_method"), "payment_method_id", F.col("created_at"), ["payment_method_sk"])
     out = paid.join(s.ref("fct_rides").select("ride_id", "ride_sk"), "ride_id", "left")
     first = ("payment_transaction_id", "ride_sk", "rider_sk", "payment_method_sk", "ride_id", "rider_id", "payment_method_id")
     rest = [c for c in paid.columns if c not in (*first, "deleted_at", "is_deleted")]
-    return out.select(X.surrogate_key(F.col("payment_transaction_id")).alias("payment_transaction_sk"), *first, *rest)
+    return out.select(X.surrogate_key(F.col("payment_transaction_id")).alias("payment_transaction_sk"), *first, *rest, s.now.alias(LOADED))
 
 
 @model
 def fct_refunds(s: Session) -> DataFrame:
     refunds = s.ref("stg_payment_refund").withColumn("refund_date", X.local_date(F.col("requested_at")))
+    refunds = s.recent("fct_refunds", refunds, X.local_date(F.col("updated_at")))
     payments = s.ref("fct_payments").select("payment_transaction_id", "payment_transaction_sk")
     rides = s.ref("fct_rides").select("ride_id", "ride_sk")
     out = refunds.join(payments, "payment_transaction_id", "left").join(rides, "ride_id", "left")
-    return out.select(X.surrogate_key(F.col("refund_id")).alias("refund_sk"), *out.columns, X.minutes_between(F.col("requested_at"), F.col("processed_at")).alias("refund_processing_min"))
+    return out.select(X.surrogate_key(F.col("refund_id")).alias("refund_sk"), *out.columns, X.minutes_between(F.col("requested_at"), F.col("processed_at")).alias("refund_processing_min"), s.now.alias(LOADED))
 
 
 @model
 def fct_support_tickets(s: Session) -> DataFrame:
     tickets = s.ref("stg_support_ticket").filter(~F.col("is_deleted")).withColumn("opened_date", X.local_date(F.col("opened_at")))
+    tickets = s.recent("fct_support_tickets", tickets, X.local_date(F.col("updated_at")))
     for dim in ("rider", "driver"):
         tickets = as_of_join(tickets, s.ref(f"dim_{dim}"), f"{dim}_id", F.col("opened_at"), [f"{dim}_sk"])
     out = tickets.join(s.ref("fct_rides").select("ride_id", "ride_sk"), "ride_id", "left").drop("deleted_at", "is_deleted")
-    return out.select(X.surrogate_key(F.col("ticket_id")).alias("ticket_sk"), *out.columns, X.minutes_between(F.col("opened_at"), F.col("resolved_at")).alias("resolution_min"))
+    return out.select(X.surrogate_key(F.col("ticket_id")).alias("ticket_sk"), *out.columns, X.minutes_between(F.col("opened_at"), F.col("resolved_at")).alias("resolution_min"), s.now.alias(LOADED))
 
 
 def _zero(c: str) -> Column:
@@ -219,53 +278,54 @@ def _zero(c: str) -> Column:
 
 @model
 def agg_daily_city_service(s: Session) -> DataFrame:
-    # ride_id is unique in fct_rides, so its distinct count is a plain count
-    rides = F.count("ride_id")
-    return s.ref("fct_rides").groupBy(F.col("requested_date").alias("metric_date"), "city_code", "service_type").agg(
+    rides = F.count_distinct("ride_id")
+    return s.recent("agg_daily_city_service", s.ref("fct_rides"), F.col("requested_date")).groupBy(F.col("requested_date").alias("metric_date"), "city_code", "service_type").agg(
         rides.alias("requested_rides"), *[X.flag_count(F.col(f"is_{k}")).alias(f"{k}_rides") for k in ("completed", "cancelled", "payment_failed")],
         X.safe_divide(X.flag_count(F.col("is_completed")), rides).alias("completion_rate"), X.safe_divide(X.flag_count(F.col("is_cancelled")), rides).alias("cancellation_rate"),
         _zero("total_fare").alias("gross_revenue"), _zero("platform_fee").alias("platform_revenue"), _zero("driver_earning").alias("driver_earnings"),
         F.avg("accept_delay_min").alias("avg_accept_delay_min"), F.avg("driver_arrival_min").alias("avg_driver_arrival_min"), F.avg("rating_score").alias("avg_rating"),
-    )
+    ).withColumn(LOADED, s.now)
 
 
 @model
 def agg_daily_payment_method(s: Session) -> DataFrame:
     paid, failed = (F.col("payment_status") == v for v in ("PAID", "FAILED"))
     methods = s.ref("dim_payment_method").select("payment_method_sk", "method_code")
-    return s.ref("fct_payments").join(methods, "payment_method_sk", "left").groupBy(F.col("payment_date").alias("metric_date"), F.coalesce("method_code", F.lit("UNKNOWN")).alias("method_code"), "provider_name").agg(
+    return s.recent("agg_daily_payment_method", s.ref("fct_payments"), F.col("payment_date")).join(methods, "payment_method_sk", "left").groupBy(F.col("payment_date").alias("metric_date"), F.coalesce("method_code", F.lit("UNKNOWN")).alias("method_code"), "provider_name").agg(
         F.count(F.lit(1)).alias("payment_attempts"), X.flag_count(paid).alias("paid_payments"), X.flag_count(failed).alias("failed_payments"), X.safe_divide(X.flag_count(paid), F.count(F.lit(1))).alias("payment_success_rate"),
         F.sum("amount").alias("payment_amount"), F.sum("method_fee").alias("method_fee"),
-    )
+    ).withColumn(LOADED, s.now)
 
 
 @model
 def agg_daily_refunds(s: Session) -> DataFrame:
-    return s.ref("fct_refunds").groupBy(F.col("refund_date").alias("metric_date"), "refund_status", "refund_reason_code").agg(F.count(F.lit(1)).alias("refund_count"), F.sum("refund_amount").alias("refund_amount"), F.avg("refund_processing_min").alias("avg_refund_processing_min"))
+    return s.recent("agg_daily_refunds", s.ref("fct_refunds"), F.col("refund_date")).groupBy(F.col("refund_date").alias("metric_date"), "refund_status", "refund_reason_code").agg(F.count(F.lit(1)).alias("refund_count"), F.sum("refund_amount").alias("refund_amount"), F.avg("refund_processing_min").alias("avg_refund_processing_min")).withColumn(LOADED, s.now)
 
 
 @model
 def agg_driver_performance_daily(s: Session) -> DataFrame:
     done = X.flag_count(F.col("is_completed"))
-    return s.ref("fct_rides").filter(F.col("driver_sk").isNotNull()).groupBy(F.col("requested_date").alias("metric_date"), "driver_sk", "city_code", "service_type").agg(
+    return s.recent("agg_driver_performance_daily", s.ref("fct_rides"), F.col("requested_date")).filter(F.col("driver_sk").isNotNull()).groupBy(F.col("requested_date").alias("metric_date"), "driver_sk", "city_code", "service_type").agg(
         F.count(F.lit(1)).alias("assigned_rides"), done.alias("completed_rides"), X.safe_divide(done, F.count(F.lit(1))).alias("driver_completion_rate"), _zero("driver_earning").alias("driver_earning"),
         F.avg("driver_arrival_min").alias("avg_arrival_min"), F.avg("rating_score").alias("avg_rating"), X.flag_count(F.col("priority") == "HIGH").alias("high_priority_tickets"),
-    )
+    ).withColumn(LOADED, s.now)
 
 
 @model
 def agg_promo_performance_daily(s: Session) -> DataFrame:
-    return s.ref("fct_rides").filter(F.col("promotion_sk").isNotNull()).groupBy(F.col("requested_date").alias("metric_date"), "promotion_sk", "city_code", "service_type").agg(
+    return s.recent("agg_promo_performance_daily", s.ref("fct_rides"), F.col("requested_date")).filter(F.col("promotion_sk").isNotNull()).groupBy(F.col("requested_date").alias("metric_date"), "promotion_sk", "city_code", "service_type").agg(
         F.count(F.lit(1)).alias("promo_rides"), X.flag_count(F.col("is_completed")).alias("completed_promo_rides"), _zero("promo_discount_amount").alias("promo_discount_amount"), _zero("total_fare").alias("gross_revenue_after_discount"),
         X.safe_divide(_zero("total_fare"), _zero("promo_discount_amount")).alias("revenue_per_promo_discount"), F.avg("rating_score").alias("avg_rating"),
-    )
+    ).withColumn(LOADED, s.now)
 
 
 @model
 def agg_ride_funnel_steps_daily(s: Session) -> DataFrame:
     group = ("metric_date", "city_code", "service_type")
-    counts = s.ref("fct_rides").groupBy(F.col("requested_date").alias("metric_date"), "city_code", "service_type").agg(
-        F.count("ride_id").alias("requested"), *[X.flag_count(F.col(f"{k}_at").isNotNull()).alias(k) for k in ("accepted", "arrived", "started")], X.flag_count(F.col("ride_status") == "COMPLETED").alias("completed"), X.flag_count(F.col("payment_status") == "PAID").alias("paid")
-    )
+    steps = {"requested": F.lit(True), **{k: F.col(f"{k}_at").isNotNull() for k in ("accepted", "arrived", "started")}, "completed": F.col("ride_status") == "COMPLETED", "paid": F.col("payment_status") == "PAID"}
+    rides = s.recent("agg_ride_funnel_steps_daily", s.ref("fct_rides"), F.col("requested_date"))
+    # one row a ride first, so that the distinct counts of all steps are plain sums
+    once = rides.groupBy(F.col("requested_date").alias("metric_date"), "city_code", "service_type", "ride_id").agg(*[F.max(F.coalesce(c, F.lit(False))).alias(k) for k, c in steps.items()])
+    counts = once.groupBy(*group).agg(*[X.flag_count(F.col(k)).alias(k) for k in steps])
     labels = ("01 Ride Requested", "02 Driver Accepted", "03 Driver Arrived", "04 Ride Started", "05 Ride Completed", "06 Payment Paid")
-    return funnel_steps(counts, group, list(zip(("requested", "accepted", "arrived", "started", "completed", "paid"), labels, strict=True)))
+    return funnel_steps(counts, group, list(zip(("requested", "accepted", "arrived", "started", "completed", "paid"), labels, strict=True))).withColumn("transformed_at", s.now)
