@@ -108,7 +108,7 @@ _SQL = {
       UNION ALL SELECT 'unique_nation', count(*) FROM (SELECT n_name FROM nation GROUP BY 1 HAVING count(*) > 1)""",
     "v_date_coverage": "SELECT min(d) AS first_day, max(d) AS last_day, count(*) AS days, max(d) - min(d) + 1 - count(*) AS missing_days FROM (SELECT DISTINCT CAST(o_orderdate AS DATE) AS d FROM orders)",
     "v_hour_demand": f"SELECT hour({_LOCAL}) AS hour, {_PEAK} AS is_peak, count(*) AS rides FROM events GROUP BY 1, 2",
-    "v_promo_usage": f"SELECT p_brand, count(*) AS usages, count(DISTINCT l_orderkey) AS rides, {_sum('l_extendedprice')} AS amount FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 20",
+    "v_promo_usage": f"SELECT p_brand, count(*) AS usages, count(DISTINCT l_orderkey) AS rides, {_sum('l_extendedprice')} AS amount FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1 ORDER BY 2 DESC, 1",
 }
 _SQL["g_fares"] = """WITH i AS (SELECT o_orderkey, (o_orderkey % 300 + 5) / 10.0 AS km, o_orderkey % 70 + 6 AS minutes, (o_orderkey % 4) * 0.2 AS more FROM orders),
 r AS (SELECT *, 8000 + km * 2500 + minutes * 300 AS ride FROM i), x AS (SELECT *, round(ride * more, 2) AS extra FROM r), g AS (SELECT *, ride + extra AS gross FROM x),
