@@ -69,15 +69,23 @@ def with_statistics(docs: DataFrame, text_col: str = "text") -> DataFrame:
     return rated.withColumn("base_failed", F.expr("n_words < 50 or 100 * n_repeat_words > 50 * n_words"))
 
 
+def _normal(line: str) -> str:
+    """SQL for a line in lower case, its white space as single spaces; empty if it has no word."""
+    return f"trim(BOTH ' ' FROM translate(regexp_replace({line}, {_GAP}, ' '), '{UPPER}', '{LOWER}'))"
+
+
+def _line_words(normal: str) -> str:
+    return f"length({normal}) - length(replace({normal}, ' ', '')) + 1"
+
+
 def _lines(docs: DataFrame, host_col: str, text_col: str) -> DataFrame:
-    """host, text key, the text's words, place, hash and words of every line that has a word."""
-    norm = f"trim(BOTH ' ' FROM translate(regexp_replace(line, {_GAP}, ' '), '{UPPER}', '{LOWER}'))"
-    split = docs.filter(F.col(text_col).isNotNull()).select(
-        F.col(host_col).alias("host"), F.xxhash64(text_col).alias("t"), F.expr(f"regexp_count(`{text_col}`, '[^\\\\x20\\\\x09-\\\\x0D]+')").alias("words"), F.posexplode(F.split(text_col, "\n")).alias("pos", "line")
-    )
-    return split.select("host", "t", "words", "pos", F.expr(norm).alias("line")).filter("line != ''").select(
-        "host", "t", "words", "pos", F.xxhash64("line").alias("h"), F.expr("length(line) - length(replace(line, ' ', '')) + 1").alias("w")
+    """host, text key, the text's words, hash and words of every line that has a word."""
+    # what is of the whole text is computed below the explode, once a text
+    whole = docs.filter(F.col(text_col).isNotNull()).select(
+        F.col(host_col).alias("host"), F.xxhash64(text_col).alias("t"), F.expr(f"regexp_count(`{text_col}`, '[^\\\\x20\\\\x09-\\\\x0D]+')").alias("words"), F.split(text_col, "\n").alias("lines")
     )
+    split = whole.select("host", "t", "words", F.posexplode("lines").alias("pos", "line"))
+    return split.select("host", "t", "words", "pos", F.expr(_normal("line")).alias("line")).filter("line != ''").select("host", "t", "words", "pos", F.xxhash64("line").alias("h"), F.expr(_line_words("line")).alias("w"))
 
 
 def _frequent(lines: DataFrame, least_docs: int, salts: int) -> DataFrame:
@@ -136,17 +144,35 @@ def judge(docs: DataFrame, host_col: str = "source", text_col: str = "text", lea
     return joined.select("d.*", F.expr("not base_failed and x._depleted is null").alias("kept")).drop("_t")
 
 
+def _found(sorted_hashes: str, h: str, most: int) -> str:
+    """SQL for whether a sorted array of up to `most` hashes holds one, by halving."""
+    halves = ", ".join(str(1 << k) for k in reversed(range(most.bit_length())))
+    at = f"aggregate(array({halves}), 0, (at, step) -> if(get({sorted_hashes}, at + step - 1) <= {h}, at + step, at))"
+    return f"coalesce(get({sorted_hashes}, {at} - 1) = {h}, false)"
+
+
 def clean(docs: DataFrame, host_col: str = "source", text_col: str = "text", least_docs: int = LEAST_DOCS, gone: float = 0.7, small: int = 500_000) -> DataFrame:
     """The rows of `judge`, with the frequent lines of their host removed from the text and the others joined again.
 
-    The statistics and base_failed are of the text as it came; texts without a frequent line stay as they are. The places of the removed
-    lines are written to the shared folder and counted: up to a tenth of `small` texts they are broadcast, more are
-    joined by a shuffle.
+    The statistics and base_failed are of the text as it came; texts without a frequent line stay as they are. The frequent
+    lines are stored and counted: up to `small`, each host's sorted hashes (8 bytes each) are broadcast, and texts are cut
+    where they are. Of more, the places of the removed lines are joined to the texts by a shuffle.
     """
-    hits = _hits(docs, host_col, text_col, least_docs, small).groupBy("host", "t").agg(F.sum("w").alias("removed"), F.collect_list("pos").alias("cut"))
-    cuts = _counted(Workspace(docs.sparkSession, "quality").put("cuts", hits), small // 10)
+    work = Workspace(docs.sparkSession, "quality")
+    frequent = work.put("frequent", frequent_lines(docs, host_col, text_col, least_docs))
+    n = frequent.count()
     rated = with_statistics(docs, text_col)
     own = [c for c in rated.columns if c != "kept"]
+    if n <= small:
+        hosts = F.broadcast(frequent.groupBy("host").agg(F.sort_array(F.collect_list("h")).alias("hs")))
+        joined = rated.select(*own).alias("d").join(hosts.alias("x"), F.expr(f"d.`{host_col}` <=> x.host"), "left")
+        line = _let("n", _normal("l"), f"struct(l as l, if(n != '' and {_found('x.hs', 'xxhash64(n)', max(1, n))}, {_line_words('n')}, 0) as w)")
+        each = _let("e", f"transform(split(d.`{text_col}`, '\\n'), l -> {line})", f"struct(aggregate(e, 0, (a, y) -> a + y.w) as removed, if(exists(e, y -> y.w > 0), array_join(transform(filter(e, y -> y.w = 0), y -> y.l), '\\n'), d.`{text_col}`) as text)")
+        # an explode of one, so that neither part of it is computed again for a filter
+        cut = joined.select("d.*", F.explode(F.expr(f"array(if(x.hs is null or d.`{text_col}` is null, struct(0 as removed, d.`{text_col}` as text), {each}))")).alias("_cut"))
+        kept = F.expr(f"not base_failed and (_cut.removed = 0 or _cut.removed < {gone}D * n_words)").alias("kept")
+        return cut.select(*[F.col("_cut.text").alias(text_col) if c == text_col else F.col(f"`{c}`") for c in own], kept)
+    cuts = work.put("cuts", _hits(docs, host_col, text_col, least_docs, small).groupBy("host", "t").agg(F.sum("w").alias("removed"), F.collect_list("pos").alias("cut")))
     joined = rated.select(*own, F.xxhash64(text_col).alias("_t")).alias("d").join(cuts.alias("x"), F.expr(f"d._t = x.t and d.`{host_col}` <=> x.host"), "left")
     left = _let("l", f"split(d.`{text_col}`, '\\n')", "array_join(transform(array_except(sequence(0, size(l) - 1), x.cut), i -> element_at(l, i + 1)), '\\n')")
     text = F.expr(f"if(x.cut is null, d.`{text_col}`, {left})").alias(text_col)
