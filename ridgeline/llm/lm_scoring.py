@@ -293,6 +293,7 @@ def score(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str
 
     dealt = counts.withColumn("shard", F.expr(f"if(key < 0, {shards} + pmod(key, {shards}), pmod(xxhash64(shiftright(key, 8) & 65535), {shards}))"))
     values = work.put("values", dealt.groupBy("shard").applyInArrow(answer, "key long, value double, c long"))
+    work.drop("counts")
     common = work.put("common", _most_asked(values, COMMON).select("key", "value"))
     held = common.toArrow()
     common_key, common_value = held.column("key").to_numpy().view(np.uint64), held.column("value").to_numpy()
