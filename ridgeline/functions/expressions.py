@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 #: Fixed value: what stands for a null part of a surrogate key.
 NULL_PART = "_dbt_utils_surrogate_key_null_"
-#: Jakarta has no daylight saving time, so naive local time is UTC plus this.
-LOCAL_HOURS = 7
+#: The zone of the business.
+ZONE = "Asia/Jakarta"
 OPEN_END = "9999-12-31 00:00:00"
 
 
@@ -22,31 +22,50 @@ def minutes_between(start: Column, end: Column) -> Column:
     return F.timestamp_diff("MINUTE", start, end).cast("bigint")
 
 
-def local(ts: Column) -> Column:
-    """Naive Jakarta wall clock of a naive UTC timestamp."""
-    return ts + F.expr(f"interval {LOCAL_HOURS} hours")
+def to_zone(ts: Column, zone: str) -> Column:
+    """The wall clock of a zone at a naive UTC time, as a naive time; the session's zone doesn't matter."""
+    return F.convert_timezone(F.lit("UTC"), F.lit(zone), ts)
 
 
-def local_date(ts: Column) -> Column:
-    return F.to_date(local(ts))
+def local(ts: Column, zone: str = ZONE) -> Column:
+    """Naive wall clock of the business's zone, or another, of a naive UTC timestamp."""
+    return to_zone(ts, zone)
 
 
-def local_hour(ts: Column) -> Column:
-    return F.hour(local(ts)).cast("bigint")
+def format_local(ts: Column, pattern: str, zone: str = ZONE) -> Column:
+    return F.date_format(local(ts, zone), pattern)
 
 
-def is_weekend(ts: Column) -> Column:
-    return F.dayofweek(local_date(ts)).isin(1, 7)
+def local_date(ts: Column, zone: str = ZONE) -> Column:
+    return F.to_date(local(ts, zone))
 
 
-def is_peak(ts: Column) -> Column:
-    hour = local_hour(ts)
+def local_hour(ts: Column, zone: str = ZONE) -> Column:
+    return F.hour(local(ts, zone)).cast("bigint")
+
+
+def today(zone: str = ZONE, now: Column | None = None) -> Column:
+    """The date in a zone, now or at the naive UTC time that is given in its place."""
+    return local_date(F.expr("cast(current_timestamp() as timestamp_ntz)") if now is None else now, zone)
+
+
+def is_weekend(ts: Column, zone: str = ZONE) -> Column:
+    return F.dayofweek(local_date(ts, zone)).isin(1, 7)
+
+
+def is_peak(ts: Column, zone: str = ZONE) -> Column:
+    hour = local_hour(ts, zone)
     return hour.between(7, 9) | hour.between(17, 20)
 
 
 def to_utc(ts: Column, zone: str | None) -> Column:
     """A naive time of `zone` as naive UTC; unchanged where zone is None (the source was aware of its zone)."""
-    return ts if zone is None else F.to_utc_timestamp(ts, zone).cast("timestamp_ntz")
+    return ts if zone is None else F.convert_timezone(F.lit(zone), F.lit("UTC"), ts)
+
+
+def clamp(x: Column, low: Column, high: Column) -> Column:
+    """x, but not under low nor over high."""
+    return F.greatest(low, F.least(x, high))
 
 
 def surrogate_key(*parts: Column) -> Column:

@@ -51,6 +51,17 @@ def run_model(store: Store, name: str, rows: DataFrame, strategy: str, keys: Seq
     return store.read(name)
 
 
+def load_hour(store: Store, name: str, rows: DataFrame | None, partition: str) -> str:
+    """Loads the change rows of an hour into its partition, which they replace: 'loaded', or 'skipped' where there are no files (None).
+
+    Running an hour again gives the same table. Columns that the rows add are null in earlier hours.
+    """
+    if rows is None:
+        return "skipped"
+    run_model(store, name, rows, "insert_overwrite", partition=partition)
+    return "loaded"
+
+
 def overwrite_partitions(spark: SparkSession, rows: DataFrame, path: str, partition: Sequence[str]) -> None:
     """Replaces only the partitions that the rows hold; running it again gives the same table."""
     rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*partition).parquet(path)

@@ -8,6 +8,7 @@ import tempfile
 import uuid
 from collections.abc import Iterable, Sequence
 from dataclasses import dataclass
+from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,7 +30,7 @@ def table_labels(table: str, source_system: str, dag: dict[str, str] | None = No
 
 
 #: The folder level that tells versions apart; no column may have its name.
-FOLDER = "__version"
+FOLDER = "__folder"
 _OWN: dict[str, str] = {}
 
 
@@ -53,7 +54,7 @@ def shared_folder(spark: SparkSession) -> str:
 class Store:
     """Tables below a root; any path that Spark's file systems know. A reader sees whole versions only.
 
-    Rows lie in data/__version=N/<partitions>; _versions/N.json lists the folders of version N and its schema. A list is written
+    Rows lie in data/__folder=N/<partitions>; _versions/N.json lists the folders of version N and its schema. A list is written
     under another name and renamed, and never deleted before a newer one is there, so a crash at any point leaves the
     version before. A change of some partitions writes those, and lists the others where they are.
     """
@@ -162,7 +163,7 @@ class Store:
         full = T.StructType([*T.StructType.fromJson(now["schema"]), T.StructField(FOLDER, T.StringType())])
         held = self.spark.read.schema(full).option("basePath", base).parquet(*[f"{base}/{x}" for x in now["folders"]])
         file = F.regexp_extract(F.col("_metadata.file_path"), rf"/data/({FOLDER}=\d+(?:/[^/]+)*)/[^/]+$", 1)
-        return sorted(r[0] for r in held.select(*keys, file.alias("_folder")).join(rows.select(*keys).distinct(), list(keys), "left_semi").select("_folder").distinct().collect())
+        return sorted(unquote(r[0]) for r in held.select(*keys, file.alias("_folder")).join(rows.select(*keys).distinct(), list(keys), "left_semi").select("_folder").distinct().collect())
 
     def change(self, name: str, folders: Sequence[str], make, cluster: Sequence[str] = ()) -> int:
         """Replaces the rows of some folders by what `make` gives for them; the others stay where they are."""

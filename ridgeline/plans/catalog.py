@@ -2,20 +2,26 @@
 
 from __future__ import annotations
 
+import atexit
 import datetime as dt
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from ridgeline.functions import expressions as X
+from ridgeline.functions.schema import TableConfig, parse_schema
 from ridgeline.operators import history as H
 from ridgeline.operators import quality as Q
 from ridgeline.operators.evolve import align
 from ridgeline.operators.funnel import funnel_steps
-from ridgeline.operators.incremental import lookback_from_clock, lookback_from_max
+from ridgeline.operators.incremental import lookback_from_clock, lookback_from_max, run_model
+from ridgeline.operators.store import Staged, Store, run_statements, shared_folder
 from ridgeline.plans import oracle
+from ridgeline.sources import connectors as C
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -115,9 +121,9 @@ def p_json_props(spark, sf_dir):
 
 @_query
 def p_union_ctes(spark, sf_dir):
-    o = _read(spark, sf_dir, "orders")
-    parts = [o.filter(F.col("o_orderstatus") == s).groupBy().agg(F.count(F.lit(1)).alias("n")).select(F.lit(s).alias("status"), "n") for s in "FOP"]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+    """Counts of three filters, one row each: one scan with three sums, turned into rows."""
+    counts = _read(spark, sf_dir, "orders").agg(*[F.count_if(F.col("o_orderstatus") == s).alias(s) for s in "FOP"])
+    return counts.select(F.explode(F.array(*[F.struct(F.lit(s).alias("status"), F.col(s).alias("n")) for s in "FOP"])).alias("r")).select("r.*")
 
 
 # deduplication
@@ -350,10 +356,11 @@ def i_lookback_clock(spark, sf_dir):
 
 @_query
 def i_insert_overwrite(spark, sf_dir):
+    """A model's second run replaces the months of its rows in its table."""
     o = _read(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice", F.to_date(F.trunc(F.to_date("o_orderdate"), "month")).alias("month"))
-    new = o.filter("month >= date'2001-01-01'").withColumn("o_totalprice", F.col("o_totalprice") * 2)
-    replaced = new.select("month").distinct()
-    return o.join(replaced, "month", "left_anti").select("o_orderkey", "o_totalprice", "month").unionByName(new)
+    store = _scratch(spark)
+    run_model(store, "orders", o, "insert_overwrite", partition="month")
+    return run_model(store, "orders", o.filter("month >= date'2001-01-01'").withColumn("o_totalprice", F.col("o_totalprice") * 2), "insert_overwrite", partition="month")
 
 
 @_query
@@ -369,21 +376,22 @@ def s_dim_date(spark, sf_dir):
 @_query
 def q_failures(spark, sf_dir):
     o, li, n, e, lb, d = (_read(spark, sf_dir, t) for t in ("orders", "lineitem", "nation", "events", "labels", "documents"))
-    checks = {
-        "not_null_value": Q.not_null(e, "value"),
+    # checks of single rows are sums of one scan a table; the others need keys to meet
+    rows = {
+        e: {"not_null_value": F.col("value").isNull()},
+        o: {"accepted_status": F.col("o_orderstatus").isNotNull() & ~F.col("o_orderstatus").isin("F", "O")},
+        li: {"between_quantity": Q.outside("l_quantity", 2, 49), "strictly_discount": Q.outside("l_discount", 0, 0.1, strictly=True)},
+    }
+    keyed = {
         "unique_orders": Q.unique(o, "o_orderkey"),
         "unique_custkey": Q.unique(o, "o_custkey"),
-        "accepted_status": Q.accepted_values(o, "o_orderstatus", ["F", "O"]),
         "relationships_orders": Q.relationships(o, "o_orderkey", li, "l_orderkey"),
         "relationships_labels": Q.relationships(lb, "doc_id", d, "doc_id", where="toxic = 1"),
-        "between_quantity": Q.between(li, "l_quantity", 2, 49),
-        "strictly_discount": Q.between(li, "l_discount", 0, 0.1, strictly=True),
         "unique_combo_lines": Q.unique_combination(li, ["l_orderkey", "l_linenumber"]),
         "unique_nation": Q.unique(n, "n_name"),
     }
     out = None
-    for name, failing in checks.items():
-        row = failing.agg(F.count(F.lit(1)).alias("failures")).select(F.lit(name).alias("check_name"), "failures")
+    for row in (*(Q.failures(df, checks) for df, checks in rows.items()), *(x.agg(F.count(F.lit(1)).alias("failures")).select(F.lit(name).alias("check_name"), "failures") for name, x in keyed.items())):
         out = row if out is None else out.unionByName(row)
     return out
 
@@ -421,18 +429,238 @@ def g_fares(spark, sf_dir):
 # streams
 
 
+def _changes(batch: DataFrame) -> DataFrame:
+    """Events as change records, as `_events` gives them."""
+    op = F.when(F.col("event_type") == "error", "d").when(F.col("event_type") == "signup", "c").otherwise("u")
+    return batch.select("*", op.alias("__op"), F.col("event_id").alias("__lsn"), F.expr("timestampdiff(MILLISECOND, timestamp_ntz'1970-01-01 00:00:00', ts)").alias("__source_ts_ms"))
+
+
+def _event_stream(spark, sf_dir):
+    from ridgeline.streaming.cdc import file_stream
+
+    return file_stream(spark, f"{sf_dir}/events.parquet", _read(spark, sf_dir, "events").schema)
+
+
+def _scratch(spark: SparkSession) -> Store:
+    """A store of one query's own, which goes when the driver ends."""
+    store = Store(spark, f"{shared_folder(spark)}/query-{uuid.uuid4().hex}")
+    atexit.register(lambda: spark.sparkContext._jsc and store.drop(""))
+    return store
+
+
 @_query
 def st_cdc_current(spark, sf_dir):
     from ridgeline.streaming.cdc import replay_stream
 
-    return replay_stream(spark, f"{sf_dir}/events.parquet", _read(spark, sf_dir, "events").schema).select("user_id", "event_id", "event_type", "value", "__op")
+    return replay_stream(_event_stream(spark, sf_dir), "user_id", _changes).select("user_id", "event_id", "event_type", "value", "__op")
+
+
+@_query
+def st_upsert_sink(spark, sf_dir):
+    """The same state through a table that batches of the stream are merged into; the last of them come twice."""
+    from ridgeline.streaming.cdc import upsert_changes, upsert_sink, upserted
+
+    store = _scratch(spark)
+    upsert_sink(_event_stream(spark, sf_dir), store, "users", "user_id", _changes)
+    upsert_changes(store, "users", _changes(_read(spark, sf_dir, "events").filter("event_id % 3 = 0")), "user_id")
+    return upserted(store, "users").select("user_id", "event_id", "event_type", "value", "__op")
+
+
+@_query
+def st_bootstrap(spark, sf_dir):
+    """The same state from a snapshot of the first half of the month and the stream, which holds those days again."""
+    from ridgeline.streaming.cdc import bootstrap
+
+    early = _read(spark, sf_dir, "events").filter(F.col("ts") < F.lit(dt.datetime(2024, 1, 16)))
+    return bootstrap(early, _event_stream(spark, sf_dir), "user_id", _changes).select("user_id", "event_id", "event_type", "value", "__op")
 
 
 @_query
 def st_hour_buckets(spark, sf_dir):
     from ridgeline.streaming.cdc import hourly_sink
 
-    return hourly_sink(spark, f"{sf_dir}/events.parquet", _read(spark, sf_dir, "events").schema)
+    return hourly_sink(_event_stream(spark, sf_dir)).groupBy("load_hour").agg(F.count(F.lit(1)).alias("events"), F.count_distinct("user_id").alias("users"))
+
+
+@_query
+def st_clock_folders(spark, sf_dir):
+    """Rows in the folder of the hour at which they came (the clock stands still), whatever time they bear."""
+    from ridgeline.streaming.cdc import SINKS, clock_sink
+
+    rows = clock_sink(_event_stream(spark, sf_dir), SINKS["minio"], now=F.lit(dt.datetime(2024, 2, 29, 18, 30)).cast("timestamp_ntz"))
+    return rows.groupBy(*[F.col(c).cast("bigint").alias(c) for c in ("year", "month", "day", "hour")]).agg(F.count(F.lit(1)).alias("events"), F.min("event_id").alias("first_event"), F.max("event_id").alias("last_event"))
+
+
+@_query
+def st_dead_letters(spark, sf_dir):
+    """Events as JSON text, every tenth cut short: what parses, and what goes to the dead letters."""
+    from ridgeline.streaming.cdc import dead_letter_sink
+
+    text = F.to_json(F.struct("event_id", "user_id", "event_type"))
+    spoilt = F.when(F.col("event_id") % 10 == 3, F.expr(f"substring({'to_json(struct(event_id, user_id, event_type))'}, 1, 12)")).when(F.col("event_id") % 10 == 4, F.lit(None)).otherwise(text)
+    good, bad = dead_letter_sink(_event_stream(spark, sf_dir).select(spoilt.alias("value")), T.StructType.fromDDL("event_id long, user_id long, event_type string"), F.lit(dt.datetime(2024, 2, 1)).cast("timestamp_ntz"))
+    kept = good.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.sum("event_id").alias("ids"))
+    lost = bad.groupBy(F.element_at("headers", "error").alias("event_type")).agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.length("value")), F.lit(0)).alias("ids"))
+    return kept.unionByName(lost)
+
+
+@_query
+def st_envelope(spark, sf_dir):
+    """Raw change envelopes, made of the events, as rows: a delete holds the row before it, and one without rows is dropped."""
+    from ridgeline.streaming.cdc import flatten_envelope
+
+    row = F.struct("event_id", "user_id", "event_type")
+    e = _events(spark, sf_dir)
+    raw = e.select(F.when(F.col("__op") == "d", F.when(F.col("event_id") % 4 != 0, row)).alias("before"), F.when(F.col("__op") != "d", row).alias("after"), F.col("__op").alias("op"), F.col("__source_ts_ms").alias("ts_ms"), F.struct(F.col("__lsn").alias("lsn")).alias("source"))
+    return flatten_envelope(raw, "events")
+
+
+# stores, statements, loads
+
+
+@_query
+def i_merge_store(spark, sf_dir):
+    """Two runs of a model that is merged into its table, partitioned by month."""
+    target, source = _merge_sides(spark, sf_dir)
+    store, dated = _scratch(spark), lambda df: df.withColumn("month", F.trunc("version", "month"))
+    run_model(store, "orders", dated(target), "merge", ["o_orderkey"], "month")
+    return run_model(store, "orders", dated(source), "merge", ["o_orderkey"], "month").select("o_orderkey", "o_totalprice", "version")
+
+
+@_query
+def i_hour_load(spark, sf_dir):
+    """Change files of some hours loaded into their partitions, one hour twice; an hour without files is skipped."""
+    from ridgeline.operators.incremental import load_hour
+
+    store, e = _scratch(spark), _events(spark, sf_dir).withColumn("hour", F.date_trunc("hour", F.col("ts")))
+    for hour in (5, 6, 6, 7, 30):
+        at = dt.datetime(2024, 1, 3) + dt.timedelta(hours=hour)
+        load_hour(store, "events", e.filter(F.col("hour") == F.lit(at)) if hour < 24 else None, "hour")
+    return store.read_partitions("events", "hour", F.col("hour") >= F.lit(dt.datetime(2024, 1, 3))).groupBy("hour").agg(F.count(F.lit(1)).alias("events"), F.sum("event_id").alias("ids")).select(F.date_format("hour", "yyyy-MM-dd HH").alias("hour"), "events", "ids")
+
+
+@_query
+def i_truncate_reset(spark, sf_dir):
+    """Ids that a table gives next, before and after it is emptied."""
+    store = _scratch(spark)
+    store.replace("orders", _read(spark, sf_dir, "orders").select("o_orderkey"))
+    before = store.next_id("orders", "o_orderkey")
+    store.truncate("orders")
+    return store.read("orders").agg(F.lit(before).cast("bigint").alias("next_before"), F.lit(store.next_id("orders", "o_orderkey")).cast("bigint").alias("next_after"), F.count(F.lit(1)).alias("rows_left"))
+
+
+@_query
+def s_statement_list(spark, sf_dir):
+    """Statements in turn, with a temporary table that goes with them."""
+    return run_statements(spark, [
+        "CREATE TEMPORARY VIEW large AS SELECT o_custkey, o_totalprice FROM orders WHERE o_totalprice > 200000",
+        "SELECT c_mktsegment, count(*) AS n, min(o_totalprice) AS least FROM large JOIN customer ON o_custkey = c_custkey GROUP BY c_mktsegment",
+    ], {"orders": _read(spark, sf_dir, "orders"), "customer": _read(spark, sf_dir, "customer")})
+
+
+@_query
+def j_two_systems(spark, sf_dir):
+    """One statement over tables of two systems (files here, a store there), written to a table of the second."""
+    here, there = _read(spark, sf_dir, "orders"), _scratch(spark)
+    there.replace("customer", _read(spark, sf_dir, "customer"))
+    rows = run_statements(spark, ["SELECT o_orderkey, o_custkey, c_name, c_nationkey FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderstatus = 'P'"], {"orders": here, "customer": there.read("customer")})
+    with Staged(there, "copied", rows) as staged:
+        there.replace("orders_named", staged, cluster=["c_nationkey"])
+    return there.read("orders_named")
+
+
+@_query
+def c_change_files(spark, sf_dir):
+    """Change files of two hours, the later with one more column, read as one table."""
+    folder = f"{_scratch(spark).root}/changes"
+    e = _events(spark, sf_dir).select("event_id", "user_id", "__op")
+    e.filter("event_id % 2 = 0").write.parquet(f"{folder}/{C.cdc_path('cdc.public.events', dt.datetime(2024, 1, 1, 5))}")
+    e.filter("event_id % 2 = 1").withColumn("extra", F.col("event_id") * 2).write.parquet(f"{folder}/{C.cdc_path('cdc.public.events', dt.datetime(2024, 1, 1, 6))}")
+    return C.read_changes(spark, folder + "/raw/cdc/cdc.public.events").select("event_id", "user_id", "__op", "extra", F.col("hour").cast("bigint").alias("hour"))
+
+
+@_query
+def p_ingested(spark, sf_dir):
+    """A window that was asked for by hand, in the source's clock (UTC+7), extracted with casts and metadata columns."""
+    window = C.resolve_window({"window_start": "2024-01-08", "window_end": "2024-01-15"}, dt.datetime(2024, 1, 1), dt.datetime(2024, 1, 2), 7)
+    config = TableConfig("events", ("user_id",), parse_schema("user_id:L! event_id:S event_type:S ts:T!"), window_col="ts", version_col="ts", source_zone="Asia/Jakarta", source_system="o'brien")
+    return C.extract(_read(spark, sf_dir, "events"), config, window, dt.datetime(2024, 1, 20))
+
+
+# more expressions
+
+
+@_query
+def p_time_formats(spark, sf_dir):
+    """Text of a time on the clocks of two zones, truncated times, and a naive time of New York as UTC."""
+    ts = F.col("ts")
+    return _read(spark, sf_dir, "events").select(
+        "event_id", X.format_local(ts, "yyyy-MM-dd HH:00:00").alias("jakarta_hour"), X.format_local(ts, "yyyy-MM-dd HH:mm", "America/New_York").alias("new_york"), X.to_utc(ts, "America/New_York").alias("from_new_york"), X.today("Asia/Jakarta", ts).alias("jakarta_day"),
+        *[F.date_trunc(unit, ts).alias(f"{unit}_start") for unit in ("hour", "day", "month", "year")],
+    )
+
+
+@_query
+def p_to_json(spark, sf_dir):
+    return _read(spark, sf_dir, "orders").select("o_orderkey", F.to_json(F.struct(F.col("o_custkey").alias("customer"), F.col("o_orderstatus").alias("status"))).alias("payload"))
+
+
+@_query
+def p_clamp(spark, sf_dir):
+    """A discount of a percentage up to a cap, and never more than the price."""
+    li = _read(spark, sf_dir, "lineitem")
+    return li.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", X.clamp(F.col("l_extendedprice") * F.col("l_discount"), F.lit(100.0), F.least(F.lit(2500.0), F.col("l_extendedprice"))).alias("discount"))
+
+
+@_query
+def d_latest_version(spark, sf_dir):
+    """The latest version of each key by two keys of order alone."""
+    order = [F.col("l_linenumber").desc(), F.col("l_shipdate").desc()]
+    return H.latest_by(_read(spark, sf_dir, "lineitem"), ["l_orderkey"], order).select("l_orderkey", "l_linenumber", "l_shipdate")
+
+
+@_query
+def d_cdc_arrival(spark, sf_dir):
+    """Changes that came twice, the second time with another operation: of equal time and position the later arrival counts."""
+    e = _events(spark, sf_dir)
+    again = e.filter("event_id % 3 = 0").withColumn("__op", F.lit("d")).withColumn("arrived", F.lit(2))
+    return H.current_state(e.withColumn("arrived", F.lit(1)).unionByName(again), "user_id", arrived="arrived").select("user_id", "event_id", "event_type", "__op", "arrived")
+
+
+@_query
+def a_averages(spark, sf_dir):
+    """Means that leave nulls out."""
+    li = _read(spark, sf_dir, "lineitem")
+    return li.groupBy("l_returnflag").agg(F.avg("l_linenumber").alias("mean_line"), F.avg(F.when(F.col("l_linestatus") == "F", F.col("l_linenumber"))).alias("mean_finished"), F.avg(F.when(F.col("l_linenumber") > 99, 1)).alias("mean_of_none"))
+
+
+@_query
+def t_seeded_sample(spark, sf_dir):
+    """Ten suppliers at random, the same ones for the same seed."""
+    return _read(spark, sf_dir, "supplier").orderBy(F.md5(F.concat(F.lit("42:"), F.col("s_suppkey").cast("string"))), "s_suppkey").limit(10).select("s_suppkey", "s_name")
+
+
+# the generator's rules
+
+
+@_query
+def g_demand(spark, sf_dir):
+    """Rides expected in each hour of 2026-01-01 to 2026-06-30, without noise."""
+    from ridgeline.sources.datagen import HOURS, demand_expr, hour_expr
+
+    days = spark.sql("SELECT d, h FROM (SELECT explode(sequence(date'2026-01-01', date'2026-06-30', interval 1 day)) AS d) LATERAL VIEW explode(sequence(0, 23)) AS h")
+    return days.select(F.col("d").alias("day"), F.col("h").cast("bigint").alias("hour"), F.expr(f"({demand_expr('d')}) * ({hour_expr('d', 'h')}) / {sum(HOURS)}D").alias("share"))
+
+
+@_query
+def g_mix(spark, sf_dir):
+    """Shares of cities, and of services in a city, by weekday and hour; and outcomes by context."""
+    from ridgeline.sources.datagen import city_weights, context_flags, outcome_weights, service_weights
+
+    e = _read(spark, sf_dir, "events").select("event_id", F.date_add(F.to_date("ts"), 0).alias("d"), F.hour("ts").alias("h"), F.expr("element_at(array('JKT', 'BDG', 'SBY'), cast(event_id % 3 as int) + 1)").alias("city"))
+    flags = {name: F.expr(text) for name, text in context_flags("d", "h", "city", "(event_id % 100) / 100.0D", "(event_id % 37) / 37.0D").items()}
+    mixed = e.select("*", *[F.expr(x).alias(f"share_{k.lower()}") for k, x in city_weights("d", "h").items()], *[F.expr(x).alias(f"share_{k.lower()}") for k, x in service_weights("d", "h", "city").items()], *[c.alias(k) for k, c in flags.items()])
+    return mixed.select("event_id", "city", *[c for c in mixed.columns if c.startswith("share_")], *flags, *[F.expr(x).alias(f"weight_{k.lower()}") for k, x in outcome_weights("event_id % 10 > 6", "event_id % 20 > 16", "event_id % 4 = 0").items()])
 
 
 def _models() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

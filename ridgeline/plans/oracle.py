@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from ridgeline.sources.datagen import HOURS, city_weights, context_flags, demand_expr, hour_expr, outcome_weights, service_weights
+
 _EVENTS = "(SELECT *, CASE WHEN event_type = 'error' THEN 'd' WHEN event_type = 'signup' THEN 'c' ELSE 'u' END AS __op, event_id AS __lsn, epoch_ms(ts) AS __source_ts_ms FROM events)"
 _LOCAL = "(ts + INTERVAL 7 HOURS)"
 _PEAK = f"(hour({_LOCAL}) BETWEEN 7 AND 9 OR hour({_LOCAL}) BETWEEN 17 AND 20)"
@@ -115,7 +117,38 @@ r AS (SELECT *, 8000 + km * 2500 + minutes * 300 AS ride FROM i), x AS (SELECT *
 f AS (SELECT *, round(gross * 0.11, 2) AS tax, round(gross * 0.18, 2) AS fee FROM g)
 SELECT o_orderkey, CAST(8000 AS DOUBLE) AS base_fare, CAST(round(km * 2500, 2) AS DOUBLE) AS distance_fare, CAST(minutes * 300 AS DOUBLE) AS time_fare, CAST(extra AS DOUBLE) AS surge_amount, CAST(0 AS DOUBLE) AS discount_amount,
 CAST(tax AS DOUBLE) AS tax_amount, CAST(fee AS DOUBLE) AS platform_fee, CAST(round(gross - fee, 2) AS DOUBLE) AS driver_earning, CAST(round(gross + tax, 2) AS DOUBLE) AS total_fare FROM f"""
-_SQL["st_cdc_current"] = _SQL["d_cdc_current"]
+for _name in ("st_cdc_current", "st_upsert_sink", "st_bootstrap"):
+    _SQL[_name] = _SQL["d_cdc_current"]
+_SQL["i_merge_store"] = _SQL["m_upsert_always"]
+_JSON = "'{\"event_id\":' || event_id || ',\"user_id\":' || user_id || ',\"event_type\":\"' || event_type || '\"}'"
+_NY = "CAST(CAST(ts AS TIMESTAMP) AT TIME ZONE 'UTC' AT TIME ZONE 'America/New_York' AS TIMESTAMP)"
+_SQL |= {
+    "st_clock_folders": "SELECT 2024 AS year, 3 AS month, 1 AS day, 1 AS hour, count(*) AS events, min(event_id) AS first_event, max(event_id) AS last_event FROM events",
+    "st_dead_letters": f"""SELECT event_type, count(*) AS n, CAST(sum(event_id) AS BIGINT) AS ids FROM events WHERE event_id % 10 NOT IN (3, 4) GROUP BY 1
+      UNION ALL SELECT 'not a record of the schema', count(*), CAST(sum(length(substring({_JSON}, 1, 12))) AS BIGINT) FROM events WHERE event_id % 10 = 3 UNION ALL SELECT 'no value', count(*), 0 FROM events WHERE event_id % 10 = 4""",
+    "st_envelope": f"SELECT event_id, user_id, event_type, __op, 'events' AS __table, __lsn, __source_ts_ms FROM {_EVENTS} WHERE __op <> 'd' OR event_id % 4 <> 0",
+    "i_hour_load": "SELECT strftime(ts, '%Y-%m-%d %H') AS hour, count(*) AS events, CAST(sum(event_id) AS BIGINT) AS ids FROM events WHERE ts >= TIMESTAMP '2024-01-03 05:00:00' AND ts < TIMESTAMP '2024-01-03 08:00:00' GROUP BY 1",
+    "i_truncate_reset": "SELECT max(o_orderkey) + 1 AS next_before, 1 AS next_after, 0 AS rows_left FROM orders",
+    "s_statement_list": "SELECT c_mktsegment, count(*) AS n, min(o_totalprice) AS least FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_totalprice > 200000 GROUP BY 1",
+    "j_two_systems": "SELECT o_orderkey, o_custkey, c_name, c_nationkey FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderstatus = 'P'",
+    "c_change_files": f"SELECT event_id, user_id, __op, CASE WHEN event_id % 2 = 1 THEN event_id * 2 END AS extra, 5 + event_id % 2 AS hour FROM {_EVENTS}",
+    "p_ingested": """SELECT user_id, CAST(event_id AS VARCHAR) AS event_id, event_type, ts - INTERVAL 7 HOURS AS ts, TIMESTAMP '2024-01-20' AS _ingested_at, 'o''brien' AS _source_system
+      FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC) AS rn FROM events WHERE ts >= TIMESTAMP '2024-01-08' AND ts < TIMESTAMP '2024-01-15') WHERE rn = 1""",
+    "p_time_formats": f"""SELECT event_id, strftime({_LOCAL}, '%Y-%m-%d %H:00:00') AS jakarta_hour, strftime(ts - INTERVAL 5 HOURS, '%Y-%m-%d %H:%M') AS new_york, ts + INTERVAL 5 HOURS AS from_new_york, CAST({_LOCAL} AS DATE) AS jakarta_day,
+      {', '.join(f"CAST(date_trunc('{u}', ts) AS TIMESTAMP) AS {u}_start" for u in ('hour', 'day', 'month', 'year'))} FROM events""",
+    "p_to_json": """SELECT o_orderkey, '{"customer":' || o_custkey || ',"status":"' || o_orderstatus || '"}' AS payload FROM orders""",
+    "p_clamp": "SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, greatest(CAST(100 AS DOUBLE), least(l_extendedprice * l_discount, least(CAST(2500 AS DOUBLE), l_extendedprice))) AS discount FROM lineitem",
+    "d_latest_version": "SELECT l_orderkey, l_linenumber, l_shipdate FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber DESC, l_shipdate DESC) AS rn FROM lineitem) WHERE rn = 1",
+    "d_cdc_arrival": f"""SELECT user_id, event_id, event_type, __op, 1 AS arrived FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY __source_ts_ms DESC, __lsn DESC) AS rn FROM {_EVENTS}) WHERE rn = 1 AND __op <> 'd' AND event_id % 3 <> 0""",
+    "a_averages": "SELECT l_returnflag, avg(l_linenumber) AS mean_line, avg(CASE WHEN l_linestatus = 'F' THEN l_linenumber END) AS mean_finished, avg(CASE WHEN l_linenumber > 99 THEN 1 END) AS mean_of_none FROM lineitem GROUP BY 1",
+    "t_seeded_sample": "SELECT s_suppkey, s_name FROM supplier ORDER BY md5('42:' || s_suppkey), s_suppkey LIMIT 10",
+    "g_demand": f"""SELECT CAST(d AS DATE) AS day, h AS hour, ({demand_expr('d', '(isodow(d) - 1)')}) * ({hour_expr('d', 'h', '(isodow(d) - 1)')}) / {sum(HOURS)!r}e0 AS share
+      FROM (SELECT unnest(generate_series(DATE '2026-01-01', DATE '2026-06-30', INTERVAL 1 DAY)) AS d) CROSS JOIN (SELECT unnest(range(24)) AS h)""",
+    "g_mix": f"""WITH e AS (SELECT event_id, CAST(ts AS DATE) AS d, hour(ts) AS h, isodow(ts) - 1 AS w, (['JKT', 'BDG', 'SBY'])[event_id % 3 + 1] AS city FROM events),
+      m AS (SELECT *, {', '.join(f'{x} AS share_{k.lower()}' for k, x in (city_weights('d', 'h', 'w') | service_weights('d', 'h', 'city', 'w')).items())},
+      {', '.join(f'{x} AS {k}' for k, x in context_flags('d', 'h', 'city', '(event_id % 100) / 100e0', '(event_id % 37) / 37e0', 'w').items())} FROM e)
+      SELECT * EXCLUDE (d, h, w), {', '.join(f'{x} AS weight_{k.lower()}' for k, x in outcome_weights('event_id % 10 > 6', 'event_id % 20 > 16', 'event_id % 4 = 0').items())} FROM m""",
+}
 _SQL["st_hour_buckets"] = f"SELECT strftime({_LOCAL}, '%Y-%m-%d %H') AS load_hour, count(*) AS events, count(DISTINCT user_id) AS users FROM events GROUP BY 1"
 
 

@@ -1,15 +1,34 @@
-"""Change streams: hourly buckets that a replay replaces, current state by key, dead letters."""
+"""Change streams: hourly buckets that a replay replaces, current state by key, upserts, dead letters."""
 
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
+from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ridgeline.operators.history import current_state
-from ridgeline.operators.store import shared_folder
+from ridgeline.functions.expressions import to_zone
+from ridgeline.operators.evolve import align
+from ridgeline.operators.history import current_state, merge_upsert
+from ridgeline.operators.store import Store, shared_folder
+
+#: What orders the changes of a key: time of the source, then position in its log.
+ORDER = ("__source_ts_ms", "__lsn")
+
+
+@dataclass(frozen=True)
+class SinkSettings:
+    """When a sink begins a new file: after so many records, and with each trigger."""
+
+    most_records: int
+    trigger: str
+
+
+#: Thresholds of the two object stores.
+SINKS = {"gcs": SinkSettings(50_000, "1 hour"), "minio": SinkSettings(1_000, "10 minutes")}
 
 
 def _base(spark: SparkSession) -> str:
@@ -26,50 +45,130 @@ def flatten_envelope(df: DataFrame, table: str) -> DataFrame:
     return out.select("_row.*", F.col("op").alias("__op"), F.lit(table).alias("__table"), F.col("source.lsn").alias("__lsn"), F.col("ts_ms").alias("__source_ts_ms"))
 
 
-def split_bad(df: DataFrame, schema: T.StructType, text_col: str = "value") -> tuple[DataFrame, DataFrame]:
-    """JSON records that parse, and the others for the dead-letter path with the time they came."""
-    parsed = df.withColumn("_r", F.from_json(text_col, schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}))
-    bad = F.col("_r").isNull() | F.expr(f"try_parse_json({text_col}) is null")
-    return parsed.filter(~bad).select("_r.*"), parsed.filter(bad).select(F.col(text_col).alias("value"), F.current_timestamp().alias("failed_at"))
+def split_bad(df: DataFrame, schema: T.StructType, now: Column | None = None, text_col: str = "value") -> tuple[DataFrame, DataFrame]:
+    """JSON records that parse as the schema, and the others for the dead-letter path: the text with headers that say why, from where and when."""
+    parsed = df.withColumn("_r", F.from_json(text_col, T.StructType([*schema, T.StructField("_bad", T.StringType())]), {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}))
+    bad = F.col("_r").isNull() | F.col("_r._bad").isNotNull()
+    headers = F.create_map(F.lit("error"), F.when(F.col(text_col).isNull(), "no value").otherwise("not a record of the schema"), F.lit("schema"), F.lit(schema.simpleString()))
+    return parsed.filter(~bad).select(*[F.col(f"_r.{n}").alias(n) for n in schema.names]), parsed.filter(bad).select(F.col(text_col).alias("value"), headers.alias("headers"), (F.current_timestamp() if now is None else now).alias("failed_at"))
+
+
+def parse_strict(df: DataFrame, schema: T.StructType, text_col: str = "value") -> DataFrame:
+    """JSON records as the schema; the first that isn't one ends the run."""
+    return df.select(F.from_json(text_col, schema, {"mode": "FAILFAST"}).alias("_r")).select("_r.*")
 
 
-def _stream(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+def file_stream(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """The files of a folder, or those that match the last part of the path, as a stream."""
     folder, _, name = path.rpartition("/")
     return spark.readStream.schema(schema).option("pathGlobFilter", name).option("maxFilesPerTrigger", 64).parquet(folder)
 
 
-def _batch_or_stream(spark: SparkSession, path: str, schema: T.StructType, each) -> None:
-    """Runs `each(batch, id)` over all available files, then stops; replays of a batch carry the same id."""
-    stream = _stream(spark, path, schema)
-    query = stream.writeStream.foreachBatch(each).trigger(availableNow=True).option("checkpointLocation", _base(spark) + "/offsets").start()
-    query.awaitTermination()
+def drain(stream: DataFrame, each: Callable[[DataFrame, int], None], offsets: str) -> None:
+    """Runs `each(batch, id)` over all that is there, then stops; a batch that is run again has the same id."""
+    stream.writeStream.foreachBatch(each).trigger(availableNow=True).option("checkpointLocation", offsets).start().awaitTermination()
+
+
+def latest_changes(changes: DataFrame, key: str) -> DataFrame:
+    """The last change of each key, by ORDER; sums of maxima come before the shuffle."""
+    return changes.groupBy(key).agg(F.max_by(F.struct(*changes.columns), F.struct(*ORDER)).alias("r")).select("r.*")
 
 
-def replay_stream(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """Current state of the users after a stream of their changes.
+def replay_stream(stream: DataFrame, key: str, changes: Callable[[DataFrame], DataFrame] = lambda df: df) -> DataFrame:
+    """Current state by key after a stream of changes.
 
-    Each batch is cut to its latest change of each key and kept under its batch id, so a repeated batch replaces itself;
-    the state is the latest of those by (time, position). Late and repeated events are ranked, never dropped.
+    `changes` makes change records (with __op and ORDER) of a batch. Each batch is cut to its latest change of each key
+    and kept under its batch id, so a repeated batch replaces itself; the state is the latest of those by ORDER. Late and
+    repeated events are ranked, never dropped.
     """
-    out = _base(spark) + "/latest"
+    base = _base(stream.sparkSession)
+
+    def each(batch: DataFrame, batch_id: int) -> None:
+        latest_changes(changes(batch), key).write.mode("overwrite").parquet(f"{base}/latest/batch={batch_id}")
+
+    drain(stream, each, f"{base}/offsets")
+    return current_state(stream.sparkSession.read.parquet(f"{base}/latest"), key)
+
+
+def bootstrap(snapshot: DataFrame, stream: DataFrame, key: str, changes: Callable[[DataFrame], DataFrame] = lambda df: df) -> DataFrame:
+    """Current state after a snapshot that was taken once and the stream of changes since; the two may overlap.
+
+    The snapshot is the state of batch -1: it is kept before the stream begins, and ranked with it.
+    """
+    base = _base(stream.sparkSession)
+    latest_changes(changes(snapshot), key).write.parquet(f"{base}/latest/batch=-1")
+
+    def each(batch: DataFrame, batch_id: int) -> None:
+        latest_changes(changes(batch), key).write.mode("overwrite").parquet(f"{base}/latest/batch={batch_id}")
+
+    drain(stream, each, f"{base}/offsets")
+    return current_state(stream.sparkSession.read.parquet(f"{base}/latest"), key)
+
+
+def upsert_changes(store: Store, name: str, batch: DataFrame, key: str, partition: str | None = None) -> None:
+    """Merges a batch of changes into a table by key, the newer by ORDER winning; columns that either side lacks are null there.
+
+    A delete stays as a row marked `d`, so that an older change that comes late doesn't bring the key back. A batch that is
+    merged again changes nothing. Only folders with a key of the batch are written.
+    """
+    fresh = latest_changes(batch, key).withColumn("__version", F.struct(*ORDER))
+    if not store.exists(name):
+        store.replace(name, fresh, partition)
+        return
+
+    def merged(old: DataFrame) -> DataFrame:
+        return merge_upsert(*align(old, fresh), [key], "__version")
+
+    store.change(name, store.matched(name, fresh, [key]), merged)
+
+
+def upserted(store: Store, name: str) -> DataFrame:
+    """The rows of a table of `upsert_changes` that aren't deleted."""
+    return store.read(name).filter(F.coalesce(F.col("__op"), F.lit("")) != "d").drop("__version")
+
+
+def upsert_sink(stream: DataFrame, store: Store, name: str, key: str, changes: Callable[[DataFrame], DataFrame] = lambda df: df) -> DataFrame:
+    drain(stream, lambda batch, _: upsert_changes(store, name, changes(batch), key), f"{_base(stream.sparkSession)}/offsets")
+    return upserted(store, name)
+
+
+def dead_letter_sink(stream: DataFrame, schema: T.StructType, now: Column | None = None) -> tuple[DataFrame, DataFrame]:
+    """Records of a JSON stream that parse, and the dead letters, each kept under its batch."""
+    base = _base(stream.sparkSession)
+
+    def each(batch: DataFrame, batch_id: int) -> None:
+        for name, rows in zip(("good", "bad"), split_bad(batch, schema, now)):
+            rows.write.mode("overwrite").parquet(f"{base}/{name}/batch={batch_id}")
+
+    drain(stream, each, f"{base}/offsets")
+    return tuple(stream.sparkSession.read.parquet(f"{base}/{name}") for name in ("good", "bad"))
+
+
+def hour_folders(zone: str, now: Column | None = None) -> dict[str, Column]:
+    """year, month, day and hour of the clock on a zone's wall (or of the UTC time that is given in its place)."""
+    at = to_zone(F.expr("cast(current_timestamp() as timestamp_ntz)") if now is None else now, zone)
+    return {unit: F.date_format(at, pattern) for unit, pattern in (("year", "yyyy"), ("month", "MM"), ("day", "dd"), ("hour", "HH"))}
+
+
+def clock_sink(stream: DataFrame, settings: SinkSettings = SINKS["gcs"], zone: str = "Asia/Jakarta", now: Column | None = None) -> DataFrame:
+    """A stream in folders of the wall-clock hour at which its rows came, whatever time they bear; a repeated batch replaces itself."""
+    base = _base(stream.sparkSession)
 
     def each(batch: DataFrame, batch_id: int) -> None:
-        op = F.when(F.col("event_type") == "error", "d").when(F.col("event_type") == "signup", "c").otherwise("u")
-        changes = batch.select("*", op.alias("__op"), F.col("event_id").alias("__lsn"), F.expr("timestampdiff(MILLISECOND, timestamp_ntz'1970-01-01 00:00:00', ts)").alias("__source_ts_ms"))
-        top = changes.groupBy("user_id").agg(F.max_by(F.struct(*changes.columns), F.struct("__source_ts_ms", "__lsn")).alias("r")).select("r.*")
-        top.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+        dated = batch.withColumns(hour_folders(zone, now))
+        dated.write.mode("overwrite").option("maxRecordsPerFile", settings.most_records).partitionBy("year", "month", "day", "hour").parquet(f"{base}/rows/batch={batch_id}")
 
-    _batch_or_stream(spark, path, schema, each)
-    return current_state(spark.read.parquet(out), "user_id")
+    drain(stream, each, f"{base}/offsets")
+    return stream.sparkSession.read.option("basePath", f"{base}/rows").parquet(f"{base}/rows")
 
 
-def hourly_sink(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """Counts by Jakarta hour of a stream written to hourly folders; a replayed hour replaces itself."""
-    out = _base(spark) + "/hours"
+def hourly_sink(stream: DataFrame, time_col: str = "ts", zone: str = "Asia/Jakarta", settings: SinkSettings = SINKS["gcs"]) -> DataFrame:
+    """A stream in folders (load_hour) of the hour that its rows bear, on a zone's clock; a repeated batch replaces itself."""
+    base = _base(stream.sparkSession)
 
     def each(batch: DataFrame, batch_id: int) -> None:
-        hour = F.expr("substring(cast(ts + interval 7 hours as string), 1, 13)")
-        batch.withColumn("load_hour", hour).withColumn("batch", F.lit(batch_id)).repartition("load_hour").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("maxRecordsPerFile", 50_000).partitionBy("batch", "load_hour").parquet(out)
+        hour = F.date_format(to_zone(F.col(time_col), zone), "yyyy-MM-dd HH")
+        batch.withColumn("load_hour", hour).repartition("load_hour").write.mode("overwrite").option("maxRecordsPerFile", settings.most_records).partitionBy("load_hour").parquet(f"{base}/hours/batch={batch_id}")
 
-    _batch_or_stream(spark, path, schema, each)
-    return spark.read.option("basePath", out).parquet(out).groupBy(F.col("load_hour").cast("string").alias("load_hour")).agg(F.count(F.lit(1)).alias("events"), F.count_distinct("user_id").alias("users"))
+    drain(stream, each, f"{base}/offsets")
+    return stream.sparkSession.read.option("basePath", f"{base}/hours").parquet(f"{base}/hours").withColumn("load_hour", F.col("load_hour").cast("string"))

@@ -15,6 +15,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from ridgeline.functions.expressions import format_local, local, today
 from ridgeline.functions.schema import TABLES, USER_ROLE, TableConfig, parse_schema
 from ridgeline.operators import history as H
 from ridgeline.operators import quality as Q
@@ -23,6 +24,7 @@ from ridgeline.operators.incremental import lookback_from_max, overwrite_partiti
 from ridgeline.operators.store import Staged, Store, merge_labels, normalise_label, run_statements, table_labels
 from ridgeline.plans import catalog
 from ridgeline.sources import connectors as C
+from ridgeline.streaming.cdc import SINKS, hour_folders, parse_strict, split_bad, upsert_changes, upserted
 
 
 def _value(v):
@@ -152,7 +154,7 @@ def test_increments_leave_other_partitions_where_they_are(spark, tmp_path):
     before = set(store.current("m")["folders"])
     run_model(store, "m", spark.sql("SELECT 7L AS id, 0L AS part, 1 AS v UNION ALL SELECT 200L, 3L, 2"), "merge", ["id"])
     after = set(store.current("m")["folders"])
-    assert before - after == {"__version=00000001/part=0"} and after - before == {"__version=00000002/part=0", "__version=00000002/part=3"}
+    assert before - after == {"__folder=00000001/part=0"} and after - before == {"__folder=00000002/part=0", "__folder=00000002/part=3"}
     run_model(store, "m", spark.sql("SELECT 1L AS id, 3L AS part, 9 AS v"), "insert_overwrite")
     assert store.read("m").filter("part = 3").count() == 1 and store.read("m").count() == 91
     run_model(store, "m", spark.sql("SELECT 500L AS id, 4L AS part, 9 AS v"), "append")
@@ -244,6 +246,57 @@ def test_streams_equal_their_batch_twins(spark, sf_dir):
     assert Counter(q["st_cdc_current"](spark, sf_dir).collect()) == Counter(q["d_cdc_current"](spark, sf_dir).collect())
 
 
+def test_a_batch_that_comes_again_changes_nothing(spark, tmp_path):
+    store = Store(spark, f"file://{tmp_path}/s")
+    change = lambda *rows: spark.createDataFrame(rows, "k long, v string, __op string, __source_ts_ms long, __lsn long")
+    first = change((1, "a", "c", 10, 1), (2, "b", "c", 10, 2), (2, "c", "u", 10, 3), (3, "d", "c", 11, 4))
+    second = change((1, None, "d", 20, 5), (3, "e", "u", 5, 6))
+    late = change((1, "z", "u", 15, 7), (4, "n", "c", 1, 8)).withColumn("extra", F.lit("x"))
+    seen = []
+    for batch in (first, first, second, second, late, first, late):
+        upsert_changes(store, "t", batch, "k", "k")
+        seen.append({(r["k"], r["v"]) for r in upserted(store, "t").collect()})
+    assert seen == [{(1, "a"), (2, "c"), (3, "d")}] * 2 + [{(2, "c"), (3, "d")}] * 2 + [{(2, "c"), (3, "d"), (4, "n")}] * 3
+    assert {r["k"]: r["extra"] for r in upserted(store, "t").collect()} == {2: None, 3: None, 4: "x"}
+
+
+def test_strict_streams_fail_and_others_set_bad_records_aside(spark):
+    schema = parse_schema("a:L b:S")
+    text = spark.createDataFrame([('{"a": 1, "b": "x"}',), ('{"a": ',), (None,), ("[]",), ('{"a": "no"}',)], "value string")
+    good, bad = split_bad(text, schema, F.lit(dt.datetime(2024, 1, 1)))
+    assert [tuple(r) for r in good.collect()] == [(1, "x")]
+    assert sorted(r["headers"]["error"] for r in bad.collect()) == ["no value", *["not a record of the schema"] * 3] and bad.first()["headers"]["schema"] == schema.simpleString()
+    assert parse_strict(text.limit(1), schema).count() == 1
+    with pytest.raises(Exception, match="MALFORMED"):
+        parse_strict(text.filter("value like '%no%' or value like '%: '"), schema).collect()
+
+
+def test_clock_folders_follow_the_zone(spark, tmp_path):
+    hour = hour_folders("Asia/Jakarta", F.lit(dt.datetime(2024, 12, 31, 17, 59)).cast("timestamp_ntz"))
+    row = spark.range(1).select(*[c.alias(k) for k, c in hour.items()]).first()
+    assert tuple(row) == ("2025", "01", "01", "00") and SINKS["gcs"].most_records > SINKS["minio"].most_records
+    new_york = spark.range(1).select(format_local(F.lit(dt.datetime(2024, 7, 1, 3)).cast("timestamp_ntz"), "yyyy-MM-dd HH", "America/New_York").alias("x"), today("Asia/Tokyo", F.lit(dt.datetime(2024, 7, 1, 16)).cast("timestamp_ntz")).alias("d")).first()
+    assert new_york["x"] == "2024-06-30 23" and new_york["d"] == dt.date(2024, 7, 2)
+
+
+def test_generated_demand_follows_its_rules(spark):
+    from ridgeline.sources import datagen
+
+    made = datagen.tables(spark, 20_000, days=181)
+    rides = made["ride"].withColumn("at", local(F.col("requested_at"))).select("*", F.to_date("at").alias("d"), F.hour("at").alias("h")).cache()
+    assert rides.count() == 20_000 and rides.agg(F.count_distinct("d")).first()[0] == 181
+    share = lambda what: rides.agg(F.avg(F.expr(what).cast("double"))).first()[0]
+    assert share("h between 7 and 9 or h between 17 and 20") > 0.5 and share("month(d) = 6") > 1.15 * share("month(d) = 1")
+    assert 0.6 < share("city_code = 'JKT'") < 0.72 and share("service_type = 'BIKE'") > 0.5
+    assert 0.65 < share("ride_status = 'COMPLETED'") < 0.86 and 0.02 < share("ride_status = 'PAYMENT_FAILED'") < 0.08
+    bikes = {r["w"]: r["x"] for r in rides.groupBy(F.expr("weekday(d) >= 5").alias("w")).agg(F.avg(F.expr("service_type = 'BIKE'").cast("double")).alias("x")).collect()}
+    assert bikes[False] > bikes[True] + 0.05
+    used = made["promo_usage"].join(made["promotion"].filter("promotion_status = 'ACTIVE'"), "promotion_id").groupBy("promo_code").count().collect()
+    names = {r["promo_code"] for r in used}
+    assert {c[0] for c in datagen.CAMPAIGNS} <= names
+    assert made["promo_usage"].join(made["promotion"].filter("promotion_status = 'ACTIVE'"), "promotion_id").filter("discount_amount_applied > max_discount_amount").count() == 0
+
+
 def test_probe_and_formats(spark, sf_dir, tmp_path):
     assert C.probe(spark, sf_dir) == "ready" and C.probe(spark, str(tmp_path / "none")) == "skipped"
     assert C.has_format(spark, "parquet") and not C.has_format(spark, "no-such-format")
