@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from ridgeline.llm.shared import CHUNK, chunks, column, text_buffers
+from ridgeline.llm.shared import CHUNK, chunks, text_buffers
 
 UNKNOWN = "und"
 #: A-Z count as a-z.
@@ -207,12 +207,13 @@ def predict(docs: DataFrame, net: ByteGru | None, text_col: str = "text", pred_c
     """
     new = [T.StructField(pred_col, T.StringType()), T.StructField(score_col, T.DoubleType())] + ([T.StructField(spans_col, SPAN_TYPE)] if spans_col else [])
     kept = [c for c in docs.columns if c not in {f.name for f in new}]
-    source = docs.select(*[docs[c] for c in kept], docs[text_col].alias("_gru_text"))
+    read = kept if text_col in kept else [*kept, text_col]
+    source, at = docs.select(*[docs[c] for c in read]), read.index(text_col)
     schema = T.StructType([*[f for f in docs.schema if f.name in kept], *new])
 
     def run(batches):
         for batch in batches:
-            data, offsets = text_buffers(column(batch, "_gru_text"))
+            data, offsets = text_buffers(batch.column(at))
             langs, scores, runs = [], [], []
             for low, high in chunks(offsets, CHUNK):
                 base = offsets[low]
