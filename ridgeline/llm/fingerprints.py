@@ -61,20 +61,24 @@ def first_difference(a: str, b: str) -> Column:
     return F.expr(f"if({a}.root = {b}.root, null, struct({section} - 1 as section, {paragraph} - 1 as paragraph, {start} as start))")
 
 
-def _bucketed(docs: DataFrame, id_col: str, per_bucket: int) -> tuple[DataFrame, int]:
+def _bucketed(docs: DataFrame, id_col: str, per_bucket: int, most: int = 4096) -> tuple[DataFrame, int]:
     """The docs with `bucket`: runs of neighbouring ids, about per_bucket each; and their number.
 
-    128 quantiles of the ids bound ranges of like counts, each cut into steps of equal width, so a far id stretches only
-    the steps of its own range.
+    Quantiles of the ids, one for each per_bucket rows but at most `most`, bound ranges of like counts. A range is cut into
+    steps of equal width, so a far id stretches only the steps of its own range, and ids that crowd together in one step
+    are at most those of a range.
     """
-    found = docs.agg(F.count(F.lit(1)).alias("n"), F.expr(f"percentile_approx(`{id_col}`, {[k / 128 for k in range(129)]!r}, 10000)".replace("[", "array(").replace("]", ")")).alias("q")).first()
-    bounds = sorted(set(found["q"] or [0]))
-    widths = [max(1, -(-(high - low) * 128 * per_bucket // max(1, found["n"]))) for low, high in zip(bounds, [*bounds[1:], bounds[-1] + 1])]
+    n = docs.count()
+    parts = max(1, min(most, -(-n // per_bucket)))
+    asked = "array(" + ",".join(repr(k / parts) for k in range(parts + 1)) + ")"
+    bounds = sorted(set(docs.agg(F.expr(f"percentile_approx(`{id_col}`, {asked}, 20000)").alias("q")).first()["q"] or [0]))
+    widths = [max(1, -(-(high - low) * parts * per_bucket // max(1, n))) for low, high in zip(bounds, [*bounds[1:], bounds[-1] + 1])]
     array = lambda xs: "array(" + ",".join(f"{x}L" for x in xs) + ")"
-    near = f"greatest(1, size(filter({array(bounds)}, b -> b <= coalesce(`{id_col}`, {bounds[0]}L))))"
+    halves = ", ".join(str(1 << k) for k in reversed(range(len(bounds).bit_length())))
+    near = f"greatest(1, aggregate(array({halves}), 0, (at, step) -> if(get({array(bounds)}, at + step - 1) <= coalesce(`{id_col}`, {bounds[0]}L), at + step, at)))"
     ranged = docs.withColumn("_r", F.expr(near))
     step = f"(greatest(coalesce(`{id_col}`, {bounds[0]}L), element_at({array(bounds)}, _r)) - element_at({array(bounds)}, _r)) div element_at({array(widths)}, _r)"
-    return ranged.withColumn("bucket", F.expr(f"shiftleft(cast(_r as bigint), 40) + {step}")).drop("_r"), found["n"]
+    return ranged.withColumn("bucket", F.expr(f"shiftleft(cast(_r as bigint), 40) + {step}")).drop("_r"), n
 
 
 def _previous(firsts: DataFrame) -> DataFrame:
