@@ -173,6 +173,31 @@ class Store:
         self._commit(name, version, rows.schema, now["partition"], [*(x for x in now["folders"] if x not in set(folders)), *fresh])
         return version
 
+    def load(self, name: str, rows: DataFrame, write: str = "truncate", create: bool = True, new_columns: bool = False, partition: Sequence[str] = (), cluster: Sequence[str] = ()) -> int:
+        """Writes a query's rows to a table: in place of its rows (truncate), beside them (append), or only if it has none (empty).
+
+        An absent table is made, or an error if `create` is off. Columns that the table lacks are an error unless
+        `new_columns` admits them; those that the rows lack are null.
+        """
+        if not self.exists(name):
+            if not create:
+                raise ValueError(f"no table {name}")
+            return self.replace(name, rows, list(partition), cluster)
+        now = self.current(name)
+        schema = T.StructType.fromJson(now["schema"])
+        added = [f for f in rows.schema if f.name not in schema.names]
+        if added and not new_columns:
+            raise ValueError(f"{name} has no columns {[f.name for f in added]}")
+        full = T.StructType([*schema, *added])
+        aligned = rows.select(*[F.col(f.name) if f.name in rows.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in full])
+        if write == "empty" and not self.read(name).isEmpty():
+            raise ValueError(f"{name} has rows")
+        if write in ("truncate", "empty"):
+            return self.replace(name, aligned, now["partition"], cluster)
+        if write != "append":
+            raise ValueError(f"unknown disposition {write}")
+        return self.change(name, [], lambda old: aligned, cluster)
+
     def truncate(self, name: str) -> int:
         """An empty version of the table. Whoever draws ids from `next_id` begins at 1 again."""
         now = self.current(name)

@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from ridgeline.functions import expressions as X
-from ridgeline.functions.schema import TableConfig, parse_schema
+from ridgeline.functions.schema import TABLES, TableConfig, parse_schema
 from ridgeline.operators import history as H
 from ridgeline.operators import quality as Q
 from ridgeline.operators.evolve import align
@@ -539,6 +539,16 @@ def i_hour_load(spark, sf_dir):
     return store.read_partitions("events", "hour", F.col("hour") >= F.lit(dt.datetime(2024, 1, 3))).groupBy("hour").agg(F.count(F.lit(1)).alias("events"), F.sum("event_id").alias("ids")).select(F.date_format("hour", "yyyy-MM-dd HH").alias("hour"), "events", "ids")
 
 
+@_query
+def i_write_query(spark, sf_dir):
+    """Two queries' rows in one table, partitioned and clustered; the second brings a column more."""
+    store, o = _scratch(spark), _read(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice")
+    for _ in range(2):  # the second run takes the place of the first
+        store.load("orders", o.filter("o_orderkey % 2 = 0"), partition=["o_orderstatus"], cluster=["o_totalprice"])
+    store.load("orders", o.filter("o_orderkey % 2 = 1").withColumn("doubled", F.col("o_totalprice") * 2), "append", create=False, new_columns=True)
+    return store.read("orders")
+
+
 @_query
 def i_truncate_reset(spark, sf_dir):
     """Ids that a table gives next, before and after it is emptied."""
@@ -587,6 +597,35 @@ def p_ingested(spark, sf_dir):
     return C.extract(_read(spark, sf_dir, "events"), config, window, dt.datetime(2024, 1, 20))
 
 
+@_query
+def i_ingest_merge(spark, sf_dir):
+    """Three loads of payments (naive Jakarta times, versions not older win): a window, all days with later versions, and the window again."""
+    from ridgeline.plans.ingest import bronze, ingest
+    from ridgeline.plans.stand_in import StandIn
+
+    store, config = _scratch(spark), TABLES["payment_transaction"]
+    first = StandIn(spark, sf_dir)["payment_transaction"]
+    later = first.withColumn("updated_at", F.col("updated_at") + F.expr("INTERVAL '1' DAY") * (F.col("ride_id") % 3 - 1)).withColumn("method_fee", F.lit(7).cast("decimal(38,9)"))
+    window, now = (dt.datetime(1996, 1, 1), dt.datetime(1998, 1, 1)), dt.datetime(2024, 1, 1)
+    for rows, span in ((first, window), (later, None), (first, window)):
+        ingest(store, config, rows, span, now)
+    return bronze(store, config).select("payment_transaction_id", "ride_id", "payment_status", F.col("method_fee").cast("double").alias("method_fee"), "updated_at", "_ingested_at", "_source_system")
+
+
+@_query
+def i_ingest_append(spark, sf_dir):
+    """Three loads of status history, which only grows, by overlapping windows; and what the lineage says of them."""
+    from ridgeline.plans.ingest import LINEAGE, bronze, ingest
+    from ridgeline.plans.stand_in import StandIn
+
+    store, config, source = _scratch(spark), TABLES["ride_status_history"], StandIn(spark, sf_dir)["ride_status_history"]
+    for first, last in ((3, 10), (8, 15), (3, 10)):
+        ingest(store, config, source, (dt.datetime(2024, 1, first), dt.datetime(2024, 1, last)), dt.datetime(2024, 2, 1), {"team": "Data Eng"})
+    loads = store.read(LINEAGE).groupBy().agg(F.count(F.lit(1)).alias("loads"), F.max(F.element_at("labels", "table")).alias("label"))
+    rows = bronze(store, config).groupBy("new_status").agg(F.count(F.lit(1)).alias("n"), F.min("ride_status_history_id").alias("first_id"), F.max("ride_status_history_id").alias("last_id"))
+    return rows.withColumn("loads", F.lit(loads.first()["loads"])).withColumn("label", F.lit(loads.first()["label"]))
+
+
 # more expressions
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from ridgeline.plans.stand_in import VIEWS, as_sql
 from ridgeline.sources.datagen import HOURS, city_weights, context_flags, demand_expr, hour_expr, outcome_weights, service_weights
 
 _EVENTS = "(SELECT *, CASE WHEN event_type = 'error' THEN 'd' WHEN event_type = 'signup' THEN 'c' ELSE 'u' END AS __op, event_id AS __lsn, epoch_ms(ts) AS __source_ts_ms FROM events)"
@@ -120,6 +121,12 @@ CAST(tax AS DOUBLE) AS tax_amount, CAST(fee AS DOUBLE) AS platform_fee, CAST(rou
 for _name in ("st_cdc_current", "st_upsert_sink", "st_bootstrap"):
     _SQL[_name] = _SQL["d_cdc_current"]
 _SQL["i_merge_store"] = _SQL["m_upsert_always"]
+def _source_sql(name: str) -> str:
+    """A stand-in table with those that it reads."""
+    needed = [x for x in VIEWS if x in ("asked", "ride", "priced", name)]
+    return "WITH " + ", ".join(f"src_{x} AS ({as_sql(x)})" for x in needed) + f" SELECT * FROM src_{name}"
+
+
 _JSON = "'{\"event_id\":' || event_id || ',\"user_id\":' || user_id || ',\"event_type\":\"' || event_type || '\"}'"
 _NY = "CAST(CAST(ts AS TIMESTAMP) AT TIME ZONE 'UTC' AT TIME ZONE 'America/New_York' AS TIMESTAMP)"
 _SQL |= {
@@ -128,10 +135,17 @@ _SQL |= {
       UNION ALL SELECT 'not a record of the schema', count(*), CAST(sum(length(substring({_JSON}, 1, 12))) AS BIGINT) FROM events WHERE event_id % 10 = 3 UNION ALL SELECT 'no value', count(*), 0 FROM events WHERE event_id % 10 = 4""",
     "st_envelope": f"SELECT event_id, user_id, event_type, __op, 'events' AS __table, __lsn, __source_ts_ms FROM {_EVENTS} WHERE __op <> 'd' OR event_id % 4 <> 0",
     "i_hour_load": "SELECT strftime(ts, '%Y-%m-%d %H') AS hour, count(*) AS events, CAST(sum(event_id) AS BIGINT) AS ids FROM events WHERE ts >= TIMESTAMP '2024-01-03 05:00:00' AND ts < TIMESTAMP '2024-01-03 08:00:00' GROUP BY 1",
+    "i_write_query": "SELECT o_orderkey, o_orderstatus, o_totalprice, CASE WHEN o_orderkey % 2 = 1 THEN o_totalprice * 2 END AS doubled FROM orders",
     "i_truncate_reset": "SELECT max(o_orderkey) + 1 AS next_before, 1 AS next_after, 0 AS rows_left FROM orders",
     "s_statement_list": "SELECT c_mktsegment, count(*) AS n, min(o_totalprice) AS least FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_totalprice > 200000 GROUP BY 1",
     "j_two_systems": "SELECT o_orderkey, o_custkey, c_name, c_nationkey FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderstatus = 'P'",
     "c_change_files": f"SELECT event_id, user_id, __op, CASE WHEN event_id % 2 = 1 THEN event_id * 2 END AS extra, 5 + event_id % 2 AS hour FROM {_EVENTS}",
+    "i_ingest_merge": f"""WITH p AS ({_source_sql('payment_transaction')}),
+      f AS (SELECT payment_transaction_id, ride_id, payment_status, CAST(method_fee AS DOUBLE) AS method_fee, updated_at, updated_at >= TIMESTAMP '1996-01-01' AND updated_at < TIMESTAMP '1998-01-01' AS inside FROM p),
+      l AS (SELECT payment_transaction_id, updated_at + INTERVAL '1' DAY * (ride_id % 3 - 1) AS updated_at FROM f)
+      SELECT f.payment_transaction_id, ride_id, payment_status, CASE WHEN inside AND f.updated_at >= l.updated_at THEN method_fee ELSE 7 END AS method_fee, CASE WHEN inside AND f.updated_at >= l.updated_at THEN f.updated_at ELSE l.updated_at END - INTERVAL 7 HOURS AS updated_at,
+      TIMESTAMP '2024-01-01' AS _ingested_at, 'billing_growth_db' AS _source_system FROM f JOIN l ON f.payment_transaction_id = l.payment_transaction_id""",
+    "i_ingest_append": "SELECT event_type AS new_status, count(*) AS n, min(event_id) AS first_id, max(event_id) AS last_id, 3 AS loads, 'ride-status-history' AS label FROM events WHERE ts >= TIMESTAMP '2024-01-03' AND ts < TIMESTAMP '2024-01-15' GROUP BY 1",
     "p_ingested": """SELECT user_id, CAST(event_id AS VARCHAR) AS event_id, event_type, ts - INTERVAL 7 HOURS AS ts, TIMESTAMP '2024-01-20' AS _ingested_at, 'o''brien' AS _source_system
       FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC) AS rn FROM events WHERE ts >= TIMESTAMP '2024-01-08' AND ts < TIMESTAMP '2024-01-15') WHERE rn = 1""",
     "p_time_formats": f"""SELECT event_id, strftime({_LOCAL}, '%Y-%m-%d %H:00:00') AS jakarta_hour, strftime(ts - INTERVAL 5 HOURS, '%Y-%m-%d %H:%M') AS new_york, ts + INTERVAL 5 HOURS AS from_new_york, CAST({_LOCAL} AS DATE) AS jakarta_day,

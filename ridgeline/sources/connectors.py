@@ -32,6 +32,37 @@ def has_format(spark: SparkSession, name: str) -> bool:
         return False
 
 
+def _require(spark: SparkSession, name: str, why: str) -> None:
+    if not has_format(spark, name):
+        raise ValueError(f"the format {name} is not on the class path: add {why}")
+
+
+def has_driver(spark: SparkSession, url: str) -> bool:
+    """Whether a JDBC driver on the class path takes a url."""
+    try:
+        spark.sparkContext._jvm.java.sql.DriverManager.getDriver(url)
+        return True
+    except Exception:
+        return False
+
+
+def read_jdbc(spark: SparkSession, url: str, config: TableConfig, bounds: tuple[int, int], partitions: int, properties: dict[str, str] | None = None) -> DataFrame:
+    """The declared columns of a table, scanned in ranges of its first key; the window's filter goes to the source."""
+    if not has_driver(spark, url):
+        raise ValueError(f"no JDBC driver takes {url.split('//')[0]}: add its jar")
+    return spark.read.format("jdbc").options(**jdbc_options(url, config.name, config.keys[0], bounds, partitions), **(properties or {})).load().select(*config.selected)
+
+
+def read_topics(spark: SparkSession, servers: str, topics: list[str], schema: str, stream: bool = True, starting: str = "earliest") -> DataFrame:
+    """Avro records of topics as `record`, with topic, partition and offset; the schema is Avro's, in JSON."""
+    _require(spark, "kafka", "spark-sql-kafka")
+    _require(spark, "avro", "spark-avro")
+    from pyspark.sql.avro.functions import from_avro
+
+    reader = (spark.readStream if stream else spark.read).format("kafka").options(**kafka_options(servers, topics, starting))
+    return reader.load().select(from_avro("value", schema).alias("record"), "topic", "partition", "offset")
+
+
 def cdc_path(topic: str, hour: dt.datetime) -> str:
     """The folder of an hour of Jakarta wall clock."""
     return f"raw/cdc/{topic}/year={hour:%Y}/month={hour:%m}/day={hour:%d}/hour={hour:%H}"

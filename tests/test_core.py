@@ -165,6 +165,21 @@ def test_increments_leave_other_partitions_where_they_are(spark, tmp_path):
     assert store.read("empty").count() == 0 and store.next_id("empty", "id") == 1
 
 
+def test_loads_refuse_what_they_were_not_told(spark, tmp_path):
+    store, rows = Store(spark, f"file://{tmp_path}/w"), spark.range(2)
+    for bad in (dict(create=False), dict(write="append", create=False)):
+        with pytest.raises(ValueError):
+            store.load("t", rows, **bad)
+    store.load("t", rows)
+    for bad in (dict(rows=rows.withColumn("x", F.lit(1))), dict(rows=rows, write="empty"), dict(rows=rows, write="twice")):
+        with pytest.raises(ValueError):
+            store.load("t", **bad)
+    store.truncate("t")
+    store.load("t", rows, "empty")
+    store.load("t", rows.withColumn("x", F.lit(1)), "append", new_columns=True)
+    assert sorted((r["id"], r["x"] or 0) for r in store.read("t").collect()) == [(0, 0), (0, 1), (1, 0), (1, 1)]
+
+
 def test_staged_tables_go_whatever_happens(spark, tmp_path):
     store = Store(spark, f"file://{tmp_path}/w")
     with pytest.raises(ZeroDivisionError):
@@ -297,6 +312,30 @@ def test_generated_demand_follows_its_rules(spark):
     assert made["promo_usage"].join(made["promotion"].filter("promotion_status = 'ACTIVE'"), "promotion_id").filter("discount_amount_applied > max_discount_amount").count() == 0
 
 
+def test_readers_say_what_is_absent(spark):
+    for read in (lambda: C.read_jdbc(spark, "jdbc:postgresql://h/db", TABLES["ride"], (1, 9), 4), lambda: C.read_topics(spark, "h:1", ["t"], "{}")):
+        with pytest.raises(ValueError, match="add"):
+            read()
+
+
+def test_ingest_syncs_the_schema_and_is_idempotent(spark, tmp_path):
+    from ridgeline.plans.ingest import LINEAGE, bronze, ingest
+
+    store, now = Store(spark, f"file://{tmp_path}/b"), dt.datetime(2024, 5, 1)
+    day = lambda d: dt.datetime(2024, 1, d)
+    config = TableConfig("t", ("id",), parse_schema("id:L! x:S updated_at:T!"), unit="day")
+    wider = TableConfig("t", ("id",), parse_schema("id:L! x:S updated_at:T! y:S"), unit="day")
+    old = spark.createDataFrame([(1, "a", day(1)), (2, "a", day(2)), (3, "a", day(9))], "id long, x string, updated_at timestamp_ntz")
+    new = spark.createDataFrame([(1, "b", day(3), "n"), (2, "old", day(1), "n"), (4, "b", day(4), None)], "id long, x string, updated_at timestamp_ntz, y string")
+    assert ingest(store, config, old, (day(1), day(5)), now).schema == "final_table_created_or_pending"
+    for report in ("added:y", "no_changes"):
+        load = ingest(store, wider, new, None, now, {"Team": "x y"})
+        assert load.schema == report and load.labels == {"team": "x-y", "table": "t", "source-system": "ride-ops-pg"}
+        assert {(r["id"], r["x"], r["y"]) for r in bronze(store, config).collect()} == {(1, "b", "n"), (2, "a", None), (4, "b", None)}
+    assert store.current("t")["partition"] == ["_part"] and store.read(LINEAGE).count() == 3
+    assert ingest(store, config, old, (day(8), day(10)), now).schema == "no_changes" and bronze(store, config).count() == 4
+
+
 def test_probe_and_formats(spark, sf_dir, tmp_path):
     assert C.probe(spark, sf_dir) == "ready" and C.probe(spark, str(tmp_path / "none")) == "skipped"
     assert C.has_format(spark, "parquet") and not C.has_format(spark, "no-such-format")
