@@ -248,3 +248,25 @@ def tables(spark: SparkSession, rides: int, riders: int | None = None, drivers:
     out["payment_refund"] = fares.filter(f"not ({failed}) and {chance('refund', 'ride_id')} < 0.02").selectExpr("ride_id AS refund_id", "ride_id AS payment_transaction_id", "ride_id", "cast(total_fare / 2 as decimal(18,2)) AS refund_amount", "'SERVICE_QUALITY' AS refund_reason_code", "'PROCESSED' AS refund_status",
         "completed_at + interval 1 day AS requested_at", "completed_at + interval 50 hours AS processed_at", "completed_at + interval 1 day AS created_at", "completed_at + interval 50 hours AS updated_at")
     return out
+
+
+def live(ticks: DataFrame, rides_per_minute: int = 10, riders: int = 5_000, drivers: int = 1_500) -> DataFrame:
+    """Rides of a simulated clock from numbered ticks (`value`), one ride each: every `rides_per_minute` of them are a minute.
+
+    A ride goes through its whole life at once: its times, status and city follow from its number, as in `tables`.
+    """
+    asked = ticks.selectExpr("value + 1 AS ride_id", f"timestamp_ntz'{START}' + INTERVAL '1' MINUTE * (value div {rides_per_minute}) AS requested_at")
+    placed = _settled(asked.selectExpr("*", "to_date(requested_at) AS d", "hour(requested_at) AS h").selectExpr("*", f"{drawn(city_weights('d', 'h'), chance('city', 'ride_id'))} AS city_code"))
+    rated = _settled(placed.selectExpr("*", f"{drawn(service_weights('d', 'h', 'city_code'), chance('kind', 'ride_id'))} AS service_type", *[f"{x} AS {k}" for k, x in context_flags("d", "h", "city_code", chance("rain", "ride_id"), chance("short", "ride_id")).items()]))
+    return rated.selectExpr("ride_id", "requested_at", f"1 + cast({chance('rider', 'ride_id')} * {riders} as bigint) AS rider_id", f"1 + cast({chance('driver', 'ride_id')} * {drivers} as bigint) AS driver_id", "city_code", "service_type", f"{drawn(outcome_weights('false', 'false', 'false'), chance('outcome', 'ride_id'))} AS outcome")
+
+
+def live_rides(spark: SparkSession, rides_per_second: int = 200, rides_per_minute: int = 10) -> DataFrame:
+    """An endless stream of such rides: a simulated minute takes rides_per_minute / rides_per_second seconds."""
+    return live(spark.readStream.format("rate").option("rowsPerSecond", rides_per_second).load().select("value"), rides_per_minute)
+
+
+def reserved_ids(spark: SparkSession, store, name: str, column: str, n: int) -> DataFrame:
+    """The next n ids of a table of a store."""
+    first = store.next_id(name, column)
+    return spark.range(first, first + n).withColumnRenamed("id", column)

@@ -312,6 +312,20 @@ def test_generated_demand_follows_its_rules(spark):
     assert made["promo_usage"].join(made["promotion"].filter("promotion_status = 'ACTIVE'"), "promotion_id").filter("discount_amount_applied > max_discount_amount").count() == 0
 
 
+def test_live_rides_follow_the_clock(spark, tmp_path):
+    from ridgeline.sources import datagen
+
+    rides = datagen.live(spark.range(3000).withColumnRenamed("id", "value"))
+    got = rides.agg(F.count("*"), F.count_distinct("requested_at"), F.min("requested_at"), F.max("requested_at"), F.count_distinct("ride_id")).first()
+    assert tuple(got) == (3000, 300, dt.datetime(2026, 1, 1), dt.datetime(2026, 1, 1, 4, 59), 3000)
+    assert {r["outcome"] for r in rides.select("outcome").distinct().collect()} <= set(datagen.OUTCOMES)
+    stream = datagen.live_rides(spark)
+    assert stream.isStreaming and stream.dtypes == rides.dtypes
+    store = Store(spark, f"file://{tmp_path}/w")
+    store.replace("ride", rides)
+    assert [r["ride_id"] for r in datagen.reserved_ids(spark, store, "ride", "ride_id", 3).collect()] == [3001, 3002, 3003]
+
+
 def test_readers_say_what_is_absent(spark):
     for read in (lambda: C.read_jdbc(spark, "jdbc:postgresql://h/db", TABLES["ride"], (1, 9), 4), lambda: C.read_topics(spark, "h:1", ["t"], "{}")):
         with pytest.raises(ValueError, match="add"):
