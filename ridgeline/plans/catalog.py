@@ -6,6 +6,7 @@ import atexit
 import datetime as dt
 import uuid
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -603,7 +604,7 @@ def i_ingest_merge(spark, sf_dir):
     from ridgeline.plans.ingest import bronze, ingest
     from ridgeline.plans.stand_in import StandIn
 
-    store, config = _scratch(spark), TABLES["payment_transaction"]
+    store, config = _scratch(spark), replace(TABLES["payment_transaction"], unit="year")
     first = StandIn(spark, sf_dir)["payment_transaction"]
     later = first.withColumn("updated_at", F.col("updated_at") + F.expr("INTERVAL '1' DAY") * (F.col("ride_id") % 3 - 1)).withColumn("method_fee", F.lit(7).cast("decimal(38,9)"))
     window, now = (dt.datetime(1996, 1, 1), dt.datetime(1998, 1, 1)), dt.datetime(2024, 1, 1)
