@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ridgeline.llm import ngram_join, quality_rules, source_mix, url_filters
+from ridgeline.llm import dominance, ngram_join, quality_rules, source_mix, url_filters
 from ridgeline.llm.fingerprints import compare_edited
 from ridgeline.llm.html_extraction import extract
 from ridgeline.llm.language_id import fold_of, identify
@@ -63,10 +63,14 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", *quality_rules.STATISTICS, "base_failed", "kept")
 
 
+def op13_dominance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dominance.dominance(_table(spark, sf_dir, "sales"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     own = {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
     return dict(sorted(own.items(), key=lambda x: int(x[0][2:].split("_")[0])))
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_source_mix": source_mix.ORACLE, "op10_quality_rules": quality_rules.ORACLE}
+    return {"op9_source_mix": source_mix.ORACLE, "op10_quality_rules": quality_rules.ORACLE, "op13_dominance": dominance.ORACLE}
