@@ -118,6 +118,38 @@ class Sets:
         return common * (self.den + self.num) >= self.num * (a + b)
 
 
+    def meet(self, table: pa.Table) -> pa.Table:
+        """u, v: labels of the members and visitors of one task that link; enough pairs to connect all that do."""
+        role, key, label = (table.column(c).to_numpy() for c in ("role", "key", "label"))
+        lists = table.column("shingles").combine_chunks()
+        lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
+        flat, ends = lists.flatten().to_numpy().view(np.uint64), np.concatenate([[0], np.cumsum(np.diff(lists.offsets.to_numpy()))])
+        members, visitors = np.flatnonzero(role == 0), np.flatnonzero(role == 1)
+        size = np.diff(ends)
+        u, v = [], []
+        if len(members) and len(visitors):
+            everything = np.concatenate([flat[ends[k] : ends[k + 1]] for k in members])
+            owner = np.repeat(np.arange(len(members)), size[members])
+            order = np.argsort(everything, kind="stable")
+            everything, owner = everything[order], owner[order]
+            # what the links so far connect has one root
+            roots, root = np.unique(label, return_inverse=True)
+            for k in visitors:
+                if (root[members] == root[k]).all():
+                    continue
+                mine = flat[ends[k] : ends[k + 1]]
+                low = np.searchsorted(everything, mine, side="left")
+                count = np.searchsorted(everything, mine, side="right") - low
+                hits = np.repeat(low - (np.cumsum(count) - count), count) + np.arange(count.sum())
+                common = np.bincount(owner[hits], minlength=len(members))
+                for other in np.unique(root[members[self.links(int(size[k]), size[members], common)]]):
+                    if other != root[k]:
+                        u.append(roots[root[k]])
+                        v.append(roots[other])
+                        root[root == other] = root[k]
+        return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
+
+
 def _longs(arrays: list[np.ndarray]) -> pa.Array:
     offsets = np.concatenate([[0], np.cumsum([len(a) for a in arrays])]).astype(np.int32)
     flat = np.concatenate(arrays) if arrays else np.empty(0, np.uint64)
@@ -244,37 +276,7 @@ def _opened(asked: DataFrame, contents: DataFrame, sets: Sets) -> DataFrame:
     )
     filled = placed.join(contents, "key")
 
-    def meet(table: pa.Table) -> pa.Table:
-        role, key, label = (table.column(c).to_numpy() for c in ("role", "key", "label"))
-        lists = table.column("shingles").combine_chunks()
-        lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
-        flat, ends = lists.flatten().to_numpy().view(np.uint64), np.concatenate([[0], np.cumsum(np.diff(lists.offsets.to_numpy()))])
-        members, visitors = np.flatnonzero(role == 0), np.flatnonzero(role == 1)
-        size = np.diff(ends)
-        u, v = [], []
-        if len(members) and len(visitors):
-            everything = np.concatenate([flat[ends[k] : ends[k + 1]] for k in members])
-            owner = np.repeat(np.arange(len(members)), size[members])
-            order = np.argsort(everything, kind="stable")
-            everything, owner = everything[order], owner[order]
-            # what the links so far connect has one root
-            roots, root = np.unique(label, return_inverse=True)
-            for k in visitors:
-                if (root[members] == root[k]).all():
-                    continue
-                mine = flat[ends[k] : ends[k + 1]]
-                low = np.searchsorted(everything, mine, side="left")
-                count = np.searchsorted(everything, mine, side="right") - low
-                hits = np.repeat(low - (np.cumsum(count) - count), count) + np.arange(count.sum())
-                common = np.bincount(owner[hits], minlength=len(members))
-                for other in np.unique(root[members[sets.links(int(size[k]), size[members], common)]]):
-                    if other != root[k]:
-                        u.append(roots[root[k]])
-                        v.append(roots[other])
-                        root[root == other] = root[k]
-        return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
-
-    return filled.groupBy("g", "kind", "m", "v").applyInArrow(meet, "u long, v long")
+    return filled.groupBy("g", "kind", "m", "v").applyInArrow(lambda table: sets.meet(table), "u long, v long")
 
 
 def _first_round(chosen: DataFrame, contents: DataFrame, sets: Sets, work: Workspace) -> DataFrame:
@@ -330,6 +332,20 @@ def _second_round(chosen: DataFrame, grown: DataFrame, contents: DataFrame, sets
     return late
 
 
+def labelled(rows: DataFrame, grown: DataFrame, merged: DataFrame, id_col: str) -> DataFrame:
+    """id_col, n_shingles, component_id of the rows (id, n, key), from the labels of two rounds."""
+    top = merged.select(F.col("node").alias("label"), F.col("label").alias("top"))
+    alone = merged.join(grown, merged["node"] == grown["node"], "left_anti").select("node", F.col("label").alias("final"))
+    final = grown.join(top, "label", "left").select("node", F.coalesce("top", "label").alias("final")).unionByName(alone)
+    # rows without words have no key; a hash of the id in its place keeps them from meeting in one task
+    place = F.when(F.col("n") > 0, F.col("key")).otherwise(F.xxhash64("id"))
+    keyed = rows.select("id", "n", place.alias("key"))
+    labelled = keyed.join(final, keyed["key"] == final["node"], "left").select("id", "n", F.coalesce("final", "key").alias("c"))
+    least = labelled.filter("n > 0").groupBy("c").agg(F.min("id").alias("component_id"))
+    out = labelled.join(least, "c", "left")
+    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id")).alias("component_id"))
+
+
 def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, num: int = 80, den: int = 100, work: Workspace | None = None) -> DataFrame:
     """id_col, n_shingles, component_id, one row for each input row.
 
@@ -354,13 +370,4 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width:
     for name in ("chosen", "contents", "late"):  # nothing reads them again
         work.drop(name)
 
-    top = merged.select(F.col("node").alias("label"), F.col("label").alias("top"))
-    alone = merged.join(grown, merged["node"] == grown["node"], "left_anti").select("node", F.col("label").alias("final"))
-    final = grown.join(top, "label", "left").select("node", F.coalesce("top", "label").alias("final")).unionByName(alone)
-    # rows without words have no key; a hash of the id in its place keeps them from meeting in one task
-    place = F.when(F.col("n") > 0, F.col("key")).otherwise(F.xxhash64("id"))
-    keyed = rows.select("id", "n", place.alias("key"))
-    labelled = keyed.join(final, keyed["key"] == final["node"], "left").select("id", "n", F.coalesce("final", "key").alias("c"))
-    least = labelled.filter("n > 0").groupBy("c").agg(F.min("id").alias("component_id"))
-    out = labelled.join(least, "c", "left")
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id")).alias("component_id"))
+    return labelled(rows, grown, merged, id_col)

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ridgeline.llm import dominance, importance, ngram_join, quality_rules, source_mix, url_filters
+from ridgeline.llm import dominance, importance, minhash_dedup, ngram_join, quality_rules, source_mix, url_filters
 from ridgeline.llm.fingerprints import compare_edited
 from ridgeline.llm.html_extraction import extract
 from ridgeline.llm.language_id import fold_of, identify
@@ -67,6 +67,10 @@ def op11_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return importance.resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op12_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash_dedup.dedup(_table(spark, sf_dir, "documents"), width=4, num=80, den=100)
+
+
 def op13_dominance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dominance.dominance(_table(spark, sf_dir, "sales"))
 
