@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ridgeline.functions.expressions import surrogate_key, within
+from ridgeline.functions.expressions import surrogate_key
 
 
 def latest_by(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
@@ -91,7 +91,32 @@ def scd2_from_history(versions: DataFrame, key: str, ts: str) -> DataFrame:
     return versions.withColumn("valid_from", F.col(ts)).withColumn("valid_to", following)
 
 
-def as_of_join(facts: DataFrame, dim: DataFrame, key: str, at: Column, columns: Sequence[str]) -> DataFrame:
-    """Facts with the dim's columns that were valid at a time: an equi join with the half-open interval as residual."""
-    d = dim.select(F.col(key).alias("_key"), F.col("valid_from").alias("_from"), F.col("valid_to").alias("_to"), *columns)
-    return facts.withColumn("_at", at).join(d, (F.col(key) == F.col("_key")) & within(F.col("_at"), F.col("_from"), F.col("_to")), "left").drop("_at", "_key", "_from", "_to")
+def as_of_join(facts: DataFrame, dim: DataFrame, key: str, at: Column, columns: Sequence[str], unit: str = "day") -> DataFrame:
+    """Facts with the dim's columns that were valid at a time: one row for each fact, null where none was.
+
+    The half-open intervals [valid_from, valid_to) of a key don't overlap; an absent end is open. Facts and versions are swept
+    together in the order of their times, and each fact takes the last version before it, so the work is that of one sort,
+    however many versions a key has. The sweep is cut into the days (`unit`) of each key, so a key with many facts is many
+    groups; the version that was valid at a day's start is carried into it as one more row. Facts without a key or a
+    time match nothing, and are spread over groups of their own. Facts are read twice, the first time only their key and time.
+    """
+    own, time, day = (F.col(c) for c in ("_key", "_at", "_day"))
+    since = F.datediff(time.cast("date"), F.lit("1970-01-01").cast("date")).cast("long")
+    bucket = {"hour": since * 24 + F.hour(time), "day": since, "month": (F.year(time) * 12 + F.month(time)).cast("long")}[unit]
+    version = F.struct(F.col("valid_to").alias("_to"), *columns)
+    versions = dim.select(F.col(key).alias("_key"), F.col("valid_from").alias("_at"), version.alias("_v")).filter(own.isNotNull() & time.isNotNull()).withColumn("_day", bucket)
+    kept = F.struct(*[F.col(c) for c in facts.columns])
+    lost = -1 - F.pmod(F.xxhash64("_f"), F.lit(1 << 12)) - (1 << 40)
+    asked = facts.select(F.col(key).alias("_key"), at.alias("_at"), kept.alias("_f")).withColumn("_day", F.when(own.isNotNull() & time.isNotNull(), bucket).otherwise(lost))
+    # of versions that begin together all but one are empty intervals, which come first
+    ends = F.struct(time, F.col("_v._to").isNull(), F.col("_v._to"))
+    last = versions.groupBy("_key", "_day").agg(F.max_by("_v", ends).alias("_v"))
+    days = asked.filter(day > -(1 << 40)).select("_key", "_day").distinct().select("*", F.lit(None).cast(versions.schema["_v"].dataType).alias("_v"))
+    before = Window.partitionBy("_key").orderBy(day, F.col("_v").isNull().desc()).rowsBetween(Window.unboundedPreceding, -1)
+    carried = last.unionByName(days).withColumn("_c", F.last("_v", ignorenulls=True).over(before)).filter(F.col("_v").isNull() & F.col("_c").isNotNull())
+    carried = carried.select("_key", F.lit(None).cast(versions.schema["_at"].dataType).alias("_at"), F.col("_c").alias("_v"), "_day")
+    swept = asked.unionByName(versions.unionByName(carried), allowMissingColumns=True)
+    order = [time.asc_nulls_first(), F.col("_f").isNotNull(), F.col("_v._to").asc_nulls_last()]
+    found = swept.withColumn("_v", F.last("_v", ignorenulls=True).over(Window.partitionBy("_key", "_day").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))).filter(F.col("_f").isNotNull())
+    there = own.isNotNull() & (F.col("_v._to").isNull() | (time < F.col("_v._to")))
+    return found.select("_f.*", *[F.when(there, F.col(f"_v.{c}")).alias(c) for c in columns])

@@ -5,7 +5,7 @@ from __future__ import annotations
 from ridgeline.plans.stand_in import VIEWS, as_sql
 from ridgeline.sources.datagen import HOURS, city_weights, context_flags, demand_expr, hour_expr, outcome_weights, service_weights
 
-_EVENTS = "(SELECT *, CASE WHEN event_type = 'error' THEN 'd' WHEN event_type = 'signup' THEN 'c' ELSE 'u' END AS __op, event_id AS __lsn, epoch_ms(ts) AS __source_ts_ms FROM events)"
+_EVENTS = "(SELECT *, CASE WHEN event_type = 'error' THEN 'd' WHEN event_type = 'signup' THEN 'c' ELSE 'u' END AS __op, event_id AS __lsn, epoch_us(ts) // 1000 AS __source_ts_ms FROM events)"
 _LOCAL = "(ts + INTERVAL 7 HOURS)"
 _PEAK = f"(hour({_LOCAL}) BETWEEN 7 AND 9 OR hour({_LOCAL}) BETWEEN 17 AND 20)"
 _NULL = "_dbt_utils_surrogate_key_null_"

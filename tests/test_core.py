@@ -32,9 +32,9 @@ def _value(v):
         return None
     if isinstance(v, dt.datetime):
         return str(v.date()) if v.time() == dt.time() else str(v.replace(tzinfo=None))
-    if isinstance(v, bool) or isinstance(v, (str, dt.date, bytes)):
+    if isinstance(v, (bool, str, dt.date, bytes)):
         return str(v)
-    return float(f"{float(v):.9g}")
+    return v if isinstance(v, int) else float(f"{float(v):.9g}")  # only what isn't whole by its type is rounded
 
 
 def _same(spark_rows, names, cursor):
@@ -104,6 +104,36 @@ def test_as_of_join_is_half_open(spark):
     assert got == {(1, 0): None, (1, 1): "a", (1, 5): "b", (1, 9): "b", (None, 3): None}
 
 
+@pytest.mark.parametrize("unit", ["hour", "day", "month"])
+def test_as_of_join_sweeps_hot_keys_and_odd_rows(spark, unit):
+    rng, start = random.Random(unit), dt.datetime(2024, 1, 1)
+    at = lambda: start + dt.timedelta(minutes=30 * rng.randrange(3000))
+    versions = []
+    for key in range(6):
+        times = sorted(at() for _ in range(rng.randrange(1, 40)))
+        for k, begin in enumerate(times):  # gaps, empty intervals where times are equal, an open end
+            end = times[k + 1] if k + 1 < len(times) else None
+            versions.append((key, begin, min(end, begin + dt.timedelta(days=3)) if end and rng.random() < 0.3 else end, len(versions)))
+    facts = [(n, None if n % 29 == 0 else 1 if n % 3 == 0 else rng.randrange(8), None if n % 31 == 0 else at()) for n in range(900)]
+    facts += facts[:20] + [(1000 + v, key, begin) for key, begin, _, v in versions]
+    dim = spark.createDataFrame(versions + [(None, start, None, -1), (2, None, None, -2)], "k long, valid_from timestamp_ntz, valid_to timestamp_ntz, v long")
+    df = spark.createDataFrame([(*f, "x") for f in facts], "n long, k long, at timestamp_ntz, _v string").repartition(3)
+    got = H.as_of_join(df, dim, "k", F.col("at"), ["v"], unit)
+    want = Counter((n, k, t, next((v for key, a, b, v in versions if key == k and t is not None and a <= t and (b is None or t < b)), None)) for n, k, t in facts)
+    assert got.columns == ["n", "k", "at", "_v", "v"] and Counter((r["n"], r["k"], r["at"], r["v"]) for r in got.collect()) == want
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and "Window" in plan
+
+
+def test_as_of_join_groups_stay_small(spark):
+    """A third of all facts has one key: no group of the sweep holds more than a day of it."""
+    facts = spark.range(30_000).selectExpr("id", "if(id % 3 = 0, 0, id) AS k", "timestamp_ntz'2024-01-01 00:00:00' + make_dt_interval(0, 0, cast(id % 100000 as int)) AS at")
+    dim = spark.range(300).selectExpr("0L AS k", "timestamp_ntz'2023-12-01 00:00:00' + make_dt_interval(0, cast(id as int) * 9) AS valid_from", "timestamp_ntz'2023-12-01 00:00:00' + make_dt_interval(0, cast(id as int) * 9 + 9) AS valid_to", "id AS v")
+    got = H.as_of_join(facts, dim, "k", F.col("at"), ["v"], "day")
+    assert got.filter("k = 0 and v is not null").count() == 10_000 and got.count() == 30_000
+    assert got.filter("k = 0").groupBy(F.to_date("at")).count().agg(F.max("count")).first()[0] < 700
+
+
 def test_store_swaps_versions_and_strategies(spark, tmp_path):
     store = Store(spark, f"file://{tmp_path}/w")
     first = spark.createDataFrame([(1, "2024-01-01", 1), (2, "2024-01-02", 1)], "k long, day string, v long")
