@@ -15,7 +15,7 @@ others' shared tokens all but R - r of the most frequent are kept, the rarest fi
 Documents whose most frequent kept token is the same are one group, whether or not they link: a cluster of documents that
 are alike but below the threshold is a few groups, not one for each document. Each group's token union is stored, and a
 document opens the groups whose union holds at least r of its tokens and whose sizes fit; of two groups the one with the
-larger token asks. Inside an opened group whole sets are compared.
+rarer token asks, so the members of a large group, which most others meet, ask few. Inside an opened group whole sets are compared.
 
 Before, a first round tries each document against two documents that are the least of a token of its. What links there
 gets one label, and documents of one label needn't be compared any more: of a group's commonest label, no two members
@@ -301,10 +301,10 @@ def _second_round(chosen: DataFrame, grown: DataFrame, contents: DataFrame, sets
     num, den = sets.num, sets.den
     held = chosen.groupBy("token").agg(F.count(F.lit(1)).alias("held")).filter("held > 1")
     counted = chosen.join(held, "token")
-    group = counted.groupBy("key").agg(F.max(F.struct("held", "token")).alias("g")).select("key", F.col("g.token").alias("own"))
+    group = counted.groupBy("key").agg(F.max(F.struct("held", "token")).alias("g")).select("key", F.col("g.token").alias("own"), F.col("g.held").alias("rank"))
     label = F.coalesce("label", "key").alias("label")
-    grouped = group.join(grown, group["key"] == grown["node"], "left").select("key", "own", label)
-    grouped = work.put("grouped", counted.join(grouped, "key").select("token", "key", "n", "common", "own", "label"))
+    grouped = group.join(grown, group["key"] == grown["node"], "left").select("key", "own", "rank", label)
+    grouped = work.put("grouped", counted.join(grouped, "key").select("token", "key", "n", "common", "own", "rank", "label"))
     members = work.put("members", grouped.groupBy("key").agg(*[F.first(c).alias(c) for c in ("n", "own", "label")]))
     # the commonest label of each group, and whether it is the only one
     top = members.groupBy("own", "label").agg(F.count(F.lit(1)).alias("c")).groupBy("own").agg(F.max(F.struct("c", "label")).alias("top"), F.count(F.lit(1)).alias("labels"))
@@ -312,10 +312,10 @@ def _second_round(chosen: DataFrame, grown: DataFrame, contents: DataFrame, sets
 
     several = grouped.groupBy("token").agg(F.min("own").alias("a"), F.max("own").alias("b")).filter("a < b").select("token")
     live = grouped.join(several, "token")
-    matrix = live.groupBy("token", F.col("own").alias("g")).agg(F.min("n").alias("least"), F.max("n").alias("most"), F.min("common").alias("theirs"), F.min("label").alias("la"), F.max("label").alias("lb"))
+    matrix = live.groupBy("token", F.col("own").alias("g")).agg(F.min("n").alias("least"), F.max("n").alias("most"), F.min("common").alias("theirs"), F.first("rank").alias("above"))
     # a group whose holders of a token all have the visitor's label may hold others as well: it counts unless it has one label
-    matrix = matrix.join(top, "g").withColumn("only", F.expr("if(labels = 1, top, null)")).select("token", "g", "least", "most", "theirs", "only", "top")
-    fits = F.expr(f"own > g and n * {den} >= least * {num} and most * {den} >= n * {num} and (only is null or only <> label)")
+    matrix = matrix.join(top, "g").withColumn("only", F.expr("if(labels = 1, top, null)")).select("token", "g", "least", "most", "theirs", "above", "only", "top")
+    fits = F.expr(f"(rank < above or rank = above and own < g) and n * {den} >= least * {num} and most * {den} >= n * {num} and (only is null or only <> label)")
     met = live.join(matrix, "token").filter(fits).groupBy("g", "key").agg(*[F.first(c).alias(c) for c in ("n", "label", "top")], F.count(F.lit(1)).alias("overlap"), F.min(F.least("common", "theirs")).alias("r"))
     visits = work.put("visits", met.filter("overlap >= r").select("g", "key", "n", "label", F.expr("if(label = top, 1, 0)").alias("kind")))
 
