@@ -91,14 +91,15 @@ def scd2_from_history(versions: DataFrame, key: str, ts: str) -> DataFrame:
     return versions.withColumn("valid_from", F.col(ts)).withColumn("valid_to", following)
 
 
-def as_of_join(facts: DataFrame, dim: DataFrame, key: str, at: Column, columns: Sequence[str], unit: str = "day") -> DataFrame:
+def as_of_join(facts: DataFrame, dim: DataFrame, key: str, at: Column, columns: Sequence[str], unit: str = "day", seen: DataFrame | None = None) -> DataFrame:
     """Facts with the dim's columns that were valid at a time: one row for each fact, null where none was.
 
     The half-open intervals [valid_from, valid_to) of a key don't overlap; an absent end is open. Facts and versions are swept
     together in the order of their times, and each fact takes the last version before it, so the work is that of one sort,
     however many versions a key has. The sweep is cut into the days (`unit`) of each key, so a key with many facts is many
     groups; the version that was valid at a day's start is carried into it as one more row. Facts without a key or a
-    time match nothing, and are spread over groups of their own. Facts are read twice, the first time only their key and time.
+    time match nothing, and are spread over groups of their own. Keys and times are read once more, to know the days: from
+    the facts, or from `seen`, which holds them as well (where several joins follow each other, the facts before the first).
     """
     own, time, day = (F.col(c) for c in ("_key", "_at", "_day"))
     since = F.datediff(time.cast("date"), F.lit("1970-01-01").cast("date")).cast("long")
@@ -111,7 +112,8 @@ def as_of_join(facts: DataFrame, dim: DataFrame, key: str, at: Column, columns:
     # of versions that begin together all but one are empty intervals, which come first
     ends = F.struct(time, F.col("_v._to").isNull(), F.col("_v._to"))
     last = versions.groupBy("_key", "_day").agg(F.max_by("_v", ends).alias("_v"))
-    days = asked.filter(day > -(1 << 40)).select("_key", "_day").distinct().select("*", F.lit(None).cast(versions.schema["_v"].dataType).alias("_v"))
+    known = (facts if seen is None else seen).select(F.col(key).alias("_key"), at.alias("_at")).filter(own.isNotNull() & time.isNotNull())
+    days = known.select("_key", bucket.alias("_day")).distinct().select("*", F.lit(None).cast(versions.schema["_v"].dataType).alias("_v"))
     before = Window.partitionBy("_key").orderBy(day, F.col("_v").isNull().desc()).rowsBetween(Window.unboundedPreceding, -1)
     carried = last.unionByName(days).withColumn("_c", F.last("_v", ignorenulls=True).over(before)).filter(F.col("_v").isNull() & F.col("_c").isNotNull())
     carried = carried.select("_key", F.lit(None).cast(versions.schema["_at"].dataType).alias("_at"), F.col("_c").alias("_v"), "_day")

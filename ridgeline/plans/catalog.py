@@ -244,6 +244,36 @@ def m_scd2_apply(spark, sf_dir):
     return H.scd2_apply(target, source, "c_custkey", "updated_at", F.lit(dt.date(2024, 3, 1)))
 
 
+@_query
+def m_kept_snapshots(spark, sf_dir):
+    """A history of customers over three runs: as they were, some changed or gone, and some of those changed again or back."""
+    from ridgeline.operators.snapshots import snapshot
+
+    store, c = _scratch(spark), _read(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment")
+    for run in (0, 1, 2):
+        turned, gone = (F.expr(f"c_custkey % {n} = 1") for n in (4 + run, 9 + run))
+        at = F.when(turned, F.lit(dt.date(2024, 1 + run, 1))).otherwise(F.lit(dt.date(2024, 1, 1)) if run < 2 else F.expr("if(c_custkey % 5 = 1, date'2024-02-01', date'2024-01-01')"))
+        state = c.filter(~gone).select("c_custkey", F.when(turned, F.concat("c_mktsegment", F.lit(str(run)))).otherwise(F.col("c_mktsegment")).alias("c_mktsegment"), at.alias("updated_at"))
+        out = snapshot(store, "customers", state, "c_custkey", "updated_at", F.lit(dt.date(2024, 1 + run, 20)))
+    return out
+
+
+@_query
+def q_gated_build(spark, sf_dir):
+    """A table whose checks are counted as it is written: the second build fails them, so the first stays."""
+    from ridgeline.operators.store import ChecksFailed
+
+    store, o = _scratch(spark), _read(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice")
+    checks = {"not_null_status": F.col("o_orderstatus").isNull(), "accepted_status": ~F.col("o_orderstatus").isin("F", "O", "P"), "price_between": Q.outside("o_totalprice", 0, 10**9)}
+    store.replace("orders", o, checks=checks)
+    try:
+        store.replace("orders", o.withColumn("o_orderstatus", F.when(F.col("o_orderkey") % 10 != 0, F.when(F.col("o_orderkey") % 10 < 3, "X").otherwise(F.col("o_orderstatus")))), checks=checks)
+        failures = {}
+    except ChecksFailed as e:
+        failures = e.failures
+    return store.read("orders").groupBy("o_orderstatus").agg(F.count(F.lit(1)).alias("n"), *[F.lit(failures.get(name, 0)).cast("bigint").alias(name) for name in checks])
+
+
 @_query
 def m_schema_sync(spark, sf_dir):
     n = _read(spark, sf_dir, "nation")
@@ -306,10 +336,30 @@ def a_promo_perf(spark, sf_dir):
     return j.groupBy("p_brand", "p_type").agg(F.count(F.lit(1)).alias("promo_rides"), X.exact_sum(F.col("l_extendedprice")).alias("revenue"), X.safe_divide(X.exact_sum(F.col("l_extendedprice")), F.nullif(X.exact_sum(off, 4), F.lit(0.0))).alias("revenue_per_discount"))
 
 
+_KINDS = ("click", "error", "purchase", "signup", "view")
+
+
+def _user_bitmaps(spark, sf_dir) -> DataFrame:
+    """Bitmaps of each day's users, of all and of each type of event."""
+    from ridgeline.operators.bitmaps import id_bitmaps
+
+    return id_bitmaps(_read(spark, sf_dir, "events"), {"metric_date": F.to_date("ts")}, "user_id", {"users": F.lit(True), **{f"{t}_users": F.col("event_type") == t for t in _KINDS}})
+
+
 @_query
 def a_multi_distinct(spark, sf_dir):
-    e = _read(spark, sf_dir, "events")
-    return e.groupBy(F.to_date("ts").alias("metric_date")).agg(F.count_distinct("user_id").alias("users"), *[F.count_distinct(F.when(F.col("event_type") == t, F.col("user_id"))).alias(f"{t}_users") for t in ("click", "error", "purchase", "signup", "view")])
+    from ridgeline.operators.bitmaps import distinct_counts
+
+    return distinct_counts(_user_bitmaps(spark, sf_dir), ["metric_date"], ["users", *(f"{t}_users" for t in _KINDS)])
+
+
+@_query
+def a_weekly_distinct(spark, sf_dir):
+    """Users of weeks, from the days' bitmaps."""
+    from ridgeline.operators.bitmaps import distinct_counts, united
+
+    names = ["users", *(f"{t}_users" for t in _KINDS)]
+    return distinct_counts(united(_user_bitmaps(spark, sf_dir), {"week": F.to_date(F.date_trunc("week", "metric_date"))}, names), ["week"], names)
 
 
 @_query
@@ -456,6 +506,19 @@ def st_cdc_current(spark, sf_dir):
     return replay_stream(_event_stream(spark, sf_dir), "user_id", _changes).select("user_id", "event_id", "event_type", "value", "__op")
 
 
+@_query
+def st_state_current(spark, sf_dir):
+    """The same state, kept in the state store of a stream that stops half-way and goes on from its checkpoint."""
+    from ridgeline.streaming.cdc import file_stream, state_stream
+
+    store, events = _scratch(spark), _read(spark, sf_dir, "events")
+    folder, offsets = f"{store.root}/files", f"{store.root}/offsets"
+    for part in (0, 1):
+        events.filter(F.pmod(F.xxhash64("event_id"), F.lit(2)) == part).write.mode("append").parquet(folder)
+        state = state_stream(file_stream(spark, f"{folder}/*.parquet", events.schema), store, "users", "user_id", _changes, offsets)
+    return state.select("user_id", "event_id", "event_type", "value", "__op")
+
+
 @_query
 def st_upsert_sink(spark, sf_dir):
     """The same state through a table that batches of the stream are merged into; the last of them come twice."""
@@ -521,11 +584,11 @@ def st_envelope(spark, sf_dir):
 
 @_query
 def i_merge_store(spark, sf_dir):
-    """Two runs of a model that is merged into its table, partitioned by month."""
+    """Two runs of a model that is merged into its table, the second as an increment beside the first."""
     target, source = _merge_sides(spark, sf_dir)
-    store, dated = _scratch(spark), lambda df: df.withColumn("month", F.trunc("version", "month"))
-    run_model(store, "orders", dated(target), "merge", ["o_orderkey"], "month")
-    return run_model(store, "orders", dated(source), "merge", ["o_orderkey"], "month").select("o_orderkey", "o_totalprice", "version")
+    store = _scratch(spark)
+    run_model(store, "orders", target, "merge", ["o_orderkey"])
+    return run_model(store, "orders", source, "merge", ["o_orderkey"]).select("o_orderkey", "o_totalprice", "version")
 
 
 @_query
@@ -550,6 +613,44 @@ def i_write_query(spark, sf_dir):
     return store.read("orders")
 
 
+@_query
+def i_clustered_ranges(spark, sf_dir):
+    """Lines of a range of days and of parts, from files that were dealt by both."""
+    from ridgeline.operators.clustering import cluster, read_ranges
+
+    store, lines = _scratch(spark), _read(spark, sf_dir, "lineitem")
+    cluster(store, "lines", lines, ["l_shipdate", "l_partkey"], 64)
+    most = lines.agg(F.max("l_partkey")).first()[0]
+    found = read_ranges(store, "lines", {"l_shipdate": (dt.datetime(1996, 1, 1), dt.datetime(1996, 4, 1)), "l_partkey": (most // 2, most // 2 + most // 20)})
+    return found.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", "l_extendedprice")
+
+
+@_query
+def i_catch_up(spark, sf_dir):
+    """Change files of days loaded to make up for what is missing: some days are noted as loaded, one has no files, one fails at first."""
+    from ridgeline.operators.catchup import catch_up, missing, note, notes
+    from ridgeline.operators.incremental import load_hour
+
+    store, e, day = _scratch(spark), _events(spark, sf_dir), dt.timedelta(days=1)
+    first, last = (dt.datetime.combine(x, dt.time()) + k * day for k, x in enumerate(e.agg(F.min(F.to_date("ts")), F.max(F.to_date("ts"))).first()))
+    files = f"{store.root}/changes"
+    e.withColumn("day", F.to_date("ts")).filter(F.col("day") != F.lit((first + 4 * day).date())).repartition("day").write.partitionBy("day").parquet(files)
+    note(store, [("events", first + k * day, "loaded", 1, None, first) for k in (1, 2, 9)])
+    gaps, failed = missing(store, "events", first, last, day).count(), set()
+
+    def load(at):
+        if at == first + 6 * day and at not in failed:
+            failed.add(at)
+            raise OSError("the first try fails")
+        load_hour(store, "events", spark.read.schema(e.schema).parquet(f"{files}/day={at:%Y-%m-%d}").withColumn("day", F.to_date(F.lit(at))), "day")
+
+    for _ in range(2):  # the second run finds nothing to load
+        became = catch_up(store, "events", first, last, day, lambda at: C.probe(spark, f"{files}/day={at:%Y-%m-%d}") == "ready", load, last)
+    said = notes(store, "events").select(F.to_date("step").alias("day"), "status", F.col("tries").cast("bigint").alias("tries"))
+    loaded = store.read("events").groupBy("day").agg(F.count(F.lit(1)).alias("events"), F.sum("event_id").alias("ids"))
+    return said.join(loaded, "day", "left").withColumn("gaps", F.lit(gaps).cast("bigint")).withColumn("again", F.lit(len(became)).cast("bigint"))
+
+
 @_query
 def i_truncate_reset(spark, sf_dir):
     """Ids that a table gives next, before and after it is emptied."""

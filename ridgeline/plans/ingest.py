@@ -9,12 +9,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ridgeline.functions.schema import TableConfig
-from ridgeline.operators.evolve import align, sync_report
-from ridgeline.operators.history import merge_append, merge_upsert
+from ridgeline.operators.deltas import merge_delta
+from ridgeline.operators.evolve import sync_report
 from ridgeline.operators.store import Store, table_labels
 from ridgeline.sources.connectors import extract
 
-#: The column that a bronze table is partitioned by: its time, cut to the declared unit.
+#: The column that the buckets of a bronze table are partitioned by: its time, cut to the declared unit.
 PART = "_part"
 #: The table of a store that says what was loaded from where.
 LINEAGE = "_lineage"
@@ -37,22 +37,21 @@ def bronze(store: Store, config: TableConfig) -> DataFrame:
 def ingest(store: Store, config: TableConfig, source: DataFrame, window: tuple | None, now: dt.datetime, labels: dict[str, str] | None = None, own_labels: dict[str, str] | None = None) -> Load:
     """Extracts a window (None: everything) of the source and merges it into the table; running it again changes nothing.
 
-    A table that only grows gets the rows whose keys it lacks. In others a row replaces the stored one of its key if its version
-    is newer, or (where the table says so) not older. Columns that either side lacks are null there. Only folders with a
-    key of the window are written again. The first run makes the table, partitioned and clustered as declared. Each run adds a
-    row to the lineage table.
+    The source is read once: the window's rows are added as an increment (`deltas`), so nothing that comes or moves meanwhile
+    is taken twice. A table that only grows keeps the first row of a key. In others a row replaces the stored one of its key if
+    its version is newer, or (where the table says so) not older. Columns that either side lacks are null there. The first run
+    makes the table, partitioned by hour, day, month or year and clustered as declared. Each run adds a row to the lineage table.
     """
     rows = extract(source, config, window, now)
-    rows = rows.withColumn(PART, F.to_date(F.date_trunc(config.unit, F.col(config.partition_col))))
+    unit = F.date_trunc(config.unit, F.col(config.partition_col))
+    rows = rows.withColumn(PART, unit if config.unit == "hour" else F.to_date(unit))
     report = sync_report(store.read(config.name).schema if store.exists(config.name) else None, rows.schema)
-    if not store.exists(config.name):
-        store.replace(config.name, rows, PART, config.cluster)
-    elif config.append_only:
-        order = [F.col(config.window_col).desc_nulls_last(), F.xxhash64(*rows.columns)]
-        fresh = merge_append(store.read(config.name).select(*config.keys), rows, config.keys, order)
-        store.change(config.name, [], lambda old: align(old, fresh)[1], config.cluster)
+    if config.append_only:
+        rule, version, order = "first", None, [F.col(config.window_col).desc_nulls_last()]
     else:
-        store.change(config.name, store.matched(config.name, rows, config.keys), lambda old: merge_upsert(*align(old, rows), config.keys, config.version_col, config.strict), config.cluster)
+        rule, version, order = "not older" if not config.strict else "newer", config.version_col, []
+        rule = rule if version else "last"
+    merge_delta(store, config.name, rows, config.keys, rule, version, order, partition=[PART], cluster=config.cluster)
     made = table_labels(config.name, config.source_system, labels, own_labels)
     spark = source.sparkSession
     line = spark.createDataFrame([(config.source_system, config.name, str(window and window[0]), str(window and window[1]), report, now, made)], "source string, target string, window_start string, window_end string, schema string, loaded_at timestamp_ntz, labels map<string,string>")

@@ -6,6 +6,7 @@ so Catalyst sees each mart as one plan. Timestamps are naive UTC.
 
 from __future__ import annotations
 
+import atexit
 import datetime as dt
 import uuid
 from collections.abc import Callable
@@ -19,6 +20,8 @@ from ridgeline.functions.schema import TABLES
 from ridgeline.operators.funnel import funnel_steps
 from ridgeline.operators.history import as_of_join, latest_by, scd2_apply, scd2_from_history
 from ridgeline.operators.incremental import FIRST_DAY, run_model
+from ridgeline.operators.snapshots import history as kept_history
+from ridgeline.operators.snapshots import snapshot
 from ridgeline.operators.store import Store, shared_folder, write_query
 from ridgeline.plans.stand_in import BUILT, SECOND, StandIn
 from ridgeline.sources import datagen
@@ -54,7 +57,7 @@ class Session:
                 raise ValueError(f"models depend on each other: {' > '.join(self.path)}")
             if outer:
                 self.lineage.append((name, outer[-1]))
-            stored = outer and self.store is not None and name in MATERIALISED and self.store.exists(name)
+            stored = outer and self.store is not None and not name.startswith("stg_") and self.store.exists(name)
             self.built[name] = self.store.read(name) if stored else MODELS[name](self)
             self.path = outer
         return self.built[name]
@@ -83,9 +86,29 @@ class Bronze:
         return self.read[name]
 
 
+_KEPT: dict[tuple[str, str], tuple[StandIn, Store]] = {}
+
+
+def kept(spark: SparkSession, sf_dir: str) -> tuple[StandIn, Store]:
+    """The operational tables that stand in for sf_dir's, and a store for its models; both last as long as the application."""
+    key = spark.sparkContext.applicationId, sf_dir
+    if key not in _KEPT:
+        store = Store(spark, f"{shared_folder(spark)}/models-{uuid.uuid4().hex}")
+        atexit.register(lambda: spark.sparkContext._jsc and store.drop(""))
+        _KEPT[key] = StandIn(spark, sf_dir, store), store
+    return _KEPT[key]
+
+
 def build(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A model over the operational tables that stand in for sf_dir's; decimals as doubles."""
-    made = Session(spark, StandIn(spark, sf_dir), F.expr(f"TIMESTAMP_NTZ '{BUILT}'")).ref(name)
+    """A model over the operational tables that stand in for sf_dir's; decimals as doubles. What it reads is built once and stored; the model itself is computed."""
+    from ridgeline.plans.runner import graph, run_models
+
+    (sources, store), now = kept(spark, sf_dir), F.expr(f"TIMESTAMP_NTZ '{BUILT}'")
+    needs = graph(spark, sources)[name]
+    run = run_models(spark, sources, store, [f"+{x}" for x in needs] or [name], now=now, only_absent=True) if needs or name.startswith("stg_") else None
+    if run and run.errors:
+        raise RuntimeError(f"{name}: {run.errors}")
+    made = Session(spark, sources, now, store).ref(name)
     return made.select(*[F.col(f.name).cast("double").alias(f.name) if isinstance(f.dataType, T.DecimalType) else F.col(f.name) for f in made.schema])
 
 
@@ -108,19 +131,47 @@ MATERIALISED = {
 }
 
 
-def materialise(spark: SparkSession, sources, store: Store, name: str, today: dt.date, now: Column | None = None, full_refresh: bool = False) -> DataFrame:
-    """Builds a kept model for its recent days, applies them to its table, and gives the table.
+def _outside(col: str, low, high) -> Column:
+    return F.col(col).isNotNull() & ~F.col(col).between(low, high)
+
+
+def _checks() -> dict[str, dict[str, Column]]:
+    """What no row of a model may be, by the model's name; a version with such a row isn't published."""
+    absent = lambda *cols: {f"not_null_{c}": F.col(c).isNull() for c in cols}
+    return {
+        **{f"dim_{x}": absent(f"{x}_sk", f"{x}_id") for x in ("rider", "driver", "vehicle")},
+        **{f"dim_{x}": absent(f"{x}_sk") for x in ("payment_method", "promotion")},
+        "fct_rides": {**absent("ride_sk"), "total_fare_not_negative": F.col("total_fare") < 0},
+        "fct_payments": {**absent("payment_transaction_sk"), "accepted_payment_status": F.col("payment_status").isNotNull() & ~F.col("payment_status").isin("PAID", "FAILED")},
+        "agg_daily_city_service": {"completion_rate_between": _outside("completion_rate", 0, 1)},
+    }
+
+
+def materialise(spark: SparkSession, sources, store: Store, name: str, today: dt.date | None = None, now: Column | None = None, full_refresh: bool = False) -> DataFrame:
+    """Builds a model, for its recent days if it is kept by increments, applies that to its table, and gives the table.
 
     The first day is read before, so that it is a literal that reaches the scans. Facts look back from their own last day and
-    are merged; aggregates look back from `today` and replace whole days, reading the kept facts. The first build, and a full
-    refresh, cover all days.
+    are merged; aggregates look back from `today` (None: all days) and replace whole days, reading the kept facts. The first
+    build, and a full refresh, cover all days. The model's checks are counted as it is written.
     """
-    strategy, key, partition, days = MATERIALISED[name]
-    session = Session(spark, sources, now, store)
-    if store.exists(name) and not full_refresh:
+    strategy, key, partition, days = MATERIALISED.get(name, ("full", "", None, 0))
+    session, checks = Session(spark, sources, now, store), _checks().get(name)
+    if strategy != "full" and store.exists(name) and not full_refresh:
         last = (store.read(name).agg(F.max(partition)).first()[0] or FIRST_DAY) if strategy == "merge" else today
-        session.since[name] = last - dt.timedelta(days=days)
-    return run_model(store, name, session.ref(name), strategy, [key], partition, full_refresh)
+        if last is not None:
+            session.since[name] = last - dt.timedelta(days=days)
+    return run_model(store, name, session.ref(name), strategy, [key], partition, full_refresh or strategy == "full", checks)
+
+
+def keep_snapshots(sources, store: Store, names) -> None:
+    """Takes the states of the entities that the named staging models read into their kept histories."""
+    for table, (key, _) in _SNAPSHOTS.items():
+        if f"stg_{table}" in names and isinstance(sources, StandIn):
+            for k in (1, 2):  # the first state is only taken into a history that isn't there
+                if k == 2 and len(store._versions(f"snap_{table}")) > 1:
+                    continue
+                if k == 2 or not store.exists(f"snap_{table}"):
+                    snapshot(store, f"snap_{table}", sources[f"{table}_{k}"].withColumnsRenamed(_RENAMED.get(table, {})), key, "updated_at", F.expr(f"TIMESTAMP_NTZ '{SECOND}'"))
 
 
 #: Columns whose text is stored in one case.
@@ -145,7 +196,9 @@ def staged(df: DataFrame, table: str, renamed: dict[str, str] | None = None) ->
 
 def _snapshot(s: Session, table: str, key: str, prefix: str, renamed: dict[str, str] | None = None) -> DataFrame:
     """A staged SCD2 history: snapshot id, declared columns, validity, is_current."""
-    if isinstance(s.sources, StandIn):  # two snapshots of the source, the second at SECOND
+    if s.store is not None and s.store.exists(f"snap_{table}"):
+        history = kept_history(s.store, f"snap_{table}").withColumnsRenamed({"valid_from": "_from", "valid_to": "_to"})
+    elif isinstance(s.sources, StandIn):  # two snapshots of the source, the second at SECOND
         first, second = (s.source(f"{table}_{k}").withColumnsRenamed(renamed or {}) for k in (1, 2))
         none = F.lit(None).cast("timestamp_ntz")
         nothing = first.filter(F.lit(False)).select("*", F.lit("").alias("scd_id"), none.alias("valid_from"), none.alias("valid_to"))
@@ -232,9 +285,9 @@ _RIDE_COLUMNS = (
 def fct_rides(s: Session) -> DataFrame:
     """Rides with the surrogate keys that were valid at the time that counts for each dimension."""
     taken, paid, used = F.coalesce("accepted_at", "requested_at"), F.coalesce("paid_at", "completed_at", "requested_at"), F.coalesce("promo_used_at", "completed_at", "requested_at")
-    rides = s.recent("fct_rides", s.ref("int_ride_financials"), F.col("requested_date"))
+    rides = before = s.recent("fct_rides", s.ref("int_ride_financials"), F.col("requested_date"))
     for dim, key, at in (("rider", "rider_id", F.col("requested_at")), ("driver", "driver_id", taken), ("vehicle", "vehicle_id", taken), ("payment_method", "payment_method_id", paid), ("promotion", "promotion_id", used)):
-        rides = as_of_join(rides, s.ref(f"dim_{dim}"), key, at, [f"{dim}_sk"])
+        rides = as_of_join(rides, s.ref(f"dim_{dim}"), key, at, [f"{dim}_sk"], seen=before)
     feedback = s.ref("int_customer_feedback").select("ride_id", "review_id", "rating_score", "ticket_id", "ticket_category", "ticket_status", "priority")
     keys = ("rider_sk", "driver_sk", "vehicle_sk", "payment_method_sk", "promotion_sk")
     return rides.join(feedback, "ride_id", "left").select(X.surrogate_key(F.col("ride_id")).alias("ride_sk"), "ride_id", *keys, *_RIDE_COLUMNS, *feedback.columns[1:], s.now.alias(LOADED))
@@ -243,9 +296,9 @@ def fct_rides(s: Session) -> DataFrame:
 @model
 def fct_payments(s: Session) -> DataFrame:
     paid = s.ref("stg_payment_transaction").filter(~F.col("is_deleted")).withColumn("payment_date", X.local_date(F.col("created_at")))
-    paid = s.recent("fct_payments", paid, X.local_date(F.col("updated_at")))
-    paid = as_of_join(paid, s.ref("dim_rider"), "rider_id", F.col("created_at"), ["rider_sk"])
-    paid = as_of_join(paid, s.ref("dim_payment_method"), "payment_method_id", F.col("created_at"), ["payment_method_sk"])
+    paid = before = s.recent("fct_payments", paid, X.local_date(F.col("updated_at")))
+    paid = as_of_join(paid, s.ref("dim_rider"), "rider_id", F.col("created_at"), ["rider_sk"], seen=before)
+    paid = as_of_join(paid, s.ref("dim_payment_method"), "payment_method_id", F.col("created_at"), ["payment_method_sk"], seen=before)
     out = paid.join(s.ref("fct_rides").select("ride_id", "ride_sk"), "ride_id", "left")
     first = ("payment_transaction_id", "ride_sk", "rider_sk", "payment_method_sk", "ride_id", "rider_id", "payment_method_id")
     rest = [c for c in paid.columns if c not in (*first, "deleted_at", "is_deleted")]
@@ -265,9 +318,9 @@ def fct_refunds(s: Session) -> DataFrame:
 @model
 def fct_support_tickets(s: Session) -> DataFrame:
     tickets = s.ref("stg_support_ticket").filter(~F.col("is_deleted")).withColumn("opened_date", X.local_date(F.col("opened_at")))
-    tickets = s.recent("fct_support_tickets", tickets, X.local_date(F.col("updated_at")))
+    tickets = before = s.recent("fct_support_tickets", tickets, X.local_date(F.col("updated_at")))
     for dim in ("rider", "driver"):
-        tickets = as_of_join(tickets, s.ref(f"dim_{dim}"), f"{dim}_id", F.col("opened_at"), [f"{dim}_sk"])
+        tickets = as_of_join(tickets, s.ref(f"dim_{dim}"), f"{dim}_id", F.col("opened_at"), [f"{dim}_sk"], seen=before)
     out = tickets.join(s.ref("fct_rides").select("ride_id", "ride_sk"), "ride_id", "left").drop("deleted_at", "is_deleted")
     return out.select(X.surrogate_key(F.col("ticket_id")).alias("ticket_sk"), *out.columns, X.minutes_between(F.col("opened_at"), F.col("resolved_at")).alias("resolution_min"), s.now.alias(LOADED))
 

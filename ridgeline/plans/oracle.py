@@ -84,6 +84,18 @@ _SQL = {
       min(l_quantity) AS least_quantity, max(l_quantity) AS most_quantity FROM lineitem JOIN supplier ON l_suppkey = s_suppkey AND s_acctbal > 0 GROUP BY 1, 2""",
     "a_promo_perf": f"SELECT p_brand, p_type, count(*) AS promo_rides, {_sum('l_extendedprice')} AS revenue, {_sum('l_extendedprice')} / nullif({_sum('l_extendedprice * l_discount', 4)}, 0) AS revenue_per_discount FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1, 2",
     "a_multi_distinct": "SELECT CAST(ts AS DATE) AS metric_date, count(DISTINCT user_id) AS users, " + ", ".join(f"count(DISTINCT CASE WHEN event_type = '{t}' THEN user_id END) AS {t}_users" for t in ("click", "error", "purchase", "signup", "view")) + " FROM events GROUP BY 1",
+    "a_weekly_distinct": "SELECT CAST(date_trunc('week', ts) AS DATE) AS week, count(DISTINCT user_id) AS users, " + ", ".join(f"count(DISTINCT CASE WHEN event_type = '{t}' THEN user_id END) AS {t}_users" for t in ("click", "error", "purchase", "signup", "view")) + " FROM events GROUP BY 1",
+    "q_gated_build": """SELECT o_orderstatus, count(*) AS n, (SELECT count(*) FROM orders WHERE o_orderkey % 10 = 0) AS not_null_status,
+      (SELECT count(*) FROM orders WHERE o_orderkey % 10 IN (1, 2)) AS accepted_status, 0 AS price_between FROM orders GROUP BY 1""",
+    "m_kept_snapshots": """WITH c AS (SELECT c_custkey AS k, c_mktsegment AS m FROM customer),
+      s AS (SELECT r, k, CASE WHEN k % (4 + r) = 1 THEN m || r ELSE m END AS m, CASE WHEN k % (4 + r) = 1 THEN CAST(DATE '2024-01-01' + to_months(CAST(r AS INTEGER)) AS DATE)
+        WHEN r = 2 AND k % 5 = 1 THEN DATE '2024-02-01' ELSE DATE '2024-01-01' END AS u FROM c, (SELECT unnest(range(3)) AS r) WHERE k % (9 + r) <> 1),
+      f AS (SELECT a.k, a.m, a.u, CASE WHEN b.k IS NULL THEN DATE '2024-02-20' WHEN b.u > a.u THEN b.u END AS t FROM s a LEFT JOIN s b ON b.k = a.k AND b.r = 1 WHERE a.r = 0),
+      n AS (SELECT b.k, b.m, b.u FROM s b LEFT JOIN s a ON a.k = b.k AND a.r = 0 WHERE b.r = 1 AND (a.k IS NULL OR b.u > a.u)),
+      o AS (SELECT k, m, u FROM f WHERE t IS NULL UNION ALL SELECT * FROM n),
+      g AS (SELECT o.k, o.m, o.u, CASE WHEN d.k IS NULL THEN DATE '2024-03-20' WHEN d.u > o.u THEN d.u END AS t FROM o LEFT JOIN s d ON d.k = o.k AND d.r = 2),
+      h AS (SELECT * FROM f WHERE t IS NOT NULL UNION ALL SELECT * FROM g UNION ALL SELECT d.k, d.m, d.u, NULL FROM s d LEFT JOIN o ON o.k = d.k WHERE d.r = 2 AND (o.k IS NULL OR d.u > o.u))
+      SELECT k AS c_custkey, m AS c_mktsegment, u AS updated_at, md5(k || '-' || u) AS scd_id, u AS valid_from, t AS valid_to FROM h""",
     "a_global": "SELECT count(*) AS rows, coalesce(max(o_orderkey), 0) AS top_key, min(CAST(o_orderdate AS DATE)) AS first_day, max(CAST(o_orderdate AS DATE)) AS last_day FROM orders",
     "w_funnel": """WITH b AS (SELECT CAST(ts AS DATE) AS metric_date, event_type, count(*) AS n FROM events GROUP BY 1, 2), d AS (SELECT DISTINCT metric_date FROM b),
       s AS (SELECT * FROM (VALUES (CAST(1 AS BIGINT), '01 view', 'view'), (2, '02 click', 'click'), (3, '03 signup', 'signup'), (4, '04 purchase', 'purchase')) v(step_number, funnel_step, t)),
@@ -118,7 +130,7 @@ r AS (SELECT *, 8000 + km * 2500 + minutes * 300 AS ride FROM i), x AS (SELECT *
 f AS (SELECT *, round(gross * 0.11, 2) AS tax, round(gross * 0.18, 2) AS fee FROM g)
 SELECT o_orderkey, CAST(8000 AS DOUBLE) AS base_fare, CAST(round(km * 2500, 2) AS DOUBLE) AS distance_fare, CAST(minutes * 300 AS DOUBLE) AS time_fare, CAST(extra AS DOUBLE) AS surge_amount, CAST(0 AS DOUBLE) AS discount_amount,
 CAST(tax AS DOUBLE) AS tax_amount, CAST(fee AS DOUBLE) AS platform_fee, CAST(round(gross - fee, 2) AS DOUBLE) AS driver_earning, CAST(round(gross + tax, 2) AS DOUBLE) AS total_fare FROM f"""
-for _name in ("st_cdc_current", "st_upsert_sink", "st_bootstrap"):
+for _name in ("st_cdc_current", "st_upsert_sink", "st_bootstrap", "st_state_current"):
     _SQL[_name] = _SQL["d_cdc_current"]
 _SQL["i_merge_store"] = _SQL["m_upsert_always"]
 def _source_sql(name: str) -> str:
@@ -136,6 +148,12 @@ _SQL |= {
     "st_envelope": f"SELECT event_id, user_id, event_type, __op, 'events' AS __table, __lsn, __source_ts_ms FROM {_EVENTS} WHERE __op <> 'd' OR event_id % 4 <> 0",
     "i_hour_load": "SELECT strftime(ts, '%Y-%m-%d %H') AS hour, count(*) AS events, CAST(sum(event_id) AS BIGINT) AS ids FROM events WHERE ts >= TIMESTAMP '2024-01-03 05:00:00' AND ts < TIMESTAMP '2024-01-03 08:00:00' GROUP BY 1",
     "i_write_query": "SELECT o_orderkey, o_orderstatus, o_totalprice, CASE WHEN o_orderkey % 2 = 1 THEN o_totalprice * 2 END AS doubled FROM orders",
+    "i_clustered_ranges": """SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_shipdate, l_extendedprice FROM lineitem, (SELECT max(l_partkey) AS most FROM lineitem)
+      WHERE l_shipdate BETWEEN TIMESTAMP '1996-01-01' AND TIMESTAMP '1996-04-01' AND l_partkey BETWEEN most // 2 AND most // 2 + most // 20""",
+    "i_catch_up": """WITH e AS (SELECT CAST(ts AS DATE) AS day, event_id, CAST(ts AS DATE) - (SELECT min(CAST(ts AS DATE)) FROM events) AS k FROM events),
+      d AS (SELECT CAST(unnest(generate_series((SELECT min(day) FROM e), (SELECT max(day) FROM e), INTERVAL 1 DAY)) AS DATE) AS day), n AS (SELECT day, day - (SELECT min(day) FROM d) AS k FROM d),
+      l AS (SELECT day, count(*) AS events, CAST(sum(event_id) AS BIGINT) AS ids FROM e WHERE k NOT IN (1, 2, 4, 9) GROUP BY 1)
+      SELECT n.day, CASE WHEN k = 4 THEN 'skipped' ELSE 'loaded' END AS status, CASE k WHEN 4 THEN 0 WHEN 6 THEN 2 ELSE 1 END AS tries, events, ids, 3 AS gaps, 0 AS again FROM n LEFT JOIN l ON n.day = l.day""",
     "i_truncate_reset": "SELECT max(o_orderkey) + 1 AS next_before, 1 AS next_after, 0 AS rows_left FROM orders",
     "s_statement_list": "SELECT c_mktsegment, count(*) AS n, min(o_totalprice) AS least FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_totalprice > 200000 GROUP BY 1",
     "j_two_systems": "SELECT o_orderkey, o_custkey, c_name, c_nationkey FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderstatus = 'P'",

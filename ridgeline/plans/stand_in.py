@@ -7,8 +7,12 @@ are gone. Nothing is drawn by chance, and every row of the driver's tables count
 
 from __future__ import annotations
 
+import threading
+
 from pyspark.sql import DataFrame, SparkSession
 
+from ridgeline.operators.store import Store
+
 #: The driver's tables that the derivations read.
 GIVEN = ("orders", "customer", "supplier", "part", "events")
 #: When the second snapshot is taken, and when models are built.
@@ -85,15 +89,27 @@ VIEWS: dict[str, str] = {
 }
 
 
+#: Tables that many others read.
+SHARED = ("asked", "ride", "priced")
+
+
 class StandIn:
-    """The tables as DataFrames, each made when it is first asked for; nothing runs until an action."""
+    """The tables as DataFrames, each made when it is first asked for; nothing runs until an action. With a store, the shared ones are written there once."""
 
-    def __init__(self, spark: SparkSession, sf_dir: str):
-        self.spark, self.sf_dir, self.made = spark, sf_dir, {}
+    def __init__(self, spark: SparkSession, sf_dir: str, store: Store | None = None):
+        self.spark, self.sf_dir, self.made, self.store, self.lock = spark, sf_dir, {}, store, threading.RLock()
 
     def __getitem__(self, name: str) -> DataFrame:
+        with self.lock:
+            return self._table(name)
+
+    def _table(self, name: str) -> DataFrame:
         if name not in self.made:
-            if name in VIEWS:
+            if name in SHARED and self.store is not None:
+                if not self.store.exists(f"src_{name}"):
+                    self.store.replace(f"src_{name}", self.spark.sql(VIEWS[name], **{x: self[x] for x in (*GIVEN, *VIEWS) if f"{{{x}}}" in VIEWS[name]}))
+                self.made[name] = self.store.read(f"src_{name}")
+            elif name in VIEWS:
                 text = VIEWS[name]
                 self.made[name] = self.spark.sql(text, **{x: self[x] for x in (*GIVEN, *VIEWS) if f"{{{x}}}" in text})
             else:

@@ -11,8 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ridgeline.functions.expressions import to_zone
-from ridgeline.operators.evolve import align
-from ridgeline.operators.history import current_state, merge_upsert
+from ridgeline.operators.deltas import merge_delta
 from ridgeline.operators.store import Store, shared_folder
 
 #: What orders the changes of a key: time of the source, then position in its log.
@@ -64,9 +63,9 @@ def file_stream(spark: SparkSession, path: str, schema: T.StructType) -> DataFra
     return spark.readStream.schema(schema).option("pathGlobFilter", name).option("maxFilesPerTrigger", 64).parquet(folder)
 
 
-def drain(stream: DataFrame, each: Callable[[DataFrame, int], None], offsets: str) -> None:
+def drain(stream: DataFrame, each: Callable[[DataFrame, int], None], offsets: str, mode: str = "append") -> None:
     """Runs `each(batch, id)` over all that is there, then stops; a batch that is run again has the same id."""
-    stream.writeStream.foreachBatch(each).trigger(availableNow=True).option("checkpointLocation", offsets).start().awaitTermination()
+    stream.writeStream.foreachBatch(each).outputMode(mode).trigger(availableNow=True).option("checkpointLocation", offsets).start().awaitTermination()
 
 
 def latest_changes(changes: DataFrame, key: str) -> DataFrame:
@@ -74,52 +73,58 @@ def latest_changes(changes: DataFrame, key: str) -> DataFrame:
     return changes.groupBy(key).agg(F.max_by(F.struct(*changes.columns), F.struct(*ORDER)).alias("r")).select("r.*")
 
 
+def _own_store(spark: SparkSession) -> Store:
+    return Store(spark, _base(spark))
+
+
 def replay_stream(stream: DataFrame, key: str, changes: Callable[[DataFrame], DataFrame] = lambda df: df) -> DataFrame:
     """Current state by key after a stream of changes.
 
-    `changes` makes change records (with __op and ORDER) of a batch. Each batch is cut to its latest change of each key
-    and kept under its batch id, so a repeated batch replaces itself; the state is the latest of those by ORDER. Late and
-    repeated events are ranked, never dropped.
+    `changes` makes change records (with __op and ORDER) of a batch. Each batch is cut to its latest change of each key and
+    merged into a table of increments, which is compacted as it grows; a repeated batch changes nothing. Late and repeated
+    events are ranked, never dropped.
     """
-    base = _base(stream.sparkSession)
-
-    def each(batch: DataFrame, batch_id: int) -> None:
-        latest_changes(changes(batch), key).write.mode("overwrite").parquet(f"{base}/latest/batch={batch_id}")
-
-    drain(stream, each, f"{base}/offsets")
-    return current_state(stream.sparkSession.read.parquet(f"{base}/latest"), key)
+    return upsert_sink(stream, _own_store(stream.sparkSession), "state", key, changes)
 
 
 def bootstrap(snapshot: DataFrame, stream: DataFrame, key: str, changes: Callable[[DataFrame], DataFrame] = lambda df: df) -> DataFrame:
     """Current state after a snapshot that was taken once and the stream of changes since; the two may overlap.
 
-    The snapshot is the state of batch -1: it is kept before the stream begins, and ranked with it.
+    The snapshot is the first increment of the table that the stream is merged into.
     """
-    base = _base(stream.sparkSession)
-    latest_changes(changes(snapshot), key).write.parquet(f"{base}/latest/batch=-1")
+    store = _own_store(stream.sparkSession)
+    upsert_changes(store, "state", changes(snapshot), key)
+    return upsert_sink(stream, store, "state", key, changes)
 
-    def each(batch: DataFrame, batch_id: int) -> None:
-        latest_changes(changes(batch), key).write.mode("overwrite").parquet(f"{base}/latest/batch={batch_id}")
 
-    drain(stream, each, f"{base}/offsets")
-    return current_state(stream.sparkSession.read.parquet(f"{base}/latest"), key)
+def state_stream(stream: DataFrame, store: Store, name: str, key: str, changes: Callable[[DataFrame], DataFrame] = lambda df: df, offsets: str | None = None) -> DataFrame:
+    """Current state by key, kept in Spark's state store: the change of the largest ORDER of each key, updated by every batch.
+
+    Only keys whose change is another one after a batch leave it, as an increment of the table `name`; that the state
+    store knows the winner makes the last increment the one that counts. With `offsets` (a folder) a stream that stopped
+    goes on where it was: the state of the last whole batch is read back, and a batch that was cut off runs again and adds the
+    same rows. The state has one row a key; it is dealt to `spark.sql.shuffle.partitions` of the first start.
+    """
+    made = changes(stream)
+    state = made.groupBy(key).agg(F.max_by(F.struct(*made.columns), F.struct(*ORDER)).alias("r")).select("r.*")
 
+    def each(batch: DataFrame, _: int) -> None:
+        if not batch.isEmpty():
+            merge_delta(store, name, batch, [key], "last")
 
-def upsert_changes(store: Store, name: str, batch: DataFrame, key: str, partition: str | None = None) -> None:
+    drain(state, each, offsets or f"{_base(stream.sparkSession)}/offsets", "update")
+    return store.read(name).filter(F.coalesce(F.col("__op"), F.lit("")) != "d")
+
+
+def upsert_changes(store: Store, name: str, batch: DataFrame, key: str, most: int = 8) -> None:
     """Merges a batch of changes into a table by key, the newer by ORDER winning; columns that either side lacks are null there.
 
     A delete stays as a row marked `d`, so that an older change that comes late doesn't bring the key back. A batch that is
-    merged again changes nothing. Only folders with a key of the batch are written.
+    merged again changes nothing. The batch is added as an increment (`deltas`): what is there is neither read nor
+    written, but for buckets that hold more than `most` increments, which are compacted.
     """
     fresh = latest_changes(batch, key).withColumn("__version", F.struct(*ORDER))
-    if not store.exists(name):
-        store.replace(name, fresh, partition)
-        return
-
-    def merged(old: DataFrame) -> DataFrame:
-        return merge_upsert(*align(old, fresh), [key], "__version")
-
-    store.change(name, store.matched(name, fresh, [key]), merged)
+    merge_delta(store, name, fresh, [key], "newer", "__version", most=most)
 
 
 def upserted(store: Store, name: str) -> DataFrame:
