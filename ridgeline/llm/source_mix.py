@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import math
+import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -13,36 +14,52 @@ from ridgeline.llm.shared import Workspace
 #: Fixed value: the fractional part of the golden ratio.
 GOLDEN = (math.sqrt(5) - 1) / 2
 WORD = r"[^\x20\x09-\x0D]+"
-#: Equal parts of the schedule's points, by which slots find their source.
-CELLS = 4096
+#: Words of a block; points of a cell, by which slots find their source; slots of a stretch that are ranked together.
+BLOCK, CELL, STRETCH = 256, 64, 4096
+#: Sources of a range: their sums run along ranges.
+RANGE = 50_000
 #: What is added to a running sum of targets before it is cut to an integer. It is near no simple fraction, so that sums
 #: that differ in their last bits are cut alike.
 ROUNDING = 0.5618
 
 
-def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, most: int = 2) -> DataFrame:
-    """src, of (words), weight, target, low, high: what each source gives to the mix, and its part of the schedule's points.
+def running(df: DataFrame, order: list, sums: dict[str, Column], work: Workspace) -> DataFrame:
+    """The rows with, for each name, the sum over all rows before in the given order, which tells all rows apart.
+
+    Rows are dealt by ranges of the order; a range's sums go on from those of the ranges before, one row a range.
+    """
+    df = work.put(f"rows-{uuid.uuid4().hex}", df)
+    parts = max(1, -(-df.count() // RANGE))
+    dealt = work.put(f"ranges-{uuid.uuid4().hex}", df.repartitionByRange(parts, *order).withColumn("_part", F.spark_partition_id()))
+    before = lambda e, w: F.coalesce(F.sum(e).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    bases = dealt.groupBy("_part").agg(*[F.sum(e).alias(name) for name, e in sums.items()])
+    bases = bases.select("_part", *[before(name, Window.orderBy("_part")).alias(f"_{name}") for name in sums])
+    inside = Window.partitionBy("_part").orderBy(*order)
+    return dealt.join(F.broadcast(bases), "_part").select(*df.columns, *[(F.col(f"_{name}") + before(e, inside)).alias(name) for name, e in sums.items()])
+
+
+def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, most: int = 2, work: Workspace | None = None) -> DataFrame:
+    """no, src, of (words), weight, target, low, high: what each source gives to the mix, in words.
 
     sizes: src (null last), words. The targets are the levels of water poured into vessels that are `weight` wide and
     hold `most` times their source: sources fill up in the order of capacity by weight, and the level of the rest
-    follows from running sums. low and high are the running sums of the targets, as integers, so a source has its
-    target's number of points, to less than one. The table has one row a source.
+    follows from running sums. no is the source's place by name. low and high are the running sums of the targets by it, as
+    integers, so high - low is the target to less than one. One row a source; no task holds more than a range of them.
     """
-    by_name = Window.partitionBy("one").orderBy(F.col("src").asc_nulls_last())
-    by_ratio = Window.partitionBy("one").orderBy("ratio", F.col("src").asc_nulls_last())
-    everything = Window.partitionBy("one")
-    before = by_ratio.rowsBetween(Window.unboundedPreceding, -1)
-    after = by_ratio.rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    weight = F.element_at(F.array(*[F.lit(w) for w in weights]), (F.row_number().over(by_name) - 1) % len(weights) + 1)
-    ranked = sizes.select("src", F.col("words").alias("of"), F.lit(1).alias("one")).withColumn("weight", weight)
-    ranked = ranked.withColumn("cap", most * F.col("of")).withColumn("ratio", F.col("cap").cast("double") / F.col("weight"))
-    poured = ranked.withColumn("want", F.lit(share) * F.sum("of").over(everything))
-    level = (F.col("want") - F.coalesce(F.sum("cap").over(before), F.lit(0))) / F.sum("weight").over(after)
-    levelled = poured.withColumn("level", level).withColumn("final", F.max(F.when(F.col("ratio") >= F.col("level"), F.struct(-F.col("ratio"), F.col("level")))).over(everything))
-    target = F.least(F.col("cap").cast("double"), F.col("weight") * F.coalesce(F.col("final.level"), F.lit(float("inf"))))
-    upto = F.sum("target").over(by_name.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    out = levelled.withColumn("target", target).withColumn("high", F.floor(upto + ROUNDING))
-    return out.withColumn("low", F.coalesce(F.lag("high").over(by_name), F.lit(0).cast("bigint"))).select("src", "of", "weight", "target", "low", "high")
+    work = work or Workspace(sizes.sparkSession, "targets")
+    by_name = [F.col("src").asc_nulls_last()]
+    named = running(sizes.select("src", F.col("words").alias("of")), by_name, {"no": F.lit(1)}, work)
+    weight = F.element_at(F.array(*[F.lit(w) for w in weights]), (F.col("no") % len(weights) + 1).cast("int"))
+    ranked = named.withColumn("weight", weight).withColumn("cap", most * F.col("of")).withColumn("ratio", F.col("cap").cast("double") / F.col("weight"))
+    poured = work.put("poured", running(ranked, [F.col("ratio"), *by_name], {"caps": F.col("cap"), "weights": F.col("weight")}, work))
+    every = poured.agg(F.coalesce(F.sum("of"), F.lit(0)).alias("of"), F.coalesce(F.sum("weight"), F.lit(0)).alias("weight")).first()
+    level = (F.lit(share) * every["of"] - F.col("caps")) / (every["weight"] - F.col("weights"))
+    final = poured.withColumn("level", level).filter("ratio >= level").agg(F.max(F.struct(-F.col("ratio"), F.col("level").alias("level"))).alias("f")).first()["f"]
+    target = F.least(F.col("cap").cast("double"), F.col("weight") * F.lit(float("inf") if final is None else final["level"]))
+    summed = running(poured.withColumn("target", target).select("no", "src", "of", "weight", "target"), [F.col("no")], {"upto": F.col("target")}, work)
+    whole = lambda x: F.floor(x + ROUNDING)
+    low = F.when(F.col("no") == 0, F.lit(0).cast("bigint")).otherwise(whole(F.col("upto")))
+    return work.put("targets", summed.select("no", "src", "of", "weight", "target", low.alias("low"), whole(F.col("upto") + F.col("target")).alias("high")))
 
 
 def step(points: int) -> int:
@@ -51,55 +68,91 @@ def step(points: int) -> int:
     return next(x for d in range(points + 1) for x in (near + d, near - d) if x > 0 and math.gcd(x, points) == 1)
 
 
-def schedule(spark: SparkSession, targets: DataFrame, first: int, last: int) -> DataFrame:
-    """slot, src, word: what the slots first <= slot < last of the mix take.
+def slots_of(targets: DataFrame, work: Workspace, block: int = BLOCK, most: int = 2) -> DataFrame:
+    """no, of, words, blocks, slots, first: how many slots of the schedule a source has, and its first point.
 
-    Slot i has the point i * step modulo the number of points, so every point comes once, and the points of any stretch of
-    slots lie as evenly as multiples of the golden ratio do. A slot's source is the one whose low..high holds its point,
-    and the point's place there is the number of the word it takes, modulo the source's words. Any stretch can be listed
-    by itself.
+    words: the whole words that it gives, which take its blocks once or more: all of them `words div of` times, and then the
+    first ones, the last of which is cut to the words that are left. So slots make up the words exactly.
     """
-    points = targets.agg(F.coalesce(F.max("high"), F.lit(0))).first()[0]
-    wide = -(-points // CELLS) or 1
-    slots = spark.range(first, min(last, points)).select(F.col("id").alias("slot"), F.expr(f"cast(cast(id as decimal(19,0)) * {step(max(points, 1))} % {max(points, 1)} as bigint)").alias("point"))
-    parts = targets.filter("high > low").withColumn("cell", F.explode(F.expr(f"sequence(low div {wide}, (high - 1) div {wide})")))
-    return slots.withColumn("cell", F.expr(f"point div {wide}")).join(parts, "cell").filter("point >= low and point < high").select("slot", "src", F.expr("(point - low) % of").alias("word"))
+    words = F.least(F.col("high") - F.col("low"), most * F.col("of"))
+    turns = targets.filter("of > 0").select("no", "of", words.alias("words"), F.expr(f"cast(ceil(of / {block}) as bigint)").alias("blocks"))
+    counted = turns.withColumn("slots", F.expr(f"words div of * blocks + cast(ceil(words % of / {block}) as bigint)"))
+    return work.put("turns", running(counted, [F.col("no")], {"first": F.col("slots")}, work))
 
 
-def placed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, most: int = 2) -> DataFrame:
-    """id, src, m (md5 of the id), size, of, target, taken: `mix` with each row's place in its source's order (m, size)."""
+def schedule(turns: DataFrame, work: Workspace) -> DataFrame:
+    """slot, no, rank: the source of each slot of the mix, and how many slots before it are the same source's.
+
+    Slot i has the point i * step modulo the number of points, so every point comes once, and the points of any stretch of
+    slots lie as evenly as multiples of the golden ratio do. A slot's source is the one whose points hold it, found by
+    cells of CELL points, so a cell has few sources. Ranks are counted in stretches of slots, which go on from
+    the stretches before: no source, however large, is ranked in one task.
+    """
+    points = turns.agg(F.coalesce(F.max(F.col("first") + F.col("slots")), F.lit(0))).first()[0]
+    slots = turns.sparkSession.range(points).select(F.col("id").alias("slot"), F.expr(f"cast(cast(id as decimal(19,0)) * {step(max(points, 1))} % {max(points, 1)} as bigint)").alias("point"))
+    parts = turns.filter("slots > 0").select("no", "first", (F.col("first") + F.col("slots")).alias("last"))
+    parts = parts.withColumn("cell", F.explode(F.expr(f"sequence(first div {CELL}, (last - 1) div {CELL})")))
+    drawn = slots.withColumn("cell", F.expr(f"point div {CELL}")).join(parts, "cell").filter("point >= first and point < last")
+    drawn = work.put("drawn", drawn.select("slot", "no", F.expr(f"slot div {STRETCH}").alias("stretch")))
+    held = drawn.groupBy("no", "stretch").agg(F.count(F.lit(1)).alias("n"))
+    base = held.select("no", "stretch", F.coalesce(F.sum("n").over(Window.partitionBy("no").orderBy("stretch").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
+    own = F.row_number().over(Window.partitionBy("no", "stretch").orderBy("slot")) - 1
+    return drawn.withColumn("own", own).join(base, ["no", "stretch"]).select("slot", "no", (F.col("base") + F.col("own")).alias("rank"))
+
+
+def ordered(docs: DataFrame, work: Workspace, id_col: str, text_col: str, source_col: str, weights: tuple[int, ...], share: float, most: int) -> tuple[DataFrame, DataFrame]:
+    """id, src, m (md5 of the id), size, at: the words before a row in its source's shuffled order (m, size); and the sources' targets.
+
+    The order is summed in 4096 buckets of the hash, and buckets by a small table of sums, so a source with a third of all
+    rows is spread over many tasks. Texts are read once; ids and sizes are kept in the shared folder.
+    """
     rows = docs.select(
         docs[id_col].alias("id"), docs[source_col].alias("src"), F.md5(F.coalesce(docs[id_col].cast("string"), F.lit(""))).alias("m"),
         F.regexp_count(F.coalesce(docs[text_col], F.lit("")), F.lit(WORD)).cast("bigint").alias("size"),
     ).withColumn("bucket", F.substring("m", 1, 3))
-    rows = Workspace(docs.sparkSession, "mix").put("sizes", rows)
+    rows = work.put("sizes", rows)
     sums = rows.groupBy("src", "bucket").agg(F.sum("size").alias("words"))
-    targets = source_targets(sums.groupBy("src").agg(F.sum("words").alias("words")), weights, share, most)
-
+    targets = source_targets(sums.groupBy("src").agg(F.sum("words").alias("words")), weights, share, most, work)
     starts = sums.withColumn("base", F.coalesce(F.sum("words").over(Window.partitionBy("src").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     based = rows.alias("r").join(starts.alias("s"), F.expr("r.src <=> s.src and r.bucket = s.bucket")).select("r.*", "s.base")
     within = F.sum("size").over(Window.partitionBy("src", "bucket").orderBy("m", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    at = based.withColumn("at", F.col("base") + within - F.col("size"))
+    return based.withColumn("at", F.col("base") + within - F.col("size")), targets
+
+
+def placed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, most: int = 2) -> DataFrame:
+    """id, src, m, size, of, target, taken: what `mix` takes, by where a row stands in its source's order alone: slots give each word `words div of` times, and the first `words % of` once more."""
+    at, targets = ordered(docs, Workspace(docs.sparkSession, "mix"), id_col, text_col, source_col, weights, share, most)
     dealt = targets.withColumn("slots", F.least(F.col("high") - F.col("low"), most * F.col("of")))
     taken = F.expr("if(size = 0, 0L, size * (slots div of) + greatest(0L, least(at + size, slots % of) - at))")
     return at.alias("t").join(dealt.alias("g"), F.expr("t.src <=> g.src")).select("t.id", "t.src", "t.m", "t.size", "g.of", "g.target", taken.cast("bigint").alias("taken"))
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, most: int = 2) -> DataFrame:
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, most: int = 2, block: int = BLOCK) -> DataFrame:
     """id_col, size, source_size, target, taken: the words that a mix of sources takes from each document.
 
-    Each source's documents stand in an order shuffled by md5 of their ids, and every word is a block of its own. The
-    slots of the `schedule` are ranked in each source by their points, and rank r takes word r modulo the source's words,
-    up to `most` times. A document's taken words are those of it that slots take, so only the number of a source's slots
-    matters, and that is the number of its points: n slots take each word n div words times, and the first n mod words
-    once more. So every source meets its target to less than a word, at any size and beside any other.
+    Each source's documents stand in an order shuffled by md5 of their ids, cut into blocks of `block` words. The slots of the
+    `schedule` are ranked in each source, and rank r takes block r modulo the source's blocks, up to `most` times; the last
+    slot takes the words that its source's target leaves. A document's taken words are those of it in blocks that slots
+    take. So every source meets its target to less than a word, at any size and beside any other.
 
     A null text has size 0 and gives nothing; a null source is one of its own, and last. Repeated rows are placed each.
-    An empty table gives no rows. Texts are read once; ids and sizes are kept in the shared folder. The order is summed
-    in 4096 buckets of the hash, and buckets by a small table of sums, so a source with a third of all rows is spread over
-    many tasks.
+    An empty table gives no rows. A row meets one slot for each block that it lies in and each time that is taken, so
+    joins grow with the words, not with a source.
     """
-    return placed(docs, id_col, text_col, source_col, weights, share, most).select(F.col("id").alias(id_col), "size", F.col("of").alias("source_size"), "target", "taken")
+    work = Workspace(docs.sparkSession, "mix")
+    at, targets = ordered(docs, work, id_col, text_col, source_col, weights, share, most)
+    turns = slots_of(targets, work, block, most)
+    slots = schedule(turns, work).join(turns, "no")
+    left = f"words - words div of * of - rank % blocks * {block}"
+    slots = slots.select("no", F.expr("rank % blocks").alias("block"), F.expr(f"if(rank div blocks < words div of, {block}L, least({block}L, {left}))").alias("take"))
+    rows = work.put("placed", at.alias("t").join(targets.alias("g"), F.expr("t.src <=> g.src")).select("t.id", "t.m", "t.size", "t.at", "g.no", "g.of", "g.target"))
+    pieces = rows.filter("size > 0").withColumn("block", F.explode(F.expr(f"sequence(at div {block}, (at + size - 1) div {block})")))
+    met = pieces.join(slots, ["no", "block"], "left")
+    words = F.expr(f"greatest(0L, least(at + size, block * {block} + coalesce(take, 0L)) - greatest(at, block * {block}))")
+    keys = ("id", "m", "size", "at", "no", "of", "target")
+    taken = met.groupBy(*keys).agg(F.sum(words).cast("bigint").alias("taken"))
+    out = taken.unionByName(rows.filter("size = 0").withColumn("taken", F.lit(0).cast("bigint")).select(*keys, "taken"))
+    return out.select(F.col("id").alias(id_col), "size", F.col("of").alias("source_size"), "target", "taken")
 
 
 def copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", small: int = 500_000) -> DataFrame:

@@ -17,6 +17,7 @@ from pyspark.sql import types as T
 from tokenizers import Tokenizer
 
 from ridgeline.llm import fingerprints, html_extraction, language_id, lm_scoring, ngram_join, packing, quality_rules, source_mix, token_counts, url_filters
+from ridgeline.llm.shared import Workspace
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, id string, score string, block int, host string, n_words string, bucket int, key string"
 FOLD = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
@@ -488,21 +489,34 @@ def test_mix_equals_sql_and_meets_targets(docs, nothing):
     assert all(abs(r["taken"] - r["target"]) < 1 for r in by_source)
 
 
-def test_schedule_is_the_mix(spark, docs):
-    """The listed slots take each document's words as often as `mix` says, and any stretch of them keeps the shares."""
+def test_schedule_deals_slots_evenly(spark, docs, monkeypatch):
+    """Every slot comes once, ranks run on in each source, and any stretch of slots keeps the shares."""
+    monkeypatch.setattr(source_mix, "STRETCH", 100)
+    monkeypatch.setattr(source_mix, "RANGE", 2)
+    work = Workspace(spark, "test")
     rows = docs.select(F.col("source").alias("src"), F.regexp_count(F.coalesce("text", F.lit("")), F.lit("[^\\x20\\x09-\\x0D]+")).cast("bigint").alias("size"))
     targets = source_mix.source_targets(rows.groupBy("src").agg(F.sum("size").alias("words")))
-    wanted = {r["src"]: r for r in targets.collect()}
-    points = max(r["high"] for r in wanted.values())
-    listed = source_mix.schedule(spark, targets, 0, points).collect()
-    assert sorted(r["slot"] for r in listed) == list(range(points))
-    taken = Counter((r["src"], r["word"]) for r in listed)
-    at = Counter()
-    for r in source_mix.placed(docs).orderBy("src", "m", "size").collect():
-        assert r["taken"] == sum(taken[r["src"], at[r["src"]] + k] for k in range(r["size"])), r
-        at[r["src"]] += r["size"]
-    part = Counter(r["src"] for r in source_mix.schedule(spark, targets, 500, 1500).collect())
-    assert all(abs(part[s] - 1000 * (r["high"] - r["low"]) / points) < 8 for s, r in wanted.items())
+    turns = source_mix.slots_of(targets, work, block=3)
+    wanted = {r["no"]: r for r in turns.collect()}
+    listed = sorted(source_mix.schedule(turns, work).collect())
+    points = sum(r["slots"] for r in wanted.values())
+    assert [r["slot"] for r in listed] == list(range(points)) and points > 500
+    seen = Counter()
+    for r in listed:
+        assert r["rank"] == seen[r["no"]]
+        seen[r["no"]] += 1
+    assert seen == {k: r["slots"] for k, r in wanted.items() if r["slots"]}
+    part = Counter(r["no"] for r in listed[200:500])
+    assert all(abs(part[k] - 300 * r["slots"] / points) < 5 for k, r in wanted.items())
+
+
+@pytest.mark.parametrize("block", [1, 7, 256])
+def test_mix_by_blocks_is_where_rows_stand(docs, monkeypatch, block):
+    """What slots take in blocks of any size adds up to the words by place alone."""
+    monkeypatch.setattr(source_mix, "CELL", 4)
+    want = [(r["id"], r["size"], r["of"], r["taken"]) for r in source_mix.placed(docs).collect()]
+    got = [(r["doc_id"], r["size"], r["source_size"], r["taken"]) for r in source_mix.mix(docs, block=block).collect()]
+    assert Counter(got) == Counter(want)
 
 
 def test_copies_are_the_rounded_mix(docs, nothing):
