@@ -21,7 +21,8 @@ _MARKUP = re.compile(
     r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*+(?=>|\Z)|[^>]*)(?:>|\Z)", re.S
 )
 _NAMED = re.compile(r"(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
-_NAME_PART = re.compile(r"[a-z]+")
+#: Words of a name: runs of letters, cut where a capital begins another word.
+_NAME_PART = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+")
 #: Parts of a name that turn the next into its opposite, as in "no-sidebar".
 _NOT = frozenset("no not non without hide hidden".split())
 #: Weight of a character in an article or main element; of one in an element that a class word marks; in one that by its name holds no article.
@@ -33,7 +34,7 @@ ASIDE = frozenset("nav header footer aside form dialog menu button fieldset".spl
 #: Words of class, id and role that mark the same.
 ASIDE_WORDS = frozenset(
     "ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments cookie cookies consent contentinfo copyright disclaimer disqus footer "
-    "gdpr header login masthead menu modal nav navbar navigation newsletter notice notification pagination pager popup promo promoted related replies reply respond share "
+    "gdpr header login masthead menu modal nav navbar navigation newsletter notice notification pagination pager popup promo promoted related replies reply respond response responses share "
     "sharing sidebar signup social sponsor sponsored subscribe subscription tags toolbar widget widgets".split()
 )
 #: Elements that begin and end a line.
@@ -59,8 +60,8 @@ def _weight(name: str, attributes: str) -> float:
     if name in ("html", "body", *MAIN) and "comment" not in attributes.lower():
         return 1.0
     for groups in _NAMED.findall(attributes):
-        for word in "".join(groups).lower().split():
-            parts = _NAME_PART.findall(word)
+        for word in "".join(groups).split():
+            parts = [part.lower() for part in _NAME_PART.findall(word)]
             if any(p in ASIDE_WORDS and (k == 0 or parts[k - 1] not in _NOT) for k, p in enumerate(parts)):
                 return MARKED
     return 1.0
@@ -182,7 +183,7 @@ def _after(page: str, name: str, at: int) -> int:
     return stop.end() if stop else len(page)
 
 
-def main_text(page: str | None, window: int = 3, rise: float = 25, least_share: float = 0.25) -> str:
+def main_text(page: str | None, window: int = 3, rise: float = 25, least_share: float = 0.0) -> str:
     """The lines between surges and dives of the windowed text length, joined by line feeds.
 
     The length at a line is that of its window of lines: each line's characters outside links, times its weight. Weights
@@ -190,8 +191,8 @@ def main_text(page: str | None, window: int = 3, rise: float = 25, least_share:
     nothing, and where all text is marked by class words, it has the full weight. A surge is where the length reaches
     `rise` (or an eighth of the page's highest, if that is less); the dive that ends a stretch is a window without weight.
     A line of next to no weight dives by itself. Neighbours that are parted by such lines alone, or that end and begin in
-    one block, or stand in article elements, are one stretch in parts. Stretches with `least_share` of the longest one's
-    length are kept.
+    one block, or stand in article elements, are one stretch in parts. All stretches are kept; with `least_share` only those
+    that have that share of the longest one's length.
     """
     lines = _weighed(lines_of(page)) if page else []
     size = [free * weight for _, free, weight, _ in lines]

@@ -112,6 +112,19 @@ def brute_stretches(kinds, window=3, share=0.25):
     return [t for r in runs if sum(map(len, r)) >= share * longest for t in r]
 
 
+def test_html_reads_names_in_camel_case_and_keeps_short_stretches():
+    prose = "A sentence of the article that is long enough to rise above the lines around it."
+    for name in ("commentSection", "CommentsArea", "readerResponses", "sidebarLeft", "cookieBar", "HTMLFooter"):
+        page = f"<body><article><p>{prose}</p><div class='{name}'><p>{prose} Not this.</p></div><p>{prose} End.</p></article></body>"
+        assert html_extraction.main_text(page) == f"{prose}\n{prose} End.", name
+        assert html_extraction.main_text(page.replace("article>", "div>")) == f"{prose}\n{prose} End.", name
+    assert html_extraction.main_text(f"<article><div class='noSidebar'>{prose}</div><div id='undoHeading'>{prose}</div></article>") == f"{prose}\n{prose}"
+    assert html_extraction.main_text(f"<article><p>{prose}</p><div id='responses'>{prose}</div></article>") == prose
+    links = "".join(f"<p><a href='/{k}'>A link to page {k}</a></p>" for k in range(8))
+    page = f"<body><section>{f'<p>{prose}</p>' * 9}</section><section>{links}</section><section><p>{prose} Closing.</p></section></body>"
+    assert html_extraction.main_text(page).split("\n")[-1] == f"{prose} Closing." and "link" not in html_extraction.main_text(page)
+
+
 def test_html_windows_equal_brute_force():
     rng = random.Random(8)
     for _ in range(300):
@@ -121,8 +134,9 @@ def test_html_windows_equal_brute_force():
             run = rng.choice((1, 1, 2, 6)) if kind == "links" else 1
             kinds += [(kind, f"{'link' if kind == 'links' else kind} {k} " + "word " * rng.randrange(8, 30) + "end") for _ in range(run)]
         page = "".join(f"<p>{t}</p>" if kind == "text" else f"<p><a href=x>{t}</a></p>" if kind == "links" else f"<div class=ad>{t}</div>" for kind, t in kinds)
-        got = html_extraction.main_text(f"<body>{page}</body>")
-        assert [t for t in got.split("\n") if t.startswith("text")] == brute_stretches(kinds)
+        for share in (0.0, 0.25):
+            got = html_extraction.main_text(f"<body>{page}</body>", least_share=share)
+            assert [t for t in got.split("\n") if t.startswith("text")] == brute_stretches(kinds, share=share)
         assert "ad " not in got or not any(kind == "text" for kind, _ in kinds)
 
 
@@ -632,7 +646,8 @@ def test_html_keeps_what_follows_set_aside_elements():
     want = f"{long.strip()}\n{closing.strip()}"
     for parted in ("<div class=ad>Buy</div>", "<aside>x</aside><div class=share>y</div>", f"<ul>{gap}</ul>"):
         assert html_extraction.main_text(f"<body>{menu}<div class=post><p>{long}</p>{parted}<p>{closing}</p></div>{menu}") == want
-    assert html_extraction.main_text(f"<div><p>{long}</p></div>{menu}<div>{closing}</div>") == long.strip()
+    assert html_extraction.main_text(f"<div><p>{long}</p></div>{menu}<div>{closing}</div>", least_share=0.25) == long.strip()
+    assert html_extraction.main_text(f"<div><p>{long}</p></div>{menu}<div>{closing}</div>") == want
     links = "".join(f"<p><a href={k}>link {k}</a></p>" for k in range(5))
     assert html_extraction.main_text(f"<article><p>Text.</p>{links}</article><p>no</p>") == "Text.\n" + "\n".join(f"link {k}" for k in range(5))
     assert html_extraction.main_text(f"<body><p class=notice>Note<p>{long}<div>{closing}</div>") == want
