@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ridgeline.functions.expressions import surrogate_key
+from ridgeline.functions.expressions import ZONE, format_local, surrogate_key
 
 
 def latest_by(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
@@ -49,6 +49,12 @@ def merge_upsert(target: DataFrame, source: DataFrame, keys: Sequence[str], vers
     return joined.select(*[F.when(take, F.col(f"s.{c}")).otherwise(F.col(f"t.{c}")).alias(c) for c in columns])
 
 
+def soft_delete(target: DataFrame, gone: DataFrame, keys: Sequence[str], at: Column, column: str = "deleted_at") -> DataFrame:
+    """The target with the time of deletion on rows whose keys are in `gone`; a row that is deleted already keeps its time, and one whose key is null stays."""
+    there = gone.select(*keys).distinct().withColumn("__gone", F.lit(True))
+    return target.join(there, list(keys), "left").withColumn(column, F.coalesce(column, F.when(F.col("__gone"), at))).select(*target.columns)
+
+
 def merge_append(target: DataFrame, source: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
     """The rows to append: the first source row of each key that the target lacks."""
     return latest_by(source, keys, order).join(target.select(*keys), list(keys), "left_anti")
@@ -62,6 +68,12 @@ def current_state(events: DataFrame, key: str, op: str = "__op", ts: str = "__so
     return latest_by(events, [key], order).filter(F.coalesce(F.col(op).cast("string"), F.lit("")) != "d")
 
 
+def current_view(events: DataFrame, key: str, partition_time: Column, zone: str = ZONE, **names: str) -> DataFrame:
+    """The current state by key, with the partition that each row came in: its time (UTC) and its hour on a zone's clock. Of changes that tie, the one of the later partition counts."""
+    hour = format_local(F.col("_bq_partition_time"), "yyyy-MM-dd HH:00:00", zone)
+    return current_state(events.withColumn("_bq_partition_time", partition_time), key, arrived="_bq_partition_time", **names).withColumn("_load_hour_jakarta", hour)
+
+
 def scd2_apply(target: DataFrame, source: DataFrame, key: str, updated_at: str, now: Column) -> DataFrame:
     """A history after a snapshot of the source: columns of the source, scd_id, valid_from, valid_to.
 

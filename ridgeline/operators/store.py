@@ -255,6 +255,10 @@ class Store:
         fresh, gone = self._written(name, rows, now["partition"], cluster, checks, now["merge"]), set(folders)
         return self._commit(name, rows.schema, now["partition"], fresh, lambda x: x in gone, now["merge"])
 
+    def publish(self, name: str, schema: T.StructType, rows: DataFrame | None, extra: dict) -> int:
+        """A version of the folders that are there, with the rows (None: none) in one more, another schema, and `extra` in its list."""
+        return self._commit(name, schema, (), [] if rows is None else self._write(name, rows, (), ()), lambda x: False, None, extra)
+
     def load(self, name: str, rows: DataFrame, write: str = "truncate", create: bool = True, new_columns: bool = False, partition: Sequence[str] = (), cluster: Sequence[str] = ()) -> int:
         """Writes a query's rows to a table: in place of its rows (truncate), beside them (append), or only if it has none (empty).
 

@@ -144,7 +144,7 @@ def d_latest_composite(spark, sf_dir):
 
 @_query
 def d_cdc_current(spark, sf_dir):
-    return H.current_state(_events(spark, sf_dir), "user_id").select("user_id", "event_id", "event_type", "value", "__op")
+    return H.current_view(_events(spark, sf_dir), "user_id", F.date_trunc("hour", "ts").cast("timestamp_ntz")).select("user_id", "event_id", "event_type", "value", "__op", "_bq_partition_time", "_load_hour_jakarta")
 
 
 # joins
@@ -244,6 +244,32 @@ def m_scd2_apply(spark, sf_dir):
     return H.scd2_apply(target, source, "c_custkey", "updated_at", F.lit(dt.date(2024, 3, 1)))
 
 
+@_query
+def m_schema_evolve(spark, sf_dir):
+    """A table whose columns are renamed, widened, dropped and added again between loads, with no row written again."""
+    from ridgeline.operators.identity import Columns
+
+    o, table = _read(spark, sf_dir, "orders"), Columns(_scratch(spark), "orders")
+    price = F.col("o_totalprice")
+    table.create(o.filter("o_orderkey % 2 = 0").select("o_orderkey", F.col("o_custkey").cast("int").alias("customer"), "o_orderstatus", price.cast("decimal(12,2)").alias("price"), F.lit("old").alias("note")))
+    table.rename("o_orderstatus", "status")
+    table.drop("note")
+    later = o.filter("o_orderkey % 2 = 1").select("o_orderkey", F.col("o_custkey").alias("customer"), F.col("o_orderstatus").alias("status"), price.cast("decimal(18,4)").alias("price"), F.col("o_orderpriority").alias("note"))
+    table.sync(later.schema)
+    table.append(later)
+    return table.read().withColumn("price", F.col("price").cast("double"))
+
+
+@_query
+def m_soft_delete(spark, sf_dir):
+    """Customers without an order are marked as deleted, twice: the first time stays."""
+    c = _read(spark, sf_dir, "customer").select("c_custkey", "c_name", F.lit(None).cast("timestamp_ntz").alias("deleted_at"))
+    bought = _read(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey"))
+    idle = c.join(bought, "c_custkey", "left_anti")
+    once = H.soft_delete(c, idle, ["c_custkey"], F.expr("TIMESTAMP_NTZ '2024-02-01 00:00:00'"))
+    return H.soft_delete(once, idle.unionByName(c.filter("c_custkey % 10 = 0")), ["c_custkey"], F.expr("TIMESTAMP_NTZ '2024-03-01 00:00:00'"))
+
+
 @_query
 def m_kept_snapshots(spark, sf_dir):
     """A history of customers over three runs: as they were, some changed or gone, and some of those changed again or back."""
@@ -568,6 +594,15 @@ def st_dead_letters(spark, sf_dir):
     return kept.unionByName(lost)
 
 
+@_query
+def st_strict(spark, sf_dir):
+    """Events as JSON text, parsed so that the first bad record would end the run; there is none."""
+    from ridgeline.streaming.cdc import parse_strict
+
+    text = _read(spark, sf_dir, "events").select(F.to_json(F.struct("event_id", "user_id", "event_type")).alias("value"))
+    return parse_strict(text, T.StructType.fromDDL("event_id long, user_id long, event_type string"))
+
+
 @_query
 def st_envelope(spark, sf_dir):
     """Raw change envelopes, made of the events, as rows: a delete holds the row before it, and one without rows is dropped."""
@@ -651,6 +686,26 @@ def i_catch_up(spark, sf_dir):
     return said.join(loaded, "day", "left").withColumn("gaps", F.lit(gaps).cast("bigint")).withColumn("again", F.lit(len(became)).cast("bigint"))
 
 
+@_query
+def i_full_refresh(spark, sf_dir):
+    """A model that was merged twice and is then built anew from other rows: nothing of the old ones is left."""
+    store, o = _scratch(spark), _read(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice")
+    run_model(store, "orders", o.filter("o_orderkey % 2 = 0"), "merge", ["o_orderkey"])
+    run_model(store, "orders", o.filter("o_orderkey % 3 = 0").withColumn("o_totalprice", F.lit(0.0)), "merge", ["o_orderkey"])
+    return run_model(store, "orders", o.filter("o_orderkey % 4 <> 0"), "merge", ["o_orderkey"], full_refresh=True)
+
+
+@_query
+def i_create_absent(spark, sf_dir):
+    """A declared table that is made if it isn't there, filled, and left alone when it is declared again."""
+    store, o = _scratch(spark), _read(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus")
+    store.create("orders", o.schema)
+    first = store.read("orders").count()
+    store.load("orders", o, "empty")
+    store.create("orders", o.schema)
+    return store.read("orders").groupBy("o_orderstatus").agg(F.count(F.lit(1)).alias("n"), F.lit(first).cast("bigint").alias("before"))
+
+
 @_query
 def i_truncate_reset(spark, sf_dir):
     """Ids that a table gives next, before and after it is emptied."""
@@ -694,11 +749,19 @@ def c_change_files(spark, sf_dir):
 @_query
 def p_ingested(spark, sf_dir):
     """A window that was asked for by hand, in the source's clock (UTC+7), extracted with casts and metadata columns."""
-    window = C.resolve_window({"window_start": "2024-01-08", "window_end": "2024-01-15"}, dt.datetime(2024, 1, 1), dt.datetime(2024, 1, 2), 7)
+    window = C.resolve_window({"window_start": "2024-01-08", "window_end": "2024-01-15"}, dt.datetime(2024, 1, 1), dt.datetime(2024, 1, 2), "Asia/Jakarta")
     config = TableConfig("events", ("user_id",), parse_schema("user_id:L! event_id:S event_type:S ts:T!"), window_col="ts", version_col="ts", source_zone="Asia/Jakarta", source_system="o'brien")
     return C.extract(_read(spark, sf_dir, "events"), config, window, dt.datetime(2024, 1, 20))
 
 
+@_query
+def p_zone_window(spark, sf_dir):
+    """Days of a run (UTC) on New York's clock, over the start of its summer time, from clicks that bear that clock."""
+    window = C.resolve_window(None, dt.datetime(2024, 3, 8), dt.datetime(2024, 3, 13), "America/New_York")
+    clicks = H.in_window(_read(spark, sf_dir, "clicks"), "ts", *window)
+    return clicks.select("click_id", "arrived_at", "client_id", "kind", X.to_utc(F.col("ts"), "America/New_York").alias("ts"), F.lit(C.partition_suffix(window[1], "America/New_York")).alias("upto"))
+
+
 @_query
 def i_ingest_merge(spark, sf_dir):
     """Three loads of payments (naive Jakarta times, versions not older win): a window, all days with later versions, and the window again."""

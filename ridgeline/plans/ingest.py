@@ -44,7 +44,7 @@ def ingest(store: Store, config: TableConfig, source: DataFrame, window: tuple |
     """
     rows = extract(source, config, window, now)
     unit = F.date_trunc(config.unit, F.col(config.partition_col))
-    rows = rows.withColumn(PART, unit if config.unit == "hour" else F.to_date(unit))
+    rows = rows.withColumn(PART, unit.cast("timestamp_ntz") if config.unit == "hour" else F.to_date(unit))
     report = sync_report(store.read(config.name).schema if store.exists(config.name) else None, rows.schema)
     if config.append_only:
         rule, version, order = "first", None, [F.col(config.window_col).desc_nulls_last()]

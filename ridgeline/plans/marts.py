@@ -51,13 +51,14 @@ class Session:
         return rows.filter(day >= F.lit(self.since[model])) if model in self.since else rows
 
     def ref(self, name: str) -> DataFrame:
+        outer = getattr(self, "path", ())
+        if name in outer:
+            raise ValueError(f"models depend on each other: {' > '.join((*outer, name))}")
+        if outer:
+            self.lineage.append((name, outer[-1]))
         if name not in self.built:
-            outer, self.path = getattr(self, "path", ()), (*getattr(self, "path", ()), name)
-            if name in outer:
-                raise ValueError(f"models depend on each other: {' > '.join(self.path)}")
-            if outer:
-                self.lineage.append((name, outer[-1]))
             stored = outer and self.store is not None and not name.startswith("stg_") and self.store.exists(name)
+            self.path = (*outer, name)
             self.built[name] = self.store.read(name) if stored else MODELS[name](self)
             self.path = outer
         return self.built[name]

@@ -85,6 +85,11 @@ _SQL = {
     "a_promo_perf": f"SELECT p_brand, p_type, count(*) AS promo_rides, {_sum('l_extendedprice')} AS revenue, {_sum('l_extendedprice')} / nullif({_sum('l_extendedprice * l_discount', 4)}, 0) AS revenue_per_discount FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1, 2",
     "a_multi_distinct": "SELECT CAST(ts AS DATE) AS metric_date, count(DISTINCT user_id) AS users, " + ", ".join(f"count(DISTINCT CASE WHEN event_type = '{t}' THEN user_id END) AS {t}_users" for t in ("click", "error", "purchase", "signup", "view")) + " FROM events GROUP BY 1",
     "a_weekly_distinct": "SELECT CAST(date_trunc('week', ts) AS DATE) AS week, count(DISTINCT user_id) AS users, " + ", ".join(f"count(DISTINCT CASE WHEN event_type = '{t}' THEN user_id END) AS {t}_users" for t in ("click", "error", "purchase", "signup", "view")) + " FROM events GROUP BY 1",
+    "m_schema_evolve": "SELECT o_orderkey, o_custkey AS customer, o_orderstatus AS status, CAST(CAST(o_totalprice AS DECIMAL(18,2)) AS DOUBLE) AS price, CASE WHEN o_orderkey % 2 = 1 THEN o_orderpriority END AS note FROM orders",
+    "i_full_refresh": "SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderkey % 4 <> 0",
+    "i_create_absent": "SELECT o_orderstatus, count(*) AS n, 0 AS before FROM orders GROUP BY 1",
+    "st_strict": "SELECT event_id, user_id, event_type FROM events",
+    "m_soft_delete": """SELECT c_custkey, c_name, CASE WHEN c_custkey NOT IN (SELECT o_custkey FROM orders) THEN TIMESTAMP '2024-02-01' WHEN c_custkey % 10 = 0 THEN TIMESTAMP '2024-03-01' END AS deleted_at FROM customer""",
     "q_gated_build": """SELECT o_orderstatus, count(*) AS n, (SELECT count(*) FROM orders WHERE o_orderkey % 10 = 0) AS not_null_status,
       (SELECT count(*) FROM orders WHERE o_orderkey % 10 IN (1, 2)) AS accepted_status, 0 AS price_between FROM orders GROUP BY 1""",
     "m_kept_snapshots": """WITH c AS (SELECT c_custkey AS k, c_mktsegment AS m FROM customer),
@@ -132,6 +137,7 @@ SELECT o_orderkey, CAST(8000 AS DOUBLE) AS base_fare, CAST(round(km * 2500, 2) A
 CAST(tax AS DOUBLE) AS tax_amount, CAST(fee AS DOUBLE) AS platform_fee, CAST(round(gross - fee, 2) AS DOUBLE) AS driver_earning, CAST(round(gross + tax, 2) AS DOUBLE) AS total_fare FROM f"""
 for _name in ("st_cdc_current", "st_upsert_sink", "st_bootstrap", "st_state_current"):
     _SQL[_name] = _SQL["d_cdc_current"]
+_SQL["d_cdc_current"] = _SQL["d_cdc_current"].replace("value, __op FROM (", "value, __op, CAST(date_trunc('hour', ts) AS TIMESTAMP) AS _bq_partition_time, strftime(ts + INTERVAL 7 HOURS, '%Y-%m-%d %H:00:00') AS _load_hour_jakarta FROM (", 1)
 _SQL["i_merge_store"] = _SQL["m_upsert_always"]
 def _source_sql(name: str) -> str:
     """A stand-in table with those that it reads."""
@@ -166,6 +172,8 @@ _SQL |= {
     "i_ingest_append": "SELECT event_type AS new_status, count(*) AS n, min(event_id) AS first_id, max(event_id) AS last_id, 3 AS loads, 'ride-status-history' AS label FROM events WHERE ts >= TIMESTAMP '2024-01-03' AND ts < TIMESTAMP '2024-01-15' GROUP BY 1",
     "p_ingested": """SELECT user_id, CAST(event_id AS VARCHAR) AS event_id, event_type, ts - INTERVAL 7 HOURS AS ts, TIMESTAMP '2024-01-20' AS _ingested_at, 'o''brien' AS _source_system
       FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC) AS rn FROM events WHERE ts >= TIMESTAMP '2024-01-08' AND ts < TIMESTAMP '2024-01-15') WHERE rn = 1""",
+    "p_zone_window": """SELECT click_id, arrived_at, client_id, kind, ts + CASE WHEN ts < TIMESTAMP '2024-03-10 03:00:00' THEN INTERVAL 5 HOURS ELSE INTERVAL 4 HOURS END AS ts, '2024031300' AS upto
+      FROM clicks WHERE ts >= TIMESTAMP '2024-03-07 19:00:00' AND ts < TIMESTAMP '2024-03-12 20:00:00'""",
     "p_time_formats": f"""SELECT event_id, strftime({_LOCAL}, '%Y-%m-%d %H:00:00') AS jakarta_hour, strftime(ts - INTERVAL 5 HOURS, '%Y-%m-%d %H:%M') AS new_york, ts + INTERVAL 5 HOURS AS from_new_york, CAST({_LOCAL} AS DATE) AS jakarta_day,
       {', '.join(f"CAST(date_trunc('{u}', ts) AS TIMESTAMP) AS {u}_start" for u in ('hour', 'day', 'month', 'year'))} FROM events""",
     "p_to_json": """SELECT o_orderkey, '{"customer":' || o_custkey || ',"status":"' || o_orderstatus || '"}' AS payload FROM orders""",

@@ -4,6 +4,7 @@ are built here and checked by tests, and a missing format is reported before any
 from __future__ import annotations
 
 import datetime as dt
+from zoneinfo import ZoneInfo
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -68,9 +69,14 @@ def cdc_path(topic: str, hour: dt.datetime) -> str:
     return f"raw/cdc/{topic}/year={hour:%Y}/month={hour:%m}/day={hour:%d}/hour={hour:%H}"
 
 
-def partition_suffix(hour: dt.datetime, offset_hours: int = 7) -> str:
-    """The UTC partition name of a Jakarta hour."""
-    return f"{hour - dt.timedelta(hours=offset_hours):%Y%m%d%H}"
+def _moved(at: dt.datetime, old: str, new: str) -> dt.datetime:
+    """A naive time of one zone's clock on another's."""
+    return at.replace(tzinfo=ZoneInfo(old)).astimezone(ZoneInfo(new)).replace(tzinfo=None)
+
+
+def partition_suffix(hour: dt.datetime, zone: str = "Asia/Jakarta") -> str:
+    """The UTC partition name of an hour on a zone's clock."""
+    return f"{_moved(hour, zone, 'UTC'):%Y%m%d%H}"
 
 
 def probe(spark: SparkSession, path: str) -> str:
@@ -80,12 +86,12 @@ def probe(spark: SparkSession, path: str) -> str:
     return "ready" if found is not None and len(found) else "skipped"
 
 
-def resolve_window(conf: dict | None, start: dt.datetime, end: dt.datetime, offset_hours: int = 0) -> tuple[dt.datetime, dt.datetime]:
-    """The run's window, or the one asked for by hand, in the source's wall clock; an empty one is refused."""
+def resolve_window(conf: dict | None, start: dt.datetime, end: dt.datetime, zone: str = "UTC") -> tuple[dt.datetime, dt.datetime]:
+    """The run's window (UTC), or the one asked for by hand, on the clock of the source's zone, summer time and all; an empty one is refused."""
     if conf and conf.get("window_start") and conf.get("window_end"):
         start, end = (dt.datetime.fromisoformat(conf[k]) for k in ("window_start", "window_end"))
     else:
-        start, end = (x + dt.timedelta(hours=offset_hours) for x in (start, end))
+        start, end = (_moved(x, "UTC", zone) for x in (start, end))
     if start >= end:
         raise ValueError(f"empty window {start} .. {end}: give window_start and window_end")
     return start, end

@@ -9,6 +9,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.streaming import StreamingQuery
 
 from ridgeline.functions.expressions import to_zone
 from ridgeline.operators.deltas import merge_delta
@@ -155,15 +156,24 @@ def hour_folders(zone: str, now: Column | None = None) -> dict[str, Column]:
     return {unit: F.date_format(at, pattern) for unit, pattern in (("year", "yyyy"), ("month", "MM"), ("day", "dd"), ("hour", "HH"))}
 
 
-def clock_sink(stream: DataFrame, settings: SinkSettings = SINKS["gcs"], zone: str = "Asia/Jakarta", now: Column | None = None) -> DataFrame:
-    """A stream in folders of the wall-clock hour at which its rows came, whatever time they bear; a repeated batch replaces itself."""
-    base = _base(stream.sparkSession)
+def start_sink(stream: DataFrame, folder: str, offsets: str, settings: SinkSettings, zone: str = "Asia/Jakarta", now: Column | None = None, live: bool = True) -> StreamingQuery:
+    """Starts a sink into folders of the wall-clock hour at which rows come, whatever time they bear.
 
+    A new file begins with every trigger of the settings, and after so many records. A live sink runs on; else it takes
+    what is there and stops. A repeated batch replaces itself.
+    """
     def each(batch: DataFrame, batch_id: int) -> None:
         dated = batch.withColumns(hour_folders(zone, now))
-        dated.write.mode("overwrite").option("maxRecordsPerFile", settings.most_records).partitionBy("year", "month", "day", "hour").parquet(f"{base}/rows/batch={batch_id}")
+        dated.write.mode("overwrite").option("maxRecordsPerFile", settings.most_records).partitionBy("year", "month", "day", "hour").parquet(f"{folder}/batch={batch_id}")
 
-    drain(stream, each, f"{base}/offsets")
+    when = {"processingTime": settings.trigger} if live else {"availableNow": True}
+    return stream.writeStream.foreachBatch(each).trigger(**when).option("checkpointLocation", offsets).start()
+
+
+def clock_sink(stream: DataFrame, settings: SinkSettings = SINKS["gcs"], zone: str = "Asia/Jakarta", now: Column | None = None) -> DataFrame:
+    """What a sink of clock folders makes of all that is there."""
+    base = _base(stream.sparkSession)
+    start_sink(stream, f"{base}/rows", f"{base}/offsets", settings, zone, now, live=False).awaitTermination()
     return stream.sparkSession.read.option("basePath", f"{base}/rows").parquet(f"{base}/rows")
 
 
