@@ -106,7 +106,7 @@ def build(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
     (sources, store), now = kept(spark, sf_dir), F.expr(f"TIMESTAMP_NTZ '{BUILT}'")
     needs = graph(spark, sources)[name]
-    run = run_models(spark, sources, store, [f"+{x}" for x in needs] or [name], now=now, only_absent=True) if needs or name.startswith("stg_") else None
+    run = run_models(spark, sources, store, [f"+{x}" for x in needs] or [name], now=now, only_absent=True, whole=True) if needs or name.startswith("stg_") else None
     if run and run.errors:
         raise RuntimeError(f"{name}: {run.errors}")
     made = Session(spark, sources, now, store).ref(name)
@@ -148,14 +148,15 @@ def _checks() -> dict[str, dict[str, Column]]:
     }
 
 
-def materialise(spark: SparkSession, sources, store: Store, name: str, today: dt.date | None = None, now: Column | None = None, full_refresh: bool = False) -> DataFrame:
+def materialise(spark: SparkSession, sources, store: Store, name: str, today: dt.date | None = None, now: Column | None = None, full_refresh: bool = False, whole: bool = False) -> DataFrame:
     """Builds a model, for its recent days if it is kept by increments, applies that to its table, and gives the table.
 
     The first day is read before, so that it is a literal that reaches the scans. Facts look back from their own last day and
     are merged; aggregates look back from `today` (None: all days) and replace whole days, reading the kept facts. The first
-    build, and a full refresh, cover all days. The model's checks are counted as it is written.
+    build, and a full refresh, cover all days. With `whole` any model is built whole, into a table without partitions. The model's
+    checks are counted as it is written.
     """
-    strategy, key, partition, days = MATERIALISED.get(name, ("full", "", None, 0))
+    strategy, key, partition, days = ("full", "", None, 0) if whole else MATERIALISED.get(name, ("full", "", None, 0))
     session, checks = Session(spark, sources, now, store), _checks().get(name)
     if strategy != "full" and store.exists(name) and not full_refresh:
         last = (store.read(name).agg(F.max(partition)).first()[0] or FIRST_DAY) if strategy == "merge" else today

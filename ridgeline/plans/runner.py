@@ -67,10 +67,11 @@ def selected(needs: dict[str, set[str]], select: Sequence[str] | None) -> set[st
     return out
 
 
-def run_models(spark, sources, store: Store, select: Sequence[str] | None = None, at_once: int = 4, now: Column | None = None, today=None, only_absent: bool = False, full_refresh: bool = False) -> Run:
+def run_models(spark, sources, store: Store, select: Sequence[str] | None = None, at_once: int = 4, now: Column | None = None, today=None, only_absent: bool = False, full_refresh: bool = False, whole: bool = False) -> Run:
     """Builds the selected models in the order of their needs, at most `at_once` side by side.
 
-    A model with an increment strategy is built by it (`full_refresh`: anew); others replace their tables. The checks of a model
+    A model with an increment strategy is built by it (`full_refresh`: anew; `whole`: as a table without partitions); others replace
+    their tables. The checks of a model
     (`marts.CHECKS`) are counted while it is written, and one that fails keeps its table as it was. With only_absent a model that has
     a table is left alone, as is everything that only it needs.
     """
@@ -92,7 +93,7 @@ def run_models(spark, sources, store: Store, select: Sequence[str] | None = None
     def build(name: str) -> None:
         context = spark.sparkContext
         context.setJobGroup(f"model {name}", name)
-        marts.materialise(spark, sources, store, name, today, now, full_refresh)
+        marts.materialise(spark, sources, store, name, today, now, full_refresh, whole)
 
     # what isn't built in this run is read as it is stored
     run.status |= {x: "built" for xs in before.values() for x in xs if x not in tables}

@@ -250,7 +250,7 @@ def test_models_run_in_the_order_of_their_needs(spark, sf_dir, store):
     assert needs["fct_refunds"] == {"stg_payment_refund", "fct_payments", "fct_rides"} and selected(needs, ["fct_refunds+"]) == {"fct_refunds", "agg_daily_refunds"}
     with pytest.raises(ValueError):
         selected(needs, ["+no_such_model"])
-    run = run_models(spark, sources, store, ["+agg_daily_refunds"], now=now)
+    run = run_models(spark, sources, store, ["+agg_daily_refunds"], now=now, whole=True)
     assert not run.errors and set(run.status.values()) == {"built"} and store.read("agg_daily_refunds").count() > 0
     plan = marts.Session(spark, sources, now, store).ref("fct_refunds")._jdf.queryExecution().optimizedPlan()
     assert plan.collectLeaves().size() <= 15
@@ -259,11 +259,11 @@ def test_models_run_in_the_order_of_their_needs(spark, sf_dir, store):
     whole = marts.MODELS["fct_payments"]
     marts.MODELS["fct_payments"] = lambda s: whole(s).withColumn("payment_status", F.lit("ODD"))
     try:
-        run = run_models(spark, sources, store, ["fct_payments+"], now=now, full_refresh=True)
+        run = run_models(spark, sources, store, ["fct_payments+"], now=now, whole=True)
     finally:
         marts.MODELS["fct_payments"] = whole
     assert run.status["fct_payments"] == "failed" and "accepted_payment_status" in run.errors["fct_payments"]
     assert {run.status[x] for x in ("fct_refunds", "agg_daily_refunds", "agg_daily_payment_method")} == {"skipped"}
     assert {name: store.current(name)["version"] for name in before} == before
     kept = Counter(r["ride_sk"] for r in store.read("fct_rides").collect())
-    assert run_models(spark, sources, store, ["fct_rides"], now=now).status["fct_rides"] == "built" and Counter(r["ride_sk"] for r in store.read("fct_rides").collect()) == kept
+    assert run_models(spark, sources, store, ["fct_rides"], now=now, whole=True).status["fct_rides"] == "built" and Counter(r["ride_sk"] for r in store.read("fct_rides").collect()) == kept
