@@ -1,4 +1,4 @@
-"""Document fingerprints: a Merkle tree over leaves, paragraphs and sections, from SQL functions alone."""
+"""Document fingerprints: a Merkle tree over content-defined leaves, paragraphs and sections, from SQL functions alone."""
 
 from __future__ import annotations
 
@@ -6,58 +6,90 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-#: Code points of a leaf, before the white space that ends it; paragraphs of a section.
-LEAF, SECTION = 32, 8
-#: A leaf's code is its hash with the length in the lowest 8 bits.
-_LENGTH = "255L"
+from ridgeline.llm.quality_rules import _let
+
+#: Paragraphs of a section; code points of a word that stays whole; marks of a fingerprint, about.
+SECTION, WORD, MARKS = 8, 32, 512
+#: A leaf's code is its hash with the length in the lowest 16 bits; a mark's, 24 bits of hash and 8 of length.
+_LENGTH = "65535L"
+
+
+def _stretches(units: str, roll: int, reach: int, tag: str) -> str:
+    """SQL for an array of texts cut into arrays of neighbours, by what they hold and not by where they stand.
+
+    A unit's hash is that of the last `roll` units. A stretch ends where the hash is not above those of `reach` units to
+    both sides, so an edit moves only the ends near it. Equal units in a row are stretches of their own.
+    """
+    u, h, e, i = (f"{k}{tag}" for k in "uhei")
+    rolled = f"transform({u}, (x, {i}) -> xxhash64(x{''.join(f', get({u}, {i} - {k})' for k in range(1, roll))}))"
+    around = ", ".join(f"get({h}, {i} {sign} {k})" for k in range(1, reach + 1) for sign in "-+")
+    ends = f"filter(sequence(0, size({u}) - 1), {i} -> {i} = size({u}) - 1 or get({h}, {i}) <= least({around}))"
+    cut = f"transform({e}, (x, {i}) -> slice({u}, coalesce(get({e}, {i} - 1), -1) + 2, x - coalesce(get({e}, {i} - 1), -1)))"
+    return _let(u, units, _let(h, rolled, _let(e, ends, cut)))
 
 
 def _leaves(text: str) -> str:
-    code = "shiftleft(shiftright(xxhash64(l), 8), 8) | cast(length(l) as bigint)"
-    return f"transform(filter(split({text}, '(?<=\\\\n)'), p -> p != ''), p -> transform(regexp_extract_all(p, '(?s).{{1,{LEAF}}}(?:\\\\s|$)|.{{1,{LEAF}}}', 0), l -> {code}))"
+    """SQL for the leaves' codes, by paragraph."""
+    short = _stretches("split(y, '')", 4, 4, "c")
+    units = f"flatten(transform(regexp_extract_all(p, '\\\\S+\\\\s*|\\\\s+', 0), y -> if(length(y) <= {WORD}, array(y), transform({short}, z -> array_join(z, '')))))"
+    code = f"(xxhash64(l) & ~{_LENGTH}) | least({_LENGTH}, aggregate(l, 0L, (n, z) -> n + length(z)))"
+    return f"transform(filter(split({text}, '(?<=\\\\n)'), p -> p != ''), p -> transform({_stretches(units, 1, 1, 'w')}, l -> {code}))"
+
+
+def _marks(leaves: str) -> str:
+    """SQL for all marks: a leaf's hash with the number of equal ones before it, so that repeats of a leaf are told apart."""
+    starts = "filter(sequence(0, size(s) - 1), i -> i = 0 or get(s, i) != get(s, i - 1))"
+    mark = f"(shiftrightunsigned(xxhash64(get(s, a), cast(j as bigint)), 40) * 256) | least(255L, get(s, a) & {_LENGTH})"
+    each = _let("b", starts, f"flatten(transform(b, (a, k) -> transform(sequence(0, coalesce(get(b, k + 1), size(s)) - 1 - a), j -> {mark})))")
+    return _let("s", f"sort_array({leaves})", f"if(size(s) = 0, cast(array() as array<bigint>), {each})")
+
+
+def _at_level(marks: str, level: str) -> str:
+    return f"filter({marks}, _m -> (shiftrightunsigned(_m, 8) & (shiftleft(1L, {level}) - 1)) = 0)"
 
 
 def with_tree(df: DataFrame, text_col: str, tree_col: str) -> DataFrame:
     """The rows with the Merkle tree of a text: leaves, paragraphs (hashes of their leaves), sections (of SECTION paragraphs), root.
 
-    A paragraph is a line with its line feed; a leaf is a stretch of at most LEAF code points that ends after white
-    space where it can. Null text has the tree of the empty text, which has no leaves. Equal texts have equal roots.
-    Paragraphs hash the leaves' whole codes; the tree keeps 24 bits of hash and 8 of length of each leaf, as the
-    fingerprint does.
+    A paragraph is a line with its line feed. Its units are words with the white space after them; of a longer one than
+    WORD, stretches of code points. A leaf ends after a unit whose hash is not above its neighbours'. Null text has the
+    tree of the empty text, which has no leaves. Equal texts have equal roots.
+
+    The marks are what likeness is told by. Of n leaves at level k, those whose hash ends in k zero bits are marks, with
+    the least k for which about MARKS remain; a text of up to MARKS leaves has level 0 and all.
     """
     nested = df.withColumn("_p", F.expr(_leaves(f"coalesce(`{text_col}`, '')")))
-    hashed = nested.withColumn("_h", F.expr("transform(_p, x -> xxhash64(x))"))
+    hashed = nested.withColumn("_h", F.expr("transform(_p, x -> xxhash64(x))")).withColumn("_l", F.flatten("_p")).drop("_p")
     grouped = hashed.withColumn("_s", F.expr(f"if(size(_h) = 0, cast(array() as array<bigint>), transform(sequence(0, (size(_h) - 1) div {SECTION}), s -> xxhash64(slice(_h, cast(s as int) * {SECTION} + 1, {SECTION}))))"))
+    levelled = grouped.withColumn("_k", F.expr(f"greatest(0, cast(ceil(log2(size(_l) / {MARKS}D)) as int))"))
     root = "sha2(concat_ws(',', transform(_s, x -> cast(x as string))), 256)"
-    short = "transform(flatten(_p), x -> (shiftrightunsigned(x, 40) * 256) | (x & 255L))"
-    return grouped.withColumn(tree_col, F.expr(f"struct({root} as root, _s as sections, _h as paragraphs, {short} as leaves)")).drop("_p", "_h", "_s")
+    tree = f"struct({root} as root, _s as sections, _h as paragraphs, _l as leaves, _k as level, array_distinct({_at_level(_marks('_l'), '_k')}) as marks)"
+    return levelled.withColumn(tree_col, F.expr(tree)).drop("_h", "_l", "_s", "_k")
 
 
 def fingerprint(tree: str) -> Column:
-    """The root, and 24 bits of hash and 8 of length for each leaf, in hexadecimal."""
+    """The root, the level and the marks (24 bits of hash and 8 of length each, in hexadecimal)."""
     code = "lpad(lower(hex(x)), 8, '0')"
-    return F.expr(f"concat({tree}.root, ':', array_join(transform({tree}.leaves, x -> {code}), ''))")
+    return F.expr(f"concat({tree}.root, ':', {tree}.level, ':', array_join(transform({tree}.marks, x -> {code}), ''))")
 
 
 def likeness(a: str, b: str) -> Column:
-    """Code points that two trees share, by those of the larger tree; 1 for equal texts. The two fingerprints determine it.
+    """Code points of the marks that two texts share, by those of the larger; 1 for equal roots. The two fingerprints determine it.
 
-    The larger of two measures counts: of distinct leaves, wherever they stand, and of equal leaves at equal places
-    (so a text that repeats itself is like its edited form).
+    Marks of the finer level are thinned to the coarser one first. Where neither has one there, the likeness is 0.
+    Leaves count wherever they stand: a branch that moved is still the same.
     """
-    total = "aggregate({0}, 0L, (s, x) -> s + (x & 255L))"
-    left, right = f"{a}.leaves", f"{b}.leaves"
-    most = "greatest(" + total.format("{0}") + ", " + total.format("{1}") + ", 1L)"
-    spread = f"{total.format(f'array_intersect({left}, {right})')} / {most.format(f'array_distinct({left})', f'array_distinct({right})')}"
-    placed = f"{total.format(f'zip_with({left}, {right}, (x, y) -> if(x = y, x, 0L))')}"
-    return F.expr(f"case when {a}.root = {b}.root then 1.0D else greatest({spread}, {placed.replace('s + (x & 255L)', 's + coalesce(x & 255L, 0L)')} / {most.format(left, right)}) end")
+    total = "aggregate({0}, 0L, (n, x) -> n + (x & 255L))"
+    share = f"{total.format('array_intersect(_l, _r)')} / greatest({total.format('_l')}, {total.format('_r')}, 1L)"
+    level = f"greatest({a}.level, {b}.level)"
+    return F.expr(f"if({a}.root = {b}.root, 1.0D, {_let('_l', _at_level(f'{a}.marks', level), _let('_r', _at_level(f'{b}.marks', level), share))})")
 
 
 def first_difference(a: str, b: str) -> Column:
     """section, paragraph (from 0) and code point at which two trees first differ, found from the top down; null if they don't."""
     at = "array_position(zip_with({0}, {1}, (x, y) -> not (x <=> y)), true)"
     section, paragraph, leaf = (at.format(f"{a}.{k}", f"{b}.{k}") for k in ("sections", "paragraphs", "leaves"))
-    start = f"aggregate(slice({a}.leaves, 1, cast({leaf} - 1 as int)), 0L, (s, x) -> s + (x & 255L))"
+    start = f"aggregate(slice({a}.leaves, 1, cast({leaf} - 1 as int)), 0L, (s, x) -> s + (x & {_LENGTH}))"
     return F.expr(f"if({a}.root = {b}.root, null, struct({section} - 1 as section, {paragraph} - 1 as paragraph, {start} as start))")
 
 

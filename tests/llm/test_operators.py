@@ -12,6 +12,7 @@ import numpy as np
 import pandas as pd
 import public_tokenizers as P
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from tokenizers import Tokenizer
@@ -233,13 +234,67 @@ def test_fingerprints_equal_brute_force(docs, nothing, spark):
 
 
 def likeness_of(a, b):
-    """By the two strings alone: shared code points of distinct leaves, or of leaves at equal places, by the larger text's."""
+    """By the two strings alone: code points of shared marks at the coarser level, by the larger text's."""
     if a.split(":")[0] == b.split(":")[0]:
         return 1.0
-    left, right = ([f.split(":")[1][k : k + 8] for k in range(0, len(f.split(":")[1]), 8)] for f in (a, b))
-    size = lambda leaves: sum(int(x[6:], 16) for x in leaves)
-    spread = size(set(left) & set(right)) / max(size(set(left)), size(set(right)), 1)
-    return max(spread, size(x for x, y in zip(left, right) if x == y) / max(size(left), size(right), 1))
+    step = 1 << max(int(f.split(":")[1]) for f in (a, b))
+    left, right = ({m for m in re.findall("." * 8, f.split(":")[2]) if int(m[:6], 16) % step == 0} for f in (a, b))
+    size = lambda marks: sum(int(x[6:], 16) for x in marks)
+    return size(left & right) / max(size(left), size(right), 1)
+
+
+def chained(*parts):
+    seed = 42
+    for p in parts:
+        seed = xxhash.xxh64_intdigest(p, seed=seed)
+    return seed - (1 << 64) if seed >> 63 else seed
+
+
+def stretches(units, roll, reach):
+    hashes = [chained(*(u.encode() for u in reversed(units[max(0, i - roll + 1) : i + 1]))) for i in range(len(units))]
+    ends = [i + 1 for i in range(len(units)) if i == len(units) - 1 or hashes[i] <= min(hashes[max(0, i - reach) : i + reach + 1])]
+    return [units[i:j] for i, j in zip([0, *ends], ends)]
+
+
+def brute_fingerprint(text):
+    """Level and marks of a text."""
+    leaves = []
+    for p in re.findall("[^\n]*\n|[^\n]+", text):
+        found = re.findall(r"[^ \t\n\x0b\f\r]+[ \t\n\x0b\f\r]*|[ \t\n\x0b\f\r]+", p)
+        units = [u for w in found for u in ([w] if len(w) <= 32 else ["".join(x) for x in stretches(list(w), 4, 4)])]
+        leaves += [(chained(*(u.encode() for u in s)) & ~65535 | min(65535, len("".join(s)))) for s in stretches(units, 1, 1)]
+    level = max(0, math.ceil(math.log2(len(leaves) / 512))) if leaves else 0
+    seen, marks = Counter(), set()
+    for x in leaves:
+        h = (chained(x.to_bytes(8, "little", signed=True), seen[x].to_bytes(8, "little")) >> 40) & 0xFFFFFF
+        seen[x] += 1
+        marks |= {f"{h:06x}{min(255, x & 65535):02x}"} if h % (1 << level) == 0 else set()
+    return level, marks
+
+
+def test_fingerprints_are_those_of_brute_force(spark, docs):
+    long = " ".join(random.Random(5).choice(("kar", "Lost", "men", "nü", "zuen")) for _ in range(9000))
+    texts = [t or "" for t in odd_texts()] + [long, long + " end", " " * 500 + "x", "a\n\n\nb"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "k int, text string").repartition(4)
+    got = {r["k"]: r["f"] for r in fingerprints.with_tree(rows, "text", "tree").select("k", fingerprints.fingerprint("tree").alias("f")).collect()}
+    for k, t in enumerate(texts):
+        _, level, marks = got[k].split(":")
+        assert (int(level), set(re.findall("." * 8, marks))) == brute_fingerprint(t)
+        assert len(marks) <= 8 * 700
+
+
+def test_likeness_is_of_what_texts_share_wherever_it_stands(spark):
+    rng = random.Random(8)
+    code = "".join(rng.choice("ABCDEFGHabcdefgh0123456789+/") for _ in range(4000))
+    prose = " ".join("".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 9))) for _ in range(6000))
+    half = prose[: len(prose) // 2]
+    other = " ".join("".join(rng.choice("ijklmnop") for _ in range(rng.randint(2, 9))) for _ in range(6000))
+    same = "one and the same line\n" * 60
+    pairs = [(code, "x" + code), (code, code[2000:] + code[:2000]), (prose, "four words before it " + prose), (prose, half), (prose, other), (same, same[: len(same) * 3 // 4])]
+    rows = spark.createDataFrame([(k, *p) for k, p in enumerate(pairs)], "k int, a string, b string")
+    both = fingerprints.with_tree(fingerprints.with_tree(rows, "a", "x"), "b", "y").select("k", fingerprints.likeness("x", "y").alias("near"))
+    near = [r["near"] for r in both.orderBy("k").collect()]
+    assert min(near[:3]) > 0.9 and abs(near[3] - 0.5) < 0.08 and near[4] < 0.02 and abs(near[5] - 0.75) < 0.02, near
 
 
 def test_likeness_follows_from_the_fingerprints(docs):
