@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ridgeline.llm.shared import Workspace
@@ -69,6 +69,11 @@ def with_statistics(docs: DataFrame, text_col: str = "text") -> DataFrame:
     return rated.withColumn("base_failed", F.expr("n_words < 50 or 100 * n_repeat_words > 50 * n_words"))
 
 
+def _key(text_col: str) -> Column:
+    """A text's key: the first 60 bits of its MD5, which SQL engines have alike."""
+    return F.expr(f"cast(conv(substring(md5(`{text_col}`), 1, 15), 16, 10) as bigint)")
+
+
 def _normal(line: str) -> str:
     """SQL for a line in lower case, its white space as single spaces; empty if it has no word."""
     return f"trim(BOTH ' ' FROM translate(regexp_replace({line}, {_GAP}, ' '), '{UPPER}', '{LOWER}'))"
@@ -82,7 +87,7 @@ def _lines(docs: DataFrame, host_col: str, text_col: str) -> DataFrame:
     """host, text key, the text's words, hash and words of every line that has a word."""
     # what is of the whole text is computed below the explode, once a text
     whole = docs.filter(F.col(text_col).isNotNull()).select(
-        F.col(host_col).alias("host"), F.xxhash64(text_col).alias("t"), F.expr(f"regexp_count(`{text_col}`, '[^\\\\x20\\\\x09-\\\\x0D]+')").alias("words"), F.split(text_col, "\n").alias("lines")
+        F.col(host_col).alias("host"), _key(text_col).alias("t"), F.expr(f"regexp_count(`{text_col}`, '[^\\\\x20\\\\x09-\\\\x0D]+')").alias("words"), F.split(text_col, "\n").alias("lines")
     )
     split = whole.select("host", "t", "words", F.posexplode("lines").alias("pos", "line"))
     return split.select("host", "t", "words", "pos", F.expr(_normal("line")).alias("line")).filter("line != ''").select("host", "t", "words", "pos", F.xxhash64("line").alias("h"), F.expr(_line_words("line")).alias("w"))
@@ -90,13 +95,15 @@ def _lines(docs: DataFrame, host_col: str, text_col: str) -> DataFrame:
 
 def _frequent(lines: DataFrame, least_docs: int, salts: int) -> DataFrame:
     seen = lines.select("host", "h", "t", F.pmod("t", F.lit(salts)).cast("tinyint").alias("salt"))
-    counts = seen.groupBy("host", "h", "salt").agg(F.count_distinct("t").alias("n")).groupBy("host", "h").agg(F.sum("n").alias("n"))
-    return counts.filter(F.col("n") > least_docs).select("host", "h")
+    salted = seen.groupBy("host", "h", "salt").agg(F.count_distinct("t").alias("n"), F.min("t").alias("first"))
+    counts = salted.groupBy("host", "h").agg(F.sum("n").alias("n"), F.min("first").alias("first"))
+    return counts.filter(F.col("n") > least_docs).select("host", "h", "first")
 
 
 def frequent_lines(docs: DataFrame, host_col: str = "source", text_col: str = "text", least_docs: int = LEAST_DOCS, salts: int = 16) -> DataFrame:
-    """host, h: hashes of normalised lines in more than `least_docs` distinct documents of a host, whatever its size.
+    """host, h, first: hashes of normalised lines in more than `least_docs` distinct documents of a host, whatever its size.
 
+    `first` is the least key of the texts that hold the line: that text keeps it, so of near copies one stays whole.
     Documents with equal texts count once. Distinct texts are counted within salts of the text's hash, so a line that
     a third of all documents hold is counted by many tasks; the counts of the salts are then added.
     """
@@ -109,14 +116,14 @@ def _counted(table: DataFrame, small: int) -> DataFrame:
 
 
 def _hits(docs: DataFrame, host_col: str, text_col: str, least_docs: int, small: int) -> DataFrame:
-    """host, t, words, pos, w: the places of frequent lines in each distinct text of a host, and their words.
+    """host, t, words, pos, w: the places of frequent lines in each distinct text of a host but the line's first, and their words.
 
     The texts are split once: hashes and word counts of their lines are kept in the shared folder.
     """
     work = Workspace(docs.sparkSession, "quality")
     lines = work.put("lines", _lines(docs, host_col, text_col))
     frequent = _counted(work.put("frequent", _frequent(lines, least_docs, 16)), small)
-    hit = lines.alias("l").join(frequent.alias("f"), F.expr("l.h = f.h and l.host <=> f.host")).select("l.host", "l.t", "l.words", "l.pos", "l.w")
+    hit = lines.alias("l").join(frequent.alias("f"), F.expr("l.h = f.h and l.host <=> f.host and l.t <> f.first")).select("l.host", "l.t", "l.words", "l.pos", "l.w")
     return hit.dropDuplicates(["host", "t", "pos"])
 
 
@@ -130,7 +137,8 @@ def judge(docs: DataFrame, host_col: str = "source", text_col: str = "text", lea
     """The docs with the statistics, base_failed and kept.
 
     A document is kept unless its base rules fail or it is depleted: at least `gone` of its words are in lines that more
-    than `least_docs` distinct documents of its host hold. A null host is a host of its own. A null text
+    than `least_docs` distinct documents of its host hold. The first of those, by the text's key, keeps the line: so a
+    group of near copies that share most lines loses all but one, not its original, too. A null host is a host of its own. A null text
     has no words, so its base fails. Repeated rows are judged each, and alike. Clashing columns of the docs are replaced.
 
     Frequent lines and depleted texts are written to the shared folder and counted: up to `small` (16 bytes each) they
@@ -139,23 +147,23 @@ def judge(docs: DataFrame, host_col: str = "source", text_col: str = "text", lea
     depleted = Workspace(docs.sparkSession, "quality").put("depleted", depleted_texts(docs, host_col, text_col, least_docs, gone, small).select("host", "t", F.lit(True).alias("_depleted")))
     depleted = _counted(depleted, small)
     rated = with_statistics(docs, text_col)
-    rated = rated.select(*[c for c in rated.columns if c != "kept"], F.xxhash64(text_col).alias("_t"))
+    rated = rated.select(*[c for c in rated.columns if c != "kept"], _key(text_col).alias("_t"))
     joined = rated.alias("d").join(depleted.alias("x"), F.expr(f"d._t = x.t and d.`{host_col}` <=> x.host"), "left")
     return joined.select("d.*", F.expr("not base_failed and x._depleted is null").alias("kept")).drop("_t")
 
 
-def _found(sorted_hashes: str, h: str, most: int) -> str:
-    """SQL for whether a sorted array of up to `most` hashes holds one, by halving."""
+def _taken(sorted_hashes: str, firsts: str, h: str, t: str, most: int) -> str:
+    """SQL for whether a sorted array of up to `most` hashes holds one, found by halving, and another text than t is its first."""
     halves = ", ".join(str(1 << k) for k in reversed(range(most.bit_length())))
-    at = f"aggregate(array({halves}), 0, (at, step) -> if(get({sorted_hashes}, at + step - 1) <= {h}, at + step, at))"
-    return f"coalesce(get({sorted_hashes}, {at} - 1) = {h}, false)"
+    at = f"aggregate(array({halves}), 0, (at, step) -> if(get({sorted_hashes}, at + step - 1) <= q, at + step, at))"
+    return _let("q", h, _let("p", at, f"coalesce(get({sorted_hashes}, p - 1) = q and get({firsts}, p - 1) <> {t}, false)"))
 
 
 def clean(docs: DataFrame, host_col: str = "source", text_col: str = "text", least_docs: int = LEAST_DOCS, gone: float = 0.7, small: int = 500_000) -> DataFrame:
     """The rows of `judge`, with the frequent lines of their host removed from the text and the others joined again.
 
     The statistics and base_failed are of the text as it came; texts without a frequent line stay as they are. The frequent
-    lines are stored and counted: up to `small`, each host's sorted hashes (8 bytes each) are broadcast, and texts are cut
+    lines are stored and counted: up to `small`, each host's sorted hashes and firsts (16 bytes a line) are broadcast, and texts are cut
     where they are. Of more, the places of the removed lines are joined to the texts by a shuffle.
     """
     work = Workspace(docs.sparkSession, "quality")
@@ -164,16 +172,17 @@ def clean(docs: DataFrame, host_col: str = "source", text_col: str = "text", lea
     rated = with_statistics(docs, text_col)
     own = [c for c in rated.columns if c != "kept"]
     if n <= small:
-        hosts = F.broadcast(frequent.groupBy("host").agg(F.sort_array(F.collect_list("h")).alias("hs")))
-        joined = rated.select(*own).alias("d").join(hosts.alias("x"), F.expr(f"d.`{host_col}` <=> x.host"), "left")
-        line = _let("n", _normal("l"), f"struct(l as l, if(n != '' and {_found('x.hs', 'xxhash64(n)', max(1, n))}, {_line_words('n')}, 0) as w)")
+        pairs = frequent.groupBy("host").agg(F.sort_array(F.collect_list(F.struct("h", "first"))).alias("p"))
+        hosts = F.broadcast(pairs.select("host", F.col("p.h").alias("hs"), F.col("p.first").alias("fs")))
+        joined = rated.select(*own, _key(text_col).alias("_t")).alias("d").join(hosts.alias("x"), F.expr(f"d.`{host_col}` <=> x.host"), "left")
+        line = _let("n", _normal("l"), f"struct(l as l, if(n != '' and {_taken('x.hs', 'x.fs', 'xxhash64(n)', 'd._t', max(1, n))}, {_line_words('n')}, 0) as w)")
         each = _let("e", f"transform(split(d.`{text_col}`, '\\n'), l -> {line})", f"struct(aggregate(e, 0, (a, y) -> a + y.w) as removed, if(exists(e, y -> y.w > 0), array_join(transform(filter(e, y -> y.w = 0), y -> y.l), '\\n'), d.`{text_col}`) as text)")
         # an explode of one, so that neither part of it is computed again for a filter
         cut = joined.select("d.*", F.explode(F.expr(f"array(if(x.hs is null or d.`{text_col}` is null, struct(0 as removed, d.`{text_col}` as text), {each}))")).alias("_cut"))
         kept = F.expr(f"not base_failed and (_cut.removed = 0 or _cut.removed < {gone}D * n_words)").alias("kept")
         return cut.select(*[F.col("_cut.text").alias(text_col) if c == text_col else F.col(f"`{c}`") for c in own], kept)
     cuts = work.put("cuts", _hits(docs, host_col, text_col, least_docs, small).groupBy("host", "t").agg(F.sum("w").alias("removed"), F.collect_list("pos").alias("cut")))
-    joined = rated.select(*own, F.xxhash64(text_col).alias("_t")).alias("d").join(cuts.alias("x"), F.expr(f"d._t = x.t and d.`{host_col}` <=> x.host"), "left")
+    joined = rated.select(*own, _key(text_col).alias("_t")).alias("d").join(cuts.alias("x"), F.expr(f"d._t = x.t and d.`{host_col}` <=> x.host"), "left")
     left = _let("l", f"split(d.`{text_col}`, '\\n')", "array_join(transform(array_except(sequence(0, size(l) - 1), x.cut), i -> element_at(l, i + 1)), '\\n')")
     text = F.expr(f"if(x.cut is null, d.`{text_col}`, {left})").alias(text_col)
     kept = F.expr(f"not base_failed and coalesce(x.removed < {gone}D * n_words, true)").alias("kept")
@@ -189,8 +198,8 @@ cov AS (SELECT rid, count(DISTINCT p) AS n FROM (SELECT rid, unnest([i, i + 1, i
 raw AS (SELECT rid, source, text, unnest(string_split(text, chr(10))) AS line FROM d WHERE NOT missing),
 dl AS (SELECT rid, count(*) - count(DISTINCT line) AS n FROM raw WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY rid),
 ln AS (SELECT rid, source, text, trim(translate(regexp_replace(line, '[\x20\x09-\x0D]+', ' ', 'g'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), ' ') AS line FROM raw),
-freq AS (SELECT source, line FROM ln WHERE line <> '' GROUP BY source, line HAVING count(DISTINCT text) > 10),
-gone AS (SELECT rid, sum(length(ln.line) - length(replace(ln.line, ' ', '')) + 1) AS n FROM ln JOIN freq f ON ln.line = f.line AND ln.source IS NOT DISTINCT FROM f.source GROUP BY rid),
+freq AS (SELECT source, line, min(substr(md5(text), 1, 15)) AS first FROM ln WHERE line <> '' GROUP BY source, line HAVING count(DISTINCT text) > 10),
+gone AS (SELECT rid, sum(length(ln.line) - length(replace(ln.line, ' ', '')) + 1) AS n FROM ln JOIN freq f ON ln.line = f.line AND ln.source IS NOT DISTINCT FROM f.source AND substr(md5(ln.text), 1, 15) <> f.first GROUP BY rid),
 s AS (SELECT d.rid, d.doc_id, CAST(len(ws) AS BIGINT) AS n_words,
   CAST(length(regexp_replace(text, '[\x20\x09-\x0D]', '', 'g')) AS BIGINT) AS word_chars,
   CAST(length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
