@@ -134,3 +134,27 @@ def as_of_join(facts: DataFrame, dim: DataFrame, key: str, at: Column, columns:
     found = swept.withColumn("_v", F.last("_v", ignorenulls=True).over(Window.partitionBy("_key", "_day").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))).filter(F.col("_f").isNotNull())
     there = own.isNotNull() & (F.col("_v._to").isNull() | (time < F.col("_v._to")))
     return found.select("_f.*", *[F.when(there, F.col(f"_v.{c}")).alias(c) for c in columns])
+
+
+#: Most versions of a key that are held beside it as one row (`as_of_piles`).
+FEW = 64
+
+
+def version_counts(dim: DataFrame, key: str) -> tuple[int, int]:
+    """How many keys a dim has, and how many versions the key with most; one job over two columns."""
+    there = dim.filter(F.col(key).isNotNull() & F.col("valid_from").isNotNull())
+    keys, most = there.groupBy(key).count().agg(F.count(F.lit(1)), F.max("count")).first()
+    return keys, most or 0
+
+
+def as_of_piles(facts: DataFrame, dim: DataFrame, key: str, at: Column, columns: Sequence[str], small: bool = False) -> DataFrame:
+    """As `as_of_join`, for dims whose keys have few versions: the versions of a key are one row, and facts are joined on the key alone.
+
+    No days of keys are needed, and nothing is carried into them. With `small` the dim is broadcast, and facts stay where they are.
+    """
+    begin, end, new = F.col("valid_from"), F.col("valid_to"), F.col("_v")
+    version = F.struct(begin.alias("_from"), end.isNull().alias("_open"), end.alias("_to"), *columns)
+    piles = dim.filter(F.col(key).isNotNull() & begin.isNotNull()).select(F.col(key).alias("_dim"), version.alias("_v")).groupBy("_dim").agg(F.collect_list("_v").alias("_vs"))
+    found = facts.join(F.broadcast(piles) if small else piles, F.col(key) == F.col("_dim"), "left").withColumn("_v", F.array_max(F.filter("_vs", lambda v: v["_from"] <= at)))
+    there = new["_open"] | (at < new["_to"])
+    return found.select(*[facts[c] for c in facts.columns], *[F.when(there, new[c]).alias(c) for c in columns])

@@ -161,7 +161,7 @@ class Store:
         number = self._reserve(name)
         path, fs = self._fs(f"{self.root}/{name}/data")
         out = df.sortWithinPartitions(*cluster) if cluster else df
-        (out.write.partitionBy(*partition) if partition else out.write).parquet(f"{path}/{FOLDER}={number:08d}")
+        (out.write.partitionBy(*partition) if partition else out.write).option("compression", "zstd").parquet(f"{path}/{FOLDER}={number:08d}")
         found = fs.globStatus(self._fs(f"{path}/{FOLDER}={number:08d}{'/*=*' * (1 if merge else len(partition))}")[0])
         return sorted(str(x.getPath()).split("/data/", 1)[1] for x in found or [])
 

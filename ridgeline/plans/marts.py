@@ -18,7 +18,7 @@ from pyspark.sql import types as T
 from ridgeline.functions import expressions as X
 from ridgeline.functions.schema import TABLES
 from ridgeline.operators.funnel import funnel_steps
-from ridgeline.operators.history import as_of_join, latest_by, scd2_apply, scd2_from_history
+from ridgeline.operators.history import FEW, as_of_join, as_of_piles, latest_by, scd2_apply, scd2_from_history, version_counts
 from ridgeline.operators.incremental import FIRST_DAY, run_model
 from ridgeline.operators.snapshots import history as kept_history
 from ridgeline.operators.snapshots import snapshot
@@ -30,6 +30,13 @@ from ridgeline.sources.spine import date_dimension
 MODELS: dict[str, Callable[[Session], DataFrame]] = {}
 #: The column that says when a row was built.
 LOADED = "_dbt_loaded_at"
+#: Most keys of a dimension that is broadcast.
+SMALL = 400_000
+
+
+def is_view(name: str) -> bool:
+    """Staging and intermediate models are computed where they are read."""
+    return name.startswith(("stg_", "int_"))
 
 
 class Session:
@@ -57,7 +64,7 @@ class Session:
         if outer:
             self.lineage.append((name, outer[-1]))
         if name not in self.built:
-            stored = outer and self.store is not None and not name.startswith("stg_") and self.store.exists(name)
+            stored = outer and self.store is not None and not is_view(name) and self.store.exists(name)
             self.path = (*outer, name)
             self.built[name] = self.store.read(name) if stored else MODELS[name](self)
             self.path = outer
@@ -106,7 +113,7 @@ def build(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
     (sources, store), now = kept(spark, sf_dir), F.expr(f"TIMESTAMP_NTZ '{BUILT}'")
     needs = graph(spark, sources)[name]
-    run = run_models(spark, sources, store, [f"+{x}" for x in needs] or [name], now=now, only_absent=True, whole=True) if needs or name.startswith("stg_") else None
+    run = run_models(spark, sources, store, [f"+{x}" for x in needs] or [name], now=now, only_absent=True, whole=True) if needs or is_view(name) else None
     if run and run.errors:
         raise RuntimeError(f"{name}: {run.errors}")
     made = Session(spark, sources, now, store).ref(name)
@@ -243,14 +250,35 @@ def int_ride_lifecycle(s: Session) -> DataFrame:
 
 @model
 def int_ride_financials(s: Session) -> DataFrame:
+    joined, parts = _joined_rides(s, None)
+    return joined.select("ride_id", *[f"{part}.*" for part in parts])
+
+
+def _joined_rides(s: Session, wanted: list[str] | None) -> tuple[DataFrame, dict[str, list[str]]]:
+    """Rides with their fare, payment and promotion, each as one struct of the wanted columns (None: all), and the columns of each.
+
+    Tens of columns that pass through joins one by one make methods that the JVM doesn't compile; structs are one column each.
+    """
     newest = [F.col("updated_at").desc()]
     fare = latest_by(s.ref("stg_ride_fare"), ["ride_id"], [F.col("fare_version").desc(), *newest, F.col("fare_id").desc()])
     fare = fare.select("ride_id", "fare_id", "distance_km", "duration_min", "base_fare", "distance_fare", "time_fare", "surge_multiplier", "surge_amount", "discount_amount", "tax_amount", "platform_fee", "driver_earning", "total_fare")
-    paid = latest_by(s.ref("stg_payment_transaction").filter(~F.col("is_deleted")), ["ride_id"], [*newest, F.col("payment_transaction_id").desc()])
-    paid = paid.select("ride_id", "payment_transaction_id", "payment_method_id", "payment_status", "failure_code", F.col("amount").alias("payment_amount"), F.col("method_fee").alias("payment_method_fee"), "paid_at")
-    promo = s.ref("stg_promo_usage").select("ride_id", "promotion_id", F.col("discount_amount_applied").alias("promo_discount_amount"), F.col("used_at").alias("promo_used_at"))
-    rides = s.ref("int_ride_lifecycle").drop("created_at", "updated_at", "deleted_at", "is_deleted")
-    return rides.join(fare, "ride_id", "left").join(paid, "ride_id", "left").join(promo, "ride_id", "left")
+    rides = s.recent("fct_rides", s.ref("int_ride_lifecycle"), F.col("requested_date")) if wanted else s.ref("int_ride_lifecycle")
+    tables = {"_ride": rides.drop("created_at", "updated_at", "deleted_at", "is_deleted"), "_fare": fare, "_paid": _last_paid(s), "_promo": _used_promo(s)}
+    parts = {part: [c for c in t.columns if c != "ride_id" and (wanted is None or c in wanted)] for part, t in tables.items()}
+    packed = [t.select("ride_id", F.struct(*parts[part]).alias(part)) for part, t in tables.items()]
+    joined = packed[0]
+    for t in packed[1:]:
+        joined = joined.join(t, "ride_id", "left")
+    return joined, parts
+
+
+def _last_paid(s: Session) -> DataFrame:
+    paid = latest_by(s.ref("stg_payment_transaction").filter(~F.col("is_deleted")), ["ride_id"], [F.col("updated_at").desc(), F.col("payment_transaction_id").desc()])
+    return paid.select("ride_id", "payment_transaction_id", "payment_method_id", "payment_status", "failure_code", F.col("amount").alias("payment_amount"), F.col("method_fee").alias("payment_method_fee"), "paid_at")
+
+
+def _used_promo(s: Session) -> DataFrame:
+    return s.ref("stg_promo_usage").select("ride_id", "promotion_id", F.col("discount_amount_applied").alias("promo_discount_amount"), F.col("used_at").alias("promo_used_at"))
 
 
 @model
@@ -283,28 +311,72 @@ _RIDE_COLUMNS = (
 ).split()
 
 
+def _with_keys(s: Session, rows: DataFrame, by: Column, looks: list[tuple[str, str, Column, DataFrame | None]]) -> DataFrame:
+    """The rows, once each, with `_by` and the surrogate keys of dimensions that were valid at a time.
+
+    looks: dimension, its key, the time, and a narrower table that holds `by` and all pairs of key and time of the rows (None: the
+    rows). Small dimensions are broadcast. For large ones `by`, key and time alone go to the versions, and all the keys found for a
+    `by` come back as one row, so the rows' many columns are dealt once, by `by`. Where a key has many versions, or the dimensions
+    aren't stored yet and so aren't counted, facts and versions are swept together.
+    """
+    held, lost, found, before = [], [], [], rows
+    for k, (dim, key, at, asks) in enumerate(looks):
+        sk, versions = f"{dim}_sk", s.ref(f"dim_{dim}")
+        keys, most = version_counts(versions, key) if s.store is not None and s.store.exists(f"dim_{dim}") else (0, FEW + 1)
+        if most > FEW:
+            lost.append((versions, key, at, sk))
+        elif keys <= SMALL:
+            held.append((versions, key, at, sk))
+        else:
+            asked = (rows if asks is None else asks).select(by.alias("_by"), key, at.alias("_time")).filter(F.col("_by").isNotNull() & F.col(key).isNotNull() & F.col("_time").isNotNull())
+            got = as_of_piles(asked, versions, key, F.col("_time"), [sk])
+            found.append((k, key, at, sk, got.filter(F.col(sk).isNotNull()).select("_by", F.struct(F.lit(k).alias("look"), F.col(key).alias("key"), F.col("_time").alias("time"), F.col(sk).alias("sk")).alias("_l"))))
+    for versions, key, at, sk in lost:
+        rows = as_of_join(rows, versions, key, at, [sk], seen=before)
+    rows = rows.withColumn("_by", by)
+    if found:
+        together = found[0][-1]
+        for *_, more in found[1:]:
+            together = together.unionByName(more)
+        rows = rows.join(together.groupBy("_by").agg(F.collect_set("_l").alias("_ls")), "_by", "left")
+        fits = lambda k, key, at: lambda x: (x["look"] == k) & (x["key"] == F.col(key)) & (x["time"] == at)
+        rows = rows.withColumns({sk: F.get(F.filter("_ls", fits(k, key, at)), F.lit(0))["sk"] for k, key, at, sk, _ in found}).drop("_ls")
+    for versions, key, at, sk in held:
+        rows = as_of_piles(rows, versions, key, at, [sk], small=True)
+    return rows
+
+
 @model
 def fct_rides(s: Session) -> DataFrame:
     """Rides with the surrogate keys that were valid at the time that counts for each dimension."""
     taken, paid, used = F.coalesce("accepted_at", "requested_at"), F.coalesce("paid_at", "completed_at", "requested_at"), F.coalesce("promo_used_at", "completed_at", "requested_at")
-    rides = before = s.recent("fct_rides", s.ref("int_ride_financials"), F.col("requested_date"))
-    for dim, key, at in (("rider", "rider_id", F.col("requested_at")), ("driver", "driver_id", taken), ("vehicle", "vehicle_id", taken), ("payment_method", "payment_method_id", paid), ("promotion", "promotion_id", used)):
-        rides = as_of_join(rides, s.ref(f"dim_{dim}"), key, at, [f"{dim}_sk"], seen=before)
-    feedback = s.ref("int_customer_feedback").select("ride_id", "review_id", "rating_score", "ticket_id", "ticket_category", "ticket_status", "priority")
+    asked = ["rider_id", "driver_id", "vehicle_id", "payment_method_id", "promotion_id", "requested_at", "accepted_at", "completed_at", "paid_at", "promo_used_at"]
+    rides, parts = _joined_rides(s, [*_RIDE_COLUMNS, *asked])
+    place = {c: F.col(f"{part}.{c}") for part, columns in parts.items() for c in columns}
+    rides = rides.select("ride_id", *parts, *[place[c].alias(c) for c in asked])
+    plain = s.recent("fct_rides", s.ref("int_ride_lifecycle"), F.col("requested_date"))
+    looks = [("rider", "rider_id", F.col("requested_at"), plain), ("driver", "driver_id", taken, plain), ("vehicle", "vehicle_id", taken, plain), ("payment_method", "payment_method_id", paid, plain.join(_last_paid(s), "ride_id")), ("promotion", "promotion_id", used, plain.join(_used_promo(s), "ride_id"))]
+    rides = _with_keys(s, rides, F.col("ride_id"), looks)
+    seen = ("review_id", "rating_score", "ticket_id", "ticket_category", "ticket_status", "priority")
+    feedback = s.ref("int_customer_feedback").select(F.col("ride_id").alias("_by"), F.struct(*seen).alias("_seen"))
     keys = ("rider_sk", "driver_sk", "vehicle_sk", "payment_method_sk", "promotion_sk")
-    return rides.join(feedback, "ride_id", "left").select(X.surrogate_key(F.col("ride_id")).alias("ride_sk"), "ride_id", *keys, *_RIDE_COLUMNS, *feedback.columns[1:], s.now.alias(LOADED))
+    out = rides.join(feedback, "_by", "left")
+    return out.select(X.surrogate_key(F.col("ride_id")).alias("ride_sk"), "ride_id", *keys, *[place[c].alias(c) for c in _RIDE_COLUMNS], *[F.col(f"_seen.{c}").alias(c) for c in seen], s.now.alias(LOADED))
 
 
 @model
 def fct_payments(s: Session) -> DataFrame:
     paid = s.ref("stg_payment_transaction").filter(~F.col("is_deleted")).withColumn("payment_date", X.local_date(F.col("created_at")))
-    paid = before = s.recent("fct_payments", paid, X.local_date(F.col("updated_at")))
-    paid = as_of_join(paid, s.ref("dim_rider"), "rider_id", F.col("created_at"), ["rider_sk"], seen=before)
-    paid = as_of_join(paid, s.ref("dim_payment_method"), "payment_method_id", F.col("created_at"), ["payment_method_sk"], seen=before)
-    out = paid.join(s.ref("fct_rides").select("ride_id", "ride_sk"), "ride_id", "left")
+    paid = s.recent("fct_payments", paid, X.local_date(F.col("updated_at")))
+    # payments are dealt by their rides, those without one by their own ids
+    by, at = F.coalesce("ride_id", "payment_transaction_id"), F.col("created_at")
     first = ("payment_transaction_id", "ride_sk", "rider_sk", "payment_method_sk", "ride_id", "rider_id", "payment_method_id")
     rest = [c for c in paid.columns if c not in (*first, "deleted_at", "is_deleted")]
-    return out.select(X.surrogate_key(F.col("payment_transaction_id")).alias("payment_transaction_sk"), *first, *rest, s.now.alias(LOADED))
+    packed = paid.select("payment_transaction_id", "ride_id", "rider_id", "payment_method_id", "created_at", F.struct(*rest).alias("_rest"))
+    packed = _with_keys(s, packed, by, [("rider", "rider_id", at, None), ("payment_method", "payment_method_id", at, None)])
+    rides = s.ref("fct_rides").select(F.col("ride_id").alias("_ride"), "ride_sk")
+    out = packed.join(rides, (F.col("_by") == F.col("_ride")) & F.col("ride_id").isNotNull(), "left")
+    return out.select(X.surrogate_key(F.col("payment_transaction_id")).alias("payment_transaction_sk"), *first, *[F.col(f"_rest.{c}").alias(c) for c in rest], s.now.alias(LOADED))
 
 
 @model

@@ -1,6 +1,6 @@
 """Runs of models: each is built once, after those it reads, and a few at a time; what it reads is stored.
 
-Staging models are views; every other model is a table of the store. A selection names models, `+name` with all that they need
+Staging and intermediate models are views; every other model is a table of the store. A selection names models, `+name` with all that they need
 and `name+` with all that need them. A model that fails leaves its table as it was, and those below it are skipped.
 """
 
@@ -14,6 +14,7 @@ from pyspark.sql import Column
 
 from ridgeline.operators.store import ChecksFailed, Store
 from ridgeline.plans import marts
+from ridgeline.plans.marts import is_view
 
 
 @dataclass
@@ -24,10 +25,6 @@ class Run:
     errors: dict[str, str] = field(default_factory=dict)
 
 
-def is_view(name: str) -> bool:
-    return name.startswith("stg_")
-
-
 _NEEDS: dict[str, set[str]] = {}
 
 
