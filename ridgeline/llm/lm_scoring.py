@@ -26,6 +26,8 @@ from ridgeline.llm.shared import CHUNK, Workspace, chunks, column, text_buffers
 
 #: What a symbol seen gives up to the escape, of its count.
 DISCOUNT = 0.3
+#: Bytes of text whose keys are held at once, by a task that asks and by one that scores; their arrays take some hundred times that.
+PIECE = CHUNK // 4
 #: Most stretches whose values go to every task (17 bytes each).
 COMMON = 1 << 19
 #: The bit of a key that marks a token, not a stretch; stretches have 8 * (order + 1) bits.
@@ -219,7 +221,7 @@ def _asked(rows: DataFrame, order: int, block_bytes: int) -> DataFrame:
         for batch in batches:
             data, offsets = text_buffers(column(batch, "text"))
             learn = column(batch, "train").to_numpy(zero_copy_only=False)
-            for low, high in chunks(offsets, CHUNK):
+            for low, high in chunks(offsets, PIECE):
                 if size and size + offsets[high] - offsets[low] > block_bytes:
                     yield from asks(parts, block)
                     block, size, parts = block + 1, 0, []
@@ -232,9 +234,11 @@ def _asked(rows: DataFrame, order: int, block_bytes: int) -> DataFrame:
                     parts.append(_distinct(keys[used]))
                     other = _distinct(keys[~used])[0]
                     parts.append((other, np.zeros(len(other), np.int64)))
-                if len(parts) >= 32:
+                if len(parts) >= 128:
                     parts = merged(parts)
         yield from asks(parts, block)
+        parts = []
+        pa.default_memory_pool().release_unused()  # workers stay from stage to stage
 
     return rows.mapInArrow(run, "block long, key long, n long, blob binary")
 
@@ -301,6 +305,7 @@ def score(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str
     answers = rare.join(values.select("key", "value"), "key").select("block", "key", "value")
 
     def total(texts: pa.Table, given: pa.Table) -> pa.Table:
+        pa.default_memory_pool().release_unused()
         lookup = Lookup(np.concatenate([common_key, given.column("key").to_numpy().view(np.uint64)]), np.concatenate([common_value, given.column("value").to_numpy()]))
         outs = []
         for blob in texts.column("blob"):
