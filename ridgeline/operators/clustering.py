@@ -7,7 +7,7 @@ are kept in a small table, and a read with ranges opens only files that can hold
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -26,12 +26,15 @@ def _ordered(column: str, kind: T.DataType) -> Column:
     return F.col(column)
 
 
-def _place(key: Column, bounds: list, kind: T.DataType) -> Column:
-    """How many of the bounds the value has reached; null has reached none."""
-    if not bounds:
-        return F.lit(0)
-    reached = F.filter(F.array(*[F.lit(v).cast(kind) for v in bounds]), lambda b: b <= key)
-    return F.when(key.isNotNull(), F.size(reached)).otherwise(0)
+def _place(key: Column, bounds: list, kind: T.DataType, code: Callable[[int], int]) -> Column:
+    """The code of how many of the sorted bounds the value has reached, by bisection; null has reached none."""
+    def within(low: int, high: int) -> Column:
+        if low == high:
+            return F.lit(code(low)).cast("long")
+        middle = (low + high + 1) // 2
+        return F.when(key >= F.lit(bounds[middle - 1]).cast(kind), within(middle, high)).otherwise(within(low, middle - 1))
+
+    return within(0, len(bounds))
 
 
 def interleaved(df: DataFrame, columns: Sequence[str], bits: int = BITS) -> Column:
@@ -43,17 +46,17 @@ def interleaved(df: DataFrame, columns: Sequence[str], bits: int = BITS) -> Colu
     found = df.agg(*[F.percentile_approx(key, shares, 10_000).alias(f"q{k}") for k, key in enumerate(keys)]).first()
     out = F.lit(0).cast("long")
     for k, key in enumerate(keys):
-        place = _place(key, sorted(set(found[k] or ())), T.LongType() if isinstance(df.schema[columns[k]].dataType, T.StringType) else df.schema[columns[k]].dataType)
-        for bit in range(bits):
-            out = out + F.shiftleft(F.shiftright(place, bit).bitwiseAND(1).cast("long"), bit * len(keys) + k)
+        kind = df.schema[columns[k]].dataType
+        spread = lambda n, k=k: sum((n >> bit & 1) << bit * len(keys) + k for bit in range(bits))
+        out = out + _place(key, sorted(set(found[k] or ())), T.LongType() if isinstance(kind, T.StringType) else kind, spread)
     return out
 
 
 def cluster(store: Store, name: str, rows: DataFrame, columns: Sequence[str], files: int) -> int:
     """Replaces a table by the rows in about as many files; its version. Rows that are alike in all columns are dealt by a hash, so no value makes a large file."""
-    place = interleaved(rows, columns)
-    ordered = [place, *columns, F.xxhash64(*rows.columns)]
-    version = store.replace(name, rows.repartitionByRange(files, *ordered).sortWithinPartitions(*ordered))
+    placed = rows.withColumns({"__place": interleaved(rows, columns), "__hash": F.xxhash64(*rows.columns)})
+    ordered = ["__place", *columns, "__hash"]
+    version = store.replace(name, placed.repartitionByRange(files, *ordered).sortWithinPartitions(*ordered).select(*rows.columns))
     by_file = store.read(name).groupBy(F.col("_metadata.file_path").alias("file"))
     bounds = by_file.agg(*[f(c).alias(f"{side}_{c}") for c in columns for side, f in (("least", F.min), ("most", F.max))], F.count(F.lit(1)).alias("rows"))
     bounds.coalesce(1).write.mode("overwrite").parquet(f"{store.root}/{name}/_bounds/{version:08d}")
