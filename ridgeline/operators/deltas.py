@@ -24,6 +24,8 @@ from ridgeline.operators.store import FOLDER, Store
 
 #: Columns of a merged table beside its own: the bucket of the key, and the number of the increment.
 BUCKET, SEQUENCE = "__bucket", "__sequence"
+#: Parts of a bucket that tasks of a merge write.
+PARTS = 64
 RULES = ("last", "first", "newer", "not older")
 
 
@@ -85,7 +87,8 @@ def merge_delta(store: Store, name: str, rows: DataFrame, keys: Sequence[str], r
     by = list(order) or ([F.col(merge["version"]).desc_nulls_last()] if merge["version"] else [])
     fresh = latest_by(rows, merge["keys"], [*by, F.xxhash64(*[c for c, kind in rows.dtypes if not kind.startswith("map")]).desc()])
     placed = fresh.withColumn(BUCKET, F.pmod(F.xxhash64(*merge["keys"]), F.lit(merge["buckets"])).cast("int")).withColumn(SEQUENCE, F.lit(seen + 1).cast("long"))
-    placed = placed.repartition(merge["buckets"], BUCKET)
+    # parts of a bucket go to tasks of their own, so none writes a whole bucket; Spark puts small ones together by their sizes
+    placed = placed.repartition(BUCKET, F.pmod(F.xxhash64(*merge["keys"], F.lit("part")), F.lit(PARTS)))
     if not seen:
         return store.replace(name, placed, partition, cluster, merge=merge)
     made = store.change(name, [], lambda old: placed, cluster)
