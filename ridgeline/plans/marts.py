@@ -9,7 +9,7 @@ from __future__ import annotations
 import atexit
 import datetime as dt
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Collection, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,6 +28,8 @@ from ridgeline.sources import datagen
 from ridgeline.sources.spine import date_dimension
 
 MODELS: dict[str, Callable[[Session], DataFrame]] = {}
+#: Facts that can be asked for some columns.
+FACTS: dict[str, Callable[[Session, Collection[str] | None], DataFrame]] = {}
 #: The column that says when a row was built.
 LOADED = "_dbt_loaded_at"
 #: Most keys of a dimension that is broadcast.
@@ -43,11 +45,12 @@ class Session:
     """Resolves tables and models by name, each built once.
 
     now: the time that models are marked with. store: where materialised models lie; `ref` then reads them there.
-    since: for a model that is built for some days only, its first day and the column that holds it.
+    since: for a model that is built for some days only, its first day and the column that holds it. lean: facts that aren't
+    stored are computed with the columns that are read of them alone (`part`).
     """
 
-    def __init__(self, spark: SparkSession, sources: Bronze | StandIn | dict[str, DataFrame], now: Column | None = None, store: Store | None = None):
-        self.spark, self.sources, self.built, self.lineage = spark, sources, {}, []
+    def __init__(self, spark: SparkSession, sources: Bronze | StandIn | dict[str, DataFrame], now: Column | None = None, store: Store | None = None, lean: bool = False):
+        self.spark, self.sources, self.built, self.lineage, self.lean = spark, sources, {}, [], lean
         self.now, self.store, self.since = F.expr("cast(current_timestamp() as timestamp_ntz)") if now is None else now, store, {}
 
     def source(self, name: str) -> DataFrame:
@@ -70,12 +73,23 @@ class Session:
             self.path = outer
         return self.built[name]
 
+    def part(self, name: str, columns: Sequence[str]) -> DataFrame:
+        """Columns of a fact, as many rows as it has: of its table, or in a lean session without the joins that neither they nor the number of rows need."""
+        if not self.lean or self.store is not None and self.store.exists(name):
+            return self.ref(name).select(*columns)
+        return FACTS[name](self, frozenset(columns)).select(*columns)
+
 
 def model(f: Callable) -> Callable:
     MODELS[f.__name__] = f
     return f
 
 
+def fact(f: Callable) -> Callable:
+    FACTS[f.__name__], MODELS[f.__name__] = f, f
+    return f
+
+
 _BRONZE: dict[tuple[str, int], Bronze] = {}
 
 
@@ -108,15 +122,21 @@ def kept(spark: SparkSession, sf_dir: str) -> tuple[StandIn, Store]:
 
 
 def build(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A model over the operational tables that stand in for sf_dir's; decimals as doubles. What it reads is built once and stored; the model itself is computed."""
-    from ridgeline.plans.runner import graph, run_models
+    """A model over the operational tables that stand in for sf_dir's; decimals as doubles.
+
+    Dimensions are built once and stored. The model, and the columns that it reads of facts, are computed: an aggregate doesn't
+    pay for lookups and columns that it doesn't read, nor depends on what was built before it.
+    """
+    from ridgeline.plans.runner import run_models
 
     (sources, store), now = kept(spark, sf_dir), F.expr(f"TIMESTAMP_NTZ '{BUILT}'")
-    needs = graph(spark, sources)[name]
-    run = run_models(spark, sources, store, [f"+{x}" for x in needs] or [name], now=now, only_absent=True, whole=True) if needs or is_view(name) else None
+    plain = Session(spark, sources, now, lean=True)
+    plain.ref(name)
+    first = {x for x, _ in plain.lineage if x.startswith("dim_") or x.removeprefix("stg_") in _SNAPSHOTS} | ({name} if is_view(name) else set())
+    run = run_models(spark, sources, store, sorted(first), now=now, only_absent=True, whole=True) if first else None
     if run and run.errors:
         raise RuntimeError(f"{name}: {run.errors}")
-    made = Session(spark, sources, now, store).ref(name)
+    made = Session(spark, sources, now, store, lean=True).ref(name)
     return made.select(*[F.col(f.name).cast("double").alias(f.name) if isinstance(f.dataType, T.DecimalType) else F.col(f.name) for f in made.schema])
 
 
@@ -257,6 +277,9 @@ def int_ride_financials(s: Session) -> DataFrame:
 def _joined_rides(s: Session, wanted: list[str] | None) -> tuple[DataFrame, dict[str, list[str]]]:
     """Rides with their fare, payment and promotion, each as one struct of the wanted columns (None: all), and the columns of each.
 
+    Fares and payments of which nothing is wanted are left out, as a ride has one at most; promotions keep their ride_id, by which
+    a ride that used two is two rows.
+
     Tens of columns that pass through joins one by one make methods that the JVM doesn't compile; structs are one column each.
     """
     newest = [F.col("updated_at").desc()]
@@ -265,7 +288,8 @@ def _joined_rides(s: Session, wanted: list[str] | None) -> tuple[DataFrame, dict
     rides = s.recent("fct_rides", s.ref("int_ride_lifecycle"), F.col("requested_date")) if wanted else s.ref("int_ride_lifecycle")
     tables = {"_ride": rides.drop("created_at", "updated_at", "deleted_at", "is_deleted"), "_fare": fare, "_paid": _last_paid(s), "_promo": _used_promo(s)}
     parts = {part: [c for c in t.columns if c != "ride_id" and (wanted is None or c in wanted)] for part, t in tables.items()}
-    packed = [t.select("ride_id", F.struct(*parts[part]).alias(part)) for part, t in tables.items()]
+    parts = {part: columns for part, columns in parts.items() if columns or part == "_promo"}
+    packed = [tables[part].select("ride_id", *([F.struct(*columns).alias(part)] if columns else [])) for part, columns in parts.items()]
     joined = packed[0]
     for t in packed[1:]:
         joined = joined.join(t, "ride_id", "left")
@@ -346,57 +370,79 @@ def _with_keys(s: Session, rows: DataFrame, by: Column, looks: list[tuple[str, s
     return rows
 
 
-@model
-def fct_rides(s: Session) -> DataFrame:
-    """Rides with the surrogate keys that were valid at the time that counts for each dimension."""
+#: Columns of a ride's review and ticket.
+_SEEN = ("review_id", "rating_score", "ticket_id", "ticket_category", "ticket_status", "priority")
+
+
+@fact
+def fct_rides(s: Session, wanted: Collection[str] | None = None) -> DataFrame:
+    """Rides with the surrogate keys that were valid at the time that counts for each dimension; with all columns, or those that are wanted and ride_id."""
     taken, paid, used = F.coalesce("accepted_at", "requested_at"), F.coalesce("paid_at", "completed_at", "requested_at"), F.coalesce("promo_used_at", "completed_at", "requested_at")
-    asked = ["rider_id", "driver_id", "vehicle_id", "payment_method_id", "promotion_id", "requested_at", "accepted_at", "completed_at", "paid_at", "promo_used_at"]
-    rides, parts = _joined_rides(s, [*_RIDE_COLUMNS, *asked])
-    place = {c: F.col(f"{part}.{c}") for part, columns in parts.items() for c in columns}
-    rides = rides.select("ride_id", *parts, *[place[c].alias(c) for c in asked])
+    times = {"rider": ["requested_at"], "driver": ["accepted_at", "requested_at"], "vehicle": ["accepted_at", "requested_at"], "payment_method": ["paid_at", "completed_at", "requested_at"], "promotion": ["promo_used_at", "completed_at", "requested_at"]}
+    want = lambda *columns: [c for c in columns if wanted is None or c in wanted]
+    dims, columns, seen = [x for x in times if want(f"{x}_sk")], want(*_RIDE_COLUMNS), want(*_SEEN)
+    asked = sorted({c for x in dims for c in (f"{x}_id", *times[x])})
     plain = s.recent("fct_rides", s.ref("int_ride_lifecycle"), F.col("requested_date"))
-    looks = [("rider", "rider_id", F.col("requested_at"), plain), ("driver", "driver_id", taken, plain), ("vehicle", "vehicle_id", taken, plain), ("payment_method", "payment_method_id", paid, plain.join(_last_paid(s), "ride_id")), ("promotion", "promotion_id", used, plain.join(_used_promo(s), "ride_id"))]
-    rides = _with_keys(s, rides, F.col("ride_id"), looks)
-    seen = ("review_id", "rating_score", "ticket_id", "ticket_category", "ticket_status", "priority")
-    feedback = s.ref("int_customer_feedback").select(F.col("ride_id").alias("_by"), F.struct(*seen).alias("_seen"))
-    keys = ("rider_sk", "driver_sk", "vehicle_sk", "payment_method_sk", "promotion_sk")
-    out = rides.join(feedback, "_by", "left")
-    return out.select(X.surrogate_key(F.col("ride_id")).alias("ride_sk"), "ride_id", *keys, *[place[c].alias(c) for c in _RIDE_COLUMNS], *[F.col(f"_seen.{c}").alias(c) for c in seen], s.now.alias(LOADED))
+    if not columns and not asked:
+        rides, place = plain.select("ride_id").join(_used_promo(s).select("ride_id"), "ride_id", "left"), {}
+    else:
+        rides, parts = _joined_rides(s, [*columns, *asked])
+        place = {c: F.col(f"{part}.{c}") for part, held in parts.items() for c in held}
+        rides = rides.select("ride_id", *[part for part, held in parts.items() if held], *[place[c].alias(c) for c in asked])
+    # which rides ask for a dimension of what they paid with or used
+    at = {"rider": (F.col("requested_at"), lambda: plain), "driver": (taken, lambda: plain), "vehicle": (taken, lambda: plain), "payment_method": (paid, lambda: plain.join(_last_paid(s), "ride_id")), "promotion": (used, lambda: plain.join(_used_promo(s), "ride_id"))}
+    rides = _with_keys(s, rides, F.col("ride_id"), [(x, f"{x}_id", at[x][0], at[x][1]()) for x in dims])
+    if seen:
+        feedback = s.ref("int_customer_feedback").select(F.col("ride_id").alias("_by"), F.struct(*seen).alias("_seen"))
+        rides = rides.join(feedback, "_by", "left")
+    made = [F.col(f"{x}_sk") for x in dims] + [place[c].alias(c) for c in columns] + [F.col(f"_seen.{c}").alias(c) for c in seen]
+    return rides.select(*[X.surrogate_key(F.col("ride_id")).alias(c) for c in want("ride_sk")], "ride_id", *made, *[s.now.alias(c) for c in want(LOADED)])
 
 
-@model
-def fct_payments(s: Session) -> DataFrame:
+def _ride_ids(s: Session) -> DataFrame:
+    """The rides that the facts hold, as `_ride`. Their surrogate keys follow from it, so those aren't shuffled."""
+    return s.part("fct_rides", ["ride_id"]).select(F.col("ride_id").alias("_ride"))
+
+
+def _key_if(there: str) -> Column:
+    return F.when(F.col(there).isNotNull(), X.surrogate_key(F.col(there)))
+
+
+@fact
+def fct_payments(s: Session, wanted: Collection[str] | None = None) -> DataFrame:
+    """Payments with the keys of their rides, riders and methods; lookups whose keys aren't wanted are left out."""
     paid = s.ref("stg_payment_transaction").filter(~F.col("is_deleted")).withColumn("payment_date", X.local_date(F.col("created_at")))
     paid = s.recent("fct_payments", paid, X.local_date(F.col("updated_at")))
     # payments are dealt by their rides, those without one by their own ids
     by, at = F.coalesce("ride_id", "payment_transaction_id"), F.col("created_at")
     first = ("payment_transaction_id", "ride_sk", "rider_sk", "payment_method_sk", "ride_id", "rider_id", "payment_method_id")
-    rest = [c for c in paid.columns if c not in (*first, "deleted_at", "is_deleted")]
-    packed = paid.select("payment_transaction_id", "ride_id", "rider_id", "payment_method_id", "created_at", F.struct(*rest).alias("_rest"))
-    packed = _with_keys(s, packed, by, [("rider", "rider_id", at, None), ("payment_method", "payment_method_id", at, None)])
-    rides = s.ref("fct_rides").select(F.col("ride_id").alias("_ride"), "ride_sk")
-    out = packed.join(rides, (F.col("_by") == F.col("_ride")) & F.col("ride_id").isNotNull(), "left")
-    return out.select(X.surrogate_key(F.col("payment_transaction_id")).alias("payment_transaction_sk"), *first, *[F.col(f"_rest.{c}").alias(c) for c in rest], s.now.alias(LOADED))
+    rest = [c for c in paid.columns if c not in (*first, "deleted_at", "is_deleted") and (wanted is None or c in wanted)]
+    packed = paid.select("payment_transaction_id", "ride_id", "rider_id", "payment_method_id", "created_at", *([F.struct(*rest).alias("_rest")] if rest else []))
+    packed = _with_keys(s, packed, by, [(x, f"{x}_id", at, None) for x in ("rider", "payment_method") if wanted is None or f"{x}_sk" in wanted])
+    out = packed.join(_ride_ids(s), (F.col("_by") == F.col("_ride")) & F.col("ride_id").isNotNull(), "left").withColumn("ride_sk", _key_if("_ride"))
+    held = [c for c in first if c in out.columns]
+    return out.select(X.surrogate_key(F.col("payment_transaction_id")).alias("payment_transaction_sk"), *held, *[F.col(f"_rest.{c}").alias(c) for c in rest], s.now.alias(LOADED))
 
 
-@model
-def fct_refunds(s: Session) -> DataFrame:
+@fact
+def fct_refunds(s: Session, wanted: Collection[str] | None = None) -> DataFrame:
     refunds = s.ref("stg_payment_refund").withColumn("refund_date", X.local_date(F.col("requested_at")))
     refunds = s.recent("fct_refunds", refunds, X.local_date(F.col("updated_at")))
-    payments = s.ref("fct_payments").select("payment_transaction_id", "payment_transaction_sk")
-    rides = s.ref("fct_rides").select("ride_id", "ride_sk")
-    out = refunds.join(payments, "payment_transaction_id", "left").join(rides, "ride_id", "left")
-    return out.select(X.surrogate_key(F.col("refund_id")).alias("refund_sk"), *out.columns, X.minutes_between(F.col("requested_at"), F.col("processed_at")).alias("refund_processing_min"), s.now.alias(LOADED))
+    payments = s.part("fct_payments", ["payment_transaction_id"]).select(F.col("payment_transaction_id").alias("_payment"))
+    out = refunds.join(payments, F.col("payment_transaction_id") == F.col("_payment"), "left").join(_ride_ids(s), F.col("ride_id") == F.col("_ride"), "left")
+    columns = ["ride_id", "payment_transaction_id", *[c for c in refunds.columns if c not in ("ride_id", "payment_transaction_id")]]
+    keys = [_key_if("_payment").alias("payment_transaction_sk"), _key_if("_ride").alias("ride_sk")]
+    return out.select(X.surrogate_key(F.col("refund_id")).alias("refund_sk"), *columns, *keys, X.minutes_between(F.col("requested_at"), F.col("processed_at")).alias("refund_processing_min"), s.now.alias(LOADED))
 
 
-@model
-def fct_support_tickets(s: Session) -> DataFrame:
-    tickets = s.ref("stg_support_ticket").filter(~F.col("is_deleted")).withColumn("opened_date", X.local_date(F.col("opened_at")))
-    tickets = before = s.recent("fct_support_tickets", tickets, X.local_date(F.col("updated_at")))
-    for dim in ("rider", "driver"):
-        tickets = as_of_join(tickets, s.ref(f"dim_{dim}"), f"{dim}_id", F.col("opened_at"), [f"{dim}_sk"], seen=before)
-    out = tickets.join(s.ref("fct_rides").select("ride_id", "ride_sk"), "ride_id", "left").drop("deleted_at", "is_deleted")
-    return out.select(X.surrogate_key(F.col("ticket_id")).alias("ticket_sk"), *out.columns, X.minutes_between(F.col("opened_at"), F.col("resolved_at")).alias("resolution_min"), s.now.alias(LOADED))
+@fact
+def fct_support_tickets(s: Session, wanted: Collection[str] | None = None) -> DataFrame:
+    tickets = s.ref("stg_support_ticket").filter(~F.col("is_deleted")).withColumn("opened_date", X.local_date(F.col("opened_at"))).drop("deleted_at", "is_deleted")
+    tickets = s.recent("fct_support_tickets", tickets, X.local_date(F.col("updated_at")))
+    found = _with_keys(s, tickets, F.col("ticket_id"), [(x, f"{x}_id", F.col("opened_at"), None) for x in ("rider", "driver")])
+    out = found.join(_ride_ids(s), F.col("ride_id") == F.col("_ride"), "left")
+    columns = ["ride_id", *[c for c in tickets.columns if c != "ride_id"], "rider_sk", "driver_sk"]
+    return out.select(X.surrogate_key(F.col("ticket_id")).alias("ticket_sk"), *columns, _key_if("_ride").alias("ride_sk"), X.minutes_between(F.col("opened_at"), F.col("resolved_at")).alias("resolution_min"), s.now.alias(LOADED))
 
 
 def _zero(c: str) -> Column:
@@ -406,7 +452,7 @@ def _zero(c: str) -> Column:
 @model
 def agg_daily_city_service(s: Session) -> DataFrame:
     rides = F.count_distinct("ride_id")
-    return s.recent("agg_daily_city_service", s.ref("fct_rides"), F.col("requested_date")).groupBy(F.col("requested_date").alias("metric_date"), "city_code", "service_type").agg(
+    return s.recent("agg_daily_city_service", s.part("fct_rides", "ride_id requested_date city_code service_type is_completed is_cancelled is_payment_failed total_fare platform_fee driver_earning accept_delay_min driver_arrival_min rating_score".split()), F.col("requested_date")).groupBy(F.col("requested_date").alias("metric_date"), "city_code", "service_type").agg(
         rides.alias("requested_rides"), *[X.flag_count(F.col(f"is_{k}")).alias(f"{k}_rides") for k in ("completed", "cancelled", "payment_failed")],
         X.safe_divide(X.flag_count(F.col("is_completed")), rides).alias("completion_rate"), X.safe_divide(X.flag_count(F.col("is_cancelled")), rides).alias("cancellation_rate"),
         _zero("total_fare").alias("gross_revenue"), _zero("platform_fee").alias("platform_revenue"), _zero("driver_earning").alias("driver_earnings"),
@@ -418,7 +464,7 @@ def agg_daily_city_service(s: Session) -> DataFrame:
 def agg_daily_payment_method(s: Session) -> DataFrame:
     paid, failed = (F.col("payment_status") == v for v in ("PAID", "FAILED"))
     methods = s.ref("dim_payment_method").select("payment_method_sk", "method_code")
-    return s.recent("agg_daily_payment_method", s.ref("fct_payments"), F.col("payment_date")).join(methods, "payment_method_sk", "left").groupBy(F.col("payment_date").alias("metric_date"), F.coalesce("method_code", F.lit("UNKNOWN")).alias("method_code"), "provider_name").agg(
+    return s.recent("agg_daily_payment_method", s.part("fct_payments", "payment_date payment_method_sk provider_name payment_status amount method_fee".split()), F.col("payment_date")).join(methods, "payment_method_sk", "left").groupBy(F.col("payment_date").alias("metric_date"), F.coalesce("method_code", F.lit("UNKNOWN")).alias("method_code"), "provider_name").agg(
         F.count(F.lit(1)).alias("payment_attempts"), X.flag_count(paid).alias("paid_payments"), X.flag_count(failed).alias("failed_payments"), X.safe_divide(X.flag_count(paid), F.count(F.lit(1))).alias("payment_success_rate"),
         F.sum("amount").alias("payment_amount"), F.sum("method_fee").alias("method_fee"),
     ).withColumn(LOADED, s.now)
@@ -426,13 +472,13 @@ def agg_daily_payment_method(s: Session) -> DataFrame:
 
 @model
 def agg_daily_refunds(s: Session) -> DataFrame:
-    return s.recent("agg_daily_refunds", s.ref("fct_refunds"), F.col("refund_date")).groupBy(F.col("refund_date").alias("metric_date"), "refund_status", "refund_reason_code").agg(F.count(F.lit(1)).alias("refund_count"), F.sum("refund_amount").alias("refund_amount"), F.avg("refund_processing_min").alias("avg_refund_processing_min")).withColumn(LOADED, s.now)
+    return s.recent("agg_daily_refunds", s.part("fct_refunds", "refund_date refund_status refund_reason_code refund_amount refund_processing_min".split()), F.col("refund_date")).groupBy(F.col("refund_date").alias("metric_date"), "refund_status", "refund_reason_code").agg(F.count(F.lit(1)).alias("refund_count"), F.sum("refund_amount").alias("refund_amount"), F.avg("refund_processing_min").alias("avg_refund_processing_min")).withColumn(LOADED, s.now)
 
 
 @model
 def agg_driver_performance_daily(s: Session) -> DataFrame:
     done = X.flag_count(F.col("is_completed"))
-    return s.recent("agg_driver_performance_daily", s.ref("fct_rides"), F.col("requested_date")).filter(F.col("driver_sk").isNotNull()).groupBy(F.col("requested_date").alias("metric_date"), "driver_sk", "city_code", "service_type").agg(
+    return s.recent("agg_driver_performance_daily", s.part("fct_rides", "requested_date driver_sk city_code service_type is_completed driver_earning driver_arrival_min rating_score priority".split()), F.col("requested_date")).filter(F.col("driver_sk").isNotNull()).groupBy(F.col("requested_date").alias("metric_date"), "driver_sk", "city_code", "service_type").agg(
         F.count(F.lit(1)).alias("assigned_rides"), done.alias("completed_rides"), X.safe_divide(done, F.count(F.lit(1))).alias("driver_completion_rate"), _zero("driver_earning").alias("driver_earning"),
         F.avg("driver_arrival_min").alias("avg_arrival_min"), F.avg("rating_score").alias("avg_rating"), X.flag_count(F.col("priority") == "HIGH").alias("high_priority_tickets"),
     ).withColumn(LOADED, s.now)
@@ -440,7 +486,7 @@ def agg_driver_performance_daily(s: Session) -> DataFrame:
 
 @model
 def agg_promo_performance_daily(s: Session) -> DataFrame:
-    return s.recent("agg_promo_performance_daily", s.ref("fct_rides"), F.col("requested_date")).filter(F.col("promotion_sk").isNotNull()).groupBy(F.col("requested_date").alias("metric_date"), "promotion_sk", "city_code", "service_type").agg(
+    return s.recent("agg_promo_performance_daily", s.part("fct_rides", "requested_date promotion_sk city_code service_type is_completed promo_discount_amount total_fare rating_score".split()), F.col("requested_date")).filter(F.col("promotion_sk").isNotNull()).groupBy(F.col("requested_date").alias("metric_date"), "promotion_sk", "city_code", "service_type").agg(
         F.count(F.lit(1)).alias("promo_rides"), X.flag_count(F.col("is_completed")).alias("completed_promo_rides"), _zero("promo_discount_amount").alias("promo_discount_amount"), _zero("total_fare").alias("gross_revenue_after_discount"),
         X.safe_divide(_zero("total_fare"), _zero("promo_discount_amount")).alias("revenue_per_promo_discount"), F.avg("rating_score").alias("avg_rating"),
     ).withColumn(LOADED, s.now)
@@ -450,7 +496,7 @@ def agg_promo_performance_daily(s: Session) -> DataFrame:
 def agg_ride_funnel_steps_daily(s: Session) -> DataFrame:
     group = ("metric_date", "city_code", "service_type")
     steps = {"requested": F.lit(True), **{k: F.col(f"{k}_at").isNotNull() for k in ("accepted", "arrived", "started")}, "completed": F.col("ride_status") == "COMPLETED", "paid": F.col("payment_status") == "PAID"}
-    rides = s.recent("agg_ride_funnel_steps_daily", s.ref("fct_rides"), F.col("requested_date"))
+    rides = s.recent("agg_ride_funnel_steps_daily", s.part("fct_rides", "ride_id requested_date city_code service_type accepted_at arrived_at started_at ride_status payment_status".split()), F.col("requested_date"))
     # one row a ride first, so that the distinct counts of all steps are plain sums
     once = rides.groupBy(F.col("requested_date").alias("metric_date"), "city_code", "service_type", "ride_id").agg(*[F.max(F.coalesce(c, F.lit(False))).alias(k) for k, c in steps.items()])
     counts = once.groupBy(*group).agg(*[X.flag_count(F.col(k)).alias(k) for k in steps])
