@@ -288,7 +288,7 @@ def _joined_rides(s: Session, wanted: list[str] | None) -> tuple[DataFrame, dict
     rides = s.recent("fct_rides", s.ref("int_ride_lifecycle"), F.col("requested_date")) if wanted else s.ref("int_ride_lifecycle")
     tables = {"_ride": rides.drop("created_at", "updated_at", "deleted_at", "is_deleted"), "_fare": fare, "_paid": _last_paid(s), "_promo": _used_promo(s)}
     parts = {part: [c for c in t.columns if c != "ride_id" and (wanted is None or c in wanted)] for part, t in tables.items()}
-    parts = {part: columns for part, columns in parts.items() if columns or part == "_promo"}
+    parts = {part: columns for part, columns in parts.items() if columns or part in ("_ride", "_promo")}
     packed = [tables[part].select("ride_id", *([F.struct(*columns).alias(part)] if columns else [])) for part, columns in parts.items()]
     joined = packed[0]
     for t in packed[1:]:

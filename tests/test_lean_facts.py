@@ -26,3 +26,12 @@ def test_aggregates_look_up_what_they_read(spark, sf_dir):
         s.ref(name)
         reads[name] = {x for x, _ in s.lineage if x.startswith("dim_")}
     assert reads == {"agg_daily_refunds": set(), "agg_daily_payment_method": {"dim_payment_method"}, "agg_daily_city_service": set(), "agg_driver_performance_daily": {"dim_driver"}}
+
+
+def test_a_ride_with_two_promotions_is_two_rows_in_any_part(spark, sf_dir):
+    rows = StandIn(spark, sf_dir)
+    twice = rows["promo_usage"].filter("ride_id % 4 = 1")
+    sources = {name: rows[name] for name in ("ride", "ride_fare", "payment_transaction", "support_ticket", "review")} | {"promo_usage": twice.unionByName(twice)}
+    s = marts.Session(spark, sources, F.expr(NOW), lean=True)
+    n, used = sources["ride"].count(), twice.count()
+    assert used and s.part("fct_rides", ["ride_id"]).count() == s.part("fct_rides", ["ride_id", "total_fare", "rating_score"]).count() == n + used
