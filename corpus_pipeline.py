@@ -25,10 +25,10 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a language, mixed ones too: only those without a letter have none (and all have none where no label could be learned)."""
+    """Documents with a language, mixed ones too, which is their `lang` from here on: only those without a letter have none (and all have none where no label could be learned)."""
     net = language_id.fit(docs, language_id.fold_of(docs["doc_id"], 4) != 2)
     found = language_id.predict(docs, net, pred_col="_lang", score_col="_score")
-    return found.filter(F.col("_lang") != language_id.UNKNOWN).select(*docs.columns)
+    return found.filter(F.col("_lang") != language_id.UNKNOWN).withColumn("lang", F.col("_lang").cast(docs.schema["lang"].dataType)).select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,8 +51,11 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it: its taken words by its size, rounded, so 0, 1 or 2 times."""
-    return source_mix.copies(_keyed(docs), id_col="_k").select(*docs.columns)
+    """Each document as often as the mix takes it: its taken words by its size, rounded, so 0, 1 or 2 times.
+
+    Sources meet their targets, and in each source the languages that were found share its target evenly, as far as two copies of each document allow.
+    """
+    return source_mix.copies(_keyed(docs), id_col="_k", part_col="lang").select(*docs.columns)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

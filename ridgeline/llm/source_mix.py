@@ -62,6 +62,22 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share
     return work.put("targets", summed.select("no", "src", "of", "weight", "target", low.alias("low"), whole(F.col("upto") + F.col("target")).alias("high")))
 
 
+def even_shares(parts: DataFrame, targets: DataFrame, most: int = 2) -> DataFrame:
+    """src, of, target, low, high: each source's target in even shares of its parts, none above `most` times its words, the excess reshared.
+
+    parts: src (struct of source and part), words. Levels of water as in `source_targets`, in each source by itself; a source has few parts.
+    """
+    rows = parts.alias("p").join(targets.alias("t"), F.expr("p.src.source <=> t.src")).select("p.src", F.col("p.words").alias("of"), F.expr("t.high - t.low").alias("whole"))
+    inside = Window.partitionBy("src.source")
+    filled = inside.orderBy("of", "src.part")
+    before = F.coalesce(F.sum("of").over(filled.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    rows = rows.withColumns({"place": F.row_number().over(filled), "before": most * before, "n": F.count(F.lit(1)).over(inside), "cap": most * F.col("of")})
+    rows = rows.withColumn("level", (F.col("whole") - F.col("before")) / (F.col("n") - F.col("place") + 1))
+    final = F.min(F.when(F.col("cap") >= F.col("level"), F.struct("place", "level"))).over(inside)["level"]
+    target = F.least(F.col("cap").cast("double"), F.coalesce(final, F.col("cap").cast("double")))
+    return rows.select("src", "of", target.alias("target")).select("*", F.lit(0).cast("bigint").alias("low"), F.floor(F.col("target") + ROUNDING).alias("high"))
+
+
 def step(points: int) -> int:
     """The step of the schedule: the integer next to the golden part of `points` that has no common divisor with it."""
     near = max(1, round(points * GOLDEN))
@@ -100,28 +116,36 @@ def schedule(turns: DataFrame, work: Workspace) -> DataFrame:
     return drawn.withColumn("own", own).join(base, ["no", "stretch"]).select("slot", "no", (F.col("base") + F.col("own")).alias("rank"))
 
 
-def ordered(docs: DataFrame, work: Workspace, id_col: str, text_col: str, source_col: str, weights: tuple[int, ...], share: float, most: int) -> tuple[DataFrame, DataFrame]:
+def ordered(docs: DataFrame, work: Workspace, id_col: str, text_col: str, source_col: str, weights: tuple[int, ...], share: float, most: int, part_col: str | None = None) -> tuple[DataFrame, DataFrame]:
     """id, src, m (md5 of the id), size, at: the words before a row in its source's shuffled order (m, size); and the sources' targets.
 
     The order is summed in 4096 buckets of the hash, and buckets by a small table of sums, so a source with a third of all
-    rows is spread over many tasks. Texts are read once; ids and sizes are kept in the shared folder.
+    rows is spread over many tasks. Texts are read once; ids and sizes are kept in the shared folder. With part_col, src is a struct of
+    source and part, each in an order of its own, and a source's target is shared evenly among its parts.
     """
+    own = docs[source_col] if part_col is None else F.struct(docs[source_col].alias("source"), docs[part_col].alias("part"))
     rows = docs.select(
-        docs[id_col].alias("id"), docs[source_col].alias("src"), F.md5(F.coalesce(docs[id_col].cast("string"), F.lit(""))).alias("m"),
+        docs[id_col].alias("id"), own.alias("src"), F.md5(F.coalesce(docs[id_col].cast("string"), F.lit(""))).alias("m"),
         F.regexp_count(F.coalesce(docs[text_col], F.lit("")), F.lit(WORD)).cast("bigint").alias("size"),
     ).withColumn("bucket", F.substring("m", 1, 3))
     rows = work.put("sizes", rows)
     sums = rows.groupBy("src", "bucket").agg(F.sum("size").alias("words"))
-    targets = source_targets(sums.groupBy("src").agg(F.sum("words").alias("words")), weights, share, most, work)
+    words = sums.groupBy("src").agg(F.sum("words").alias("words"))
+    if part_col is None:
+        targets = source_targets(words, weights, share, most, work)
+    else:
+        parts = work.put("parts", words)
+        whole = source_targets(parts.groupBy(F.col("src.source").alias("src")).agg(F.sum("words").alias("words")), weights, share, most, work)
+        targets = work.put("shares", even_shares(parts, whole, most))
     starts = sums.withColumn("base", F.coalesce(F.sum("words").over(Window.partitionBy("src").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     based = rows.alias("r").join(starts.alias("s"), F.expr("r.src <=> s.src and r.bucket = s.bucket")).select("r.*", "s.base")
     within = F.sum("size").over(Window.partitionBy("src", "bucket").orderBy("m", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow))
     return based.withColumn("at", F.col("base") + within - F.col("size")), targets
 
 
-def placed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, most: int = 2) -> DataFrame:
+def placed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, most: int = 2, part_col: str | None = None) -> DataFrame:
     """id, src, m, size, of, target, taken: what `mix` takes, by where a row stands in its source's order alone: slots give each word `words div of` times, and the first `words % of` once more."""
-    at, targets = ordered(docs, Workspace(docs.sparkSession, "mix"), id_col, text_col, source_col, weights, share, most)
+    at, targets = ordered(docs, Workspace(docs.sparkSession, "mix"), id_col, text_col, source_col, weights, share, most, part_col)
     dealt = targets.withColumn("slots", F.least(F.col("high") - F.col("low"), most * F.col("of")))
     taken = F.expr("if(size = 0, 0L, size * (slots div of) + greatest(0L, least(at + size, slots % of) - at))")
     return at.alias("t").join(dealt.alias("g"), F.expr("t.src <=> g.src")).select("t.id", "t.src", "t.m", "t.size", "g.of", "g.target", taken.cast("bigint").alias("taken"))
@@ -155,22 +179,24 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     return out.select(F.col("id").alias(id_col), "size", F.col("of").alias("source_size"), "target", "taken")
 
 
-def copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", small: int = 500_000) -> DataFrame:
+def copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", small: int = 500_000, part_col: str | None = None) -> DataFrame:
     """The docs, each as often as the mix takes it: its taken words by its size, rounded, so 0, 1 or 2 times.
 
     In a source, the documents up to a place in its order are taken once more than the rest. So a row a source tells how
     often each of its documents is taken: texts are read again and stay where they are, as the sources are broadcast if
     they are up to `small` (else they are joined by a shuffle). Rows of equal id and size are taken alike. Clashing
-    columns of the docs are kept.
+    columns of the docs are kept. part_col: a column (such as the language) whose values share a source's target evenly, as far as
+    two copies of each document allow.
     """
     work = Workspace(docs.sparkSession, "copies")
-    often = placed(docs, id_col, text_col, source_col).filter("size > 0").select("src", "m", "size", F.expr("cast(round(taken / size) as int)").alias("n"))
+    often = placed(docs, id_col, text_col, source_col, part_col=part_col).filter("size > 0").select("src", "m", "size", F.expr("cast(round(taken / size) as int)").alias("n"))
     most = often.groupBy("src").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.max(F.struct("n", "m", "size")).alias("edge"))
     cuts = work.put("cuts", most.select("src", "low", "high", F.struct("edge.m", "edge.size").alias("edge")))
     cuts = F.broadcast(cuts) if cuts.count() <= small else cuts
     own = F.struct(F.md5(F.coalesce(F.col(f"d.{id_col}").cast("string"), F.lit(""))).alias("m"), F.regexp_count(F.coalesce(F.col(f"d.{text_col}"), F.lit("")), F.lit(WORD)).cast("bigint").alias("size"))
     times = F.when(own["size"] == 0, 0).when(own <= F.col("x.edge"), F.col("x.high")).otherwise(F.col("x.low"))
-    taken = docs.alias("d").join(cuts.alias("x"), F.expr(f"d.`{source_col}` <=> x.src")).select("d.*", times.alias("_times")).filter("_times > 0")
+    match = f"d.`{source_col}` <=> x.src" if part_col is None else f"d.`{source_col}` <=> x.src.source and d.`{part_col}` <=> x.src.part"
+    taken = docs.alias("d").join(cuts.alias("x"), F.expr(match)).select("d.*", times.alias("_times")).filter("_times > 0")
     return taken.withColumn("_n", F.explode(F.expr("sequence(1, _times)"))).select(*docs.columns)
 
 
