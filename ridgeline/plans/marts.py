@@ -10,6 +10,7 @@ import atexit
 import datetime as dt
 import uuid
 from collections.abc import Callable, Collection, Sequence
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -34,6 +35,8 @@ FACTS: dict[str, Callable[[Session, Collection[str] | None], DataFrame]] = {}
 LOADED = "_dbt_loaded_at"
 #: Most keys of a dimension that is broadcast.
 SMALL = 400_000
+#: Most versions of a key that go with a payment, or a promotion's use, to its ride.
+CARRIED = 4
 
 
 def is_view(name: str) -> bool:
@@ -46,12 +49,12 @@ class Session:
 
     now: the time that models are marked with. store: where materialised models lie; `ref` then reads them there.
     since: for a model that is built for some days only, its first day and the column that holds it. lean: facts that aren't
-    stored are computed with the columns that are read of them alone (`part`).
+    stored are computed with the columns that are read of them alone (`part`). doubles: decimals of a whole fact may be doubles.
     """
 
-    def __init__(self, spark: SparkSession, sources: Bronze | StandIn | dict[str, DataFrame], now: Column | None = None, store: Store | None = None, lean: bool = False):
-        self.spark, self.sources, self.built, self.lineage, self.lean = spark, sources, {}, [], lean
-        self.now, self.store, self.since = F.expr("cast(current_timestamp() as timestamp_ntz)") if now is None else now, store, {}
+    def __init__(self, spark: SparkSession, sources: Bronze | StandIn | dict[str, DataFrame], now: Column | None = None, store: Store | None = None, lean: bool = False, doubles: bool = False):
+        self.spark, self.sources, self.built, self.lineage, self.lean, self.doubles = spark, sources, {}, [], lean, doubles
+        self.now, self.store, self.since, self.counts = F.expr("cast(current_timestamp() as timestamp_ntz)") if now is None else now, store, {}, {}
 
     def source(self, name: str) -> DataFrame:
         return self.sources[name]
@@ -79,6 +82,31 @@ class Session:
             return self.ref(name).select(*columns)
         return FACTS[name](self, frozenset(columns)).select(*columns)
 
+    def versions(self, looks: Collection[tuple[str, str]]) -> list[tuple[DataFrame, int, int]]:
+        """What lookups read of dimensions, given with their keys, and how many keys they have and versions the key with most.
+
+        In a lean session, dimensions that aren't stored are stored as key, validity and surrogate key alone. Where there is no
+        table to count they are taken to have many versions a key.
+        """
+        def one(look: tuple[str, str]) -> tuple[DataFrame, int, int] | None:
+            dim, key = look
+            if dim in self.counts:
+                return self.counts[dim]
+            if self.store is None or not self.store.exists(f"dim_{dim}") and not (self.lean and isinstance(self.sources, StandIn)):
+                return None
+            if self.store.exists(f"dim_{dim}"):
+                return None, *version_counts(self.store.read(f"dim_{dim}"), key)
+            if not self.store.exists(f"keys_{dim}"):
+                self.store.replace(f"keys_{dim}", _versions_alone(self, dim))
+            rows = self.store.read(f"keys_{dim}")
+            return rows, *version_counts(rows, key)
+
+        with ThreadPoolExecutor(4) as threads:
+            held = list(threads.map(one, looks))
+        for x, (dim, _) in zip(held, looks, strict=True):
+            self.counts[dim] = x if x and x[0] is not None else (self.ref(f"dim_{dim}"), *(x[1:] if x else (0, FEW + 1)))
+        return [self.counts[dim] for dim, _ in looks]
+
 
 def model(f: Callable) -> Callable:
     MODELS[f.__name__] = f
@@ -124,19 +152,21 @@ def kept(spark: SparkSession, sf_dir: str) -> tuple[StandIn, Store]:
 def build(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A model over the operational tables that stand in for sf_dir's; decimals as doubles.
 
-    Dimensions are built once and stored. The model, and the columns that it reads of facts, are computed: an aggregate doesn't
-    pay for lookups and columns that it doesn't read, nor depends on what was built before it.
+    Dimensions are built once and stored; of those that a fact looks keys up in, the columns that it needs for that alone. The
+    model, and the columns that it reads of facts, are computed: an aggregate doesn't pay for lookups and columns that it doesn't
+    read, nor depends on what was built before it.
     """
     from ridgeline.plans.runner import run_models
 
     (sources, store), now = kept(spark, sf_dir), F.expr(f"TIMESTAMP_NTZ '{BUILT}'")
-    plain = Session(spark, sources, now, lean=True)
-    plain.ref(name)
-    first = {x for x, _ in plain.lineage if x.startswith("dim_") or x.removeprefix("stg_") in _SNAPSHOTS} | ({name} if is_view(name) else set())
-    run = run_models(spark, sources, store, sorted(first), now=now, only_absent=True, whole=True) if first else None
-    if run and run.errors:
-        raise RuntimeError(f"{name}: {run.errors}")
-    made = Session(spark, sources, now, store, lean=True).ref(name)
+    if name not in FACTS:
+        plain = Session(spark, sources, now, lean=True)
+        plain.ref(name)
+        first = {x for x, _ in plain.lineage if x.startswith("dim_") or x.removeprefix("stg_") in _SNAPSHOTS} | ({name} if is_view(name) else set())
+        run = run_models(spark, sources, store, sorted(first), now=now, only_absent=True, whole=True) if first else None
+        if run and run.errors:
+            raise RuntimeError(f"{name}: {run.errors}")
+    made = Session(spark, sources, now, store, lean=True, doubles=True).ref(name)
     return made.select(*[F.col(f.name).cast("double").alias(f.name) if isinstance(f.dataType, T.DecimalType) else F.col(f.name) for f in made.schema])
 
 
@@ -223,18 +253,33 @@ def staged(df: DataFrame, table: str, renamed: dict[str, str] | None = None) ->
     return out
 
 
+def _two_states(first: DataFrame, second: DataFrame, key: str) -> DataFrame:
+    """The history of two snapshots, the second at SECOND."""
+    none = F.lit(None).cast("timestamp_ntz")
+    history = first.filter(F.lit(False)).select("*", F.lit("").alias("scd_id"), none.alias("valid_from"), none.alias("valid_to"))
+    for state in (first, second):
+        history = scd2_apply(history, state, key, "updated_at", F.expr(f"TIMESTAMP_NTZ '{SECOND}'"))
+    return history
+
+
+def _dim_key(key: Column, begin: Column) -> Column:
+    """The surrogate key of a dimension's version; it follows from key and begin, so lookups deal those out, not the text."""
+    return X.surrogate_key(key, begin)
+
+
+def _versions_alone(s: Session, dim: str) -> DataFrame:
+    """Key, validity and surrogate key of a dimension: of both states only what these follow from is read and joined."""
+    table, key = next((t, k) for t, (k, prefix) in _SNAPSHOTS.items() if prefix == dim)
+    states = (s.source(f"{table}_{k}").select(F.col(key).cast(TABLES[table].schema[key].dataType).alias(key), "updated_at") for k in (1, 2))
+    return _two_states(*states, key).select(key, "valid_from", "valid_to", _dim_key(F.col(key), F.col("valid_from")).alias(f"{dim}_sk"))
+
+
 def _snapshot(s: Session, table: str, key: str, prefix: str, renamed: dict[str, str] | None = None) -> DataFrame:
     """A staged SCD2 history: snapshot id, declared columns, validity, is_current."""
     if s.store is not None and s.store.exists(f"snap_{table}"):
         history = kept_history(s.store, f"snap_{table}").withColumnsRenamed({"valid_from": "_from", "valid_to": "_to"})
-    elif isinstance(s.sources, StandIn):  # two snapshots of the source, the second at SECOND
-        first, second = (s.source(f"{table}_{k}").withColumnsRenamed(renamed or {}) for k in (1, 2))
-        none = F.lit(None).cast("timestamp_ntz")
-        nothing = first.filter(F.lit(False)).select("*", F.lit("").alias("scd_id"), none.alias("valid_from"), none.alias("valid_to"))
-        history = nothing
-        for state in (first, second):
-            history = scd2_apply(history, state, key, "updated_at", F.expr(f"TIMESTAMP_NTZ '{SECOND}'"))
-        history = history.withColumnsRenamed({"valid_from": "_from", "valid_to": "_to"})
+    elif isinstance(s.sources, StandIn):
+        history = _two_states(*(s.source(f"{table}_{k}").withColumnsRenamed(renamed or {}) for k in (1, 2)), key).withColumnsRenamed({"valid_from": "_from", "valid_to": "_to"})
     else:
         history = scd2_from_history(s.source(table).withColumnsRenamed(renamed or {}), key, "updated_at").withColumnsRenamed({"valid_from": "_from", "valid_to": "_to"})
     back = history.withColumnsRenamed({v: k for k, v in (renamed or {}).items()})
@@ -274,31 +319,62 @@ def int_ride_financials(s: Session) -> DataFrame:
     return joined.select("ride_id", *[f"{part}.*" for part in parts])
 
 
-def _joined_rides(s: Session, wanted: list[str] | None) -> tuple[DataFrame, dict[str, list[str]]]:
+def _joined_rides(s: Session, wanted: list[str] | None, whole: bool = False, carried: Collection[str] = ()) -> tuple[DataFrame, dict[str, list[str]]]:
     """Rides with their fare, payment and promotion, each as one struct of the wanted columns (None: all), and the columns of each.
 
+    carried: of payment_method and promotion, those whose versions come along as `_versions_<dimension>` (`_carry`).
+    With `whole`, decimals may be doubles (24 bytes less a value, in rows that are dealt out and sorted), as nothing is computed of them.
     Fares and payments of which nothing is wanted are left out, as a ride has one at most; promotions keep their ride_id, by which
     a ride that used two is two rows.
 
     Tens of columns that pass through joins one by one make methods that the JVM doesn't compile; structs are one column each.
     """
+    plainer = _as_doubles if s.doubles and whole else lambda df: df
     newest = [F.col("updated_at").desc()]
-    fare = latest_by(s.ref("stg_ride_fare"), ["ride_id"], [F.col("fare_version").desc(), *newest, F.col("fare_id").desc()])
+    fare = latest_by(plainer(s.ref("stg_ride_fare")), ["ride_id"], [F.col("fare_version").desc(), *newest, F.col("fare_id").desc()])
     fare = fare.select("ride_id", "fare_id", "distance_km", "duration_min", "base_fare", "distance_fare", "time_fare", "surge_multiplier", "surge_amount", "discount_amount", "tax_amount", "platform_fee", "driver_earning", "total_fare")
     rides = s.recent("fct_rides", s.ref("int_ride_lifecycle"), F.col("requested_date")) if wanted else s.ref("int_ride_lifecycle")
-    tables = {"_ride": rides.drop("created_at", "updated_at", "deleted_at", "is_deleted"), "_fare": fare, "_paid": _last_paid(s), "_promo": _used_promo(s)}
-    parts = {part: [c for c in t.columns if c != "ride_id" and (wanted is None or c in wanted)] for part, t in tables.items()}
+    dims = {"_paid": "payment_method", "_promo": "promotion"}
+    along = {part: [f"_versions_{x}"] if x in carried else [] for part, x in dims.items()}
+    tables = {"_ride": plainer(rides.drop("created_at", "updated_at", "deleted_at", "is_deleted")), "_fare": fare, "_paid": _last_paid(s, plainer, "payment_method" in carried), "_promo": plainer(_carry(s, _used_promo(s), "promotion") if "promotion" in carried else _used_promo(s))}
+    parts = {part: [c for c in t.columns if c != "ride_id" and c not in along.get(part, ()) and (wanted is None or c in wanted)] for part, t in tables.items()}
     parts = {part: columns for part, columns in parts.items() if columns or part in ("_ride", "_promo")}
-    packed = [tables[part].select("ride_id", *([F.struct(*columns).alias(part)] if columns else [])) for part, columns in parts.items()]
+    packed = [tables[part].select("ride_id", *([F.struct(*columns).alias(part)] if columns else []), *along.get(part, ())) for part, columns in parts.items()]
     joined = packed[0]
     for t in packed[1:]:
         joined = joined.join(t, "ride_id", "left")
     return joined, parts
 
 
-def _last_paid(s: Session) -> DataFrame:
-    paid = latest_by(s.ref("stg_payment_transaction").filter(~F.col("is_deleted")), ["ride_id"], [F.col("updated_at").desc(), F.col("payment_transaction_id").desc()])
-    return paid.select("ride_id", "payment_transaction_id", "payment_method_id", "payment_status", "failure_code", F.col("amount").alias("payment_amount"), F.col("method_fee").alias("payment_method_fee"), "paid_at")
+def _as_doubles(df: DataFrame) -> DataFrame:
+    return df.withColumns({f.name: F.col(f.name).cast("double") for f in df.schema if isinstance(f.dataType, T.DecimalType)})
+
+
+def _carry(s: Session, rows: DataFrame, dim: str) -> DataFrame:
+    """The rows with all versions of their key, for dimensions of few versions a key: which one counts is told where the time is known (`_told`).
+
+    Rows are joined on the key alone; those without one are spread, as they match nothing.
+    """
+    key, begin, end = F.col(f"{dim}_id"), F.col("valid_from"), F.col("valid_to")
+    versions, _, most = s.versions([(dim, f"{dim}_id")])[0]
+    version = F.struct(begin.alias("_from"), end.isNull().alias("_open"), end.alias("_to"))
+    piles = versions.filter(key.isNotNull() & begin.isNotNull()).select(key.alias("_dim"), version.alias("_v")).groupBy("_dim").agg(F.collect_list("_v").alias(f"_versions_{dim}"))
+    spread = F.coalesce(key, -1 - F.pmod(F.xxhash64("ride_id"), F.lit(1 << 12)) - (1 << 40))
+    return rows.withColumn("_key", spread).join(piles, (F.col("_key") == F.col("_dim")) & key.isNotNull(), "left").drop("_key", "_dim")
+
+
+def _told(s: Session, dim: str, at: Column) -> Column:
+    """The surrogate key of the version that was valid at a time, of those that `_carry` gave."""
+    held = [F.get(F.col(f"_versions_{dim}"), F.lit(k)) for k in range(s.counts[dim][2])]
+    begun = [F.when(v["_from"] <= at, v) for v in held]
+    last = F.greatest(*begun) if len(begun) > 1 else begun[0]
+    return F.when(last["_open"] | (at < last["_to"]), _dim_key(F.col(f"{dim}_id"), last["_from"]))
+
+
+def _last_paid(s: Session, plainer: Callable[[DataFrame], DataFrame] = lambda df: df, carried: bool = False) -> DataFrame:
+    rows = plainer(s.ref("stg_payment_transaction")).filter(~F.col("is_deleted"))
+    paid = latest_by(_carry(s, rows, "payment_method") if carried else rows, ["ride_id"], [F.col("updated_at").desc(), F.col("payment_transaction_id").desc()])
+    return paid.select("ride_id", "payment_transaction_id", "payment_method_id", "payment_status", "failure_code", F.col("amount").alias("payment_amount"), F.col("method_fee").alias("payment_method_fee"), "paid_at", *(["_versions_payment_method"] if carried else []))
 
 
 def _used_promo(s: Session) -> DataFrame:
@@ -320,7 +396,7 @@ def _dim(s: Session, staging: str, key: str, name: str, with_date: bool = True)
     rows = s.ref(staging)
     made = [F.to_date("created_at").alias(f"{name}_created_date")] if with_date else []
     drop = ("deleted_at",)
-    return rows.select(X.surrogate_key(F.col(key), F.col("valid_from")).alias(f"{name}_sk"), *[c for c in rows.columns if c not in drop], *made)
+    return rows.select(_dim_key(F.col(key), F.col("valid_from")).alias(f"{name}_sk"), *[c for c in rows.columns if c not in drop], *made)
 
 
 for _staging, (_key, _prefix) in _SNAPSHOTS.items():
@@ -339,32 +415,30 @@ def _with_keys(s: Session, rows: DataFrame, by: Column, looks: list[tuple[str, s
     """The rows, once each, with `_by` and the surrogate keys of dimensions that were valid at a time.
 
     looks: dimension, its key, the time, and a narrower table that holds `by` and all pairs of key and time of the rows (None: the
-    rows). Small dimensions are broadcast. For large ones `by`, key and time alone go to the versions, and all the keys found for a
-    `by` come back as one row, so the rows' many columns are dealt once, by `by`. Where a key has many versions, or the dimensions
-    aren't stored yet and so aren't counted, facts and versions are swept together.
+    rows). Small dimensions are broadcast. For large ones `by`, key and time alone go to the versions, and come back with the begin of
+    the version that counts, from which its surrogate key follows; so the rows' many columns are dealt once, by `by`. Where a key has
+    many versions, or the dimensions aren't stored yet and so aren't counted, facts and versions are swept together.
     """
     held, lost, found, before = [], [], [], rows
-    for k, (dim, key, at, asks) in enumerate(looks):
-        sk, versions = f"{dim}_sk", s.ref(f"dim_{dim}")
-        keys, most = version_counts(versions, key) if s.store is not None and s.store.exists(f"dim_{dim}") else (0, FEW + 1)
+    counted = s.versions([(dim, key) for dim, key, *_ in looks])
+    for k, ((dim, key, at, asks), (versions, keys, most)) in enumerate(zip(looks, counted, strict=True)):
+        sk = f"{dim}_sk"
         if most > FEW:
             lost.append((versions, key, at, sk))
         elif keys <= SMALL:
             held.append((versions, key, at, sk))
         else:
             asked = (rows if asks is None else asks).select(by.alias("_by"), key, at.alias("_time")).filter(F.col("_by").isNotNull() & F.col(key).isNotNull() & F.col("_time").isNotNull())
-            got = as_of_piles(asked, versions, key, F.col("_time"), [sk])
-            found.append((k, key, at, sk, got.filter(F.col(sk).isNotNull()).select("_by", F.struct(F.lit(k).alias("look"), F.col(key).alias("key"), F.col("_time").alias("time"), F.col(sk).alias("sk")).alias("_l"))))
+            got = as_of_piles(asked, versions.withColumn("_begin", F.col("valid_from")), key, F.col("_time"), ["_begin"])
+            found.append((key, at, sk, got.filter(F.col("_begin").isNotNull()).select(F.col("_by").alias(f"_by{k}"), F.col(key).alias(f"_key{k}"), F.col("_time").alias(f"_time{k}"), F.col("_begin").alias(f"_begin{k}")), k))
     for versions, key, at, sk in lost:
         rows = as_of_join(rows, versions, key, at, [sk], seen=before)
     rows = rows.withColumn("_by", by)
-    if found:
-        together = found[0][-1]
-        for *_, more in found[1:]:
-            together = together.unionByName(more)
-        rows = rows.join(together.groupBy("_by").agg(F.collect_set("_l").alias("_ls")), "_by", "left")
-        fits = lambda k, key, at: lambda x: (x["look"] == k) & (x["key"] == F.col(key)) & (x["time"] == at)
-        rows = rows.withColumns({sk: F.get(F.filter("_ls", fits(k, key, at)), F.lit(0))["sk"] for k, key, at, sk, _ in found}).drop("_ls")
+    for key, at, sk, got, k in found:
+        # dealt by `by` alone, as the rows are: key and time are told apart within it (two bounds, as an equality would be dealt by, too)
+        once, same = got.repartition(f"_by{k}").distinct(), lambda a, b: (a <= b) & (a >= b)
+        rows = rows.join(once, (F.col("_by") == F.col(f"_by{k}")) & same(F.col(key), F.col(f"_key{k}")) & same(at, F.col(f"_time{k}")), "left")
+        rows = rows.withColumn(sk, F.when(F.col(f"_by{k}").isNotNull(), _dim_key(F.col(key), F.col(f"_begin{k}")))).drop(f"_by{k}", f"_key{k}", f"_time{k}", f"_begin{k}")
     for versions, key, at, sk in held:
         rows = as_of_piles(rows, versions, key, at, [sk], small=True)
     return rows
@@ -382,16 +456,19 @@ def fct_rides(s: Session, wanted: Collection[str] | None = None) -> DataFrame:
     want = lambda *columns: [c for c in columns if wanted is None or c in wanted]
     dims, columns, seen = [x for x in times if want(f"{x}_sk")], want(*_RIDE_COLUMNS), want(*_SEEN)
     asked = sorted({c for x in dims for c in (f"{x}_id", *times[x])})
+    counted = dict(zip(dims, s.versions([(x, f"{x}_id") for x in dims]), strict=True))
+    carried = [x for x in ("payment_method", "promotion") if x in counted and counted[x][1] > SMALL and counted[x][2] <= CARRIED]
     plain = s.recent("fct_rides", s.ref("int_ride_lifecycle"), F.col("requested_date"))
     if not columns and not asked:
         rides, place = plain.select("ride_id").join(_used_promo(s).select("ride_id"), "ride_id", "left"), {}
     else:
-        rides, parts = _joined_rides(s, [*columns, *asked])
+        rides, parts = _joined_rides(s, [*columns, *asked], wanted is None, carried)
         place = {c: F.col(f"{part}.{c}") for part, held in parts.items() for c in held}
-        rides = rides.select("ride_id", *[part for part, held in parts.items() if held], *[place[c].alias(c) for c in asked])
+        rides = rides.select("ride_id", *[part for part, held in parts.items() if held], *[place[c].alias(c) for c in asked], *[f"_versions_{x}" for x in carried])
     # which rides ask for a dimension of what they paid with or used
     at = {"rider": (F.col("requested_at"), lambda: plain), "driver": (taken, lambda: plain), "vehicle": (taken, lambda: plain), "payment_method": (paid, lambda: plain.join(_last_paid(s), "ride_id")), "promotion": (used, lambda: plain.join(_used_promo(s), "ride_id"))}
-    rides = _with_keys(s, rides, F.col("ride_id"), [(x, f"{x}_id", at[x][0], at[x][1]()) for x in dims])
+    rides = _with_keys(s, rides, F.col("ride_id"), [(x, f"{x}_id", at[x][0], at[x][1]()) for x in dims if x not in carried])
+    rides = rides.withColumns({f"{x}_sk": _told(s, x, at[x][0]) for x in carried}) if carried else rides
     if seen:
         feedback = s.ref("int_customer_feedback").select(F.col("ride_id").alias("_by"), F.struct(*seen).alias("_seen"))
         rides = rides.join(feedback, "_by", "left")
